@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space.
 SPACE_CHARS = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 "
-    "           "
-    "    　"
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0        "
+    "        　"
 )
 SPACES = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]+"
 
@@ -19,6 +18,15 @@ SPACES = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]+"
 MAX_DICTIONARY = 10_000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once per row.
+
+    A plain column used inside a lambda may be inlined there by the optimizer and
+    computed again for every element; a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(col: Column) -> Column:
     return F.trim(col, F.lit(SPACE_CHARS))
 
