@@ -108,7 +108,10 @@ def title_candidates(titles: DataFrame, threshold: float) -> DataFrame:
         .join(prefix.alias("y"), "token")
         .where((F.col("x.id") < F.col("y.id")))
         .where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9)
-        .where((F.col("x.n") + F.col("y.n")) * slack >= 2 - 1e-9)
+        # smaller pairs that differ by one token have met above
+        .where(
+            (F.greatest("x.n", "y.n") > SHORT_TITLE) | ((F.col("x.n") + F.col("y.n")) * slack >= 2 - 1e-9)
+        )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
     return reordered.unionByName(extended).unionByName(by_rare).distinct()
