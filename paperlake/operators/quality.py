@@ -18,7 +18,7 @@ def first_seen(items: DataFrame) -> DataFrame:
     without a DOI get a key of their own, so they spread over all tasks.
     """
     has_doi = F.coalesce("doi", F.lit("")) != ""
-    doi_key = F.when(has_doi, F.concat(F.lit("d"), F.col("doi"))).otherwise(F.concat(F.lit("s"), F.col("seq")))
+    doi_key = F.when(has_doi, F.concat(F.lit("d"), F.col("doi"))).otherwise(F.concat(F.lit("s"), F.col("seq").cast("string")))
     title_key = F.md5(strip(F.lower(F.coalesce("title", F.lit("")))))
 
     def first(df: DataFrame, key) -> DataFrame:

@@ -52,13 +52,17 @@ def label_trends(tagged: DataFrame, year: int) -> DataFrame:
     return growth_labels(_year_counts(tagged, year)).orderBy(F.desc("growth_rate"), "topic")
 
 
-def _matches(text: Column, patterns: Iterable[str]) -> Column:
+def _matches(text: Column, patterns: Mapping[str, Iterable[str]]) -> Column:
+    """Every match of every pattern in one array, so the texts are read once."""
     found = [
         F.transform(
             F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)),
-            lambda m, i, n=n: F.struct(F.lit(n).alias("pattern"), i.alias("i"), F.substring(m, 1, 100).alias("found")),
+            lambda m, i, c=category, n=n: F.struct(
+                F.lit(c).alias("category"), F.lit(n).alias("pattern"), i.alias("i"), F.substring(m, 1, 100).alias("found")
+            ),
         )
-        for n, p in enumerate(patterns)
+        for category, some in patterns.items()
+        for n, p in enumerate(some)
     ]
     return F.concat(*found)
 
@@ -72,13 +76,10 @@ def new_developments(
 ) -> DataFrame:
     """(category, rank, found): the first ``limit`` pattern matches per category, and the keywords that occur."""
     raw = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    by_pattern = None
-    for category, some in patterns.items():
-        part = items.select(F.lit(category).alias("category"), "seq", F.explode(_matches(raw, some)).alias("m"))
-        by_pattern = part if by_pattern is None else by_pattern.unionByName(part)
-    window = Window.partitionBy("category").orderBy("seq", "m.pattern", "m.i")
+    by_pattern = items.select("seq", F.explode(_matches(raw, patterns)).alias("m"))
+    window = Window.partitionBy("m.category").orderBy("seq", "m.pattern", "m.i")
     first = by_pattern.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
-    matched = first.select("category", "rank", F.trim(F.col("m.found")).alias("found"))
+    matched = first.select("m.category", "rank", F.trim(F.col("m.found")).alias("found"))
 
     text = text_of("title", "abstract")
     fold = (lambda k: k.lower()) if fold_keywords else (lambda k: k)
