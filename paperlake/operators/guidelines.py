@@ -62,20 +62,17 @@ def split_guidelines(texts: DataFrame) -> DataFrame:
 
 def _statements(text: Column) -> Column:
     """All (strength, lang, text) of a text; a statement found twice keeps the first strength."""
-    found = []
-    for strength, lang, pattern in STRENGTHS:
+    def matches(strength: str, lang: str, pattern: str) -> Column:
         texts = F.transform(F.regexp_extract_all(text, F.lit(f"(?iu){pattern}"), F.lit(1)), lambda t: strip(t))
         if strength == "conditional":
-            texts = F.filter(texts, lambda t, lang=lang: ~contains_any(F.lower(t), NOT_PLAIN[lang]))
-        found.append(
-            F.transform(
-                texts,
-                lambda t, strength=strength, lang=lang: F.struct(
-                    F.lit(strength).alias("strength"), F.lit(lang).alias("lang"), t.alias("text")
-                ),
-            )
+            texts = F.filter(texts, lambda t: ~contains_any(F.lower(t), NOT_PLAIN[lang]))
+        return F.transform(
+            texts,
+            lambda t: F.struct(F.lit(strength).alias("strength"), F.lit(lang).alias("lang"), t.alias("text")),
         )
 
+    found = [matches(*rule) for rule in STRENGTHS]
+
     def once(every: Column) -> Column:
         return let(
             F.transform(every, lambda s: s.text),

@@ -117,11 +117,10 @@ def title_candidates(titles: DataFrame, threshold: float) -> DataFrame:
     return reordered.unionByName(extended).unionByName(by_rare).distinct()
 
 
-def title_edges(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Edges (src, dst, kind) between records whose titles are similar but not equal.
+def jaccard_pairs(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(a, b, norm_a, norm_b, jaccard) of distinct normalised titles whose token sets reach the threshold.
 
-    Equal titles collapse to one row first; the sequence ratio takes the earlier
-    title first, and runs on pairs that passed the Jaccard test only.
+    Equal titles collapse to one row first, named by their first record.
     """
     if not 0.9 <= threshold <= 1.0:
         raise ValueError("threshold must lie between 0.9 and 1")
@@ -141,12 +140,22 @@ def title_edges(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .where(jaccard >= threshold)
-        .where(_ratio_udf(threshold)("norm_a", "norm_b"))
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("similar_title").alias("kind"))
+        .withColumn("jaccard", jaccard)
+        .where(F.col("jaccard") >= threshold)
+        .drop("tokens_a", "tokens_b")
     )
 
 
+def title_edges(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Edges (src, dst, kind) between records whose titles are similar but not equal.
+
+    The sequence ratio takes the earlier title first, and runs on pairs that
+    passed the Jaccard test only.
+    """
+    similar = jaccard_pairs(articles, threshold).where(_ratio_udf(threshold)("norm_a", "norm_b"))
+    return similar.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("similar_title").alias("kind"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
@@ -165,7 +174,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minimum(both).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.distinct())
+        large = large.distinct()
         low = minimum(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())

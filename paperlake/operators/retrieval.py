@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -297,9 +297,9 @@ def similar_context(chunks: DataFrame, similar_chunks: DataFrame) -> DataFrame:
     return source.join(near, "document_id", "left").withColumn("related", F.coalesce("related", F.lit("")))
 
 
-def document_queries(chunks: DataFrame, document_ids: Iterable[int], n: int = 3) -> DataFrame:
-    """A query vector per document: the mean of its first ``n`` chunk vectors."""
-    wanted = chunks.where(F.col("document_id").isin(list(document_ids)))
+def document_queries(chunks: DataFrame, ids: DataFrame, n: int = 3) -> DataFrame:
+    """A query vector per document of ``ids``: the mean of its first ``n`` chunk vectors."""
+    wanted = chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi")
     window = Window.partitionBy("document_id").orderBy("chunk_index")
     first = wanted.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n)
     means = (
@@ -312,14 +312,12 @@ def document_queries(chunks: DataFrame, document_ids: Iterable[int], n: int = 3)
     return means.select(F.col("document_id").cast("long").alias("query_id"), "embedding")
 
 
-def similar_documents(
-    chunks: DataFrame, document_ids: Iterable[int], k: int = 10, include_self: bool = True
-) -> DataFrame:
+def similar_documents(chunks: DataFrame, ids: DataFrame, k: int = 10, include_self: bool = True) -> DataFrame:
     """Distinct documents among the ``k`` nearest chunks of each given document, best score first.
 
     ``chunks`` holds (chunk_id long, document_id, chunk_index, embedding).
     """
-    hits = vector_search(document_queries(chunks, document_ids), chunks, k)
+    hits = vector_search(document_queries(chunks, ids), chunks, k)
     found = enrich_hits(hits, chunks)
     if not include_self:
         found = found.where(F.col("query_id") != F.col("document_id"))

@@ -54,17 +54,19 @@ def label_trends(tagged: DataFrame, year: int) -> DataFrame:
 
 def _matches(text: Column, patterns: Mapping[str, Iterable[str]]) -> Column:
     """Every match of every pattern in one array, so the texts are read once."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)),
-            lambda m, i, c=category, n=n: F.struct(
-                F.lit(c).alias("category"), F.lit(n).alias("pattern"), i.alias("i"), F.substring(m, 1, 100).alias("found")
+
+    def matches(category: str, number: int, pattern: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)),
+            lambda m, i: F.struct(
+                F.lit(category).alias("category"),
+                F.lit(number).alias("pattern"),
+                i.alias("i"),
+                F.substring(m, 1, 100).alias("found"),
             ),
         )
-        for category, some in patterns.items()
-        for n, p in enumerate(some)
-    ]
-    return F.concat(*found)
+
+    return F.concat(*[matches(c, n, p) for c, some in patterns.items() for n, p in enumerate(some)])
 
 
 def new_developments(
