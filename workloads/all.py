@@ -1,3 +1,3 @@
 """Importing this module registers every workload."""
 
-from workloads import documents, works  # noqa: F401
+from workloads import digests, documents, vectors, works  # noqa: F401

@@ -120,13 +120,13 @@ scalars AS (
     arg_min(pmcid, seq) FILTER (WHERE pmcid IS NOT NULL) AS pmcid, md5(arg_min(abstract, seq)) AS abstract_md5,
     max(seq) * 60 AS retrieved, count(*) AS n_records FROM w GROUP BY work_id),
 keys AS (
-  SELECT work_id, string_agg(k, '|' ORDER BY at) AS keywords FROM (
-    SELECT work_id, k, min(seq * 10 + n) AS at FROM (
+  SELECT work_id, string_agg(k, '|' ORDER BY first_at) AS keywords FROM (
+    SELECT work_id, k, min(seq * 10 + n) AS first_at FROM (
       SELECT work_id, seq, 0 AS n, lang AS k FROM w UNION ALL SELECT work_id, seq, 1, source FROM w)
     GROUP BY work_id, k) GROUP BY work_id),
 origins AS (
-  SELECT work_id, string_agg(source, '|' ORDER BY at) AS provenance FROM (
-    SELECT work_id, source, min(seq) AS at FROM w GROUP BY work_id, source) GROUP BY work_id)
+  SELECT work_id, string_agg(source, '|' ORDER BY first_at) AS provenance FROM (
+    SELECT work_id, source, min(seq) AS first_at FROM w GROUP BY work_id, source) GROUP BY work_id)
 SELECT s.*, k.keywords, o.provenance,
   CASE WHEN doi IS NOT NULL THEN lower(doi) WHEN pmid IS NOT NULL THEN 'pmid:' || pmid
   WHEN pmcid IS NOT NULL THEN 'pmcid:' || lower(pmcid) ELSE 'title:' || trim(lower(title), {TRIM}) END AS article_id
