@@ -57,7 +57,7 @@ def _matches(text: Column, patterns: Mapping[str, Iterable[str]]) -> Column:
 
     def matches(category: str, number: int, pattern: str) -> Column:
         return F.transform(
-            F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)),
+            F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(0)),
             lambda m, i: F.struct(
                 F.lit(category).alias("category"),
                 F.lit(number).alias("pattern"),

@@ -36,9 +36,13 @@ def ingest_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _watermarked(df: DataFrame, time: str, delay: str) -> DataFrame:
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def first_seen_stream(items: DataFrame, key: str = "doi", time: str = "ts", delay: str = "1 day") -> DataFrame:
     """The first row per key. A key is remembered until the watermark passes it, not for ever."""
-    return items.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return _watermarked(items, time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def period_counts(
@@ -46,7 +50,7 @@ def period_counts(
 ) -> DataFrame:
     """Rows per label and period; rows later than ``delay`` are dropped, a period is emitted once it is closed."""
     window = F.window(time, length, slide) if slide else F.window(time, length)
-    counted = events.withWatermark(time, delay).groupBy(window.alias("period"), F.col(label)).agg(
+    counted = _watermarked(events, time, delay).groupBy(window.alias("period"), F.col(label)).agg(
         F.count(F.lit(1)).alias("n")
     )
     return counted.select(

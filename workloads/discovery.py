@@ -13,7 +13,7 @@ from workloads.views import CITATIONS, LITERATURE, PAPERS, citations, literature
 # Patterns that occur in the corpus.
 RETRACTED = ("leaile", "ouan")
 PREDATORY = (r"src1\d", r"^src[78]$")
-CONFERENCE = (r"on\s+the\s+th", r"de\s+la\b")
+CONFERENCE = (r"on\s+the\s+th", r"de\s+la\s")
 QUALITY = {"retracted": RETRACTED, "predatory": PREDATORY, "conference": CONFERENCE}
 
 
@@ -172,6 +172,7 @@ def part_type_trends(spark, sf_dir):
     return found.select(*TREND_COLUMNS, F.round("growth_rate", 6).alias("growth_rate"))
 
 
+WORD, LETTERS = r"\w", r"[\p{L}\p{M}\p{N}_]"
 DEVELOPMENTS = {
     "procedure": (r"(?:thatin|rewh)\s+(\w+(?:\s+\w+)?)\s+(?:the|of|and)", r"(?:ononst)\s+(\w+)"),
     "device": (r"(?:orantion|hehely)\s+(\w+(?:\s+\w+)?)",),
@@ -186,7 +187,7 @@ m AS (
 """
     + " UNION ALL ".join(
         f"SELECT '{c}' AS category, seq, {n} AS p, unnest(x) AS found, generate_subscripts(x, 1) AS i FROM (SELECT seq, "
-        f"regexp_extract_all(title || ' ' || abstract, {quoted('(?i)' + p)}, 0) AS x FROM papers)"
+        f"regexp_extract_all(title || ' ' || abstract, {quoted('(?i)' + p.replace(WORD, LETTERS))}, 0) AS x FROM papers)"
         for c, some in DEVELOPMENTS.items()
         for n, p in enumerate(some)
     )

@@ -63,13 +63,13 @@ def found_documents(spark, sf_dir):
 
 @workload(
     "indexed_documents",
-    f"""WITH {FIXED}, s AS (SELECT document_id, count(*) AS c, sum(token_count) AS t, sum(word_count) AS w FROM chunks GROUP BY document_id)
+    f"""WITH {FIXED}, sums AS (SELECT document_id, count(*) AS c, sum(token_count) AS t, sum(word_count) AS w FROM chunks GROUP BY document_id)
 SELECT doc_id AS document_id, CASE WHEN d.n_chars % 7 = 0 THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN d.n_chars % 7 = 0 THEN 'document has no text' END AS error,
   CASE WHEN d.n_chars % 7 = 0 THEN 0 ELSE coalesce(c, 0) END::BIGINT AS total_chunks,
   CASE WHEN d.n_chars % 7 = 0 THEN 0 ELSE coalesce(t, 0) END::BIGINT AS total_tokens,
   CASE WHEN d.n_chars % 7 = 0 THEN 0 ELSE coalesce(w, 0) END::BIGINT AS total_words
-FROM documents d LEFT JOIN s ON s.document_id = d.doc_id""",
+FROM documents d LEFT JOIN sums ON sums.document_id = d.doc_id""",
 )
 def indexed_documents(spark, sf_dir):
     """Documents whose length is a multiple of 7 lose their text, to show failed rows."""
@@ -155,9 +155,13 @@ def errors(spark, sf_dir):
 # --- streams -----------------------------------------------------------------
 
 
+def stream(spark, sf_dir, name: str):
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    return stream(spark, sf_dir, "events")
 
 
 CLOSED = "<= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
@@ -205,8 +209,7 @@ def first_seen_stream(spark, sf_dir):
 def ingest_stream(spark, sf_dir):
     """Documents arriving as a stream end up in the base like a batch."""
     folder = run_folder(spark, "ingest")
-    schema = table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet")
+    docs = stream(spark, sf_dir, "documents")
     base = kb.KnowledgeBase(spark, f"{folder}/kb")
     query = jobs.ingest_stream(
         docs.select(F.col("doc_id").alias("document_id"), "text"), base, f"{folder}/checkpoint"
