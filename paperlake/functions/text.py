@@ -12,7 +12,7 @@ SPACE_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0        "
     "        　"
 )
-SPACES = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]+"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 # A dictionary becomes literals in the plan, so its size is checked.
 MAX_DICTIONARY = 10_000
@@ -33,7 +33,7 @@ def strip(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """White-space separated words; no words for a blank text."""
-    return F.array_remove(F.split(strip(col), SPACES), "")
+    return F.array_remove(F.split(col, SPACES), "")
 
 
 def blank_to_null(col: Column) -> Column:

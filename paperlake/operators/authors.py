@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import AUTHOR_TOPICS
 from paperlake.operators.tagging import dictionary_labels
 
@@ -37,9 +38,7 @@ def author_rank(items: DataFrame, k: int = 20, topics: Mapping[str, Iterable[str
     top = author_counts(items).orderBy(F.desc("paper_count"), "first_at").limit(k)
     titles = author_papers(items, top)  # k rows are broadcast
     found = (
-        titles.select(
-            "author", "seq", F.posexplode(dictionary_labels(F.lower("title"), topics)).alias("position", "topic")
-        )
+        explode_once(titles, dictionary_labels(F.lower("title"), topics), "topic", "position")
         .groupBy("author", "topic")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "position")).alias("at"))
     )
@@ -84,10 +83,9 @@ def coauthor_edges(items: DataFrame) -> DataFrame:
     named = F.filter("authors", lambda a: F.coalesce(a, F.lit("")) != "")
     listed = items.select(named.alias("a"))
     # one row per author with the rest of the list, then one per co-author
-    rest = listed.select("a", F.posexplode("a").alias("i", "src")).select(
-        "src", F.explode(F.array_distinct(F.slice("a", F.col("i") + 2, F.size("a")))).alias("dst")
-    )
-    return rest.distinct()
+    sources = explode_once(listed, F.col("a"), "src", "i")
+    rest = F.array_distinct(F.slice("a", F.col("i") + 2, F.size("a")))
+    return explode_once(sources, rest, "dst").select("src", "dst").distinct()
 
 
 def collaborators(items: DataFrame, author: str) -> DataFrame:

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.functions.text import let, strip, words
 
-SENTENCE_BREAK = r"""(?<=[.!?])[\s\x0b\x1c-\x1f\x85\xa0 -     　]+(?=[A-Z"'(])"""
+SENTENCE_BREAK = r"""(?U)(?<=[.!?])[\s\x1c-\x1f]+(?=[A-Z"'(])"""
 
 
 def chunk_id(document: Column, index: Column) -> Column:
@@ -46,9 +47,8 @@ def chunk_fixed(
         )
 
     kept = F.filter(let(words(F.col("text")), windows), lambda w: F.length(w.text) >= min_len)
-    indexed = docs.select("document_id", kept.alias("kept")).select(
-        "document_id", F.size("kept").alias("n_kept"), F.posexplode("kept").alias("chunk_index", "c")
-    )
+    windowed = docs.select("document_id", kept.alias("kept")).withColumn("n_kept", F.size("kept"))
+    indexed = explode_once(windowed, F.col("kept"), "c", "chunk_index")
     index = F.col("chunk_index")
     has_next = index < F.col("n_kept") - 1 if link_kept else F.col("c.more")
     return indexed.select(
@@ -66,8 +66,8 @@ def chunk_fixed(
 
 
 def _plain_chunks(pieces: DataFrame) -> DataFrame:
-    """Chunks out of (document_id, pieces array<struct<section, text>>), numbered in order."""
-    exploded = pieces.select("document_id", F.posexplode("pieces").alias("chunk_index", "p"))
+    """Chunks out of (document_id, pieces array<struct<section, heading, text>>), numbered in order."""
+    exploded = explode_once(pieces, F.col("pieces"), "p", "chunk_index")
     n_words = F.size(words(F.col("p.text")))
     return exploded.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
@@ -75,7 +75,7 @@ def _plain_chunks(pieces: DataFrame) -> DataFrame:
         "chunk_index",
         F.col("p.section").alias("section"),
         F.col("p.heading").alias("heading"),
-        strip(F.col("p.text")).alias("text"),
+        F.col("p.text").alias("text"),
         n_words.alias("word_count"),
         n_words.alias("token_count"),
         F.lit("").alias("previous_chunk"),
@@ -85,8 +85,7 @@ def _plain_chunks(pieces: DataFrame) -> DataFrame:
 
 def chunk_sentences(docs: DataFrame, min_len: int = 20) -> DataFrame:
     """One chunk per sentence; a sentence ends at ``. ! ?`` before a capital, quote or bracket."""
-    sentences = F.transform(F.split(strip(F.col("text")), SENTENCE_BREAK), lambda s: strip(s))
-    kept = F.filter(sentences, lambda s: F.length(s) >= min_len)
+    kept = F.filter(F.split(strip(F.col("text")), SENTENCE_BREAK), lambda s: F.length(s) >= min_len)
     return _plain_chunks(
         docs.select(
             "document_id",
@@ -101,7 +100,7 @@ def chunk_sections(docs: DataFrame, min_len: int = 20) -> DataFrame:
     """One chunk per section of ``docs.sections``; the whole text when no section is long enough."""
 
     def piece(section, heading, text):
-        return F.struct(section.alias("section"), heading.alias("heading"), text.alias("text"))
+        return F.struct(section.alias("section"), heading.alias("heading"), strip(text).alias("text"))
 
     kept = F.filter("sections", lambda s: F.length(strip(s.content)) >= min_len)
     whole_heading = F.when(F.size("sections") > 0, F.lit("")).otherwise(F.lit("Body"))

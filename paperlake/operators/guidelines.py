@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null, checked, contains_any, labels_where, let, strip
 
 _RU_VERB = r"рекоменду(?:ем|ется|ют)\s+"
@@ -15,12 +16,12 @@ _STATEMENT = r"([^.!?]+[.!?])"
 
 # (strength, language, pattern); a statement keeps the first strength that takes it.
 STRENGTHS = (
-    ("not_recommended", "ru", r"(?<!\p{L})не\s+" + _RU_VERB + _STATEMENT),
-    ("strong", "ru", r"(?<!\p{L})настоятельно\s+" + _RU_VERB + _STATEMENT),
+    ("not_recommended", "ru", r"(?=не\s)(?<!\p{L})не\s+" + _RU_VERB + _STATEMENT),
+    ("strong", "ru", r"(?=настоятельно)(?<!\p{L})настоятельно\s+" + _RU_VERB + _STATEMENT),
     (
         "conditional",
         "ru",
-        r"(?<!(?<!\p{L})не\s{1,3})(?<!(?<!\p{L})настоятельно\s{1,3})" + _RU_VERB + _STATEMENT,
+        r"(?=рекоменду)(?<!(?<!\p{L})не\s{1,3})(?<!(?<!\p{L})настоятельно\s{1,3})" + _RU_VERB + _STATEMENT,
     ),
     (
         "not_recommended",
@@ -28,7 +29,7 @@ STRENGTHS = (
         r"(?:do\s+not|should\s+not|not\s+recommended)\s+(?:" + _EN_VERB + ")?" + _STATEMENT,
     ),
     ("strong", "en", r"strongly\s+" + _EN_VERB + _STATEMENT),
-    ("conditional", "en", r"(?<!not\s{1,3})(?<!strongly\s{1,3})" + _EN_VERB + _STATEMENT),
+    ("conditional", "en", r"(?=recommend)(?<!not\s{1,3})(?<!strongly\s{1,3})" + _EN_VERB + _STATEMENT),
 )
 # A plain statement that holds one of these is left to the other strengths.
 NOT_PLAIN = {
@@ -48,7 +49,8 @@ PREGNANCY = (
 
 def split_guidelines(texts: DataFrame) -> DataFrame:
     """(guideline_id, section_index, heading, content): blocks between blank lines, the first line is the heading."""
-    blocks = texts.select("guideline_id", F.posexplode(F.split(strip(F.col("text")), "\n\n")).alias("section_index", "block"))
+    split = F.split(strip(F.col("text")), "\n\n")
+    blocks = explode_once(texts.select("guideline_id", "text"), split, "block", "section_index")
     lines = F.split(strip(F.col("block")), "\n")
     return blocks.select(
         "guideline_id",
@@ -96,7 +98,7 @@ def pregnancy_class(text: Column) -> Column:
 def recommendations(sections: DataFrame) -> DataFrame:
     """One row per recommendation of (guideline_id, section_index, heading, content)."""
     content = F.col("content")
-    return (
+    found = (
         sections.select(
             "guideline_id",
             "section_index",
@@ -108,7 +110,9 @@ def recommendations(sections: DataFrame) -> DataFrame:
             ).alias("contraindications"),
             pregnancy_class(content).alias("pregnancy"),
         )
-        .select("*", F.posexplode("statements").alias("position", "s"))
+    )
+    return (
+        explode_once(found, F.col("statements"), "s", "position")
         .select(
             "guideline_id",
             "section_index",
@@ -147,7 +151,7 @@ def keyword_recommendations(
         recs = recs.join(guideline_ids.select("guideline_id").distinct(), "guideline_id", "left_semi")
     text = F.lower("text")
     asked = {q: contains_any(text, question.lower().split()) for q, question in questions.items()}
-    return recs.withColumn("question_id", F.explode(labels_where(asked))).withColumn("confidence", F.lit(0.3))
+    return explode_once(recs, labels_where(asked), "question_id").withColumn("confidence", F.lit(0.3))
 
 
 def guideline_keyword_search(

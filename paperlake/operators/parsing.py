@@ -11,15 +11,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import ABSTRACT_STOPS, CAPTION_PREFIXES, KNOWN_SECTIONS
 from paperlake.functions.text import let, strip
 
 SUB_HEADING = r"(?s)^(\d+\.\d+(?:\.\d+)*)\s+(.+)\z"
-REFERENCE_ITEM = (
-    r"(?s)(?:^|\n)\s*(?:(?:\[(\d+)\]|\((\d+)\)|(\d+)\.)\s*)?(.+?)"
-    r"(?=\n\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s|\z)"
-)
-REFERENCE_HEAD = r"(?s)^\s*(?:(?:\[(\d+)\]|\((\d+)\)|(\d+)\.)\s*)?(.+)\z"
+REFERENCE_BREAK = r"\n(?=\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s)"
+REFERENCE_NUMBER = r"^\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s*"
 DOI_IN_TEXT = r"(?:doi|DOI)\s*[:.]?\s*(10\.\d{4,}/[^\s,;)]+)"
 QUOTED = "[\"“](.+?)[\"”]"
 BLANK_LINES = r"\n(?:[^\S\n]*\n)+"
@@ -114,10 +112,9 @@ def with_sections(docs: DataFrame, min_len: int = 20) -> DataFrame:
 
 def sections(docs: DataFrame, min_len: int = 20) -> DataFrame:
     """One row per section, in document order."""
-    return (
-        with_sections(docs.select("document_id", "text"), min_len)
-        .select("document_id", F.posexplode("sections").alias("section_index", "s"))
-        .select("document_id", "section_index", "s.heading", "s.content", "s.level")
+    found = sections_of(F.col("text"), min_len)
+    return explode_once(docs.select("document_id", "text"), found, "s", "section_index").select(
+        "document_id", "section_index", "s.heading", "s.content", "s.level"
     )
 
 
@@ -125,19 +122,19 @@ def sections(docs: DataFrame, min_len: int = 20) -> DataFrame:
 
 
 def references_of(text: Column, limit: int = 500) -> Column:
-    """Array of references: numbered items of the text, or the whole text when it holds none."""
-    items = F.regexp_extract_all(text, F.lit(REFERENCE_ITEM), F.lit(0))
-    items = F.when(F.size(items) > 0, items).otherwise(F.array(F.concat(F.lit("1. "), strip(text))))
+    """Array of references: the text cut before each numbered item, at most ``limit`` of them."""
+    items = F.filter(F.split(text, REFERENCE_BREAK), lambda item: strip(item) != "")
 
     def reference(item: Column) -> Column:
-        number = F.coalesce(
-            *[F.nullif(F.regexp_extract(item, REFERENCE_HEAD, g), F.lit("")) for g in (1, 2, 3)], F.lit("")
-        )
-        body = strip(F.regexp_extract(item, REFERENCE_HEAD, 4))
+        head = F.regexp_extract(item, REFERENCE_NUMBER, 0)
+        number = F.regexp_extract(head, r"\d+", 0)
+        return let(strip(F.substring(item, F.length(head) + 1, F.length(item))), lambda body: described(number, body))
+
+    def described(number: Column, body: Column) -> Column:
         return F.struct(
             number.alias("index"),
             body.alias("raw_text"),
-            F.rtrim(strip(F.regexp_extract(body, DOI_IN_TEXT, 1)), F.lit(".")).alias("doi"),
+            F.rtrim(F.regexp_extract(body, DOI_IN_TEXT, 1), F.lit(".")).alias("doi"),
             F.nullif(F.regexp_extract(body, r"(\d{4})", 1), F.lit("")).cast("int").alias("year"),
             F.trim(F.regexp_extract(body, QUOTED, 0), F.lit("“”\"")).alias("title"),
         )
@@ -147,9 +144,10 @@ def references_of(text: Column, limit: int = 500) -> Column:
 
 
 def references(docs: DataFrame, limit: int = 500) -> DataFrame:
-    return docs.select(
-        "document_id", F.posexplode(references_of(F.col("text"), limit)).alias("position", "r")
-    ).select("document_id", "position", "r.*")
+    found = references_of(F.col("text"), limit)
+    return explode_once(docs.select("document_id", "text"), found, "r", "position").select(
+        "document_id", "position", "r.*"
+    )
 
 
 # --- tables ------------------------------------------------------------------
@@ -189,12 +187,9 @@ def pipe_tables_of(text: Column, strict: bool = False) -> Column:
 
 
 def pipe_tables(pages: DataFrame, strict: bool = False) -> DataFrame:
+    page = pages.select("document_id", "page_number", "text")
     return (
-        pages.select(
-            "document_id",
-            "page_number",
-            F.posexplode(pipe_tables_of(F.col("text"), strict)).alias("table_index", "t"),
-        )
+        explode_once(page, pipe_tables_of(F.col("text"), strict), "t", "table_index")
         .select("document_id", "page_number", "table_index", "t.headers", "t.rows")
         .withColumn("markdown", table_markdown(F.col("headers"), F.col("rows")))
     )
@@ -231,11 +226,8 @@ def captions_of(text: Column, prefixes: Iterable[str] = CAPTION_PREFIXES, follow
 
 
 def captions(pages: DataFrame, prefixes: Iterable[str] = CAPTION_PREFIXES) -> DataFrame:
-    return pages.select(
-        "document_id",
-        "page_number",
-        F.posexplode(captions_of(F.col("text"), prefixes)).alias("caption_index", "caption"),
-    )
+    page = pages.select("document_id", "page_number", "text")
+    return explode_once(page, captions_of(F.col("text"), prefixes), "caption", "caption_index").drop("text")
 
 
 def figures(pages: DataFrame, prefixes: Iterable[str] = CAPTION_PREFIXES) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import (
     CLINICAL_TAGS, FALLBACK_TOPIC, STUDY_DESIGN_RULES, TOPIC_KEYWORDS, TOPIC_NAMES, TOPICS,
 )
@@ -38,7 +39,7 @@ def tag_by_dictionary(
     fold_keywords: bool = False,
 ) -> DataFrame:
     """One row per row of ``df`` and label found in its text."""
-    return df.withColumn(name, F.explode(dictionary_labels(text_of(*columns), labels, fold_keywords)))
+    return explode_once(df, dictionary_labels(text_of(*columns), labels, fold_keywords), name)
 
 
 def topics_of(
@@ -87,7 +88,7 @@ def enrich_items(items: DataFrame, rules=STUDY_DESIGN_RULES, terms=CLINICAL_TAGS
 
 def topic_members(items: DataFrame, topics_col: str = "topics") -> DataFrame:
     """One row per item and topic."""
-    return items.withColumn("topic", F.explode(topics_col))
+    return explode_once(items, F.col(topics_col), "topic")
 
 
 def first_titles(members: DataFrame, keys: Sequence[str], n: int, name: str = "titles") -> DataFrame:

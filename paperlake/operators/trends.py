@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import MONITORED_TOPICS, NOVELTY_KEYWORDS, NOVELTY_PATTERNS
 from paperlake.functions.text import labels_where, text_of
 
@@ -38,7 +39,7 @@ def _year_counts(tagged: DataFrame, year: int) -> DataFrame:
 def topic_trends(articles: DataFrame, year: int, topics: Mapping[str, str] = MONITORED_TOPICS) -> DataFrame:
     """Growth of each monitored topic from ``year - 1`` to ``year``, fastest first."""
     text = text_of("title", "abstract")
-    tagged = articles.select("year", F.explode(labels_where({t: text.contains(t) for t in topics})).alias("topic"))
+    tagged = explode_once(articles, labels_where({t: text.contains(t) for t in topics}), "topic").select("year", "topic")
     category = F.coalesce(*[F.when(F.col("topic") == t, F.lit(c)) for t, c in topics.items()])
     return (
         growth_labels(_year_counts(tagged, year))
@@ -78,7 +79,7 @@ def new_developments(
 ) -> DataFrame:
     """(category, rank, found): the first ``limit`` pattern matches per category, and the keywords that occur."""
     raw = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    by_pattern = items.select("seq", F.explode(_matches(raw, patterns)).alias("m"))
+    by_pattern = explode_once(items, _matches(raw, patterns), "m").select("seq", "m")
     window = Window.partitionBy("m.category").orderBy("seq", "m.pattern", "m.i")
     first = by_pattern.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
     matched = first.select("m.category", "rank", F.trim(F.col("m.found")).alias("found"))
@@ -87,7 +88,8 @@ def new_developments(
     fold = (lambda k: k.lower()) if fold_keywords else (lambda k: k)
     pairs = {f"{category}\t{k}": text.contains(fold(k)) for category, some in keywords.items() for k in some}
     named = (
-        items.select(F.explode(labels_where(pairs)).alias("pair"))
+        explode_once(items, labels_where(pairs), "pair")
+        .select("pair")
         .distinct()
         .select(F.split("pair", "\t")[0].alias("category"), F.split("pair", "\t")[1].alias("found"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null
 
 # Accepted MIME types per kind of download.
@@ -59,9 +60,9 @@ def fulltext_candidates(articles: DataFrame) -> DataFrame:
     # at most six per article, so duplicates are dropped inside the row
     urls = F.transform("_found", lambda c: c.url)
     distinct = F.filter("_found", lambda c, i: F.array_position(urls, c.url) == i + 1)
+    listed = articles.select("article_id", found.alias("_found"))
     return (
-        articles.select("article_id", found.alias("_found"))
-        .select("article_id", F.posexplode(distinct).alias("rank", "c"))
+        explode_once(listed, distinct, "c", "rank")
         .select("article_id", (F.col("rank") + 1).alias("rank"), "c.url", "c.mime_type", "c.resolver")
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.functions.text import (
     canonical_doi, checked, contains_any, identity_key, labels_where, text_of,
 )
@@ -42,7 +43,7 @@ def term_search(
     if must:
         found = found.where(contains_any(text, must))
     hits = labels_where({name: contains_any(text, split_terms(q)) for name, q in queries.items()})
-    matched = found.withColumn("query_id", F.explode(hits))
+    matched = explode_once(found, hits, "query_id")
     return ranked(matched, ["query_id", "source"], ["seq"], limit)
 
 
@@ -97,7 +98,7 @@ def lookup(articles: DataFrame, identifiers: Iterable[str]) -> DataFrame:
     if wanted["title"]:
         text = text_of("title")
         hits = labels_where({t: text.contains(t.lower()) for t in wanted["title"]})
-        found.append(articles.withColumn("identifier", F.explode(hits)))
+        found.append(explode_once(articles, hits, "identifier"))
     if not found:
         return articles.withColumn("identifier", F.lit(None).cast("string")).limit(0)
     union = found[0]
@@ -119,7 +120,7 @@ def institution_feed(
     """
     text = text_of("title", "abstract", "affiliation")
     hits = labels_where({name: text.contains(name.lower()) for name in checked(institutions)})
-    matched = articles.where(contains_any(text, terms)).withColumn("institution", F.explode(hits))
+    matched = explode_once(articles.where(contains_any(text, terms)), hits, "institution")
     first = ranked(matched, ["institution", "source"], ["seq"], limit).drop("rank")
     once = ranked(
         first.withColumn("_doi", F.coalesce("doi", F.lit(""))), ["institution", "_doi"], ["seq"], 1
