@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null, canonical_doi, identity_key, normalize_title
 from paperlake.session import cut_lineage
 
-# Titles up to this many distinct tokens are matched by deleting one token;
-# longer ones by the rarest tokens. See title_edges.
-SHORT_TITLE = 19
+# Titles up to this many distinct tokens meet on deletion keys; see _deletion_keys.
+SHORT_TITLE = 28
 
 
 def _identity_keys(articles: DataFrame, canonical: bool, titles: bool) -> DataFrame:
@@ -57,38 +57,44 @@ def _ratio_udf(threshold: float):
     return similar
 
 
-def title_candidates(titles: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of titles whose token sets may reach the Jaccard threshold; none that does is missed.
+def _deletion_keys(titles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, one less, two less): keys of the token sets of short titles, and of those sets less a token or two.
+
+    With threshold 0.9, two sets of at most 28 tokens each differ in at most
+    two tokens. Then one set is the other plus a token or two, or each has one
+    token of its own. So similar titles share a key, and titles that share
+    fewer tokens do not, however much of a template they have in common.
 
-    With threshold 0.9 two sets of at most 37 tokens together can differ by one
-    token only, and then one is the other plus a token. Such sets meet on the
-    key of the smaller set, so only true matches meet there. Longer sets must
-    share one of their rarest tokens.
+    A key is the xor of token hashes: taking a token out is one more xor.
     """
-    sized = titles.withColumn("n", F.size("tokens"))
-    slack = (1 - threshold) / (1 + threshold)
-
-    def set_key(tokens):
-        return F.xxhash64(F.array_join(F.array_sort(tokens), " "))
-
-    short = sized.where(F.col("n") <= SHORT_TITLE)
-    whole = short.select("id", "n", set_key(F.col("tokens")).alias("key"))
-    # (x - token) is only worth a key where one more token can stay within the threshold
-    one_less = (
-        short.where((F.col("n") - 1) / F.col("n") >= threshold - 1e-9)
-        .select("id", "tokens", F.explode("tokens").alias("token"))
-        .select("id", set_key(F.array_remove("tokens", F.col("token"))).alias("key"))
-    )
-    # same token set in another order: every such title to every other of the set
-    reordered = whole.alias("x").join(whole.alias("y"), "key").where("x.id < y.id").select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t))
+    short = (
+        titles.where(F.size("tokens") <= SHORT_TITLE)
+        .select("id", F.size("tokens").alias("n"), hashes.alias("hs"))
+        .withColumn("key", F.aggregate("hs", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)))
     )
-    extended = whole.join(one_less.withColumnRenamed("id", "longer"), "key").select(
-        F.least("id", "longer").alias("a"), F.greatest("id", "longer").alias("b")
+    n = F.col("n")
+    whole = short.select("id", "n", "key")
+    less_one = F.transform("hs", lambda h: F.col("key").bitwiseXOR(h))
+    one = explode_once(short.where((n - 1) / n >= threshold - 1e-9).withColumn("whole", F.col("key")), less_one, "key")
+    less_two = F.flatten(
+        F.transform(
+            "hs",
+            lambda h, i: F.transform(
+                F.slice("hs", i + 2, F.size("hs")), lambda g: F.col("key").bitwiseXOR(h).bitwiseXOR(g)
+            ),
+        )
     )
+    two = explode_once(short.where((n - 2) / n >= threshold - 1e-9), less_two, "key")
+    return whole, one.select("id", "n", "key"), two.select("id", "n", "key")
+
+
+def _rare_token_keys(titles: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, key): the rarest tokens of long titles; two similar titles share one of them.
 
-    long_from = SHORT_TITLE - 1
-    long = sized.where(F.col("n") >= long_from)
+    Titles a little shorter take part, for their longer partners.
+    """
+    long = titles.withColumn("n", F.size("tokens")).where(F.col("n") >= int(SHORT_TITLE * threshold))
     tokens = long.select("id", "n", F.explode("tokens").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = (
@@ -96,64 +102,117 @@ def title_candidates(titles: DataFrame, threshold: float) -> DataFrame:
         .groupBy("id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
     )
-    prefix = ordered.select(
-        "id",
-        "n",
-        F.explode(
-            F.slice("by_rarity", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-        ).alias("p"),
-    ).select("id", "n", "p.token")
-    by_rare = (
-        prefix.alias("x")
-        .join(prefix.alias("y"), "token")
-        .where((F.col("x.id") < F.col("y.id")))
-        .where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9)
-        # smaller pairs that differ by one token have met above
-        .where(
-            (F.greatest("x.n", "y.n") > SHORT_TITLE) | ((F.col("x.n") + F.col("y.n")) * slack >= 2 - 1e-9)
-        )
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    )
-    return reordered.unionByName(extended).unionByName(by_rare).distinct()
+    kept = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    return explode_once(ordered, F.slice("by_rarity", 1, kept), "p").select("id", "n", F.xxhash64("p.token").alias("key"))
 
 
-def jaccard_pairs(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(a, b, norm_a, norm_b, jaccard) of distinct normalised titles whose token sets reach the threshold.
+def _plus_tokens(whole: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Pairs of a title and one with a token or two more."""
+    longer = shorter.select(F.col("id").alias("other"), "key")
+    return whole.join(longer, "key").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
-    Equal titles collapse to one row first, named by their first record.
-    """
-    if not 0.9 <= threshold <= 1.0:
-        raise ValueError("threshold must lie between 0.9 and 1")
-    distinct = (
-        articles.select("seq", normalize_title(F.col("title")).alias("norm"))
-        .where("norm <> ''")
-        .groupBy("norm")
-        .agg(F.min("seq").alias("id"))
-        .withColumn("tokens", F.array_distinct(F.split("norm", " ")))
+
+def _groups(titles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of titles that differ by added tokens, (kind, key, id, n) memberships whose members may all be similar)."""
+    whole, one, two = _deletion_keys(titles, threshold)
+    pairs = _plus_tokens(whole, one).unionByName(_plus_tokens(whole, two))
+    swapped = one.where((F.col("n") - 1) / (F.col("n") + 1) >= threshold - 1e-9)  # one token each of their own
+    members = None
+    for kind, keys in (("same", whole), ("swap", swapped), ("rare", _rare_token_keys(titles, threshold))):
+        part = keys.select(F.lit(kind).alias("kind"), "key", "id", "n")
+        members = part if members is None else members.unionByName(part)
+    shared = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1")
+    return pairs, members.join(shared.drop("c"), ["kind", "key"])
+
+
+def _near_sizes(threshold: float):
+    """Members of a rare-token group that can be similar, and have not met on deletion keys."""
+    n, m = F.col("n"), F.col("m")
+    sizes = F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
+    return sizes & ((F.col("kind") != "rare") | (F.greatest(n, m) > SHORT_TITLE))
+
+
+def _group_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    other = right.select("kind", "key", F.col("id").alias("other"), F.col("n").alias("m"))
+    return (
+        left.join(other, ["kind", "key"])
+        .where(_near_sizes(threshold) & (F.col("id") != F.col("other")))
+        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .distinct()
     )
-    distinct = cut_lineage(distinct)
-    pairs = title_candidates(distinct, threshold)
-    left = distinct.select(F.col("id").alias("a"), F.col("norm").alias("norm_a"), F.col("tokens").alias("tokens_a"))
-    right = distinct.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"), F.col("tokens").alias("tokens_b"))
+
+
+def _with_jaccard(pairs: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    left = titles.select(F.col("id").alias("a"), F.col("norm").alias("norm_a"), F.col("tokens").alias("tokens_a"))
+    right = titles.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"), F.col("tokens").alias("tokens_b"))
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    jaccard = shared / (F.size("tokens_a") + F.size("tokens_b") - shared)
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .withColumn("jaccard", jaccard)
+        .withColumn("jaccard", shared / (F.size("tokens_a") + F.size("tokens_b") - shared))
         .where(F.col("jaccard") >= threshold)
         .drop("tokens_a", "tokens_b")
     )
 
 
+def distinct_titles(articles: DataFrame) -> DataFrame:
+    """(id, norm, tokens) of each distinct normalised title; ``id`` is its first record."""
+    distinct = (
+        articles.select("seq", normalize_title(F.col("title")).alias("norm"))
+        .where("norm <> ''")
+        .groupBy("norm")
+        .agg(F.min("seq").alias("id"))
+        .withColumn("tokens", F.array_distinct(F.split("norm", " ")))
+    )
+    return cut_lineage(distinct)
+
+
+def _check(threshold: float) -> None:
+    if not 0.9 <= threshold <= 1.0:
+        raise ValueError("threshold must lie between 0.9 and 1")
+
+
+def title_candidates(titles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of titles whose token sets may reach the Jaccard threshold; none that does is missed."""
+    pairs, members = _groups(titles, threshold)
+    return pairs.unionByName(_group_pairs(members, members, threshold)).distinct()
+
+
+def jaccard_pairs(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """All (a, b, norm_a, norm_b, jaccard) of distinct titles whose token sets reach the threshold, for review."""
+    _check(threshold)
+    titles = distinct_titles(articles)
+    return _with_jaccard(title_candidates(titles, threshold), titles, threshold)
+
+
 def title_edges(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Edges (src, dst, kind) between records whose titles are similar but not equal.
+    """Edges (src, dst, kind) that join records whose titles are similar but not equal.
+
+    In a group of titles that may all be similar, every title is compared with
+    the first one. Those that are similar to it are joined through it, so pairs
+    among them add nothing; only the others are compared with the whole group.
+    The joined records are the same as with all similar pairs.
 
     The sequence ratio takes the earlier title first, and runs on pairs that
     passed the Jaccard test only.
     """
-    similar = jaccard_pairs(articles, threshold).where(_ratio_udf(threshold)("norm_a", "norm_b"))
-    return similar.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("similar_title").alias("kind"))
+    _check(threshold)
+    titles = distinct_titles(articles)
+    similar = _ratio_udf(threshold)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        passed = _with_jaccard(pairs, titles, threshold).where(similar("norm_a", "norm_b"))
+        return passed.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    pairs, members = _groups(titles, threshold)
+    members = cut_lineage(members)
+    hubs = members.where("id = hub")
+    to_hub = cut_lineage(verified(_group_pairs(members, hubs, threshold)))
+    joined = to_hub.select(F.col("src").alias("hub"), F.col("dst").alias("id"))
+    rest = members.where("id <> hub").join(joined, ["hub", "id"], "left_anti")
+    among = verified(_group_pairs(rest, members.where("id <> hub"), threshold))
+    added = verified(pairs.distinct())
+    return to_hub.unionByName(among).unionByName(added).distinct().withColumn("kind", F.lit("similar_title"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
