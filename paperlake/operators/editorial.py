@@ -11,7 +11,7 @@ from paperlake.fixed_values import (
     BREAKING_WORDS, CONTRADICTION_PATTERNS, EMERGING_THEMES, HIGH_IMPACT_JOURNALS, NOVELTY_WORDS,
     OPPOSITE_DIRECTIONS, PRACTICE_WORDS, THEMES,
 )
-from paperlake.functions.text import contains_any, count_hits, text_of
+from paperlake.functions.text import contains_any, count_hits, let, text_of
 from paperlake.operators.tagging import first_titles, tag_by_dictionary, topic_members
 
 # --- top story ---------------------------------------------------------------
@@ -24,11 +24,13 @@ def with_story_score(
     journals: Iterable[str] = HIGH_IMPACT_JOURNALS,
 ) -> DataFrame:
     """Add ``story_score`` in 0..1: importance, novelty words, practice words and journal."""
-    text = text_of("title", "abstract")
+    words = let(
+        text_of("title", "abstract"),
+        lambda t: F.least(F.lit(0.2), count_hits(t, novelty) * 0.05) + F.least(F.lit(0.2), count_hits(t, practice) * 0.04),
+    )
     score = (
         F.coalesce("clinical_importance", F.lit(0.0)) * 0.4
-        + F.least(F.lit(0.2), count_hits(text, novelty) * 0.05)
-        + F.least(F.lit(0.2), count_hits(text, practice) * 0.04)
+        + words
         + F.when(contains_any(text_of("journal"), journals), 0.2).otherwise(0.0)
     )
     return papers.withColumn("story_score", F.least(F.lit(1.0), score))
@@ -145,8 +147,8 @@ def conflict_score(
 
 def _signed(papers: DataFrame, patterns, directions) -> DataFrame:
     text = text_of("title", "abstract")
-    signed = papers.withColumn("signature", conflict_signature(text, patterns, directions))
-    return topic_members(signed.drop("abstract"))
+    signature = let(text, lambda t: conflict_signature(t, patterns, directions))
+    return topic_members(papers.withColumn("signature", signature).drop("abstract"))
 
 
 def _signature_pairs(signed: DataFrame, patterns, directions, minimum: float) -> DataFrame:

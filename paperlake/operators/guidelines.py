@@ -149,9 +149,11 @@ def keyword_recommendations(
     """Recommendations that hold any word of a question, with the question's id; confidence 0.3."""
     if guideline_ids is not None:
         recs = recs.join(guideline_ids.select("guideline_id").distinct(), "guideline_id", "left_semi")
-    text = F.lower("text")
-    asked = {q: contains_any(text, question.lower().split()) for q, question in questions.items()}
-    return explode_once(recs, labels_where(asked), "question_id").withColumn("confidence", F.lit(0.3))
+    asked = let(
+        F.lower("text"),
+        lambda t: labels_where({q: contains_any(t, question.lower().split()) for q, question in questions.items()}),
+    )
+    return explode_once(recs, asked, "question_id").withColumn("confidence", F.lit(0.3))
 
 
 def guideline_keyword_search(

@@ -17,8 +17,9 @@ from paperlake.session import is_small
 
 # A query batch up to this size goes to every task; a larger one is joined in blocks of it.
 QUERY_BLOCK = 2048
-# Vectors per shard of the block join.
-SHARD_ROWS = 100_000
+# Vectors per shard of the block join, and vectors scored at once.
+SHARD_ROWS = 50_000
+SCORE_ROWS = 4096
 
 _HITS = "query_id long, chunk_id long, score double"
 
@@ -82,6 +83,10 @@ class _TopK:
         self.best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for start in range(0, len(ids), SCORE_ROWS):
+            self._add(ids[start : start + SCORE_ROWS], vectors[start : start + SCORE_ROWS])
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         scores = _scores(vectors, self.queries, self.metric)
         for q in range(len(self.query_ids)):
             column = scores[:, q]
@@ -110,15 +115,14 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=np.float64)
 
 
-def _search_small(queries: DataFrame, vectors: DataFrame, k: int, threshold: float, metric: str) -> DataFrame:
-    rows = queries.toPandas()  # at most QUERY_BLOCK rows, counted by the caller
+def _search_small(rows: pd.DataFrame, vectors: DataFrame, k: int, threshold: float, metric: str) -> DataFrame:
     query_ids = rows["query_id"].to_numpy(dtype=np.int64)
     matrix = _matrix(rows["embedding"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = _TopK(query_ids, matrix, k, threshold, metric)
         for batch in batches:
-            if len(batch):
+            if len(batch) and len(rows):
                 top.add(batch["chunk_id"].to_numpy(dtype=np.int64), _matrix(batch["embedding"]))
         yield top.frame()
 
@@ -177,8 +181,9 @@ def vector_search(
         vectors = vectors.where(where)
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     vectors = vectors.select(F.col("chunk_id").cast("long"), "embedding")
-    if is_small(queries, block):
-        hits = _search_small(queries, vectors, k, threshold, metric)
+    rows = queries.limit(block + 1).toPandas()  # never more than a block and one row
+    if len(rows) <= block:
+        hits = _search_small(rows, vectors, k, threshold, metric)
     else:
         hits = _search_blocks(queries, vectors, k, threshold, metric, block, shard_rows)
     return _ranked(hits, k).select("query_id", "rank", "chunk_id", "score")

@@ -11,7 +11,7 @@ from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import (
     CLINICAL_TAGS, FALLBACK_TOPIC, STUDY_DESIGN_RULES, TOPIC_KEYWORDS, TOPIC_NAMES, TOPICS,
 )
-from paperlake.functions.text import contains_any, labels_where, text_of
+from paperlake.functions.text import contains_any, labels_where, let, text_of
 
 
 def grouped_keywords(keywords: Mapping[str, str]) -> dict[str, list[str]]:
@@ -28,7 +28,9 @@ def dictionary_labels(text: Column, labels: Mapping[str, Iterable[str]], fold_ke
     A keyword with capitals never occurs in lower-cased text; ``fold_keywords`` lowers it first.
     """
     fold = (lambda k: k.lower()) if fold_keywords else (lambda k: k)
-    return labels_where({label: contains_any(text, map(fold, some)) for label, some in labels.items()})
+    return let(
+        text, lambda t: labels_where({label: contains_any(t, map(fold, some)) for label, some in labels.items()})
+    )
 
 
 def tag_by_dictionary(
@@ -78,11 +80,13 @@ def tags_of(text: Column, design: Column, terms: Iterable[str] = CLINICAL_TAGS)
 
 def enrich_items(items: DataFrame, rules=STUDY_DESIGN_RULES, terms=CLINICAL_TAGS, **dictionaries) -> DataFrame:
     """Add ``topics``, ``study_design`` and ``tags``."""
-    text = text_of("title", "abstract")
+    text = F.col("_text")
     return (
-        assign_topics(items, **dictionaries)
+        items.withColumn("_text", text_of("title", "abstract"))
+        .withColumn("topics", topics_of(text, **dictionaries))
         .withColumn("study_design", study_design(text, rules))
         .withColumn("tags", tags_of(text, F.col("study_design"), terms))
+        .drop("_text")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import MONITORED_TOPICS, NOVELTY_KEYWORDS, NOVELTY_PATTERNS
-from paperlake.functions.text import labels_where, text_of
+from paperlake.functions.text import labels_where, let, text_of
 
 
 def growth_labels(counts: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _year_counts(tagged: DataFrame, year: int) -> DataFrame:
 def topic_trends(articles: DataFrame, year: int, topics: Mapping[str, str] = MONITORED_TOPICS) -> DataFrame:
     """Growth of each monitored topic from ``year - 1`` to ``year``, fastest first."""
     text = text_of("title", "abstract")
-    tagged = explode_once(articles, labels_where({t: text.contains(t) for t in topics}), "topic").select("year", "topic")
+    tagged = explode_once(articles, let(text, lambda t: labels_where({name: t.contains(name) for name in topics})), "topic").select("year", "topic")
     category = F.coalesce(*[F.when(F.col("topic") == t, F.lit(c)) for t, c in topics.items()])
     return (
         growth_labels(_year_counts(tagged, year))
@@ -86,9 +86,10 @@ def new_developments(
 
     text = text_of("title", "abstract")
     fold = (lambda k: k.lower()) if fold_keywords else (lambda k: k)
-    pairs = {f"{category}\t{k}": text.contains(fold(k)) for category, some in keywords.items() for k in some}
+    names = [(category, k) for category, some in keywords.items() for k in some]
+    pairs = let(text, lambda t: labels_where({f"{c}\t{k}": t.contains(fold(k)) for c, k in names}))
     named = (
-        explode_once(items, labels_where(pairs), "pair")
+        explode_once(items, pairs, "pair")
         .select("pair")
         .distinct()
         .select(F.split("pair", "\t")[0].alias("category"), F.split("pair", "\t")[1].alias("found"))

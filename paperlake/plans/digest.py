@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperlake.fixed_values import PERIOD_DAYS, TOPIC_QUERIES
 from paperlake.operators.ranking import importance, trending
 from paperlake.operators.tagging import enrich_items, topic_groups
+from paperlake.session import cut_lineage
 from paperlake.sources.search import topic_search
 
 
@@ -37,5 +38,7 @@ def digest(
     source = in_period(articles, period, as_of) if apply_period else articles
     found = topic_search(source, queries, limit)
     order = F.struct("query_id", "source", "rank")
-    items = importance(enrich_items(found.withColumn("article_seq", F.col("seq")).withColumn("seq", order), **dictionaries), as_of)
+    numbered = found.withColumn("article_seq", F.col("seq")).withColumn("seq", order)
+    # at most ``limit`` rows per query and source, read by three tables
+    items = cut_lineage(importance(enrich_items(numbered, **dictionaries), as_of))
     return {"items": items, "topics": topic_groups(items), "trending": trending(items)}

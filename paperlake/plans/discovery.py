@@ -14,6 +14,7 @@ from paperlake.operators.authors import author_rank
 from paperlake.operators.expansion import citation_expansion, reference_expansion
 from paperlake.operators.quality import quality_filter
 from paperlake.operators.trends import new_developments, topic_trends
+from paperlake.session import cut_lineage
 from paperlake.sources.search import institution_feed, journal_feed, term_search, topic_search
 
 STRATEGIES = (
@@ -70,7 +71,8 @@ def discover(
         "journal_tracking": by_journal.withColumn("order", F.col("journal")),
         "trend_detection": by_topic.withColumn("order", F.col("query_id")),
     }
-    items = quality_filter(union_strategies(found), **patterns)
+    # a few rows per query, journal, seed or institution, read by several tables below
+    items = cut_lineage(quality_filter(union_strategies(found), **patterns))
     return {
         "items": items,
         "authors": author_rank(items),

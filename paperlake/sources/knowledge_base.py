@@ -98,12 +98,20 @@ class KnowledgeBase:
             f"{self.path}/{DELETES}/version={version}"
         )
 
+    @staticmethod
+    def _latest(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The latest row per key. The oldest version, the bulk after ``compact``, only loses keys that came again."""
+        oldest = found.agg(F.min("version")).first()[0]
+        later = found.where(F.col("version") > oldest)
+        base = found.where(F.col("version") == oldest).join(later.select(*keys).distinct(), list(keys), "left_anti")
+        return base.unionByName(last_per_key(later, keys, ["version"]))
+
     def table(self, name: str) -> DataFrame:
         """The current rows of a table."""
         found = self._read(name)
         if found is None:
             raise ValueError(f"no {name} at {self.path}")
-        current = last_per_key(found, KEYS[name], ["version"])
+        current = self._latest(found, KEYS[name])
         deletes = self._deletes()
         kinds = [("document", "document_id")] + ([] if name == "documents" else [("chunk", "chunk_id")])
         for kind, column in kinds:

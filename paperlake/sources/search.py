@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
 from paperlake.functions.text import (
-    canonical_doi, checked, contains_any, identity_key, labels_where, text_of,
+    canonical_doi, checked, contains_any, identity_key, labels_where, let, text_of,
 )
 
 MAX_LIMIT = 100
@@ -42,7 +42,7 @@ def term_search(
     must = checked(must)
     if must:
         found = found.where(contains_any(text, must))
-    hits = labels_where({name: contains_any(text, split_terms(q)) for name, q in queries.items()})
+    hits = let(text, lambda t: labels_where({name: contains_any(t, split_terms(q)) for name, q in queries.items()}))
     matched = explode_once(found, hits, "query_id")
     return ranked(matched, ["query_id", "source"], ["seq"], limit)
 
