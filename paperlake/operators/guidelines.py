@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
-from paperlake.functions.text import blank_to_null, checked, contains_any, labels_where, let, strip
+from paperlake.functions.text import blank_to_null, contains_any, labels_where, let, strip
 
 _RU_VERB = r"рекоменду(?:ем|ется|ют)\s+"
 _EN_VERB = r"recommend(?:s|ed)?\s+"

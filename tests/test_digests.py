@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from paperlake.fixed_values import CONTRADICTION_PATTERNS, OPPOSITE_DIRECTIONS, PERIOD_DAYS
 from paperlake.operators.authors import author_rank, coauthor_edges, collaborators, emerging_authors
