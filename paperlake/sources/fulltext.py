@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null
+from paperlake.session import cut_lineage
 
 # Accepted MIME types per kind of download.
 MIME_TYPES = {
@@ -96,7 +97,8 @@ def audit_contents(files: DataFrame, kind: str = "pdf", expected: DataFrame | No
         problem = F.when(F.col("is_html"), F.lit("html_page")).otherwise(
             F.coalesce(problem, F.when(~F.col("has_magic"), F.lit("magic_bytes")))
         )
-    checked = measured.withColumn("problem", problem)
+    # contents are read and hashed once; only these narrow rows are kept for the count of copies
+    checked = cut_lineage(measured.withColumn("problem", problem))
     copies = checked.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"))
     out = checked.join(copies, "sha256").select(
         "path",

@@ -81,11 +81,14 @@ class KnowledgeBase:
                 highest = max(highest, found.agg(F.max("version")).first()[0] or 0)
         return highest
 
-    def upsert(self, version: int, **tables: DataFrame) -> None:
-        """Write ``documents=``, ``chunks=`` and ``embeddings=`` rows as one version; the same version overwrites."""
+    def upsert(self, version: int, unique: bool = False, **tables: DataFrame) -> None:
+        """Write ``documents=``, ``chunks=`` and ``embeddings=`` rows as one version; the same version overwrites.
+
+        ``unique=True`` promises that no key comes twice, which saves the shuffle that makes sure.
+        """
         for name, frame in tables.items():
-            last = frame.dropDuplicates(KEYS[name])
-            last.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
+            rows = frame if unique else frame.dropDuplicates(KEYS[name])
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
 
     def delete_documents(self, version: int, ids: DataFrame) -> None:
         self._delete(version, ids.select(F.lit("document").alias("kind"), F.col("document_id").alias("id")))

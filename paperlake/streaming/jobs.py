@@ -29,8 +29,11 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        indexed = index_documents(batch, strategy, **options)
-        kb.upsert(first_version + batch_id, **indexed)
+        batch.persist()  # read by three tables
+        try:
+            kb.upsert(first_version + batch_id, **index_documents(batch, strategy, **options))
+        finally:
+            batch.unpersist()
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
