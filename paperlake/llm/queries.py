@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from paperlake.llm.quality_rules import judge_quality, quality_sql
 from paperlake.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from paperlake.llm.sentencepiece_model import decode, encode
 from paperlake.llm.token_counts import count_tokens
+from paperlake.llm.url_filter import Rule, judge_urls, rules_sql
 
 MODEL = "piece_bpe_32k.model"
 
@@ -31,3 +33,23 @@ def op2_sentencepiece(spark, sf_dir):
 def op8_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, model_path(), limit=4096)
+
+
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+
+
+@query("op10_url_filter", rules_sql(URL_RULES))
+def op10_url_filter(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query("op7_quality_rules", quality_sql())
+def op7_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs).drop("text", "cleaned")
