@@ -15,8 +15,10 @@ at most n log n in its words.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from paperlake.functions.text import let
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|»›•·"
 WORD = r"[^\x20\x09-\x0D]+"
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "use cookies", "cookie policy",
@@ -48,25 +51,36 @@ class LineRules:
     phrases: tuple[str, ...] = BOILERPLATE
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def _solid(text: Column) -> Column:
     return F.length(F.translate(text, SPACES, ""))
 
 
-def _line_fails(line: Column, rules: LineRules) -> Column:
-    chars = _solid(line)
-    punctuation = (
-        (_count(line, SYMBOLS) > chars * rules.symbols)
-        | (_count(line, "!") > chars * rules.exclamations)
-        | ((chars >= rules.capitals_from) & (F.regexp_count(line, F.lit(r"\p{Lu}")) > chars * rules.capitals))
+def _has_any(text: Column, needles: Iterable[str]) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(n)) for n in needles), F.lit(False))
+
+
+def _suspicious(text: Column, n_symbols: Column, rules: LineRules) -> Column:
+    """False only where no line of the text can fail by itself: a cheap test that saves judging each line."""
+    return (
+        (n_symbols > 0)
+        | _has_any(text, "!" + SEPARATORS[1:])
+        | text.rlike(r"\p{Lu}{2}")
+        | _has_any(F.lower(text), rules.phrases)
     )
-    navigation = _count(line, "|»›•·") > chars * rules.separators
-    phrases = "|".join(re.escape(p) for p in rules.phrases)
-    boilerplate = F.lower(line).rlike(phrases) if rules.phrases else F.lit(False)
-    return punctuation | navigation | boilerplate
+
+
+def _line_fails(line: Column, rules: LineRules) -> Column:
+    def judge(chars: Column) -> Column:
+        capitals = F.when(line.rlike(r"\p{Lu}{2}"), F.regexp_count(line, F.lit(r"\p{Lu}"))).otherwise(0)
+        punctuation = (
+            (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) > chars * rules.symbols)
+            | (F.regexp_count(line, F.lit("!")) > chars * rules.exclamations)
+            | ((chars >= rules.capitals_from) & (capitals > chars * rules.capitals))
+        )
+        navigation = F.regexp_count(line, F.lit(f"[{SEPARATORS}]")) > chars * rules.separators
+        return punctuation | navigation | _has_any(F.lower(line), rules.phrases)
+
+    return let(_solid(line), judge)
 
 
 def repeated_words(words: Column) -> Column:
@@ -100,56 +114,65 @@ def judge_quality(df: DataFrame, text_col: str = "text", rules: LineRules = Line
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r")))
-    lines = F.split(text, "\n", -1)
-    judged = F.transform(
-        lines,
-        lambda line, i: F.struct(
-            line.alias("line"),
-            _solid(line).alias("chars"),
-            _line_fails(line, rules).alias("fails"),
-            # short lines may repeat: only they are told apart by their place
-            F.when(_solid(line) >= rules.repeated_from, -1).otherwise(i).alias("place"),
+    counts = let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n"),
+            F.length(F.array_join(w, "")).cast("long").alias("chars"),
+            repeated_words(w).cast("long").alias("repeated"),
         ),
     )
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", cleaned_col)
+    kept = [c for c in df.columns if c not in added or c == text_col]
+    symbols = F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long")
+    counted = df.select(*kept, counts.alias("_words"), symbols.alias("n_symbols"))
+
+    def judged(suspicious: Column) -> Column:
+        return F.transform(
+            F.split(text, "\n", -1),
+            lambda line, i: F.struct(
+                line.alias("line"),
+                F.when(suspicious, _line_fails(line, rules)).otherwise(False).alias("fails"),
+                # short lines may repeat: only they are told apart by their place
+                F.when(F.length(line) >= rules.repeated_from, -1).otherwise(i).alias("place"),
+            ),
+        )
 
     def summary(judged: Column) -> Column:
-        solid = F.transform(F.filter(judged, lambda x: x["chars"] > 0), lambda x: x["line"])
+        solid = F.filter(F.transform(judged, lambda x: x["line"]), lambda line: line.rlike(WORD))
         left = F.array_distinct(
-            F.transform(F.filter(judged, lambda x: ~x["fails"]), lambda x: F.struct(x["place"], x["line"], x["chars"]))
+            F.transform(F.filter(judged, lambda x: ~x["fails"]), lambda x: F.struct(x["place"], x["line"]))
         )
 
-        def totals(left: Column) -> Column:
+        def result(left: Column) -> Column:
+            text_left = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
             return F.struct(
-                (F.size(solid) - F.size(F.array_distinct(solid))).cast("long").alias("dup"),
-                F.aggregate(left, F.lit(0), lambda n, x: n + x["chars"]).alias("chars"),
-                F.when(F.size(left) < F.size(judged), F.array_join(F.transform(left, lambda x: x["line"]), "\n")).alias("text"),
+                let(solid, lambda s: (F.size(s) - F.size(F.array_distinct(s))).cast("long")).alias("dup"),
+                F.when(F.size(left) < F.size(judged), text_left).alias("text"),
             )
 
-        return let(left, totals)
+        return let(left, result)
 
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", cleaned_col)
-    kept = [c for c in df.columns if c not in added or c == text_col]
-    counted = df.select(*kept, counts.alias("_words"), let(judged, summary).alias("_lines"))
-    measured = counted.select(
+    by_line = let(_suspicious(text, F.col("n_symbols"), rules), lambda s: let(judged(s), summary))
+    measured = counted.withColumn("_lines", by_line).select(
         *kept,
         F.col("_words.n").alias("n_words"),
-        _solid(text).cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.col("_words.chars").alias("word_chars"),
+        "n_symbols",
         F.col("_lines.dup").alias("n_dup_lines"),
-        F.col("_words.r").alias("n_repeat_words"),
+        F.col("_words.repeated").alias("n_repeat_words"),
         F.when(F.col(text_col).isNotNull(), F.coalesce("_lines.text", text_col)).alias(cleaned_col),
-        F.col("_lines.chars").alias("_left"),
+        F.col("_lines.text").isNotNull().alias("_changed"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    enough = F.col("_left") >= F.col("word_chars") * rules.keep_share
+    enough = ~F.col("_changed") | (_solid(F.col(cleaned_col)) >= F.col("word_chars") * rules.keep_share)
     judged_rows = measured.withColumn("base_failed", failed).withColumn("kept", ~failed & enough)
     return judged_rows.select(*kept, *added)
 
 
 def quality_sql(rules: LineRules = LineRules()) -> str:
     """The contract's columns as SQL over ``documents``, for comparison."""
-    quoted = "|".join(re.escape(p).replace("\\ ", " ") for p in rules.phrases)
+    quoted = "|".join(rules.phrases)
     solid = lambda x: f"length(translate({x}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), ''))"
     count = lambda x, c: f"(length({x}) - length(translate({x}, '{c}', '')))"
     return rf"""
@@ -169,12 +192,12 @@ def quality_sql(rules: LineRules = LineRules()) -> str:
         judged AS (
             SELECT doc_id, line, i, chars,
                    {count('line', SYMBOLS)} > chars * {rules.symbols} OR {count('line', '!')} > chars * {rules.exclamations}
-                   OR (chars >= {rules.capitals_from} AND length(regexp_replace(line, '\P{{Lu}}', '', 'g')) > chars * {rules.capitals})
-                   OR {count('line', '|»›•·')} > chars * {rules.separators}
+                   OR (chars >= {rules.capitals_from} AND regexp_matches(line, '\p{{Lu}}{{2}}') AND length(regexp_replace(line, '\P{{Lu}}', '', 'g')) > chars * {rules.capitals})
+                   OR {count('line', SEPARATORS)} > chars * {rules.separators}
                    OR regexp_matches(lower(line), '{quoted}') AS fails
             FROM sized),
         survivors AS (
-            SELECT DISTINCT doc_id, CASE WHEN chars >= {rules.repeated_from} THEN -1 ELSE i END AS place, line, chars
+            SELECT DISTINCT doc_id, CASE WHEN length(line) >= {rules.repeated_from} THEN -1 ELSE i END AS place, line, chars
             FROM judged WHERE NOT fails),
         remains AS (SELECT doc_id, sum(chars) AS n FROM survivors GROUP BY doc_id),
         based AS (

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
+BATCH_IDS = 1 << 18
+BATCH_SEGMENTS = 1 << 14
 # Fixed values of the public sentencepiece_model.proto: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -187,7 +189,7 @@ class Encoder:
 
     SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
-    def __init__(self, data: bytes, cached: int = 300_000, verify: bool = False):
+    def __init__(self, data: bytes, cached: int = 150_000, verify: bool = False):
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(data)
         self.cached, self.cache, self.wrong = cached, {}, set()
@@ -205,11 +207,13 @@ class Encoder:
         if len(self.cache) + len(segments) > self.cached:
             self.cache.clear()
             self.wrong.clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        self.cache.update((s, array("i", ids).tobytes()) for s, ids in zip(segments, found))
-        if self.plain is not None:
-            expected = self.plain.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
-            self.wrong.update(s for s, a, b in zip(segments, found, expected) if a != b)
+        for first in range(0, len(segments), BATCH_SEGMENTS):
+            some = segments[first : first + BATCH_SEGMENTS]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.cache.update((s, array("i", ids).tobytes()) for s, ids in zip(some, found))
+            if self.plain is not None:
+                expected = self.plain.encode([s.replace(MARK, " ") for s in some], num_threads=1)
+                self.wrong.update(s for s, a, b in zip(some, found, expected) if a != b)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """(ids of each text as packed 32-bit integers, whether the sentencepiece library agreed)."""
@@ -255,19 +259,6 @@ def parity(path: str, texts: list[str]) -> list[bool]:
     return [a == b and c == theirs.decode(b) for a, b, c in zip(ids, expected, back)]
 
 
-def _groups(texts: list, limit: int = BATCH_CHARS) -> Iterator[list]:
-    """Consecutive texts of about ``limit`` characters together, at least one."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > limit:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def encode(
     df: DataFrame,
     model_path: str,
@@ -293,7 +284,7 @@ def encode(
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         encoder = _encoder(SparkFiles.get(name), bool(parity_col))
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, pc.binary_length(batch.column(text_col)), BATCH_CHARS):
                 texts = part.column(text_col)
                 packed, agreed = encoder.encode(pc.fill_null(texts, "").to_pylist())
                 sizes = np.array([len(p) // 4 for p in packed], dtype=np.int32)
@@ -320,21 +311,20 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     def run(batches):
         tokenizer = _loaded(SparkFiles.get(name))
         for batch in batches:
-            ids = batch.column(ids_col).to_pylist()
-            texts = []
-            for group in _groups([i or [] for i in ids]):
-                texts += tokenizer.decode_batch(group, skip_special_tokens=False)
-            column = pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in kept), column], [*(f.name for f in kept), text_col]
-            )
+            for part in slices(batch, pc.list_value_length(batch.column(ids_col)), BATCH_IDS):
+                ids = part.column(ids_col).to_pylist()
+                texts = tokenizer.decode_batch([i or [] for i in ids], skip_special_tokens=False)
+                column = pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in kept), column], [*(f.name for f in kept), text_col]
+                )
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_col: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``limit`` bytes of text, so memory does not depend on rows per batch."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose sizes add up to about ``limit``, so memory does not depend on rows per batch."""
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
     row, total = 0, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     while row < batch.num_rows:
         end = max(int(np.searchsorted(total, total[row] + limit, side="right")) - 1, row + 1)

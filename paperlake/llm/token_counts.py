@@ -21,13 +21,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake.llm.sentencepiece_model import MARK, parse_model, plain_processor, shipped, splits_at_marks
 from paperlake.llm.textbytes import chunks, span_hashes
 
 TABLE_BITS = 17  # 131,072 slots, filled by half at most: the broadcast is about 1.2 MB
-SAMPLE_ROWS = 4_000  # texts that fill the table; they decide its speed, never a count
+SAMPLE_ROWS = 1_000  # texts that fill the table; they decide its speed, never a count
+SAMPLE_CHARS = 100_000
 CACHED = 400_000  # pre-tokens a worker remembers
 
 
@@ -93,33 +95,27 @@ def _prefixed(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, marked)
 
 
-def _frequent(df: DataFrame, name: str, text_col: str, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The table, filled from at most ``rows`` texts; each task sends its commonest pre-tokens only."""
-    most = 1 << (bits - 2)
-
-    def run(batches):
-        counts: dict[int, int] = {}
-        lengths: dict[int, int] = {}
-        processor = _processor(SparkFiles.get(name))
-        for batch in batches:
-            for _, _, data, offsets in chunks(_prefixed(batch.column(0))):
-                starts, ends = pretokens(data, offsets)
-                hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
-                new = [k for k, h in enumerate(hashes.tolist()) if h not in lengths]
-                at = first[new]
-                lengths.update(zip(hashes[new].tolist(), _lengths(processor, data, starts[at], ends[at])))
-                for h, c in zip(hashes.tolist(), n.tolist()):
-                    counts[h] = counts.get(h, 0) + c
-        top = sorted((h for h in counts if lengths[h] < 256), key=lambda h: (-counts[h], h))[:most]
-        yield pa.RecordBatch.from_pydict(
-            {"h": pa.array(np.array(top, dtype=np.uint64).view(np.int64)), "n": [counts[h] for h in top],
-             "length": [lengths[h] for h in top]},
-            schema=pa.schema([("h", pa.int64()), ("n", pa.int64()), ("length", pa.int64())]),
-        )
-
-    sample = df.select(text_col).limit(rows).coalesce(1)
-    top = sample.mapInArrow(run, "h long, n long, length long").toArrow()
-    return fill_table(top["h"].to_numpy().view(np.uint64), top["length"].to_numpy(), bits)
+def _frequent(df: DataFrame, path: str, text_col: str, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table, filled with the commonest pre-tokens of at most ``rows`` texts.
+
+    The texts are those that Spark meets first, which costs one task; texts of
+    over ``SAMPLE_CHARS`` characters are left out of the sample, not of the counts.
+    """
+    processor = _processor(path)
+    sample = df.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(rows).toArrow()
+    counts: dict[int, int] = {}
+    lengths: dict[int, int] = {}
+    for part in sample.column(0).chunks:
+        for _, _, data, offsets in chunks(_prefixed(part)):
+            starts, ends = pretokens(data, offsets)
+            hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+            new = [k for k, h in enumerate(hashes.tolist()) if h not in lengths]
+            at = first[new]
+            lengths.update(zip(hashes[new].tolist(), _lengths(processor, data, starts[at], ends[at])))
+            for h, c in zip(hashes.tolist(), n.tolist()):
+                counts[h] = counts.get(h, 0) + c
+    top = sorted((h for h in counts if lengths[h] < 256), key=lambda h: (-counts[h], h))[: 1 << (bits - 1)]
+    return fill_table(np.array(top, dtype=np.uint64), np.array([lengths[h] for h in top], dtype=np.int64), bits)
 
 
 def count_tokens(
@@ -136,7 +132,7 @@ def count_tokens(
     if not splits_at_marks(model) or model.charsmap or model.remove_extra_whitespaces or not model.add_dummy_prefix:
         raise ValueError("counts of pre-tokens do not add up under this model")
     name = shipped(df, model_path)
-    table = df.sparkSession.sparkContext.broadcast(_frequent(df, name, text_col, sample_rows, table_bits))
+    table = df.sparkSession.sparkContext.broadcast(_frequent(df, model_path, text_col, sample_rows, table_bits))
     added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
     kept = [f for f in df.schema.fields if f.name not in added and f.name != text_col]
     out = T.StructType([*kept, *(T.StructField(k, v) for k, v in added.items())])
