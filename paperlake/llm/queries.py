@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from paperlake.llm.ngram_join import near_duplicates
 from paperlake.llm.quality_rules import judge_quality, quality_sql
 from paperlake.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from paperlake.llm.sentencepiece_model import decode, encode
@@ -53,3 +54,8 @@ def op10_url_filter(spark, sf_dir):
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs).drop("text", "cleaned")
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
