@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from paperlake.llm.language_id import held_out, predict, train
 from paperlake.llm.ngram_join import near_duplicates
 from paperlake.llm.quality_rules import judge_quality, quality_sql
 from paperlake.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from paperlake.llm.sentencepiece_model import decode, encode
 from paperlake.llm.token_counts import count_tokens
 from paperlake.llm.url_filter import Rule, judge_urls, rules_sql
+from paperlake.llm.vp_search import nearest
 
 MODEL = "piece_bpe_32k.model"
 
@@ -59,3 +61,31 @@ def op7_quality_rules(spark, sf_dir):
 @query("op3_ngram_join")
 def op3_ngram_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    model = train(docs.where(~apart))
+    found = predict(docs.select("doc_id", "text", apart.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
+OP6_SQL = """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               sqrt(list_reduce(list_transform(range(1, len(c.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])),
+                                lambda a, b: a + b)) AS score
+        FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op6_vp_search", OP6_SQL)
+def op6_vp_search(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, relax=1.0)
