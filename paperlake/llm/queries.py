@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.language_id import held_out, predict, train
 from paperlake.llm.ngram_join import near_duplicates
+from paperlake.llm.pseudonyms import pseudonymise
 from paperlake.llm.quality_rules import judge_quality, quality_sql
 from paperlake.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from paperlake.llm.sentencepiece_model import decode, encode
@@ -89,3 +90,12 @@ OP6_SQL = """
 @query("op6_vp_search", OP6_SQL)
 def op6_vp_search(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, relax=1.0)
+
+
+PSEUDONYM_KEY = b"a key of the caller; this one is for trials"
+
+
+@query("op5_pseudonyms")
+def op5_pseudonyms(spark, sf_dir):
+    """doc_id, the text with pseudonyms, n_pii and pii_kinds."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
