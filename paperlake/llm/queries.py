@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from paperlake.llm.language_id import held_out, predict, train
+from paperlake.llm.mixing import mix_sources, mixing_sql
 from paperlake.llm.ngram_join import near_duplicates
 from paperlake.llm.pseudonyms import pseudonymise
 from paperlake.llm.quality_rules import judge_quality, quality_sql
@@ -99,3 +100,11 @@ PSEUDONYM_KEY = b"a key of the caller; this one is for trials"
 def op5_pseudonyms(spark, sf_dir):
     """doc_id, the text with pseudonyms, n_pii and pii_kinds."""
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@query("op4_mixing", mixing_sql())
+def op4_mixing(spark, sf_dir):
+    """doc_id, topic, n_tokens, weight, probability (both to six places) and sampled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = mix_sources(docs).withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+    return found.select("doc_id", "topic", "n_tokens", "weight", "probability", "sampled")
