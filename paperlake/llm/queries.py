@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from paperlake.llm.html_extraction import extract_text
 from paperlake.llm.language_id import held_out, predict, train
 from paperlake.llm.mixing import mix_sources, mixing_sql
 from paperlake.llm.ngram_join import near_duplicates
@@ -108,3 +109,8 @@ def op4_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = mix_sources(docs).withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
     return found.select("doc_id", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

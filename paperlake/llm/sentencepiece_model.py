@@ -242,6 +242,58 @@ def _encoder(path: str, verify: bool) -> Encoder:
         return Encoder(file.read(), verify=verify)
 
 
+class Decoder:
+    """Decodes many lists of ids at once from the bytes that each piece stands for.
+
+    Where byte pieces do not join to valid UTF-8, or a list holds an unknown or
+    control piece, the tokenizers library decodes the lists of that step.
+    """
+
+    def __init__(self, data: bytes):
+        model = parse_model(data)
+        self.tokenizer = build_tokenizer(data)
+        parts = []
+        for piece, kind in zip(model.pieces, model.kinds):
+            if kind == BYTE:
+                parts.append(bytes([int(piece[3:-1], 16)]))
+            else:
+                parts.append(piece.replace(MARK, " ").encode())
+        self.plain = np.array([k in (NORMAL, USER_DEFINED, BYTE) for k in model.kinds])
+        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.pool = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.strip = model.add_dummy_prefix
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """One text for each slice of ``ids``; offsets start at 0."""
+        if len(ids) and ids.min() >= 0 and ids.max() < len(self.sizes) and self.plain[ids].all():
+            sizes, first = self.sizes[ids], self.first[ids]
+            if self.strip:
+                heads = offsets[:-1][np.diff(offsets) > 0]
+                spaced = heads[(self.pool[first[heads]] == 32) & (sizes[heads] > 0)]
+                first[spaced] += 1
+                sizes[spaced] -= 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            body = self.pool[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+            cuts = ends[offsets]
+            try:
+                body.decode()
+                joined = True
+            except UnicodeDecodeError:
+                joined = False
+            starts = np.frombuffer(body, dtype=np.uint8)[cuts[:-1][cuts[:-1] < len(body)]]
+            if joined and not ((starts & 0xC0) == 0x80).any():
+                return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(body))
+        lists = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        return pa.array(self.tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())
+
+
+@lru_cache(maxsize=1)
+def _decoder(path: str) -> Decoder:
+    with open(path, "rb") as file:
+        return Decoder(file.read())
+
+
 def shipped(df: DataFrame, path: str) -> str:
     """Send a model file to all executors; returns the name it has there."""
     df.sparkSession.sparkContext.addFile(path)
@@ -309,12 +361,15 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     schema = T.StructType([*kept, T.StructField(text_col, T.StringType())])
 
     def run(batches):
-        tokenizer = _loaded(SparkFiles.get(name))
+        decoder = _decoder(SparkFiles.get(name))
         for batch in batches:
             for part in slices(batch, pc.list_value_length(batch.column(ids_col)), BATCH_IDS):
-                ids = part.column(ids_col).to_pylist()
-                texts = tokenizer.decode_batch([i or [] for i in ids], skip_special_tokens=False)
-                column = pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())
+                ids = part.column(ids_col)
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                column = decoder.decode(ids.flatten().to_numpy(zero_copy_only=False), offsets)
+                if ids.null_count:
+                    column = pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), column)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), column], [*(f.name for f in kept), text_col]
                 )
