@@ -15,7 +15,8 @@ are entries of A·Aᵀ. The product is taken in blocks of columns:
    below the bound of their sizes are discarded.
 4. Rows of a long column that are still in different components meet, all of
    them outside the column's largest component against the rest, under the same
-   bounds. So every pair that could link is either counted, bounded out, or
+   bounds and one more: entries that stand in no long column cannot be shared by
+   rows that have not met before. So every pair that could link is either counted, bounded out, or
    already in one component: components are exact.
 
 The order of columns decides speed alone, so the sketch may be coarse. Columns
@@ -141,7 +142,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, digest binary, chunk int, counts binary")
 
 
-def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int) -> DataFrame:
+def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, most: int) -> DataFrame:
     """The first entries of each row, packed by block of columns; a task sends equal sets once."""
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
@@ -169,7 +170,7 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int) ->
                     seen.add(digest)
                     count = counts[_cells(found)]
                     first = np.argsort(count, kind="stable")[: prefix_length(n, percent)]
-                    spread = (count[first] // BLOCK + 1).astype(np.uint64)
+                    spread = (count[first] // most + 1).astype(np.uint64)
                     k = len(first)
                     held.append((found[first], np.full(k, id_), np.full(k, n), np.arange(k), spread))
                     size += k
@@ -235,10 +236,12 @@ def _block_product(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole rows overlap enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("entries").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("entries").alias("right"))
+    left = _sets_of(docs, pairs.select(F.col("a").alias("id")), width)
+    right = _sets_of(docs, pairs.select(F.col("b").alias("id")), width)
+    left = left.select(F.col("id").alias("a"), F.col("entries").alias("left"))
+    right = right.select(F.col("id").alias("b"), F.col("entries").alias("right"))
 
     def run(batches):
         for batch in batches:
@@ -283,20 +286,32 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return found.dropDuplicates(["id"])
 
 
-def _positions_allow(percent: int) -> Column:
+def _capped(long: DataFrame, percent: int) -> DataFrame:
+    """``long`` with ``cap``, the most entries that a row can share with one it has met in long columns only.
+
+    These are its first entries that stand in long columns, and all entries beyond the first ones.
+    """
+    met = long.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    least = F.floor((percent * F.col("n") + 99) / 100)
+    return long.join(met, "id").withColumn("cap", least - 1 + F.col("met")).where(F.col("cap") >= least).drop("met")
+
+
+def _bounds_allow(percent: int) -> Column:
     a, i, b, j = (F.col(c) for c in ("n", "place", "m", "other_place"))
     need = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
     sizes = 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    return sizes & (F.least(i, j) + F.least(a - i, b - j) >= need)
+    caps = F.least("cap", "other_cap") >= need
+    return sizes & caps & (F.least(i, j) + F.least(a - i, b - j) >= need)
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK
 ) -> DataFrame:
     """(id, n_shingles, component_id) of each row of ``df``.
 
     The component is the smallest id reachable by links, a link being a Jaccard
     similarity of ``percent`` / 100 or more between sets of ``width``-word n-grams.
+    ``block`` is the number of entries that a task multiplies at once.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -304,14 +319,14 @@ def near_duplicates(
     rows = scanned.where("chunk IS NULL").select("id", "n", "digest")
     sketch = spark.sparkContext.broadcast(_gathered(scanned.where("chunk IS NOT NULL").select("chunk", "counts")))
     entries = rows.agg(F.sum(F.lit(1) + F.col("n") * (100 - percent) / 100)).first()[0] or 0
-    blocks = max(spark.sparkContext.defaultParallelism, int(entries / BLOCK) + 1)
+    blocks = max(spark.sparkContext.defaultParallelism, int(entries / block) + 1)
 
     full = rows.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("digest", "n").agg(F.min("id").alias("class"))
     member = full.join(classes, ["digest", "n"]).select("id", "class").distinct()
 
     shared = (
-        _entries(docs, sketch, blocks, width, percent)
+        _entries(docs, sketch, blocks, width, percent, block)
         .groupBy("block")
         .applyInArrow(_block_product(percent), "token long, a long, b long, n long, place long")
     )
@@ -323,14 +338,12 @@ def near_duplicates(
     )
     pairs = cut_lineage(pairs.distinct())
     long = shared.where("b IS NULL").join(of("a"), "a")
-    long = cut_lineage(long.select("token", F.col("a_class").alias("id"), "n", "place").distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("id"))
-    sets = cut_lineage(_sets_of(docs, ids, width))
-    links = cut_lineage(_linked(pairs, sets, percent))
+    long = cut_lineage(_capped(long.select("token", F.col("a_class").alias("id"), "n", "place").distinct(), percent))
 
+    links = cut_lineage(_linked(pairs, docs, width, percent))
     part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     late = cut_lineage(_late_pairs(long, part, percent).join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(_linked(late, sets, percent))
+    links = links.union(_linked(late, docs, width, percent))
     part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     part = part.select(F.col("node").alias("class"), "component")
 
@@ -355,13 +368,13 @@ def _late_pairs(long: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     open_ = placed.join(largest, "token")
     other = open_.select(
         "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"),
-        F.col("component").alias("other_component"),
+        F.col("cap").alias("other_cap"), F.col("component").alias("other_component"),
     )
     once = (F.col("other_component") == F.col("largest")) | (F.col("id") < F.col("other"))
     return (
         open_.where("component <> largest")
         .join(other, "token")
-        .where((F.col("component") != F.col("other_component")) & once & _positions_allow(percent))
+        .where((F.col("component") != F.col("other_component")) & once & _bounds_allow(percent))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()
     )
