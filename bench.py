@@ -15,7 +15,7 @@ from workloads.registry import QUERIES
 
 HEADLINE = (
     "chunk_fixed", "chunk_sentences", "document_stats", "sections", "extraction_stats", "embedded_chunks",
-    "vector_search", "vector_search_all_pairs", "rag_context", "similar_documents", "identity_edges", "similar_titles",
+    "vector_search", "nearest_in_partitions", "rag_context", "similar_documents", "identity_edges", "similar_titles",
     "works", "merged_works", "pubmed_articles", "openalex_articles", "term_search", "enriched_items", "topic_groups",
     "importance", "trending", "author_rank", "coauthor_edges", "topic_trends", "citation_expansion",
     "discovered_items", "quality_filter", "controversial_papers", "editorial_digest", "themes", "recommendations",

@@ -14,10 +14,6 @@ SPACE_CHARS = (
 )
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
-# A dictionary becomes literals in the plan, so its size is checked.
-MAX_DICTIONARY = 10_000
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` computed once per row.
 
@@ -68,33 +64,25 @@ def derive_id(doi: Column, pmid: Column, pmcid: Column, title: Column) -> Column
     )
 
 
-def checked(items: Iterable) -> list:
-    items = list(items)
-    if len(items) > MAX_DICTIONARY:
-        raise ValueError(f"a dictionary holds at most {MAX_DICTIONARY} entries")
-    return items
+def _literals(items: Iterable[str]) -> Column:
+    """One literal array: the plan stays flat however many entries there are."""
+    return F.array(*[F.lit(i) for i in items]).cast("array<string>")
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for needle in checked(needles):
-        hit = hit | text.contains(needle)
-    return hit
+    """Whether any of the needles occurs; null for a null text, as ``contains`` is."""
+    return let(text, lambda t: F.exists(_literals(needles), lambda n: F.contains(t, n)))
 
 
 def matches_any(text: Column, patterns: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for pattern in checked(patterns):
-        hit = hit | text.rlike(pattern)
-    return hit
+    """Whether any of the patterns matches, tested as one alternation."""
+    joined = "|".join(f"(?:{p})" for p in patterns)
+    return text.rlike(joined) if joined else F.lit(False)
 
 
 def count_hits(text: Column, needles: Iterable[str]) -> Column:
     """How many of the needles occur, each counted once."""
-    total = F.lit(0)
-    for needle in checked(needles):
-        total = total + text.contains(needle).cast("int")
-    return total
+    return let(text, lambda t: F.size(F.filter(_literals(needles), lambda n: F.contains(t, n))))
 
 
 def labels_where(conditions: Mapping[str, Column]) -> Column:

@@ -215,6 +215,7 @@ def controversies(
     patterns: Sequence[tuple[str, float]] = CONTRADICTION_PATTERNS,
     directions: Sequence[tuple[Iterable[str], Iterable[str]]] = OPPOSITE_DIRECTIONS,
     minimum: float = 0.5,
+    title_chars: int | None = None,
 ) -> DataFrame:
     """One row per conflicting pair (topic, a before b, score), for digests a reader goes through.
 
@@ -223,8 +224,9 @@ def controversies(
     ``controversial_papers``, which hold the same findings in linear size.
     """
     lead = F.coalesce(F.get("authors", F.lit(0)), F.lit("Authors"))
+    title = F.col("title") if title_chars is None else F.substring("title", 1, title_chars)
     described = papers.select(
-        "seq", "title", "abstract", "topics", lead.alias("author"), F.substring("title", 1, 80).alias("short_title")
+        "seq", "title", "abstract", "topics", lead.alias("author"), title.alias("short_title")
     )
     signed = _signed(described, patterns, directions)
     pairs = _signature_pairs(signed, patterns, directions, minimum).select(
@@ -309,6 +311,14 @@ def editorial_digest(papers: DataFrame, practice_from: float = 0.6) -> DataFrame
     )
 
 
+def week_of(papers: DataFrame, first_day, days: int = 7) -> DataFrame:
+    """The papers dated within ``days`` from ``first_day``, in the order of their daily digests; read in one scan."""
+    first = F.lit(first_day).cast("date")
+    day = F.date_diff("publication_date", first)
+    inside = papers.where(day.between(0, days - 1))
+    return inside.withColumn("seq", F.struct(day.alias("day"), F.col("seq").alias("seq")))
+
+
 def weekly(dailies: Sequence[DataFrame]) -> DataFrame:
     """The papers of several daily digests, in digest order."""
     if not dailies:

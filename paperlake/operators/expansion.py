@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.fixed_values import LANDMARK_DOIS
-from paperlake.functions.text import canonical_doi, checked
+from paperlake.functions.text import canonical_doi
 from paperlake.sources.search import ranked
 
 
 def citation_expansion(
-    works: DataFrame, edges: DataFrame, seeds: Iterable[str] = LANDMARK_DOIS, limit: int = 5
+    works: DataFrame, edges: DataFrame, seeds: Iterable[str] = LANDMARK_DOIS, limit: int | None = None
 ) -> DataFrame:
-    """The first ``limit`` works citing each seed DOI.
+    """The works citing each seed DOI; with a ``limit`` the first of each, with their rank.
 
     ``works`` holds (seq, work_id, doi, ...), ``edges`` (citing_id, cited_id).
     The seeds are few, so only edges of the seeds are shuffled.
     """
     spark = works.sparkSession
-    wanted = spark.createDataFrame([(s,) for s in checked(seeds)], "seed_doi string").withColumn(
+    wanted = spark.createDataFrame([(s,) for s in seeds], "seed_doi string").withColumn(
         "_doi", canonical_doi(F.col("seed_doi"))
     )
     seeded = works.withColumn("_doi", canonical_doi(F.col("doi"))).join(F.broadcast(wanted), "_doi").select(
@@ -33,9 +33,9 @@ def citation_expansion(
 
 
 def reference_expansion(
-    works: DataFrame, edges: DataFrame, top: DataFrame, per_paper: int = 10
+    works: DataFrame, edges: DataFrame, top: DataFrame, per_paper: int | None = None
 ) -> DataFrame:
-    """The first ``per_paper`` references of each paper in ``top`` that has a DOI.
+    """The references of each paper in ``top`` that has a DOI; the first ``per_paper`` of each if given.
 
     ``edges`` holds (citing_id, cited_id, position). ``top`` is a short ranked
     list; a reference without a record is skipped after the cut.

@@ -7,46 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.fixed_values import CONTRAINDICATION, EVIDENCE_EN, EVIDENCE_RU, NOT_PLAIN, PREGNANCY, STATEMENT_HINTS, STRENGTHS
 from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null, contains_any, labels_where, let, strip
 
-_RU_VERB = r"рекоменду(?:ем|ется|ют)\s+"
-_EN_VERB = r"recommend(?:s|ed)?\s+"
-_STATEMENT = r"([^.!?]+[.!?])"
-
-# (strength, language, pattern); a statement keeps the first strength that takes it.
-STRENGTHS = (
-    ("not_recommended", "ru", r"(?=не\s)(?<!\p{L})не\s+" + _RU_VERB + _STATEMENT),
-    ("strong", "ru", r"(?=настоятельно)(?<!\p{L})настоятельно\s+" + _RU_VERB + _STATEMENT),
-    (
-        "conditional",
-        "ru",
-        r"(?=рекоменду)(?<!(?<!\p{L})не\s{1,3})(?<!(?<!\p{L})настоятельно\s{1,3})" + _RU_VERB + _STATEMENT,
-    ),
-    (
-        "not_recommended",
-        "en",
-        r"(?:do\s+not|should\s+not|not\s+recommended)\s+(?:" + _EN_VERB + ")?" + _STATEMENT,
-    ),
-    ("strong", "en", r"strongly\s+" + _EN_VERB + _STATEMENT),
-    ("conditional", "en", r"(?=recommend)(?<!not\s{1,3})(?<!strongly\s{1,3})" + _EN_VERB + _STATEMENT),
-)
-# A plain statement that holds one of these is left to the other strengths.
-NOT_PLAIN = {
-    "ru": ("настоятельно", "strongly", "не рекоменду", "not recommend"),
-    "en": ("strongly", "do not", "should not", "not recommend"),
-}
-
-EVIDENCE_RU = r"(?iu)(?:уровень\s+)?доказательств(?:а|о)?\s*(?:-\s*)?([ABCD])"
-EVIDENCE_EN = r"(?iu)(?:evidence\s+)?level\s+([ABCD])\b"
-CONTRAINDICATION = r"(?iu)(?:противопоказан(?:о|а|ы)?|не\s+следует\s+применять)\s+([^.!?]+)"
-PREGNANCY = (
-    ("contraindicated", r"(?iu)(?:противопоказан|не\s+рекомендуется)\s+(?:при\s+)?беременност"),
-    ("caution", r"(?iu)(?:с\s+)?осторожностью\s+(?:при\s+)?беременност"),
-    ("safe", r"(?iu)(?:может\s+)?применяться\s+(?:при\s+)?беременност"),
-)
-
-
 def split_guidelines(texts: DataFrame) -> DataFrame:
     """(guideline_id, section_index, heading, content): blocks between blank lines, the first line is the heading."""
     split = F.split(strip(F.col("text")), "\n\n")
@@ -73,7 +37,10 @@ def _statements(text: Column) -> Column:
             lambda t: F.struct(F.lit(strength).alias("strength"), F.lit(lang).alias("lang"), t.alias("text")),
         )
 
-    found = [matches(*rule) for rule in STRENGTHS]
+    # texts without any of these words hold no statement, whatever the pattern
+    hint = contains_any(F.lower(text), STATEMENT_HINTS)
+    none = F.array().cast("array<struct<strength:string,lang:string,text:string>>")
+    found = [F.when(hint, matches(*rule)).otherwise(none) for rule in STRENGTHS]
 
     def once(every: Column) -> Column:
         return let(

@@ -121,8 +121,8 @@ def sections(docs: DataFrame, min_len: int = 20) -> DataFrame:
 # --- references --------------------------------------------------------------
 
 
-def references_of(text: Column, limit: int = 500) -> Column:
-    """Array of references: the text cut before each numbered item, at most ``limit`` of them."""
+def references_of(text: Column, limit: int | None = None) -> Column:
+    """Array of references: the text cut before each numbered item; the first ``limit`` of them if given."""
     items = F.filter(F.split(text, REFERENCE_BREAK), lambda item: strip(item) != "")
 
     def reference(item: Column) -> Column:
@@ -140,10 +140,10 @@ def references_of(text: Column, limit: int = 500) -> Column:
         )
 
     found = F.filter(F.transform(items, reference), lambda r: r.raw_text != "")
-    return F.slice(found, 1, limit)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
-def references(docs: DataFrame, limit: int = 500) -> DataFrame:
+def references(docs: DataFrame, limit: int | None = None) -> DataFrame:
     found = references_of(F.col("text"), limit)
     return explode_once(docs.select("document_id", "text"), found, "r", "position").select(
         "document_id", "position", "r.*"
@@ -264,8 +264,12 @@ def ocr_flags(pages: DataFrame, threshold: int = 50) -> DataFrame:
 # --- metadata, Markdown ------------------------------------------------------
 
 
-def _abstract(filled: Column) -> Column:
-    """Of non-blank stripped lines: those after "abstract..." up to the introduction, at most 1500 characters."""
+def _first_chars(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def _abstract(filled: Column, limit: int | None) -> Column:
+    """Of non-blank stripped lines: those after "abstract..." up to the introduction."""
     opens = F.transform(filled, lambda line: F.lower(line).startswith("abstract"))
 
     def body(first: Column) -> Column:
@@ -284,19 +288,19 @@ def _abstract(filled: Column) -> Column:
         )
 
     joined = let(F.array_position(opens, F.lit(True)).cast("int"), body)
-    return strip(F.substring(F.concat(F.lit(" "), joined), 1, 1500))
+    return strip(_first_chars(F.concat(F.lit(" "), joined), limit))
 
 
-def with_metadata(docs: DataFrame) -> DataFrame:
-    """Add ``title`` (first line) and ``abstract`` (lines after one that starts with "abstract")."""
+def with_metadata(docs: DataFrame, title_chars: int | None = None, abstract_chars: int | None = None) -> DataFrame:
+    """Add ``title`` (first line) and ``abstract`` (lines after one that starts with "abstract"), whole unless cut."""
     filled = F.filter(
         F.transform(lines_of(strip(F.col("text"))), lambda line: strip(line)), lambda line: line != ""
     )
     found = let(
         filled,
         lambda lines: F.struct(
-            F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 200).alias("title"),
-            _abstract(lines).alias("abstract"),
+            _first_chars(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), title_chars).alias("title"),
+            _abstract(lines, abstract_chars).alias("abstract"),
         ),
     )
     return (

@@ -6,20 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import words
-from paperlake.functions.vectors import cosine, l2norm
-from paperlake.session import is_small
 
-# A query batch up to this size goes to every task; a larger one is joined in blocks of it.
-QUERY_BLOCK = 2048
-# Vectors per shard of the block join, and vectors scored at once.
+# Vectors per shard, queries and vectors scored at once, and centroids sent to every task.
 SHARD_ROWS = 50_000
+QUERY_ROWS = 1024
 SCORE_ROWS = 4096
+MAX_CENTROIDS = 4096
 
 _HITS = "query_id long, chunk_id long, score double"
 
@@ -115,41 +113,51 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=np.float64)
 
 
-def _search_small(rows: pd.DataFrame, vectors: DataFrame, k: int, threshold: float, metric: str) -> DataFrame:
-    query_ids = rows["query_id"].to_numpy(dtype=np.int64)
-    matrix = _matrix(rows["embedding"])
+def _search_shards(vectors: DataFrame, queries: DataFrame, shards: int, k: int, threshold: float, metric: str) -> DataFrame:
+    """The best ``k`` of every shard for every query sent to it.
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = _TopK(query_ids, matrix, k, threshold, metric)
-        for batch in batches:
-            if len(batch) and len(rows):
-                top.add(batch["chunk_id"].to_numpy(dtype=np.int64), _matrix(batch["embedding"]))
-        yield top.frame()
-
-    return vectors.mapInPandas(search, _HITS)
-
-
-def _search_blocks(
-    queries: DataFrame, vectors: DataFrame, k: int, threshold: float, metric: str, block: int, shard_rows: int
-) -> DataFrame:
-    """Every query block meets every vector shard once; both are of bounded size."""
-    n_blocks = -(-queries.count() // block) * 2  # hashing fills blocks unevenly, so aim at half
-    n_shards = max(1, -(-vectors.count() // shard_rows))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
-    )
-    right = vectors.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    ``vectors`` holds (shard, id, embedding) and is moved once; ``queries`` holds the
+    same, with a row for each shard to search. A shard's vectors come first and
+    stay in memory, being few; its queries then stream past them.
+    """
+    rows = vectors.select("shard", F.lit(0).alias("kind"), "id", "embedding").unionByName(
+        queries.select("shard", F.lit(1).alias("kind"), "id", "embedding")
     )
+    together = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
 
-    def search(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(vs):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        top = _TopK(qs["query_id"].to_numpy(dtype=np.int64), _matrix(qs["embedding"]), k, threshold, metric)
-        top.add(vs["chunk_id"].to_numpy(dtype=np.int64), _matrix(vs["embedding"]))
-        return top.frame()
-
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, _HITS)
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = None
+        for batch in batches:
+            starts = np.flatnonzero(np.diff(batch["shard"].to_numpy() * 2 + batch["kind"].to_numpy(), prepend=-1))
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                part = batch.iloc[start:end]
+                shard, kind = part["shard"].iloc[0], part["kind"].iloc[0]
+                if shard != at:
+                    at, held = shard, []
+                ids, matrix = part["id"].to_numpy(dtype=np.int64), _matrix(part["embedding"])
+                if kind == 0:
+                    held.append((ids, matrix))
+                    continue
+                for first in range(0, len(ids), QUERY_ROWS):
+                    top = _TopK(ids[first : first + QUERY_ROWS], matrix[first : first + QUERY_ROWS], k, threshold, metric)
+                    for some, vectors_ in held:
+                        top.add(some, vectors_)
+                    yield top.frame()
+
+    return together.mapInPandas(search, _HITS)
+
+
+def _shards_of(vectors: DataFrame, key: Column, groups: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors with ``shard``, (key, shard) of every shard, number of shards): each key has as many as its size asks for."""
+    sized = groups.withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    first = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("first", F.coalesce(F.sum("parts").over(first), F.lit(0)).cast("int"))  # a row per centroid
+    total = sized.agg(F.sum("parts")).first()[0] or 1
+    keyed = vectors.withColumn("key", key).join(F.broadcast(sized), "key")
+    dealt = keyed.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = sized.select("key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"))
+    return dealt.select("shard", "id", "embedding"), every, total
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -164,7 +172,6 @@ def vector_search(
     threshold: float = 0.0,
     metric: str = "cosine",
     where=None,
-    block: int = QUERY_BLOCK,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """The exact best ``k`` vectors per query as (query_id, rank, chunk_id, score).
@@ -172,58 +179,85 @@ def vector_search(
     ``queries`` holds (query_id long, embedding), ``vectors`` (chunk_id long,
     embedding, ...). ``where`` filters the vectors before they are ranked
     (documents, sections, any metadata column). Cosine scores below 0 count as
-    0; ``l2`` and ``sql2`` distances d score 1 / (1 + d). A task keeps only its
-    own best k per query, so the shuffle carries no vectors.
+    0; ``l2`` and ``sql2`` distances d score 1 / (1 + d). Vectors are dealt once to
+    shards of about ``shard_rows``; queries go to every shard. A shard keeps only
+    its own best k per query, so what is ranked at the end is ids and scores.
     """
+    vectors, queries = _inputs(queries, vectors, metric, where)
+    shards = max(1, -(-vectors.count() // shard_rows))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    hits = _search_shards(dealt, asked, shards, k, threshold, metric)
+    return _ranked(hits, k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _inputs(queries: DataFrame, vectors: DataFrame, metric: str, where) -> tuple[DataFrame, DataFrame]:
     if metric not in ("cosine", "l2", "sql2"):
         raise ValueError(f"unknown metric: {metric}")
     if where is not None:
         vectors = vectors.where(where)
-    queries = queries.select(F.col("query_id").cast("long"), "embedding")
-    vectors = vectors.select(F.col("chunk_id").cast("long"), "embedding")
-    rows = queries.limit(block + 1).toPandas()  # never more than a block and one row
-    if len(rows) <= block:
-        hits = _search_small(rows, vectors, k, threshold, metric)
-    else:
-        hits = _search_blocks(queries, vectors, k, threshold, metric, block, shard_rows)
-    return _ranked(hits, k).select("query_id", "rank", "chunk_id", "score")
+    return (
+        vectors.select(F.col("chunk_id").cast("long").alias("id"), "embedding"),
+        queries.select(F.col("query_id").cast("long").alias("id"), "embedding"),
+    )
 
 
 # --- approximate search ------------------------------------------------------
 
 
+def choose_centroids(vectors: DataFrame, n: int = 64) -> DataFrame:
+    """(centroid_id, embedding): ``n`` of the vectors, chosen by a hash of their id."""
+    chosen = vectors.select(F.col("chunk_id").cast("long").alias("centroid_id"), "embedding")
+    return chosen.orderBy(F.xxhash64("centroid_id"), "centroid_id").limit(n)
+
+
 def vector_search_approx(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 10,
     threshold: float = 0.0,
-    tables: int = 8,
-    bucket_length: float = 0.5,
-    seed: int = 7,
+    n_probe: int = 8,
+    centroids: DataFrame | None = None,
+    metric: str = "cosine",
+    where=None,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """Like ``vector_search`` by cosine, over the vectors that share a random-projection bucket with the query.
+    """Like ``vector_search``, over the partitions of the ``n_probe`` centroids nearest to the query.
 
-    Candidates are scored exactly, so a returned score is right; a neighbour that shares no bucket is missed.
+    Every vector belongs to its nearest centroid (by the same metric, ties to the
+    smaller id). ``centroids`` (centroid_id long, embedding) holds at most
+    ``MAX_CENTROIDS`` rows; without it ``choose_centroids`` picks some. Partitions of
+    more than ``shard_rows`` are split. Returned scores are exact; a neighbour in a
+    partition that is not probed is missed.
     """
-    unit = lambda df: df.withColumn("unit", array_to_vector(l2norm(F.col("embedding"))))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    model = lsh.fit(unit(vectors.limit(1)))
-
-    def buckets(df: DataFrame, keep: str) -> DataFrame:
-        hashed = model.transform(unit(df.select(keep, "embedding")))
-        return hashed.select(
-            keep, "embedding", F.posexplode("hashes").alias("table", "h")
-        ).withColumn("bucket", vector_to_array("h")[0].cast("long")).drop("h")
-
-    asked = buckets(queries, "query_id").withColumnRenamed("embedding", "query_embedding")
-    if is_small(queries, QUERY_BLOCK):
-        asked = F.broadcast(asked)
-    near = buckets(vectors, "chunk_id").join(asked, ["table", "bucket"])
-    scored = near.withColumn("score", F.greatest(cosine(F.col("query_embedding"), F.col("embedding")), F.lit(0.0)))
-    once = scored.where(F.col("score") >= threshold).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return _ranked(once, k).select("query_id", "rank", "chunk_id", "score")
+    rows, asked = _inputs(queries, vectors, metric, where)
+    if centroids is None:
+        centroids = choose_centroids(vectors)
+    table = centroids.select(F.col("centroid_id").cast("long").alias("id"), "embedding").orderBy("id").limit(MAX_CENTROIDS + 1)
+    table = table.toPandas()  # bounded by the limit
+    if len(table) > MAX_CENTROIDS:
+        raise ValueError(f"at most {MAX_CENTROIDS} centroids")
+    ids, matrix = table["id"].to_numpy(dtype=np.int64), _matrix(table["embedding"])
+
+    def probes(n: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(ids):
+                    scores = _scores(matrix, _matrix(batch["embedding"]), metric).T
+                    order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                    yield batch.assign(keys=ids[order].tolist())
+
+        return run
+
+    schema = "id long, embedding array<double>, keys array<long>"
+    as_double = F.col("embedding").cast("array<double>").alias("embedding")
+    placed = rows.select("id", as_double).mapInPandas(probes(1), schema).withColumn("key", F.col("keys")[0])
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    dealt, every, shards = _shards_of(placed.select("id", "embedding", "key"), F.col("key"), sizes, shard_rows)
+    wanted = asked.select("id", as_double).mapInPandas(probes(n_probe), schema)
+    wanted = wanted.select("id", "embedding", F.explode("keys").alias("key")).join(F.broadcast(every), "key")
+    hits = _search_shards(dealt, wanted, shards, k, threshold, metric)
+    return _ranked(hits, k).select("query_id", "rank", "chunk_id", "score")
 
 
 # --- hits to contexts --------------------------------------------------------
@@ -263,15 +297,13 @@ def rag_context(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def _first_chunks(chunks: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` non-empty chunks of each document."""
+def _first_chunks(chunks: DataFrame, n: int | None) -> DataFrame:
+    """The non-empty chunks of each document; the first ``n`` of them if given."""
+    filled = chunks.where(F.coalesce("text", F.lit("")) != "")
+    if n is None:
+        return filled
     window = Window.partitionBy("document_id").orderBy("chunk_index")
-    return (
-        chunks.where(F.coalesce("text", F.lit("")) != "")
-        .withColumn("_n", F.row_number().over(window))
-        .where(F.col("_n") <= n)
-        .drop("_n")
-    )
+    return filled.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n).drop("_n")
 
 
 def _joined_text(chunks: DataFrame, separator: str, name: str) -> DataFrame:
@@ -284,16 +316,21 @@ def summary_context(chunks: DataFrame) -> DataFrame:
     return _joined_text(chunks, "\n\n", "context")
 
 
-def similar_context(chunks: DataFrame, similar_chunks: DataFrame) -> DataFrame:
-    """Text of the first 5 chunks, with the first 500 characters of each similar chunk.
+def similar_context(
+    chunks: DataFrame, similar_chunks: DataFrame, n_chunks: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """Text of a document's chunks, with each similar chunk.
 
-    ``similar_chunks`` holds (document_id, rank, text) with at most k rows per document.
+    ``similar_chunks`` holds (document_id, rank, text) with at most k rows per
+    document. ``n_chunks`` keeps the first chunks of the document, ``chars`` the
+    first characters of each similar chunk.
     """
-    source = _joined_text(_first_chunks(chunks, 5), "\n", "source_text")
+    source = _joined_text(_first_chunks(chunks, n_chunks), "\n", "source_text")
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
     near = similar_chunks.groupBy("document_id").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 500).alias("text")))),
+                F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))),
                 lambda t: F.concat(F.lit("- "), t.text),
             ),
             "\n",
@@ -302,11 +339,13 @@ def similar_context(chunks: DataFrame, similar_chunks: DataFrame) -> DataFrame:
     return source.join(near, "document_id", "left").withColumn("related", F.coalesce("related", F.lit("")))
 
 
-def document_queries(chunks: DataFrame, ids: DataFrame, n: int = 3) -> DataFrame:
-    """A query vector per document of ``ids``: the mean of its first ``n`` chunk vectors."""
+def document_queries(chunks: DataFrame, ids: DataFrame, n: int | None = None) -> DataFrame:
+    """A query vector per document of ``ids``: the mean of its chunk vectors, of the first ``n`` if given."""
     wanted = chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi")
-    window = Window.partitionBy("document_id").orderBy("chunk_index")
-    first = wanted.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n)
+    first = wanted
+    if n is not None:
+        window = Window.partitionBy("document_id").orderBy("chunk_index")
+        first = wanted.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n)
     means = (
         first.select("document_id", F.posexplode("embedding").alias("i", "x"))
         .groupBy("document_id", "i")
@@ -317,12 +356,16 @@ def document_queries(chunks: DataFrame, ids: DataFrame, n: int = 3) -> DataFrame
     return means.select(F.col("document_id").cast("long").alias("query_id"), "embedding")
 
 
-def similar_documents(chunks: DataFrame, ids: DataFrame, k: int = 10, include_self: bool = True) -> DataFrame:
+def similar_documents(
+    chunks: DataFrame, ids: DataFrame, k: int = 10, include_self: bool = True, n: int | None = None
+) -> DataFrame:
     """Distinct documents among the ``k`` nearest chunks of each given document, best score first.
 
+    ``n`` takes the first chunks of a document only for its query vector.
+
     ``chunks`` holds (chunk_id long, document_id, chunk_index, embedding).
     """
-    hits = vector_search(document_queries(chunks, ids), chunks, k)
+    hits = vector_search(document_queries(chunks, ids, n), chunks, k)
     found = enrich_hits(hits, chunks)
     if not include_self:
         found = found.where(F.col("query_id") != F.col("document_id"))

@@ -53,7 +53,7 @@ def label_trends(tagged: DataFrame, year: int) -> DataFrame:
     return growth_labels(_year_counts(tagged, year)).orderBy(F.desc("growth_rate"), "topic")
 
 
-def _matches(text: Column, patterns: Mapping[str, Iterable[str]]) -> Column:
+def _matches(text: Column, patterns: Mapping[str, Iterable[str]], chars: int | None) -> Column:
     """Every match of every pattern in one array, so the texts are read once."""
 
     def matches(category: str, number: int, pattern: str) -> Column:
@@ -63,7 +63,7 @@ def _matches(text: Column, patterns: Mapping[str, Iterable[str]]) -> Column:
                 F.lit(category).alias("category"),
                 F.lit(number).alias("pattern"),
                 i.alias("i"),
-                F.substring(m, 1, 100).alias("found"),
+                (m if chars is None else F.substring(m, 1, chars)).alias("found"),
             ),
         )
 
@@ -74,14 +74,21 @@ def new_developments(
     items: DataFrame,
     patterns: Mapping[str, Iterable[str]] = NOVELTY_PATTERNS,
     keywords: Mapping[str, Iterable[str]] = NOVELTY_KEYWORDS,
-    limit: int = 10,
+    limit: int | None = None,
     fold_keywords: bool = False,
+    keyword_limit: int | None = None,
+    chars: int | None = None,
 ) -> DataFrame:
-    """(category, rank, found): the first ``limit`` pattern matches per category, and the keywords that occur."""
+    """(category, rank, found): the pattern matches per category, and the keywords that occur.
+
+    ``limit`` keeps the first matches of a category, ``keyword_limit`` the first
+    keywords by name, ``chars`` the first characters of a match.
+    """
     raw = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    by_pattern = explode_once(items, _matches(raw, patterns), "m").select("seq", "m")
+    by_pattern = explode_once(items, _matches(raw, patterns, chars), "m").select("seq", "m")
     window = Window.partitionBy("m.category").orderBy("seq", "m.pattern", "m.i")
-    first = by_pattern.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+    first = by_pattern.withColumn("rank", F.row_number().over(window))
+    first = first if limit is None else first.where(F.col("rank") <= limit)
     matched = first.select("m.category", "rank", F.trim(F.col("m.found")).alias("found"))
 
     text = text_of("title", "abstract")
@@ -95,5 +102,6 @@ def new_developments(
         .select(F.split("pair", "\t")[0].alias("category"), F.split("pair", "\t")[1].alias("found"))
     )
     by_name = Window.partitionBy("category").orderBy("found")
-    listed = named.withColumn("rank", F.row_number().over(by_name)).where(F.col("rank") <= limit)
+    listed = named.withColumn("rank", F.row_number().over(by_name))
+    listed = listed if keyword_limit is None else listed.where(F.col("rank") <= keyword_limit)
     return matched.unionByName(listed.select("category", "rank", "found"))

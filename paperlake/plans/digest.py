@@ -27,18 +27,19 @@ def digest(
     period: str,
     as_of,
     queries: Mapping[str, Sequence[str]] = TOPIC_QUERIES,
-    limit: int = 5,
+    limit: int | None = None,
     apply_period: bool = True,
     **dictionaries,
 ) -> dict[str, DataFrame]:
     """``items`` (tagged and scored), ``topics`` (grouped) and ``trending`` (best ten) of a period.
 
     An article found by two queries is listed for each, as a search returns it.
+    With a ``limit`` only the first hits per query and source take part.
     """
     source = in_period(articles, period, as_of) if apply_period else articles
     found = topic_search(source, queries, limit)
-    order = F.struct("query_id", "source", "rank")
+    order = F.struct("query_id", "source", "seq")
     numbered = found.withColumn("article_seq", F.col("seq")).withColumn("seq", order)
-    # at most ``limit`` rows per query and source, read by three tables
+    # read by three tables
     items = cut_lineage(importance(enrich_items(numbered, **dictionaries), as_of))
     return {"items": items, "topics": topic_groups(items), "trending": trending(items)}

@@ -51,27 +51,30 @@ def discover(
     journals: Iterable[tuple[str, str, float]] = TRACKED_JOURNALS,
     topics: Mapping[str, str] = MONITORED_TOPICS,
     topic_terms: Iterable[str] = TREND_TERMS,
+    limit: int | None = None,
     **patterns,
 ) -> dict[str, DataFrame]:
     """``items`` after the quality filter, with ``authors``, ``journals``, ``trends`` and ``developments``.
 
     ``articles`` are works (seq, work_id, title, abstract, affiliation, ...),
     ``edges`` their citations, ``top`` the ranked papers whose references to follow.
+    With a ``limit`` each strategy takes its first articles per query, seed,
+    paper, institution or journal only.
     """
-    by_institution, tagged_authors = institution_feed(articles, institutions, institution_terms)
-    by_journal, journal_report = journal_feed(articles, journals, year)
-    by_topic = term_search(articles, {t: t for t in topics}, 5, must=topic_terms)
+    by_institution, tagged_authors = institution_feed(articles, institutions, institution_terms, limit)
+    by_journal, journal_report = journal_feed(articles, journals, year, limit)
+    by_topic = term_search(articles, {t: t for t in topics}, limit, must=topic_terms)
     found = {
-        "keyword_search": topic_search(articles, queries, 10).withColumn("order", F.col("query_id")),
-        "citation_expansion": citation_expansion(articles, edges, seeds).withColumn("order", F.col("seed_doi")),
-        "reference_expansion": reference_expansion(articles, edges, top).withColumn(
+        "keyword_search": topic_search(articles, queries, limit).withColumn("order", F.col("query_id")),
+        "citation_expansion": citation_expansion(articles, edges, seeds, limit).withColumn("order", F.col("seed_doi")),
+        "reference_expansion": reference_expansion(articles, edges, top, limit).withColumn(
             "order", F.col("citing_id").cast("string")
         ),
         "author_tracking": by_institution.withColumn("order", F.col("institution")),
         "journal_tracking": by_journal.withColumn("order", F.col("journal")),
         "trend_detection": by_topic.withColumn("order", F.col("query_id")),
     }
-    # a few rows per query, journal, seed or institution, read by several tables below
+    # read by several tables below
     items = cut_lineage(quality_filter(union_strategies(found), **patterns))
     return {
         "items": items,

@@ -8,50 +8,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
-from paperlake.functions.text import (
-    canonical_doi, checked, contains_any, identity_key, labels_where, let, text_of,
-)
+from paperlake.functions.text import canonical_doi, contains_any, identity_key, labels_where, let, text_of
 
-MAX_LIMIT = 100
+GRAM = 3  # characters by which texts and a frame of terms meet
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int) -> DataFrame:
-    """The first ``limit`` rows per key. Each task keeps its own first rows before the shuffle."""
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows per key with their rank; all rows, unranked, without a limit.
+
+    Each task keeps its own first rows before the shuffle.
+    """
+    if limit is None:
+        return df
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
+def match_terms(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:
+    """Every row of ``texts`` with every row of ``terms`` whose term occurs in its text, case ignored.
+
+    For dictionaries and query batches of any size: a text meets the terms that
+    start with one of its character trigrams, and is then searched for those
+    alone. Terms shorter than that meet on all of their characters. Both frames
+    keep their columns, which must have different names; empty terms match nothing.
+    """
+    lowered = terms.withColumn("_term", F.lower(term_col)).where("_term <> ''")
+    keyed = lowered.withColumn("_gram", F.substring("_term", 1, GRAM))
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+
+    def grams(t):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
+        each = F.transform(starts, lambda i: F.array(*[F.substring(t, i, F.lit(n)) for n in range(1, GRAM + 1)]))
+        return F.array_distinct(F.flatten(each))
+
+    met = explode_once(texts.withColumn("_text", text), let(text, grams), "_gram").join(keyed, "_gram")
+    return met.where(F.contains("_text", "_term")).drop("_gram", "_text", "_term")
+
+
 def split_terms(query: str) -> list[str]:
     return [term.strip().lower() for term in query.split(" OR ") if term.strip()]
 
 
 def term_search(
     articles: DataFrame,
-    queries: Mapping[str, str],
-    limit: int = 20,
+    queries: Mapping[str, str] | DataFrame,
+    limit: int | None = None,
     source: str | None = None,
     must: Iterable[str] = (),
 ) -> DataFrame:
-    """Articles whose title or abstract holds a term of a query, the first ``limit`` (1..100) per query and source.
+    """Articles whose title or abstract holds a term of a query, with ``query_id``.
 
-    ``must`` adds a second group of terms of which one has to occur too.
+    All of them, or with a ``limit`` the first per query and source, with ``rank``.
+    ``must`` adds a second group of terms of which one has to occur too. A frame of
+    (query_id, query) serves batches too large for literals.
     """
-    limit = max(1, min(limit, MAX_LIMIT))
     text = text_of("title", "abstract")
     found = articles if source is None else articles.where(F.col("source") == source)
-    must = checked(must)
+    must = list(must)
     if must:
         found = found.where(contains_any(text, must))
+    if isinstance(queries, DataFrame):
+        terms = explode_once(queries.select("query_id", "query"), F.split("query", " OR "), "term")
+        terms = terms.select("query_id", F.trim("term").alias("term"))
+        matched = match_terms(found.withColumn("_searched", text), terms, "_searched").drop("_searched", "term")
+        once = matched.dropDuplicates(["query_id", "seq"])
+        return ranked(once, ["query_id", "source"], ["seq"], limit)
     hits = let(text, lambda t: labels_where({name: contains_any(t, split_terms(q)) for name, q in queries.items()}))
     matched = explode_once(found, hits, "query_id")
     return ranked(matched, ["query_id", "source"], ["seq"], limit)
 
 
-def topic_search(articles: DataFrame, topic_queries: Mapping[str, Sequence[str]], limit: int = 5) -> DataFrame:
-    """The first two queries of each topic; ``topic`` tells which topic asked."""
-    queries = {
-        f"{topic}#{n}": query for topic, some in topic_queries.items() for n, query in enumerate(some[:2])
-    }
+def topic_search(
+    articles: DataFrame, topic_queries: Mapping[str, Sequence[str]], limit: int | None = None
+) -> DataFrame:
+    """``term_search`` for every query of each topic; ``topic`` tells which topic asked."""
+    queries = {f"{topic}#{n}": query for topic, some in topic_queries.items() for n, query in enumerate(some)}
     return term_search(articles, queries, limit).withColumn("topic", F.split("query_id", "#")[0])
 
 
@@ -64,47 +95,45 @@ def year_range(articles: DataFrame, lo: int | None = None, hi: int | None = None
     return articles
 
 
-def lookup(articles: DataFrame, identifiers: Iterable[str]) -> DataFrame:
-    """The first article per identifier: ``/`` means DOI, ``PMC..`` PMCID, digits PMID, anything else a title term."""
-    wanted: dict[str, list[str]] = {"doi": [], "pmcid": [], "pmid": [], "title": []}
-    for identifier in checked(identifiers):
-        if "/" in identifier:
-            kind = "doi"
-        elif identifier.upper().startswith("PMC"):
-            kind = "pmcid"
-        elif identifier.isdigit():
-            kind = "pmid"
-        else:
-            kind = "title"
-        wanted[kind].append(identifier)
-
-    spark = articles.sparkSession
-    keys = {
-        "doi": canonical_doi(F.col("doi")),
-        "pmcid": identity_key(F.col("pmcid")),
-        "pmid": F.col("pmid"),
-    }
-    found = []
-    for kind, key in keys.items():
-        if not wanted[kind]:
-            continue
-        ids = spark.createDataFrame([(i,) for i in wanted[kind]], "identifier string")
-        as_key = {"doi": canonical_doi, "pmcid": identity_key, "pmid": lambda c: c}[kind](F.col("identifier"))
-        found.append(
-            articles.withColumn("_key", key).join(
-                F.broadcast(ids.withColumn("_key", as_key)), "_key"
-            ).drop("_key")
+def lookup(articles: DataFrame, identifiers: Iterable[str] | DataFrame) -> DataFrame:
+    """The first article per identifier: ``/`` means DOI, ``PMC..`` PMCID, digits PMID, anything else a title term.
+
+    ``identifiers`` is a list or, for batches of any size, a frame with a column ``identifier``.
+    """
+    if isinstance(identifiers, DataFrame):
+        wanted = identifiers.select("identifier").distinct()
+    else:
+        rows = [(i,) for i in dict.fromkeys(identifiers)]
+        wanted = articles.sparkSession.createDataFrame(rows, "identifier string")
+    name = F.col("identifier")
+    wanted = wanted.where(F.coalesce(name, F.lit("")) != "").withColumn(
+        "_kind",
+        F.when(F.contains(name, F.lit("/")), "doi")
+        .when(F.upper(name).startswith("PMC"), "pmcid")
+        .when(name.rlike("^[0-9]+$"), "pmid")
+        .otherwise("title"),
+    )
+    as_key = (
+        F.when(F.col("_kind") == "doi", canonical_doi(name))
+        .when(F.col("_kind") == "pmcid", identity_key(name))
+        .otherwise(name)
+    )
+    keys = F.array_compact(
+        F.array(
+            *[
+                F.when(k.isNotNull(), F.struct(F.lit(kind).alias("_kind"), k.alias("_key")))
+                for kind, k in (
+                    ("doi", canonical_doi(F.col("doi"))), ("pmcid", identity_key(F.col("pmcid"))), ("pmid", F.col("pmid"))
+                )
+            ]
         )
-    if wanted["title"]:
-        text = text_of("title")
-        hits = labels_where({t: text.contains(t.lower()) for t in wanted["title"]})
-        found.append(explode_once(articles, hits, "identifier"))
-    if not found:
-        return articles.withColumn("identifier", F.lit(None).cast("string")).limit(0)
-    union = found[0]
-    for frame in found[1:]:
-        union = union.unionByName(frame)
-    return ranked(union, ["identifier"], ["seq"], 1).drop("rank")
+    )
+    held = explode_once(articles, keys, "_k").withColumns({"_kind": F.col("_k._kind"), "_key": F.col("_k._key")}).drop("_k")
+    exact = wanted.where("_kind <> 'title'").withColumn("_key", as_key)
+    by_key = held.join(exact, ["_kind", "_key"]).drop("_kind", "_key")
+    terms = wanted.where("_kind = 'title'").drop("_kind")
+    by_title = match_terms(articles.withColumn("_searched", F.col("title")), terms, "_searched", "identifier").drop("_searched")
+    return ranked(by_key.unionByName(by_title), ["identifier"], ["seq"], 1).drop("rank")
 
 
 def abstracts(articles: DataFrame, identifiers: Iterable[str]) -> DataFrame:
@@ -112,15 +141,17 @@ def abstracts(articles: DataFrame, identifiers: Iterable[str]) -> DataFrame:
 
 
 def institution_feed(
-    articles: DataFrame, institutions: Iterable[str], terms: Iterable[str], limit: int = 5
+    articles: DataFrame, institutions: Iterable[str], terms: Iterable[str], limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(articles, authors tagged with the institution): the first ``limit`` per institution, then one per DOI.
+    """(articles, authors tagged with the institution): one article per institution and DOI.
 
-    Articles without a DOI count as one DOI.
+    Articles without a DOI count as one DOI. With a ``limit`` only the first
+    articles per institution and source are taken.
     """
     text = text_of("title", "abstract", "affiliation")
-    hits = labels_where({name: text.contains(name.lower()) for name in checked(institutions)})
-    matched = explode_once(articles.where(contains_any(text, terms)), hits, "institution")
+    named = articles.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(institutions)], "institution string")
+    searched = articles.drop("institution").where(contains_any(text, terms)).withColumn("_searched", text)
+    matched = match_terms(searched, named, "_searched", "institution").drop("_searched")
     first = ranked(matched, ["institution", "source"], ["seq"], limit).drop("rank")
     once = ranked(
         first.withColumn("_doi", F.coalesce("doi", F.lit(""))), ["institution", "_doi"], ["seq"], 1
@@ -130,17 +161,20 @@ def institution_feed(
 
 
 def journal_feed(
-    articles: DataFrame, journals: Iterable[tuple[str, str, float]], year: int, limit: int = 10
+    articles: DataFrame, journals: Iterable[tuple[str, str, float]], year: int, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(the first ``limit`` articles of the year per tracked journal, one row per journal with its count)."""
+    """(articles of the year of each tracked journal, one row per journal with how many there are).
+
+    A ``limit`` cuts the feed to the first articles per journal; counts are of all.
+    """
     known = articles.sparkSession.createDataFrame(
-        [(i, *row) for i, row in enumerate(checked(journals))],
+        [(i, *row) for i, row in enumerate(journals)],
         "position int, journal string, issn string, impact_factor double",
     )
     of_year = articles.where(F.col("year") == year)
     tracked = of_year.join(F.broadcast(known.select("journal")), "journal", "left_semi")
     feed = ranked(tracked, ["journal"], ["seq"], limit).drop("rank")
-    counts = feed.groupBy("journal").agg(F.count(F.lit(1)).alias("papers"))
+    counts = tracked.groupBy("journal").agg(F.count(F.lit(1)).alias("papers"))
     report = known.join(counts, "journal", "left").select(
         "position",
         "journal",

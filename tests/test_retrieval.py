@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.sql import register_sql_functions
 from paperlake.operators.retrieval import (
-    embed, enrich_hits, hybrid_search, rag_context, similar_documents, summary_context, vector_search, vector_search_approx,
+    choose_centroids, embed, enrich_hits, hybrid_search, rag_context, similar_documents, summary_context, vector_search, vector_search_approx,
 )
 from paperlake.plans.answers import answer_contexts
 from paperlake.plans.ingest import index_documents, ingest_pages
@@ -39,14 +39,14 @@ def ranked(df):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_search_matches_brute_force(frame, block):
+@pytest.mark.parametrize("shard_rows", [50_000, 70, 1])
+def test_search_matches_brute_force(frame, shard_rows):
     vectors, queries = random_vectors(300), random_vectors(11, seed=1)
     vectors.append((300, "zero", [0.0] * 8))
     vectors.append((301, "copy", vectors[7][2]))
     vs = frame(vectors, VECTORS).repartition(5)
     qs = frame(queries, VECTORS).withColumnRenamed("chunk_id", "query_id")
-    got = ranked(vector_search(qs, vs, 7, 0.1, block=block, shard_rows=70))
+    got = ranked(vector_search(qs, vs, 7, 0.1, shard_rows=shard_rows))
     assert got == brute(queries, vectors, 7, 0.1)
 
 
@@ -67,14 +67,22 @@ def test_scores(frame):
         vector_search(qs, vs, metric="dot")
 
 
-def test_approximate_search_finds_most(frame):
-    vectors = random_vectors(400)
-    queries = [(i, "q", [x + 0.02 for x in v]) for i, _, v in vectors[:40]]
+@pytest.mark.parametrize("shard_rows", [50_000, 15])
+def test_approximate_search_prunes_and_finds_most(frame, shard_rows):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 8)) * 4
+    rows = [(i, "d", [float(x) for x in middles[i % 12] + rng.normal(size=8)]) for i in range(600)]
+    queries = [(i, "q", [x + 0.02 for x in v]) for i, _, v in rows[:60]]
     qs = frame(queries, VECTORS).withColumnRenamed("chunk_id", "query_id")
-    vs = frame(vectors, VECTORS)
-    exact, near = ranked(vector_search(qs, vs, 5)), ranked(vector_search_approx(qs, vs, 5))
+    vs = frame(rows, VECTORS)
+    table = choose_centroids(vs, 24)
+    exact = ranked(vector_search(qs, vs, 5))
+    near = ranked(vector_search_approx(qs, vs, 5, n_probe=6, centroids=table, shard_rows=shard_rows))
     found = sum(len(set(exact[q]) & set(near.get(q, []))) for q in exact)
-    assert found / sum(map(len, exact.values())) > 0.8
+    assert found / sum(map(len, exact.values())) >= 0.9
+    everything = ranked(vector_search_approx(qs, vs, 600, threshold=-1.0, n_probe=6, centroids=table, shard_rows=shard_rows))
+    assert sum(map(len, everything.values())) <= 60 * 600 / 3  # candidates are a third of all pairs at most
+    assert ranked(vector_search_approx(qs, vs, 5, n_probe=24, centroids=table, shard_rows=shard_rows)) == exact
 
 
 def test_contexts(frame):

@@ -193,7 +193,7 @@ m AS (
         for n, p in enumerate(some)
     )
     + """),
-r AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY seq, p, i) AS rank, trim(substr(found, 1, 100)) AS found FROM m),
+r AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY seq, p, i) AS rank, trim(found) AS found FROM m),
 k AS (
 """
     + " UNION ALL ".join(
@@ -203,7 +203,7 @@ k AS (
     )
     + """),
 kr AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY found) AS rank, found FROM k)
-SELECT category, rank::INT AS rank, found FROM r WHERE rank <= 10 UNION ALL SELECT category, rank::INT, found FROM kr WHERE rank <= 10""",
+SELECT category, rank::INT AS rank, found FROM r UNION ALL SELECT category, rank::INT, found FROM kr""",
 )
 def new_developments(spark, sf_dir):
     return trends.new_developments(papers(spark, sf_dir), DEVELOPMENTS, MENTION_WORDS)
@@ -224,7 +224,7 @@ r AS (SELECT c.seed_doi, l.seq, l.title, row_number() OVER (PARTITION BY seed_do
 SELECT * FROM r WHERE rank <= 5""",
 )
 def citation_expansion(spark, sf_dir):
-    found = expansion.citation_expansion(literature(spark, sf_dir), citations(spark, sf_dir), SEEDS)
+    found = expansion.citation_expansion(literature(spark, sf_dir), citations(spark, sf_dir), SEEDS, 5)
     return found.select("seed_doi", "seq", "title", "rank")
 
 
@@ -242,7 +242,7 @@ SELECT r.citing_id, r.position::INT AS rank, l.seq, l.title FROM r JOIN literatu
 )
 def reference_expansion(spark, sf_dir):
     lit = literature(spark, sf_dir)
-    found = expansion.reference_expansion(lit, citations(spark, sf_dir), top_orders(lit))
+    found = expansion.reference_expansion(lit, citations(spark, sf_dir), top_orders(lit), 10)
     return found.select("citing_id", "rank", "seq", "title")
 
 
@@ -274,13 +274,13 @@ tr AS ("""
     )
     + """),
 found AS (
-  SELECT 0 AS n, 'keyword_search' AS strategy, ord, seq, title, doi FROM kw QUALIFY row_number() OVER (PARTITION BY ord, source ORDER BY seq) <= 10
-  UNION ALL SELECT 1, 'citation_expansion', ord, l.seq, l.title, l.doi FROM ci JOIN literature l ON l.seq = ci.citing_id QUALIFY row_number() OVER (PARTITION BY ord ORDER BY l.seq) <= 5
+  SELECT 0 AS n, 'keyword_search' AS strategy, ord, seq, title, doi FROM kw
+  UNION ALL SELECT 1, 'citation_expansion', ord, l.seq, l.title, l.doi FROM ci JOIN literature l ON l.seq = ci.citing_id
   UNION ALL SELECT 2, 'reference_expansion', c.citing_id::VARCHAR, l.seq, l.title, l.doi FROM citations c JOIN literature l ON l.seq = c.cited_id
-    WHERE c.position <= 10 AND c.citing_id IN (SELECT seq FROM top)
-  UNION ALL SELECT 3, 'author_tracking', ord, seq, title, doi FROM ins QUALIFY row_number() OVER (PARTITION BY ord, source ORDER BY seq) <= 5
-  UNION ALL SELECT 4, 'journal_tracking', 'BUILDING', seq, title, doi FROM (SELECT * FROM literature WHERE year = 1998 AND journal = 'BUILDING' ORDER BY seq LIMIT 10)
-  UNION ALL SELECT 5, 'trend_detection', ord, seq, title, doi FROM tr QUALIFY row_number() OVER (PARTITION BY ord, source ORDER BY seq) <= 5),
+    WHERE c.citing_id IN (SELECT seq FROM top)
+  UNION ALL SELECT 3, 'author_tracking', ord, seq, title, doi FROM ins
+  UNION ALL SELECT 4, 'journal_tracking', 'BUILDING', seq, title, doi FROM literature WHERE year = 1998 AND journal = 'BUILDING'
+  UNION ALL SELECT 5, 'trend_detection', ord, seq, title, doi FROM tr),
 d AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doi ORDER BY n, ord, seq) = 1),
 t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY n, ord, seq) = 1)
 SELECT strategy, ord AS found_by, seq AS article_seq, title FROM t""",

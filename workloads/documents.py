@@ -153,8 +153,8 @@ opened AS (SELECT doc_id, f, list_position(list_transform(f, lambda x: starts_wi
 after AS (SELECT doc_id, f, list_filter(list_slice(f, a + 1, len(f)), lambda x: NOT starts_with(lower(x), 'abstract')) AS r FROM opened),
 stopped AS (SELECT *, coalesce(list_position(list_transform(r, lambda x: starts_with(lower(x), 'introduction')
   OR starts_with(lower(x), 'background') OR starts_with(x, '1.')), true), 0) AS z FROM after)
-SELECT doc_id AS document_id, substr(f[1], 1, 200) AS title,
-  trim(substr(' ' || array_to_string(CASE WHEN z = 0 THEN r ELSE list_slice(r, 1, z - 1) END, ' '), 1, 1500), {TRIM}) AS abstract
+SELECT doc_id AS document_id, f[1] AS title,
+  trim(' ' || array_to_string(CASE WHEN z = 0 THEN r ELSE list_slice(r, 1, z - 1) END, ' '), {TRIM}) AS abstract
 FROM stopped""",
 )
 def document_metadata(spark, sf_dir):

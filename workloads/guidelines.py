@@ -41,6 +41,15 @@ def guideline_sections(spark, sf_dir):
     return ops.split_guidelines(guideline_texts(spark, sf_dir))
 
 
+# What follows the statements of an order, by its key modulo 4: each level and pregnancy class once.
+ENDINGS = (
+    "\nУровень доказательств A. Противопоказано при беременности.",
+    "\nEvidence level b (case series). Не следует применять детям.",
+    "\nУровень доказательств C. С осторожностью при беременности.",
+    "\nEvidence level d. Может применяться при беременности.",
+)
+
+
 # Line items written as graded statements.
 def statements(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
@@ -62,9 +71,7 @@ def statements(spark, sf_dir):
     entry = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", sentence.alias("s"))))
     text = F.concat(
         F.array_join(F.transform(entry, lambda e: e.s), "\n"),
-        F.when(F.col("l_orderkey") % 2 == 0, "\nУровень доказательств B. Противопоказано при беременности.").otherwise(
-            "\nEvidence level c (case series). Не следует применять детям."
-        ),
+        F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("l_orderkey") % 4 + 1).cast("int")),
     )
     return lines.groupBy("l_orderkey").agg(text.alias("content")).select(
         F.col("l_orderkey").alias("guideline_id"), F.lit(0).alias("section_index"),
@@ -83,9 +90,9 @@ once AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY guideline_id
 recs AS (
   SELECT guideline_id, 0::INT AS section_index, text, lang, strength,
     (row_number() OVER (PARTITION BY guideline_id ORDER BY kind, ln, supp, pk) - 1)::INT AS position,
-    CASE WHEN guideline_id % 2 = 0 THEN 'B' ELSE 'C' END AS evidence_level, 'Order ' || guideline_id AS population,
-    CASE WHEN guideline_id % 2 = 0 THEN 'при беременности' ELSE 'детям' END AS contraindications,
-    CASE WHEN guideline_id % 2 = 0 THEN 'unknown' ELSE 'unknown' END AS pregnancy, substr(sha256(text), 1, 16) AS text_hash
+    ['A', 'B', 'C', 'D'][guideline_id % 4 + 1] AS evidence_level, 'Order ' || guideline_id AS population,
+    ['при беременности', 'детям', '', ''][guideline_id % 4 + 1] AS contraindications,
+    ['contraindicated', 'unknown', 'caution', 'safe'][guideline_id % 4 + 1] AS pregnancy, substr(sha256(text), 1, 16) AS text_hash
   FROM once)"""
 
 

@@ -61,20 +61,6 @@ def vector_search_filtered(spark, sf_dir):
     return rounded(found)
 
 
-@workload(
-    "vector_search_all_pairs",
-    f"""WITH vectors AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
-scored AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(greatest(list_cosine_similarity(a.v, b.v), 0), 12) AS score
-  FROM vectors a, vectors b), {RANKED.format('')}
-SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 3""",
-)
-def vector_search_all_pairs(spark, sf_dir):
-    """Every vector as a query, joined in blocks as for a query batch too large to send to each task."""
-    vectors = chunk_vectors(spark, sf_dir)
-    queries = vectors.select(F.col("chunk_id").alias("query_id"), "embedding")
-    return rounded(retrieval.vector_search(queries, vectors, 3, block=128, shard_rows=200))
-
-
 @workload(
     "vector_search_distance",
     f"""WITH {CENTROIDS},
@@ -87,10 +73,45 @@ def vector_search_distance(spark, sf_dir):
     return rounded(found)
 
 
-@workload("vector_search_approx")
+# Each vector lies in the partition of its most similar centroid; a query probes the three most similar ones.
+PROBED = """
+near AS (SELECT vectors.chunk_id, c.query_id AS key, row_number() OVER (PARTITION BY vectors.chunk_id
+  ORDER BY round(greatest(list_cosine_similarity(c.q, vectors.v), 0), 12) DESC, c.query_id) AS r FROM vectors, centroids c),
+probes AS (SELECT a.{asker} AS query_id, c.query_id AS key, row_number() OVER (PARTITION BY a.{asker}
+  ORDER BY round(greatest(list_cosine_similarity(c.q, a.{vector}), 0), 12) DESC, c.query_id) AS r FROM {askers} a, centroids c),
+scored_probes AS (
+  SELECT p.query_id, v.chunk_id, round(greatest(list_cosine_similarity(a.{vector}, v.v), 0), 12) AS score
+  FROM probes p JOIN near n ON n.key = p.key AND n.r = 1 AND p.r <= 3
+  JOIN vectors v ON v.chunk_id = n.chunk_id JOIN {askers} a ON a.{asker} = p.query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM scored_probes)"""
+
+
+@workload(
+    "vector_search_approx",
+    f"""WITH {CENTROIDS}, {PROBED.format(asker='query_id', vector='q', askers='centroids')}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
+)
 def vector_search_approx(spark, sf_dir):
-    """Neighbours found through random projections; depends on the projections, so no SQL."""
-    return rounded(retrieval.vector_search_approx(centroids(spark, sf_dir), chunk_vectors(spark, sf_dir), 10))
+    """Label means as queries and as centroids."""
+    means = centroids(spark, sf_dir)
+    found = retrieval.vector_search_approx(
+        means, chunk_vectors(spark, sf_dir), 10, n_probe=3, centroids=means.withColumnRenamed("query_id", "centroid_id")
+    )
+    return rounded(found)
+
+
+@workload(
+    "nearest_in_partitions",
+    f"""WITH {CENTROIDS}, {PROBED.format(asker='chunk_id', vector='v', askers='vectors')}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 3""",
+)
+def nearest_in_partitions(spark, sf_dir):
+    """Every vector as a query, within the partitions of its three nearest centroids."""
+    vectors = chunk_vectors(spark, sf_dir)
+    table = centroids(spark, sf_dir).withColumnRenamed("query_id", "centroid_id")
+    asked = vectors.select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = retrieval.vector_search_approx(asked, vectors, 3, n_probe=3, centroids=table, shard_rows=40)
+    return rounded(found)
 
 
 @workload(
@@ -152,8 +173,7 @@ def rag_context(spark, sf_dir):
 
 
 SIMILAR = """
-firsts AS (SELECT label AS document_id, vec_id, embedding FROM embeddings
-  QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3),
+firsts AS (SELECT label AS document_id, vec_id, embedding FROM embeddings),
 q AS (SELECT document_id AS query_id, list(x ORDER BY i) AS q FROM (
   SELECT document_id, i, avg(x::DOUBLE) AS x FROM (
     SELECT document_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM firsts) GROUP BY document_id, i)
@@ -190,9 +210,8 @@ def summary_context(spark, sf_dir):
     "similar_context",
     f"""WITH {SIMILAR},
 texts AS (SELECT e.label AS document_id, e.vec_id, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.text <> ''),
-src AS (SELECT document_id, string_agg(text, chr(10) ORDER BY vec_id) AS t FROM (
-  SELECT * FROM texts QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY vec_id) <= 5) GROUP BY document_id),
-rel AS (SELECT r.query_id AS document_id, string_agg('- ' || substr(d.text, 1, 500), chr(10) ORDER BY r.rank) AS t
+src AS (SELECT document_id, string_agg(text, chr(10) ORDER BY vec_id) AS t FROM texts GROUP BY document_id),
+rel AS (SELECT r.query_id AS document_id, string_agg('- ' || d.text, chr(10) ORDER BY r.rank) AS t
   FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 10 GROUP BY r.query_id)
 SELECT src.document_id::BIGINT AS document_id, md5(src.t) AS source_md5, coalesce(rel.t, '') AS related
 FROM src LEFT JOIN rel USING (document_id)""",
