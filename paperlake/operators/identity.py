@@ -185,7 +185,7 @@ def jaccard_pairs(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
     return _with_jaccard(title_candidates(titles, threshold), titles, threshold)
 
 
-def title_edges(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
+def title_edges(articles: DataFrame, threshold: float = 0.9, ratio: bool = True) -> DataFrame:
     """Edges (src, dst, kind) that join records whose titles are similar but not equal.
 
     In a group of titles that may all be similar, every title is compared with
@@ -194,14 +194,19 @@ def title_edges(articles: DataFrame, threshold: float = 0.9) -> DataFrame:
     The joined records are the same as with all similar pairs.
 
     The sequence ratio takes the earlier title first, and runs on pairs that
-    passed the Jaccard test only.
+    passed the Jaccard test and whose lengths let it reach the threshold;
+    ``ratio=False`` joins on the Jaccard test alone.
     """
     _check(threshold)
     titles = distinct_titles(articles)
     similar = _ratio_udf(threshold)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        passed = _with_jaccard(pairs, titles, threshold).where(similar("norm_a", "norm_b"))
+        passed = _with_jaccard(pairs, titles, threshold)
+        if ratio:
+            shorter = F.least(F.length("norm_a"), F.length("norm_b"))
+            near = 2 * shorter >= threshold * (F.length("norm_a") + F.length("norm_b"))
+            passed = passed.where(near).where(similar("norm_a", "norm_b"))
         return passed.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     pairs, members = _groups(titles, threshold)
@@ -248,12 +253,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def resolve_works(
-    articles: DataFrame, threshold: float = 0.9, fuzzy: bool = True, canonical_doi: bool = True
+    articles: DataFrame, threshold: float = 0.9, fuzzy: bool = True, canonical_doi: bool = True, ratio: bool = True
 ) -> DataFrame:
-    """``articles`` with ``work_id``: the smallest ``seq`` of the records that are the same work."""
+    """``articles`` with ``work_id``: the smallest ``seq`` of the records that are the same work.
+
+    ``ratio=False`` takes similar titles by their tokens alone.
+    """
     edges = identity_edges(articles, canonical_doi).select("src", "dst")
     if fuzzy:
-        edges = edges.unionByName(title_edges(articles, threshold).select("src", "dst"))
+        edges = edges.unionByName(title_edges(articles, threshold, ratio).select("src", "dst"))
     components = connected_components(edges)
     return (
         articles.join(components.withColumnRenamed("node", "seq"), "seq", "left")

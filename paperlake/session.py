@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and size-checked broadcasts."""
+"""Session settings, lineage cuts and size checks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A side is broadcast only after counting at most this many rows of it.
 BROADCAST_ROWS = 100_000
@@ -57,8 +56,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` holds at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the side is counted small, else leave the join to the planner."""
-    return F.broadcast(df) if is_small(df, rows) else df

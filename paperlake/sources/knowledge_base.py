@@ -17,6 +17,7 @@ from paperlake.functions.text import text_of
 
 KEYS = {"documents": ["document_id"], "chunks": ["chunk_id"], "embeddings": ["chunk_id"]}
 DELETES = "deletes"
+REINDEXED = "reindexed"
 _DELETE_SCHEMA = "kind string, id string, version long"
 
 
@@ -25,9 +26,9 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
-def upsert(table: DataFrame, updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+def upsert(table: DataFrame, updates: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """``table`` with ``updates`` put over it by key; the last update of a key (by ``order``) wins."""
-    latest = last_per_key(updates, keys, [order]) if order else updates.dropDuplicates(list(keys))
+    latest = last_per_key(updates, keys, [order])
     kept = table.join(latest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(latest.select(*table.columns))
 
@@ -84,10 +85,18 @@ class KnowledgeBase:
     def upsert(self, version: int, unique: bool = False, **tables: DataFrame) -> None:
         """Write ``documents=``, ``chunks=`` and ``embeddings=`` rows as one version; the same version overwrites.
 
-        ``unique=True`` promises that no key comes twice, which saves the shuffle that makes sure.
+        ``unique=True`` promises that no key comes twice, which saves the shuffle that makes
+        sure; else one row of a key stays, whatever the partitioning. Documents written
+        with their chunks replace all chunks and embeddings that they had before.
         """
+        if "documents" in tables and ("chunks" in tables or "embeddings" in tables):
+            again = tables["documents"].select(F.col("document_id").cast("string").alias("id"))
+            again.write.mode("overwrite").parquet(f"{self.path}/{REINDEXED}/version={version}")
         for name, frame in tables.items():
-            rows = frame if unique else frame.dropDuplicates(KEYS[name])
+            rows = frame
+            if not unique:
+                rows = frame.withColumn("_order", F.xxhash64(*frame.columns))
+                rows = last_per_key(rows, KEYS[name], ["_order"]).drop("_order")
             rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
 
     def delete_documents(self, version: int, ids: DataFrame) -> None:
@@ -129,6 +138,14 @@ class KnowledgeBase:
                 .where(F.col("_deleted").isNull() | (F.col("_deleted") < F.col("version")))
                 .drop("_id", "_deleted")
             )
+        again = None if name == "documents" else self._read(REINDEXED)
+        if again is not None:
+            newest = again.groupBy(F.col("id").alias("_id")).agg(F.max("version").alias("_newest"))
+            current = (
+                current.join(newest, F.col("document_id").cast("string") == F.col("_id"), "left")
+                .where(F.col("_newest").isNull() | (F.col("version") >= F.col("_newest")))
+                .drop("_id", "_newest")
+            )
         return current.drop("version")
 
     def get_documents(self, ids: DataFrame) -> DataFrame:

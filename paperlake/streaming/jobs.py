@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +12,12 @@ from paperlake.plans.ingest import index_documents
 from paperlake.sources.knowledge_base import KnowledgeBase
 
 
+def read_files(spark: SparkSession, path: str, schema, max_files: int = 64, pattern: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder as a stream; a micro-batch takes at most ``max_files`` of them, so a backlog is no one batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return reader.option("pathGlobFilter", pattern).parquet(path)
+
+
 def ingest_stream(
     docs: DataFrame,
     kb: KnowledgeBase,
@@ -21,7 +27,7 @@ def ingest_stream(
     first_version: int = 1,
     **options,
 ) -> StreamingQuery:
-    """Index new (document_id, text) rows as they arrive.
+    """Index new (document_id, text) rows as they arrive, for example from ``read_files``.
 
     Each micro-batch becomes one version of the base, numbered by its batch id,
     so a batch replayed after a failure overwrites itself. ``first_version`` must

@@ -156,8 +156,7 @@ def errors(spark, sf_dir):
 
 
 def stream(spark, sf_dir, name: str):
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return jobs.read_files(spark, sf_dir, table(spark, sf_dir, name).schema, pattern=f"{name}.parquet")
 
 
 def event_stream(spark, sf_dir):

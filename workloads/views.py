@@ -10,17 +10,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """One file with one row group is one task; give such a small table to all cores.
-
-    A table of many files already has more tasks than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
 
 
 def first_line(text):
@@ -47,9 +38,9 @@ papers AS (
 texts AS (SELECT *, lower(title || ' ' || abstract) AS txt FROM papers)"""
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, hashed: bool = False) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = spread(table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     text = F.col("text")
     return docs.select(
         F.col("doc_id").alias("seq"),
@@ -65,6 +56,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_sub(F.lit("2024-01-31").cast("date"), (F.col("n_chars") % 40).cast("int")).alias("publication_date"),
         F.array("source").alias("topics"),
         F.slice(F.split(text, r"\s+"), 1, 3).alias("authors"),
+        *([F.md5("text").alias("hash")] if hashed else []),
     )
 
 

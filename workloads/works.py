@@ -23,8 +23,7 @@ records AS (
 
 
 def records(spark, sf_dir):
-    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.md5("text").alias("hash"))
-    base = papers(spark, sf_dir).drop("topics").join(text, "seq")
+    base = papers(spark, sf_dir, hashed=True).drop("topics")
     missing = {
         c: F.lit(None).cast("string")
         for c in ("url", "pdf_url", "publisher", "volume", "issue", "pages", "license")
@@ -98,6 +97,59 @@ def works_by_identity(spark, sf_dir):
     return identity.resolve_works(records(spark, sf_dir), fuzzy=False).select("seq", "work_id")
 
 
+# Records joined by identity and by titles whose token sets reach the Jaccard threshold.
+WORKS = f"""{EDGES},
+titles AS (SELECT min(seq) AS id, list_distinct(string_split(norm, ' ')) AS tokens FROM records WHERE norm <> '' GROUP BY norm),
+near_titles AS (
+  SELECT a.id AS src, b.id AS dst, len(list_intersect(a.tokens, b.tokens)) AS i, len(a.tokens) + len(b.tokens) AS n
+  FROM titles a JOIN titles b ON a.id < b.id AND len(a.tokens) >= 0.9 * len(b.tokens) AND len(b.tokens) >= 0.9 * len(a.tokens)),
+links AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM near_titles WHERE i::DOUBLE / (n - i) >= 0.9),
+both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links),
+reached(seq, other) AS (
+  SELECT seq, seq FROM records UNION SELECT r.seq, e.dst FROM reached r JOIN both_ways e ON e.src = r.other),
+work AS (SELECT seq, min(other) AS work_id FROM reached GROUP BY seq)"""
+
+
+@workload("works_by_titles", f"WITH RECURSIVE {WORKS} SELECT * FROM work")
+def works_by_titles(spark, sf_dir):
+    return identity.resolve_works(records(spark, sf_dir), ratio=False).select("seq", "work_id")
+
+
+UNIFIED = f"""joined AS (SELECT r.*, w.work_id FROM records r JOIN work w USING (seq)),
+merged AS (
+  SELECT work_id, arg_min(title, seq) AS title, count(*) AS n_records, arg_min(year, seq) AS year,
+    arg_min(doi, seq) FILTER (WHERE doi IS NOT NULL) AS doi, arg_min(pmid, seq) FILTER (WHERE pmid IS NOT NULL) AS pmid,
+    arg_min(pmcid, seq) FILTER (WHERE pmcid IS NOT NULL) AS pmcid FROM joined GROUP BY work_id),
+origins AS (
+  SELECT work_id, string_agg(source, '|' ORDER BY first_at) AS provenance FROM (
+    SELECT work_id, source, min(seq) AS first_at FROM joined GROUP BY work_id, source) GROUP BY work_id),
+unified AS (
+  SELECT work_id, CASE WHEN doi IS NOT NULL THEN lower(doi) WHEN pmid IS NOT NULL THEN 'pmid:' || pmid
+    WHEN pmcid IS NOT NULL THEN 'pmcid:' || lower(pmcid) ELSE 'title:' || trim(lower(title), {TRIM}) END AS article_id,
+    title, n_records, provenance FROM merged JOIN origins USING (work_id))"""
+
+
+def unified(found):
+    return found.select("work_id", "article_id", "title", "n_records", F.array_join("provenance", "|").alias("provenance"))
+
+
+@workload("unified_by_titles", f"WITH RECURSIVE {WORKS}, {UNIFIED} SELECT * FROM unified")
+def unified_by_titles(spark, sf_dir):
+    return unified(plans.unify(records(spark, sf_dir), ratio=False))
+
+
+FOUND = RECORDS.replace("\nrecords AS (", "\nall_records AS (") + """,
+records AS (SELECT * FROM all_records WHERE year BETWEEN 2003 AND 2015
+  AND (contains(lower(title || ' ' || abstract), 'the') OR contains(lower(title || ' ' || abstract), 'ción')))"""
+
+
+@workload("searched_works", f"WITH RECURSIVE {WORKS.replace(RECORDS, FOUND)}, {UNIFIED} SELECT * FROM unified")
+def searched_works(spark, sf_dir):
+    """Two queries over the records of some years, merged."""
+    queries = {"first": "the", "second": "ción OR the"}
+    return unified(plans.search_works(records(spark, sf_dir), queries, from_year=2003, to_year=2015, ratio=False))
+
+
 @workload("works")
 def works(spark, sf_dir):
     """Works by identity and similar titles; the sequence ratio has no SQL form."""
