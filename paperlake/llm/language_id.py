@@ -258,9 +258,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
 
 def _calibrated(model: LanguageModel, rows: DataFrame) -> LanguageModel:
     """Choose how sharply entropies become scores, and the entropy beyond which a prediction is not accepted."""
-    sample = rows.where(F.length("text") <= CALIBRATION_CHARS).limit(CALIBRATION_ROWS).toArrow()
-    entropies, n = model.cross_entropies(sample["text"].to_pylist())
-    right = np.array([model.langs.index(x) for x in sample["lang"].to_pylist()], dtype=int)
+    # take() starts with one task, and asks for more only if that has too few rows
+    sample = rows.select("text", "lang").where(F.length("text") <= CALIBRATION_CHARS).take(CALIBRATION_ROWS)
+    entropies, n = model.cross_entropies([r.text for r in sample])
+    right = np.array([model.langs.index(r.lang) for r in sample], dtype=int)
     entropies, right = entropies[n > 0], right[n > 0]
     if not len(right):
         return model

@@ -102,18 +102,18 @@ def _frequent(df: DataFrame, path: str, text_col: str, rows: int, bits: int) ->
     over ``SAMPLE_CHARS`` characters are left out of the sample, not of the counts.
     """
     processor = _processor(path)
-    sample = df.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(rows).toArrow()
+    # take() starts with one task, and asks for more only if that has too few texts
+    sample = [r[0] for r in df.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).take(rows)]
     counts: dict[int, int] = {}
     lengths: dict[int, int] = {}
-    for part in sample.column(0).chunks:
-        for _, _, data, offsets in chunks(_prefixed(part)):
-            starts, ends = pretokens(data, offsets)
-            hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
-            new = [k for k, h in enumerate(hashes.tolist()) if h not in lengths]
-            at = first[new]
-            lengths.update(zip(hashes[new].tolist(), _lengths(processor, data, starts[at], ends[at])))
-            for h, c in zip(hashes.tolist(), n.tolist()):
-                counts[h] = counts.get(h, 0) + c
+    for _, _, data, offsets in chunks(_prefixed(pa.array(sample, pa.string()))):
+        starts, ends = pretokens(data, offsets)
+        hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+        new = [k for k, h in enumerate(hashes.tolist()) if h not in lengths]
+        at = first[new]
+        lengths.update(zip(hashes[new].tolist(), _lengths(processor, data, starts[at], ends[at])))
+        for h, c in zip(hashes.tolist(), n.tolist()):
+            counts[h] = counts.get(h, 0) + c
     top = sorted((h for h in counts if lengths[h] < 256), key=lambda h: (-counts[h], h))[: 1 << (bits - 1)]
     return fill_table(np.array(top, dtype=np.uint64), np.array([lengths[h] for h in top], dtype=np.int64), bits)
 
