@@ -12,6 +12,7 @@ from paperlake.fixed_values import (
     OPPOSITE_DIRECTIONS, PRACTICE_WORDS, THEMES,
 )
 from paperlake.functions.text import contains_any, count_hits, let, text_of
+from paperlake.session import cut_lineage
 from paperlake.operators.tagging import first_titles, tag_by_dictionary, topic_members
 
 # --- top story ---------------------------------------------------------------
@@ -76,6 +77,7 @@ def merge_topics(papers: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` topics with more than one paper: lead authors of the first three papers, journals."""
     lead = F.coalesce(F.get("authors", F.lit(0)), F.lit("Unknown"))
     exploded = papers.select("seq", "journal", lead.alias("lead"), F.posexplode("topics").alias("position", "topic"))
+    exploded = cut_lineage(exploded)  # the papers are read once, these narrow rows four times
     groups = (
         exploded.groupBy("topic")
         .agg(F.count(F.lit(1)).alias("paper_count"), F.min(F.struct("seq", "position")).alias("first_at"))
@@ -272,10 +274,12 @@ def editorial_digest(papers: DataFrame, practice_from: float = 0.6) -> DataFrame
     high = F.col("evidence_level").isin("A", "B")
     changing = F.coalesce("clinical_importance", F.lit(0.0)) >= practice_from
     chars = F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("abstract", F.lit("")))
-    totals = papers.agg(
+    short = papers.select("seq", "title", "clinical_importance", "evidence_level", chars.alias("chars"))
+    short = cut_lineage(short)  # the texts are read once, these narrow rows four times
+    totals = short.agg(
         F.count(F.lit(1)).cast("double").alias("papers_reviewed"),
         F.count(F.when(high, 1)).cast("double").alias("high_evidence"),
-        F.greatest(F.lit(1.0), F.rint(F.coalesce(F.sum(chars), F.lit(0)) / 1500)).alias("reading_minutes"),
+        F.greatest(F.lit(1.0), F.rint(F.coalesce(F.sum("chars"), F.lit(0)) / 1500)).alias("reading_minutes"),
         F.count(F.when(changing, 1)).cast("double").alias("practice_changing_papers"),
     )
     figures = totals.select(
@@ -303,7 +307,6 @@ def editorial_digest(papers: DataFrame, practice_from: float = 0.6) -> DataFrame
         )
 
     best = [F.desc("clinical_importance"), F.asc("seq")]
-    short = papers.select("seq", "title", "clinical_importance", "evidence_level")
     return (
         figures.unionByName(listed("most_important", short.orderBy(*best).limit(1), best))
         .unionByName(listed("practice_changing", short.where(changing).orderBy("seq").limit(5), ["seq"]))

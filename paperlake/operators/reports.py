@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Reported percentiles as fractions of the sorted position.
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
-BINS = 4096
+BINS = 256
 
 
 def order_statistics(
@@ -17,18 +17,18 @@ def order_statistics(
 ) -> DataFrame:
     """The exact sorted value at position ``int(n * fraction)`` per key.
 
-    Equal values are counted, the counts are binned, and only the bin that holds
-    a position is put in order, so no task sorts a whole key.
+    Equal values are counted, the counts are binned between the quantiles of a
+    sketch, so bins hold about as many values each however they are spread, and
+    only the bin that holds a position is put in order: no task sorts a whole key.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranges = counted.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    binned = counted.join(ranges, key).withColumn(
-        "_bin",
-        F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins).cast("int"))
-        ),
+    held = values.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    counted = held.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    steps = [i / bins for i in range(1, bins)]
+    ranges = held.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.array_distinct(F.percentile_approx("_v", steps, 10 * bins)).alias("_edges")
     )
+    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    binned = counted.join(ranges, key).withColumn("_bin", below).drop("_edges")
     per_bin = binned.groupBy(key, "_bin", "_n").agg(F.sum("_c").alias("_in_bin"))
     before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # <= bins rows a key
     placed = per_bin.withColumn("_before", F.coalesce(F.sum("_in_bin").over(before), F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 from paperlake.operators.editorial import (
@@ -9,14 +11,21 @@ from paperlake.operators.editorial import (
 )
 
 
-def editorial(papers: DataFrame) -> dict[str, DataFrame]:
-    """All editorial tables of the papers of a period."""
+def editorial(
+    papers: DataFrame,
+    story: Mapping | None = None,
+    theme_words: Mapping | None = None,
+    conflicts: Mapping | None = None,
+    breaking_words: Mapping | None = None,
+) -> dict[str, DataFrame]:
+    """All editorial tables of the papers of a period; the options replace the default dictionaries of their operators."""
+    story, conflicts = dict(story or {}), dict(conflicts or {})
     return {
         "figures": editorial_digest(papers),
-        "top_story": top_story(papers),
-        "breaking": breaking(papers),
-        "themes": themes(papers),
+        "top_story": top_story(papers, **story),
+        "breaking": breaking(papers, **{**story, **(breaking_words or {})}),
+        "themes": themes(papers, **(theme_words or {})),
         "merged_topics": merge_topics(papers),
-        "controversies": controversy_groups(papers),
-        "controversial_papers": controversial_papers(papers),
+        "controversies": controversy_groups(papers, **conflicts),
+        "controversial_papers": controversial_papers(papers, **conflicts),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperlake.operators.chunking import chunk
 from paperlake.operators.parsing import parse_documents
 from paperlake.operators.retrieval import embed
+from paperlake.session import cut_lineage
 
 
 def index_documents(
@@ -15,11 +16,11 @@ def index_documents(
 ) -> dict[str, DataFrame]:
     """(document_id, text, optional title) to ``documents``, ``chunks`` and ``embeddings`` frames.
 
-    A document without text is kept with status "failed" and the error. The
-    frames share no materialised step: chunking is cheaper than storing it.
+    A document without text is kept with status "failed" and the error. Chunks are
+    computed once and kept in the checkpoint folder, where all three frames read them.
     """
     good = docs.where(F.col("text").isNotNull())
-    chunks = chunk(good, strategy, **options)
+    chunks = cut_lineage(chunk(good, strategy, **options))
     embeddings = embed(chunks.select("chunk_id", "document_id", "text"), "text", embedder).select(
         "chunk_id", "document_id", "embedding", F.lit(embedder).alias("model"), F.size("embedding").alias("dimensions")
     )

@@ -1,3 +1,3 @@
 """Importing this module registers every workload."""
 
-from workloads import digests, discovery, documents, guidelines, tables, vectors, works  # noqa: F401
+from workloads import digests, discovery, documents, flows, guidelines, tables, vectors, works  # noqa: F401
