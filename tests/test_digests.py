@@ -69,13 +69,15 @@ def test_ranking_is_stable(frame):
 
 def test_digest(frame):
     rows = [item(i, f"Tinnitus study {i}", days=i) for i in range(12)] + [item(50, "Rhinology trial", days=3)]
-    made = digest(frame(rows, ITEM), "daily", AS_OF)
+    made = digest(frame(rows, ITEM), "daily", AS_OF, limit=5)
     found = {r.article_seq for r in made["items"].collect()}
     assert found == {0, 1, 2, 3, 4, 50}  # five per query, within seven days
+    whole = digest(frame(rows, ITEM), "daily", AS_OF)["items"]
+    assert {r.article_seq for r in whole.collect()} == {*range(8), 50}
     assert PERIOD_DAYS["daily"] == 7
     topics = {r.topic: r.paper_count for r in made["topics"].collect()}
     assert topics == {"otology": 5, "rhinology": 1}
-    everything = digest(frame(rows, ITEM), "daily", AS_OF, limit=100, apply_period=False)
+    everything = digest(frame(rows, ITEM), "daily", AS_OF, apply_period=False)
     assert everything["items"].count() == 13
     assert len(made["trending"].collect()) == 6
 

@@ -104,7 +104,8 @@ def test_references(frame):
     assert (last[0].doi, last[0].year, last[0].title) == ("10.1000/xyz", 2020, "A great title")
     assert last[1].year == 2019 and last[2].raw_text == "Roe. Third."
     many = "\n".join(f"[{i}] Ref {i}" for i in range(1, 700))
-    assert references(docs(frame, many)).count() == 500
+    assert references(docs(frame, many)).count() == 699
+    assert references(docs(frame, many), limit=500).count() == 500
     assert [r.raw_text for r in references(docs(frame, "no numbers")).collect()] == ["no numbers"]
 
 
@@ -137,7 +138,8 @@ def test_metadata(frame):
     assert r.title == "A Study of Ears"
     assert r.abstract == "This abstract describes the whole study in one line."
     long = "T\nAbstract\n" + "word " * 800
-    assert len(with_metadata(docs(frame, long)).collect()[0].abstract) <= 1500
+    assert with_metadata(docs(frame, long)).collect()[0].abstract == ("word " * 800).strip()
+    assert len(with_metadata(docs(frame, long), abstract_chars=1500).collect()[0].abstract) <= 1500
     assert with_metadata(docs(frame, "no such part")).collect()[0].abstract == ""
 
 

@@ -14,7 +14,7 @@ def plan(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["first_seen", "term_search", "topic_groups", "themes", "vector_search", "citation_expansion", "new_developments"],
+    ["first_seen", "term_search_first", "topic_groups", "themes", "vector_search", "citation_expansion"],
 )
 def test_top_rows_are_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
@@ -38,3 +38,10 @@ def test_years_are_filtered_in_the_scan(spark, tmp_path):
     spark.range(100).select("id", (F.col("id") % 30 + 1990).cast("int").alias("year")).write.parquet(path)
     text = year_range(spark.read.parquet(path), 2000, 2005)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(year,2000)" in text and "LessThanOrEqual(year,2005)" in text
+
+
+@pytest.mark.parametrize("name", ["editorial_digest", "merged_topics", "indexed_documents"])
+def test_texts_are_scanned_once(spark, name):
+    """What reads the rows again reads a checkpoint of few columns."""
+    table = "lineitem" if name == "merged_topics" else "documents"
+    assert plan(spark, name).count(f"{table}.parquet") <= 1

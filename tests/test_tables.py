@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paperlake.functions.text import contains_any, count_hits, matches_any
 from paperlake.operators.guidelines import (
     guideline_keyword_search, keyword_recommendations, recommendations, split_guidelines, verify_citations,
 )
@@ -12,7 +13,7 @@ from paperlake.plans.guidelines import ingest_guidelines
 from paperlake.plans.ingest import index_documents
 from paperlake.sources.fulltext import audit_files, fulltext_candidates
 from paperlake.sources.knowledge_base import KnowledgeBase, upsert
-from paperlake.sources.search import institution_feed, lookup, term_search, topic_search
+from paperlake.sources.search import institution_feed, journal_feed, lookup, match_terms, term_search, topic_search
 from paperlake.streaming.jobs import first_seen_stream, ingest_stream, period_counts, run_available
 
 # Own wording, in the shape of a national guideline.
@@ -120,8 +121,10 @@ def test_search(frame):
     df = frame(rows, ARTICLE)
     assert [r.seq for r in term_search(df, {"q": "TINNITUS OR x"}, 3).collect()] == [0, 1, 2]
     assert term_search(df, {"q": "tinnitus"}, 500).count() == 8
-    assert term_search(df, {"q": "tinnitus"}, 0).count() == 1
-    assert topic_search(df, {"t": ["none", "tinnitus", "tinnitus"]}).select("query_id").distinct().count() == 1
+    assert term_search(df, {"q": "tinnitus"}).count() == 8
+    many = frame([(100 + i, "Tinnitus", "", "", "pubmed", None, None, None, []) for i in range(700)], ARTICLE)
+    assert term_search(many, {"q": "tinnitus"}, 500).count() == 500
+    assert topic_search(df, {"t": ["none", "tinnitus", "tinnitus 1"]}).select("query_id").distinct().count() == 2
     found = {r.identifier: r.seq for r in lookup(df, ["https://doi.org/10/1", "pmc3", "5", "tinnitus 6"]).collect()}
     assert found == {"https://doi.org/10/1": 1, "pmc3": 3, "5": 5, "tinnitus 6": 6}
     items, people = institution_feed(df, ["Mayo Clinic"], ["tinnitus"], 6)
@@ -129,6 +132,29 @@ def test_search(frame):
     assert {r.author for r in people.collect()} == {"A0", "A1", "A4"}
 
 
+def test_a_report_counts_all_articles(frame):
+    rows = [(i, "J", 2024) for i in range(11)]
+    feed, report = journal_feed(frame(rows, "seq long, journal string, year int"), [("J", "0", 1.0), ("K", "1", 2.0)], 2024, limit=10)
+    assert feed.count() == 10
+    assert {r.journal: r.papers_this_period for r in report.collect()} == {"J": 11, "K": 0}
+
+
+def test_thousands_of_keywords(frame):
+    df = frame([(0, "about word4321 and more"), (1, "nothing here"), (2, None)], "seq long, text string")
+    words = [f"word{k}" for k in range(5000)]
+    got = {r.seq: (r.any, r.n) for r in df.select("seq", contains_any(F.col("text"), words).alias("any"), count_hits(F.col("text"), words).alias("n")).collect()}
+    assert got[0] == (True, 4) and got[1] == (False, 0) and not got[2][0]
+    assert df.where(matches_any(F.col("text"), [f"^about {w}$" for w in words] + ["^nothing"])).count() == 1
+
+
+def test_match_terms_finds_every_occurrence(frame):
+    texts = ["the cat sat", "Concatenate", "at", "", None, "a", "été x"]
+    terms = ["cat", "at", "a", "THE CAT", "t", "", None, "zz", "été", "tenate"]
+    df = frame(list(enumerate(texts)), "seq long, text string")
+    got = {(r.seq, r.term) for r in match_terms(df, frame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(i, w) for i, t in enumerate(texts) for w in terms if t and w and w.lower() in t.lower()}
+
+
 def test_fulltext_candidates(frame):
     schema = "article_id string, doi string, pmcid string, url string, pdf_url string"
     rows = [("a", "doi:10/1", "PMC7", "http://x", "http://x"), ("b", None, "", "http://y", None)]
