@@ -30,7 +30,7 @@ from paperlake.session import cut_lineage
 
 SHARD_ROWS = 20_000
 QUERY_ROWS = 4_000
-LEAF = 64
+LEAF = 128
 SLACK = 1e-9  # of a distance: rounding must never prune a tie
 
 
@@ -43,11 +43,17 @@ def distances(vectors: np.ndarray, point: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def near_distances(vectors: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """The same but for rounding, faster; for the borders of nodes, which ``SLACK`` guards."""
+    step = vectors - point
+    return np.sqrt(np.einsum("ij,ij->i", step, step))
+
+
 class Tree:
     """Nodes hold a vantage point, its median distance, and two halves; leaves hold up to ``LEAF`` vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
-        self.ids, self.vectors, self.columns = ids, vectors, np.ascontiguousarray(vectors.T)
+        self.ids, self.vectors, self.squares = ids, vectors, np.einsum("ij,ij->i", vectors, vectors)
         self.random = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(ids)))
 
@@ -55,7 +61,7 @@ class Tree:
         if len(rows) <= LEAF:
             return rows
         vantage = rows[self.random.integers(len(rows))]
-        away = distances(self.vectors[rows], self.vectors[vantage])
+        away = near_distances(self.vectors[rows], self.vectors[vantage])
         border = float(np.median(away))
         inside = away <= border
         if inside.all():  # more than half of the vectors at one distance: no border tells them apart
@@ -68,6 +74,7 @@ class Search:
 
     def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, relax: float):
         self.tree, self.query_ids, self.queries, self.k, self.relax = tree, ids, queries, k, relax
+        self.squares = np.einsum("ij,ij->i", queries, queries)
         self.best = np.full((len(ids), k), np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self._visit(tree.root, np.arange(len(ids)))
@@ -80,7 +87,7 @@ class Search:
                 self._scan(node[first : first + LEAF], active)
             return
         vantage, border, inside, outside = node
-        away = distances(self.queries[active], self.tree.vectors[vantage])
+        away = near_distances(self.queries[active], self.tree.vectors[vantage])
         near_inside = away <= border
         for half, other, mine in ((inside, outside, near_inside), (outside, inside, ~near_inside)):
             some, gap = active[mine], np.abs(away[mine] - border)
@@ -89,19 +96,22 @@ class Search:
             self._visit(other, some[gap <= reach + SLACK * (1 + away[mine])])
 
     def _scan(self, rows: np.ndarray, active: np.ndarray) -> None:
-        total = np.zeros((len(active), len(rows)))
-        for k, column in enumerate(self.tree.columns):
-            step = self.queries[active, k][:, None] - column[rows][None, :]
-            total += step * step
-        away = np.sqrt(total)
-        ids = self.tree.ids[rows]
-        away[self.query_ids[active][:, None] == ids[None, :]] = np.inf
-        hit = np.flatnonzero(away.min(axis=1) <= self.best[active, -1])
+        """A matrix product tells which pairs can be among the best; only their distances are computed exactly."""
+        vectors, ids = self.tree.vectors[rows], self.tree.ids[rows]
+        both = self.squares[active][:, None] + self.tree.squares[rows][None, :]
+        rough = both - 2 * (self.queries[active] @ vectors.T)
+        reach = self.best[active, -1][:, None] ** 2
+        near = rough <= reach + SLACK * (both + np.where(np.isfinite(reach), reach, 0))
+        near &= self.query_ids[active][:, None] != ids[None, :]
+        hit = np.flatnonzero(near.any(axis=1))
         if not len(hit):
             return
+        i, j = np.nonzero(near[hit])
+        away = np.full((len(hit), len(rows)), np.inf)
+        away[i, j] = distances(vectors[j], self.queries[active[hit[i]]])
         some = active[hit]
-        best = np.concatenate([self.best[some], away[hit]], axis=1)
-        found = np.concatenate([self.found[some], np.broadcast_to(ids, (len(some), len(ids)))], axis=1)
+        best = np.concatenate([self.best[some], away], axis=1)
+        found = np.concatenate([self.found[some], np.broadcast_to(ids, away.shape)], axis=1)
         order = np.lexsort((found, best), axis=1)[:, : self.k]
         self.best[some] = np.take_along_axis(best, order, axis=1)
         self.found[some] = np.take_along_axis(found, order, axis=1)
