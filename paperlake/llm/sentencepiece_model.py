@@ -3,6 +3,7 @@
 The protobuf is read field by field. From it come the normaliser, the metaspace
 marker, the pieces with their scores (unigram) or their merges (BPE), and byte
 fallback. ``parity`` compares the result with the sentencepiece library itself.
+Under a unigram model a text that spells a byte piece (``<0x0A>``) may get it.
 
 Defined results: a null text has no ids (null) and decodes to null; an empty
 text has an empty list and decodes to ''. Special strings inside texts
@@ -136,9 +137,14 @@ def build_tokenizer(data: bytes):
             byte_fallback=model.byte_fallback,
         )
     else:
-        # control pieces never match text: a score no path can choose
-        scores = [s if k not in (CONTROL, UNUSED) else -1e9 for s, k in zip(model.scores, model.kinds)]
-        core = models.Unigram(list(zip(model.pieces, scores)), unk_id=unknown, byte_fallback=model.byte_fallback)
+        # A control piece gets a spelling that no text has, and no piece a score below the worst
+        # ordinary one, from which the library derives the cost of unknown characters.
+        worst = min((s for s, k in zip(model.scores, model.kinds) if k == NORMAL), default=0.0)
+        vocab = [
+            (f"\U0010ffff{p}" if k in (CONTROL, UNUSED) else p, s if k in (NORMAL, USER_DEFINED) else worst)
+            for p, s, k in zip(model.pieces, model.scores, model.kinds)
+        ]
+        core = models.Unigram(vocab, unk_id=unknown, byte_fallback=model.byte_fallback)
     tokenizer = Tokenizer(core)
     steps = []
     if model.charsmap:
