@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperlake.fixed_values import CONTRAINDICATION, EVIDENCE_EN, EVIDENCE_RU, NOT_PLAIN, PREGNANCY, STATEMENT_HINTS, STRENGTHS
 from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null, contains_any, labels_where, let, strip
+from paperlake.sources.search import match_terms
 
 def split_guidelines(texts: DataFrame) -> DataFrame:
     """(guideline_id, section_index, heading, content): blocks between blank lines, the first line is the heading."""
@@ -111,11 +112,20 @@ def verify_citations(cited: DataFrame, registered: DataFrame) -> DataFrame:
 
 
 def keyword_recommendations(
-    questions: Mapping[str, str], recs: DataFrame, guideline_ids: DataFrame | None = None
+    questions: Mapping[str, str] | DataFrame, recs: DataFrame, guideline_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Recommendations that hold any word of a question, with the question's id; confidence 0.3."""
+    """Recommendations that hold any word of a question, with the question's id; confidence 0.3.
+
+    ``questions`` is a dictionary or, for batches of any size, a frame (question_id, question).
+    """
     if guideline_ids is not None:
         recs = recs.join(guideline_ids.select("guideline_id").distinct(), "guideline_id", "left_semi")
+    if isinstance(questions, DataFrame):
+        words = F.split(strip(F.lower("question")), r"\s+")
+        terms = explode_once(questions.select("question_id", "question"), words, "term").select("question_id", "term")
+        found = match_terms(recs, terms, "text", "term").drop("term")
+        once = found.dropDuplicates(["question_id", "guideline_id", "section_index", "position"])
+        return once.withColumn("confidence", F.lit(0.3))
     asked = let(
         F.lower("text"),
         lambda t: labels_where({q: contains_any(t, question.lower().split()) for q, question in questions.items()}),

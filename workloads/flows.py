@@ -61,6 +61,18 @@ def answer_contexts(spark, sf_dir):
     )
 
 
+@workload(
+    "embedded_letters",
+    f"""WITH {FIXED} SELECT printf('%d_chunk_%04d', document_id, chunk_index) AS chunk_id, 26::INT AS dimensions,
+  array_to_string(list_transform({LETTERS_SQL.format('text')}, lambda x: x::BIGINT), ' ') AS counts FROM chunks""",
+)
+def embedded_letters(spark, sf_dir):
+    """The vectors that indexing writes with an embedder of the caller's."""
+    found = index_documents(documents(spark, sf_dir), embedder="letter_counts")["embeddings"]
+    counts = F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ")
+    return found.select("chunk_id", "dimensions", counts.alias("counts"))
+
+
 @workload(
     "vector_search_section",
     f"""WITH {CENTROIDS.replace("label::BIGINT AS document_id, embedding", "label::BIGINT AS document_id, 'part ' || vec_id % 4 AS section, embedding")

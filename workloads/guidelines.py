@@ -102,6 +102,29 @@ def recommendations(spark, sf_dir):
     return found.withColumn("contraindications", F.array_join("contraindications", "|"))
 
 
+def statement_texts(spark, sf_dir):
+    """The statements of an order as one guideline text."""
+    text = F.concat("heading", F.lit("\n"), "content")
+    return statements(spark, sf_dir).select(
+        "guideline_id", F.col("heading").alias("title"), text.alias("text"), F.col("guideline_id").alias("seq")
+    )
+
+
+@workload("ingested_recommendations", f"WITH {STATEMENTS} SELECT * FROM recs")
+def ingested_recommendations(spark, sf_dir):
+    """The same recommendations by way of whole guideline texts."""
+    found = ingest_guidelines(statement_texts(spark, sf_dir))["recommendations"]
+    return found.withColumn("contraindications", F.array_join("contraindications", "|"))
+
+
+@workload(
+    "registered_recommendations",
+    f"WITH {STATEMENTS} SELECT sha256(text) AS sha256, max(guideline_id) AS source_id FROM recs GROUP BY 1",
+)
+def registered_recommendations(spark, sf_dir):
+    return ingest_guidelines(statement_texts(spark, sf_dir))["registered"]
+
+
 @workload(
     "verified_citations",
     """WITH reg AS (SELECT sha256(text) AS h, max(item_id) AS source_id FROM benchmark GROUP BY 1),
@@ -132,7 +155,8 @@ WHERE {any_sql('lower(text)', 'part 17'.split())} AND guideline_id IN (SELECT o_
 def keyword_recommendations(spark, sf_dir):
     allowed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("guideline_id"))
     recs = ops.recommendations(statements(spark, sf_dir))
-    found = ops.keyword_recommendations(QUESTIONS, recs, allowed)
+    asked = spark.createDataFrame(list(QUESTIONS.items()), "question_id string, question string")
+    found = ops.keyword_recommendations(asked, recs, allowed)
     return found.select("question_id", "guideline_id", "text", "strength", "confidence")
 
 

@@ -156,7 +156,8 @@ def errors(spark, sf_dir):
 
 
 def stream(spark, sf_dir, name: str):
-    return jobs.read_files(spark, sf_dir, table(spark, sf_dir, name).schema, pattern=f"{name}.parquet")
+    """The table as a stream, be it one file or a folder of files: a pattern of one name takes either."""
+    return jobs.read_files(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", table(spark, sf_dir, name).schema)
 
 
 def event_stream(spark, sf_dir):
