@@ -124,6 +124,8 @@ class PageMaker:
             if r.random() < odds:
                 blocks.insert(r.randint(0, len(blocks)), self.other(kind))
         text = "".join(blocks)
+        if r.random() < 0.12:  # blocks that stand in the page itself
+            return text
         for _ in range(r.choice((0, 0, 1, 2))):
             name = r.choice(_MAIN_NAMES + _PLAIN_NAMES)
             text = f"<div{m}{f' class={chr(34)}{name}{chr(34)}' if name else ''}>{text}</div>"
@@ -132,6 +134,8 @@ class PageMaker:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.05:  # nothing but text
+            return f"<html><body>{self.article()}</body></html>"
         odds = {"header": 0.5, "nav": 0.6, "notice": 0.3, "ad": 0.5}
         before = "".join(self.other(k) for k, p in odds.items() if r.random() < p)
         after = [self.other(k) for k, p in (("comments", 0.35), ("side", 0.4), ("form", 0.2), ("ad", 0.2), ("nav", 0.1), ("share", 0.1)) if r.random() < p]
