@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
-from paperlake.fixed_values import ABSTRACT_STOPS, CAPTION_PREFIXES, KNOWN_SECTIONS
+from paperlake.fixed_values import (
+    ABSTRACT_STOPS, CAPTION_PREFIXES, DOI_IN_TEXT, KNOWN_SECTIONS, QUOTED, REFERENCE_BREAK, REFERENCE_NUMBER, SUB_HEADING,
+)
 from paperlake.functions.text import let, strip
 
-SUB_HEADING = r"(?s)^(\d+\.\d+(?:\.\d+)*)\s+(.+)\z"
-REFERENCE_BREAK = r"\n(?=\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s)"
-REFERENCE_NUMBER = r"^\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s*"
-DOI_IN_TEXT = r"(?:doi|DOI)\s*[:.]?\s*(10\.\d{4,}/[^\s,;)]+)"
-QUOTED = "[\"“](.+?)[\"”]"
 BLANK_LINES = r"\n(?:[^\S\n]*\n)+"
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.fixed_values import NO_CONTEXT
 from paperlake.functions.text import words
 
 # Vectors per shard, queries and vectors scored at once, and centroids sent to every task.
@@ -290,7 +291,7 @@ def rag_context(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return found.select(
         "query_id",
         "question",
-        F.when(none, "No relevant documents found to answer the question.").otherwise(F.col("context")).alias("context"),
+        F.when(none, NO_CONTEXT).otherwise(F.col("context")).alias("context"),
         F.coalesce("sources", F.array().cast(found.schema["sources"].dataType)).alias("sources"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),

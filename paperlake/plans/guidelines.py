@@ -24,10 +24,3 @@ def ingest_guidelines(texts: DataFrame) -> dict[str, DataFrame]:
         "recommendations": recs,
         "registered": registered,
     }
-
-
-def sections_of_parsed(parsed: DataFrame) -> DataFrame:
-    """Guideline sections out of parsed documents, for guidelines that come as pages."""
-    return parsed.select(
-        F.col("document_id").alias("guideline_id"), F.posexplode("sections").alias("section_index", "s")
-    ).select("guideline_id", "section_index", "s.heading", "s.content")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.fixed_values import ARCHIVE_URL, DOI_URL, FETCH_URL
 from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null
 from paperlake.session import cut_lineage
@@ -34,7 +35,7 @@ def fulltext_candidates(articles: DataFrame) -> DataFrame:
     """Distinct full-text urls per article, archive first, then DOI, then publisher; no url is requested."""
     pmcid, doi = blank_to_null(F.col("pmcid")), blank_to_null(F.col("doi"))
     pdf_url, url = blank_to_null(F.col("pdf_url")), blank_to_null(F.col("url"))
-    archive = F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), pmcid)
+    archive = F.concat(F.lit(ARCHIVE_URL), pmcid)
     bare_doi = F.ltrim(F.ltrim(doi, F.lit("doi:")), F.lit("/"))
     found = F.array_compact(
         F.array(
@@ -43,7 +44,7 @@ def fulltext_candidates(articles: DataFrame) -> DataFrame:
             _candidate(
                 2,
                 F.concat(
-                    F.lit("https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi?db=pmc&id="),
+                    F.lit(FETCH_URL),
                     pmcid,
                     F.lit("&rettype=xml&retmode=xml"),
                 ),
@@ -51,7 +52,7 @@ def fulltext_candidates(articles: DataFrame) -> DataFrame:
                 "pmc",
                 pmcid.isNotNull(),
             ),
-            _candidate(3, F.concat(F.lit("https://doi.org/"), bare_doi), "text/html", "doi", doi.isNotNull()),
+            _candidate(3, F.concat(F.lit(DOI_URL), bare_doi), "text/html", "doi", doi.isNotNull()),
             _candidate(4, pdf_url, "application/pdf", "publisher", pdf_url.isNotNull()),
             _candidate(
                 5, url, "text/html", "publisher", url.isNotNull() & (pdf_url.isNull() | (url != pdf_url))

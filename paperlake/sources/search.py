@@ -136,10 +136,6 @@ def lookup(articles: DataFrame, identifiers: Iterable[str] | DataFrame) -> DataF
     return ranked(by_key.unionByName(by_title), ["identifier"], ["seq"], 1).drop("rank")
 
 
-def abstracts(articles: DataFrame, identifiers: Iterable[str]) -> DataFrame:
-    return lookup(articles, identifiers).select("identifier", "abstract")
-
-
 def institution_feed(
     articles: DataFrame, institutions: Iterable[str], terms: Iterable[str], limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -288,7 +288,7 @@ filled AS (
 parts AS (
   SELECT document_id, string_agg(repeat('#', least(level + 1, 6)::INT) || ' ' || heading || chr(10) || chr(10) || content || chr(10),
     chr(10) ORDER BY section_index) AS body FROM sections GROUP BY document_id)
-SELECT p.document_id, length(body) AS section_length, md5(body) AS section_md5, substr(f.title, 1, 200) AS title
+SELECT p.document_id, length(body) AS section_length, md5(body) AS section_md5, f.title
 FROM parts p JOIN filled f ON f.doc_id = p.document_id""",
 )
 def markdown(spark, sf_dir):
