@@ -16,7 +16,8 @@ are entries of A·Aᵀ. The product is taken in blocks of columns:
 4. Rows of a long column that are still in different components meet, all of
    them outside the column's largest component against the rest, under the same
    bounds and one more: entries that stand in no long column cannot be shared by
-   rows that have not met before. So every pair that could link is either counted, bounded out, or
+   rows that have not met before, so a pair meets in the first column that it
+   shares, and hardly again. So every pair that could link is either counted, bounded out, or
    already in one component: components are exact.
 
 The order of columns decides speed alone, so the sketch may be coarse. Columns
@@ -38,7 +39,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.llm.textbytes import chunks, mix, words
@@ -287,13 +288,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _capped(long: DataFrame, percent: int) -> DataFrame:
-    """``long`` with ``cap``, the most entries that a row can share with one it has met in long columns only.
+    """``long`` with ``cap``: the most entries that a row can share with one it has met in long columns only, if this is the first.
 
-    These are its first entries that stand in long columns, and all entries beyond the first ones.
+    These are its first entries that stand in long columns, from this one on, and
+    all entries beyond the first ones.
     """
-    met = long.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    of_row = Window.partitionBy("id")  # a row of the matrix, as long as its document at most
+    left = F.count(F.lit(1)).over(of_row) - F.row_number().over(of_row.orderBy("place")) + 1
     least = F.floor((percent * F.col("n") + 99) / 100)
-    return long.join(met, "id").withColumn("cap", least - 1 + F.col("met")).where(F.col("cap") >= least).drop("met")
+    return long.withColumn("cap", least - 1 + left).where(F.col("cap") >= least)
 
 
 def _bounds_allow(percent: int) -> Column:
