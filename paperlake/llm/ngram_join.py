@@ -15,9 +15,9 @@ are entries of A·Aᵀ. The product is taken in blocks of columns:
    below the bound of their sizes are discarded.
 4. Rows of a long column that are still in different components meet, all of
    them outside the column's largest component against the rest, under the same
-   bounds and one more: entries that stand in no long column cannot be shared by
-   rows that have not met before, so a pair meets in the first column that it
-   shares, and hardly again. So every pair that could link is either counted, bounded out, or
+   bounds and one more: of the row whose first entries end earlier, those that
+   stand in no long column cannot be shared with a row it has not met before, so a
+   pair meets in the first column that it shares, and hardly again. So every pair that could link is either counted, bounded out, or
    already in one component: components are exact.
 
 The order of columns decides speed alone, so the sketch may be coarse. Columns
@@ -291,7 +291,8 @@ def _capped(long: DataFrame, percent: int) -> DataFrame:
     """``long`` with ``cap``: the most entries that a row can share with one it has met in long columns only, if this is the first.
 
     These are its first entries that stand in long columns, from this one on, and
-    all entries beyond the first ones.
+    all entries beyond the first ones. It holds for partners whose first entries end
+    no earlier in the order of columns.
     """
     of_row = Window.partitionBy("id")  # a row of the matrix, as long as its document at most
     left = F.count(F.lit(1)).over(of_row) - F.row_number().over(of_row.orderBy("place")) + 1
@@ -303,7 +304,9 @@ def _bounds_allow(percent: int) -> Column:
     a, i, b, j = (F.col(c) for c in ("n", "place", "m", "other_place"))
     need = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
     sizes = 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    caps = F.least("cap", "other_cap") >= need
+    # only the cap of the row whose first entries end earlier in the order of columns is a bound: the other row's
+    # first entries may be shared with what lies beyond the first ones of this row
+    caps = F.greatest("cap", "other_cap") >= need
     return sizes & caps & (F.least(i, j) + F.least(a - i, b - j) >= need)
 
 

@@ -118,3 +118,18 @@ def test_candidates_of_a_large_family_grow_linearly():
     table = pa.table({"tokens": pack(tokens), "ids": pack(ids), "meta": pack(meta), "spread": pack(np.zeros(n, np.uint8))})
     found = N._block_product(80)(table)
     assert found.num_rows - found.column("b").null_count == n - 1
+
+
+def test_first_entries_shared_beyond_those_of_the_other_row(spark):
+    """Two similar rows meet in long columns with another hub only, and the first entries of one end later."""
+    r = random.Random(3)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=8)) for _ in range(n)]
+    passage, body, other = words(9), words(99), words(99)
+    docs = [passage + words(1) + other for _ in range(6)]
+    docs += [passage + words(1) + body, passage + words(1) + body + words(14)]
+    docs += [body + other + words(1200) for _ in range(12)]  # make both bodies frequent
+    docs = [(k, " ".join(d)) for k, d in enumerate(docs, start=1)]
+    wanted = components(docs)
+    assert wanted[8] == (119, 7)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(N.near_duplicates(df)) == wanted
