@@ -6,6 +6,13 @@ written back in the same format: card numbers stay valid card numbers, dates
 stay dates. Equal values get equal pseudonyms in every document and task, without
 any table of them, and the key takes a pseudonym back (``restore``).
 
+Where a match fails its check, its shorter ends are tried (for an IBAN first the
+length of its country), then the next start inside it. Such a match would
+make a text ambiguous if it passed with the pseudonym in it; the pseudonym is then
+permuted once more, so it differs there from that of the same value elsewhere.
+Dates with strokes or points are day first if they can be, month first otherwise,
+and stay what they are.
+
 Defined results: a null text stays null with no findings, an empty text stays
 empty; values that fail their check stay as they are; texts are searched whole;
 repeated rows change alike; an empty table gives no rows; columns named like an
@@ -117,7 +124,7 @@ def _card(text: str, cipher: Feistel) -> str | None:
     payload = digits[:-1]
     if luhn_digit(payload) != digits[-1] or not int(digits):
         return None
-    new = str(cipher.permute(int(payload), 10 ** len(payload), b"card%d" % len(payload))).zfill(len(payload))
+    new = str(cipher.permute(int(payload), 10 ** len(payload), b"card%d" % len(payload), bool)).zfill(len(payload))
     return _digits_back(text, new + luhn_digit(new))
 
 
@@ -142,16 +149,23 @@ def _ip(text: str, cipher: Feistel) -> str | None:
 def _date(text: str, cipher: Feistel) -> str | None:
     mark = next(c for c in text if c not in DIGITS)
     parts = text.split(mark)
-    iso = len(parts[0]) == 4
-    try:
-        day = datetime.date(*(int(x) for x in (parts if iso else reversed(parts))))
-    except ValueError:
-        return None
-    if not 0 <= day.toordinal() - FIRST_DAY < DAYS:
-        return None
-    new = datetime.date.fromordinal(cipher.permute(day.toordinal() - FIRST_DAY, DAYS, b"date") + FIRST_DAY)
-    found = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-    return mark.join(found if iso else reversed(found))
+    # places of year, month and day; a date with its day first is tried before one with its month first
+    for year, month, day in ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
+        try:
+            old = datetime.date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal() - FIRST_DAY
+        except ValueError:
+            continue
+        if not 0 <= old < DAYS:
+            return None
+
+        def good(value: int, month_first: bool = month < day < year) -> bool:
+            # a day over 12 is what tells that the month comes first
+            return not month_first or datetime.date.fromordinal(value + FIRST_DAY).day > 12
+
+        new = datetime.date.fromordinal(cipher.permute(old, DAYS, b"date", good) + FIRST_DAY)
+        parts[year], parts[month], parts[day] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        return mark.join(parts)
+    return None
 
 
 def _ssn(text: str, cipher: Feistel) -> str | None:
@@ -192,6 +206,28 @@ def _secret(text: str, cipher: Feistel) -> str | None:
     return text[:mark] + (new.upper() if upper else new) + text[-1]
 
 
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _ends(kind: str, piece: str, match: re.Match) -> list[int]:
+    """Where a value that starts as ``match`` may end, in the order in which ends are tried: never inside a word or number."""
+    start, last = match.span()
+    ends = [last, *(k for k in range(last - 1, start, -1) if piece[k - 1].isalnum() and not piece[k].isalnum())]
+    if kind == "iban":
+        length = IBAN_LENGTHS.get(match[0][:2])
+        ends.sort(key=lambda k: len(piece[start:k].replace(" ", "")) != length)
+    return ends
+
+
 # Kinds in order of precedence: (name, pattern, what makes the pseudonym, or null if the value fails its check).
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("email", r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", _email),
@@ -220,18 +256,42 @@ class Pseudonymiser:
         for name, pattern, make in self.kinds:
             cut: list[tuple[str, bool]] = []
             for piece, done in parts:
-                at = 0
-                for match in () if done else pattern.finditer(piece):
-                    new = make(match[0], self.cipher)
-                    if new is not None:
-                        cut += [(piece[at : match.start()], False), (new, True)]
-                        at = match.end()
-                        found[name] = found.get(name, 0) + 1
+                at = place = 0
+                failed: list[tuple[int, int]] = []  # spans after ``at`` that did not pass and reach beyond ``start``
+                while not done and (match := pattern.search(piece, place)):
+                    start = match.start()
+                    failed = [(a, b) for a, b in failed if b > start]
+                    for end in _ends(name, piece, match):
+                        if end != match.end() and not pattern.fullmatch(piece, start, end):
+                            continue
+                        new = make(piece[start:end], self.cipher)
+                        if new is not None:
+                            break
+                        failed.append((start, end))
+                    else:
+                        place = start + 1
+                        continue
+                    while self._ambiguous(piece, start, end, new, failed, make):
+                        new = make(new, self.cipher)
+                    cut += [(piece[at:start], False), (new, True)]
+                    at = place = end
+                    failed = []
+                    found[name] = found.get(name, 0) + 1
                 cut.append((piece[at:], done))
             parts = cut
         return ("".join(piece for piece, _ in parts) if found else text), found
 
 
+    def _ambiguous(self, piece: str, start: int, end: int, new: str, failed: list[tuple[int, int]], make: Callable) -> bool:
+        """Whether a span that was tried before and failed would pass with ``new`` from start to end, so that it would be taken instead."""
+        shift = len(new) - (end - start)  # addresses may change their length; what fails beside them does so by its form
+        for a, b in failed:
+            text = piece[a:start] + new + piece[end:b] if b >= end else piece[a:start] + new[: b - start]
+            if (b >= end or not shift) and make(text, self.cipher) is not None:
+                return True
+        return False
+
+
 def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", kinds=KINDS, back: bool = False) -> DataFrame:
     """``df`` with pseudonyms in its text, n_pii, and pii_kinds (number of values by kind).
 

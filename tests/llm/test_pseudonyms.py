@@ -91,3 +91,41 @@ def test_nulls_repeats_clashes_and_empty_table(spark):
     got = sorted(((r.doc_id, r.text, r.n_pii) for r in P.pseudonymise(df, b"k").collect()), key=str)
     assert got[0] == (1, None, 0) and got[1] == (2, "", 0) and got[2] == got[3] and got[2][2] == 1
     assert P.pseudonymise(df.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("to ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "ES91 2100 0418 4502 0005 1332", "iban"),
+        ("to BE68 5390 0754 7034 EUR 20", "BE68 5390 0754 7034", "iban"),
+        ("ref AB12 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00", "iban"),
+        ("in 2024 4111 1111 1111 1111, paid", "4111 1111 1111 1111", "card"),
+        ("call +49 30 1234 5678 2024 or so", "+49 30 1234 5678", "phone"),
+        ("ask bob@example.com.5", "bob@example.com", "email"),
+        ("born 12/25/1990.", "12/25/1990", "date"),
+    ],
+)
+def test_values_inside_longer_matches(text, value, kind):
+    """Only the value changes, and the key takes it back, whatever stands beside it."""
+    for key in range(40):
+        new, found = P.Pseudonymiser(b"%d" % key).replace(text)
+        before, after = text.split(value)
+        assert found == {kind: 1} and value not in new and shape(new) == shape(text)
+        assert new.startswith(before) and new.endswith(after)
+        assert P.Pseudonymiser(b"%d" % key, back=True).replace(new) == (text, found)
+
+
+def test_month_first_dates_stay_month_first():
+    worker, back = P.Pseudonymiser(b"k"), P.Pseudonymiser(b"k", back=True)
+    for month in range(1, 13):
+        for day in range(13, 29):
+            text = f"{month:02d}/{day}/1990"
+            new, found = worker.replace(text)
+            assert found == {"date": 1} and datetime.datetime.strptime(new, "%m/%d/%Y").day > 12
+            assert back.replace(new)[0] == text
+
+
+def test_failing_matches_take_linear_time():
+    worker = P.Pseudonymiser(b"k")
+    for unit in ("AA11 ", "1234 ", "a@a.1 ", "+123 4567 8901 2345 6789 ", "99/99/1999 "):
+        worker.replace(unit * 20_000)
