@@ -14,7 +14,9 @@ Defined results: null or empty HTML, and pages without main text, give an empty
 text and 0 characters; character references are decoded; broken nesting is
 repaired as browsers do for paragraphs, list items and cells; a run of white
 space is one space; blocks are joined by one space in page order; scripts,
-styles, comments, form controls and embedded objects never count. Repeated rows
+styles, comments, form controls and embedded objects never count; one that is not
+closed ends with the element around it, with the next of its kind, or, if its end
+tag is missing, at the next block. Repeated rows
 are judged alike; an empty table gives no rows; input columns named like an added
 one are replaced, all others stay.
 """
@@ -40,7 +42,7 @@ CHUNK = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(
-    "script style noscript template head title textarea select option button label iframe object svg canvas audio video math input".split()
+    "script style noscript template head title textarea select datalist option button label iframe object svg canvas audio video math input".split()
 )
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset(
@@ -80,6 +82,8 @@ TAG_GROUPS = {
     for t in ts.split()
 }
 N_GROUPS = 16
+BLOCKS = CLOSES_P | TAG_GROUPS.keys()
+NESTED = frozenset("object svg math canvas audio video template".split())  # skipped elements that may hold their like
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -103,14 +107,16 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     # open elements: (tag, the block node that takes text, whether the element is such a node)
     stack: list[tuple[str, Node, bool]] = [("html", root, True)]
-    skipping = ""
+    skipping, inside, closed = "", [], True  # the skipped element, what is open in it, whether its end tag follows
+    endless: set[str] = set()  # kinds of raw elements without a further end tag
+    last: dict[str, int] = {}
     links = 0
     raw_end = None
     at, size = 0, len(page)
     while at < size:
         if raw_end is not None:
             found = raw_end.search(page, at)
-            at, raw_end, skipping = (found.end() if found else size), None, ""
+            at, raw_end = (found.end() if found else size), None
             continue
         match = _TOKEN.match(page, at)
         at = match.end()
@@ -123,13 +129,32 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if skipping:
-            if match[1] and tag == skipping:
-                skipping = ""
-            elif skipping == "head" and not match[1] and tag not in SKIPPED and tag not in VOID:
+            if match[1]:
+                if tag in inside:
+                    while inside.pop() != tag:
+                        pass
+                    continue
+                if tag == skipping:
+                    skipping = ""
+                    continue
+                if tag not in ("html", "body") and all(t != tag for t, _, _ in stack[1:]):
+                    continue
+                skipping = ""  # an element around it ends
+            elif skipping == "head" and tag not in SKIPPED and tag not in VOID:
                 skipping = ""  # a head that was never closed
+            elif skipping == tag and tag not in NESTED or skipping == "option" and tag == "optgroup":
+                skipping = ""
+            elif not closed and tag in BLOCKS:
+                skipping = ""
             else:
-                continue
-            if match[1]:
+                if not match[3].endswith("/") and tag not in VOID:
+                    raw = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at) if tag in RAW and tag not in endless else None
+                    if raw:
+                        at = raw.end()
+                    elif tag in RAW:
+                        endless.add(tag)
+                    else:
+                        inside.append(tag)
                 continue
         if match[1]:
             for k in range(len(stack) - 1, 0, -1):
@@ -146,7 +171,7 @@ def parse(page: str) -> Node:
             continue
         if tag in SKIPPED:
             if tag not in VOID and not match[3].endswith("/"):
-                skipping = tag
+                skipping, inside, closed = tag, [], _is_closed(page, at, tag, last)
             continue
         if tag in VOID:
             _add_text(stack[-1][1], " " if tag in ("br", "hr") else "", False)
@@ -176,6 +201,16 @@ def parse(page: str) -> Node:
     return root
 
 
+def _is_closed(page: str, at: int, tag: str, last: dict[str, int]) -> bool:
+    """Whether the end tag of the element whose start tag ends at ``at`` follows; ``last`` keeps places of last end tags."""
+    if tag in NESTED:
+        if tag not in last:
+            last[tag] = max((x.start() for x in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return last[tag] >= at
+    found = re.compile(rf"<(/?){tag}[\s/>]", re.I).search(page, at)
+    return found is not None and found[1] == "/"
+
+
 def _close(stack: list, kinds: set, border: set) -> None:
     """End the nearest open element of the kinds, and what is open in it, unless a border stands before it."""
     for k in range(len(stack) - 1, 0, -1):

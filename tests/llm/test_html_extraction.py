@@ -89,3 +89,38 @@ def test_boosting_learns_an_interaction():
     x = random.random((2000, 6))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((fit(x, y, trees=60).scores(x) > 0) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<form><input list=s><datalist id=s><option value=a><option value=b></datalist></form>",
+        "<div><option value=a>A<option value=b>B</div>",
+        "<option>A<optgroup label=x></optgroup>",
+        "<div><button>Go</div>",
+        "<button>Go",
+        "<button><b>Go",
+        "<p><label>Name</p>",
+        "<label>Name <input>",
+        "<div><object data=x><param name=y></div>",
+        "<object data=x>",
+        "<audio src=x><source src=y>",
+        "<select><option>A<option>B",
+    ],
+)
+def test_what_follows_an_unclosed_control_is_read(before):
+    article = "<article><p>First words.</p><div><button><div>no</div>no</button>Last words.</div></article>"
+    root = H.parse(f"<body>{before}{article}</body>")
+    assert H.text_of(root, np.ones(len(H.nodes_of(root)), bool)) == "First words. Last words."
+
+
+def test_closed_controls_are_left_out_whole():
+    page = """<div><button><div>a</div><p>b</button>c<object><object>d</object><p>e</p></object>f<label><b>g</b></i>h</label>i
+    <svg><style>.x > y { </style><title>j</title><g><text>k</g></svg>l<select><option>m<option>n</select>o</div>"""
+    root = H.parse(page)
+    assert H.text_of(root, np.ones(len(H.nodes_of(root)), bool)).split() == ["cfi", "lo"]
+
+
+def test_many_unclosed_controls_take_linear_time():
+    for unit in ("<button>", "<object><p>", "<label><b>", "<svg><style>", "<option>a", "<datalist><p>"):
+        H.parse(unit * 20_000)
