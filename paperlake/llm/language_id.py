@@ -7,10 +7,11 @@ one, as Kneser-Ney asks. The model is sent to the workers as sorted arrays of
 n-gram hashes with log probabilities and back-off weights. A text gets the
 language of the lowest cross-entropy per character.
 
-Counts cover all training rows and grow with them. The model that is broadcast
-holds at most ``max_grams`` 4-grams (the least frequent ones are left to the
-lower orders) and the lower orders of what it was counted from. Calibration
-uses at most ``CALIBRATION_ROWS`` training rows.
+Counts cover all training rows and grow with them. The model that
+is broadcast holds all n-grams of all languages and grows with the distinct ones,
+12 bytes for each and for each context; ``max_grams`` is a limit for callers whose
+memory is short, off by default and not made up for in the back-off weights.
+Calibration uses at most ``CALIBRATION_ROWS`` training rows.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
 and not accepted; without training rows every text is; of languages with equal
@@ -35,7 +36,6 @@ from paperlake.llm.textbytes import mix
 from paperlake.session import cut_lineage
 
 ORDER = 4
-MAX_GRAMS = 1_000_000
 CALIBRATION_ROWS = 1_000
 CALIBRATION_CHARS = 20_000
 ACCEPTED_SHARE = 0.995  # of the calibration rows
@@ -210,19 +210,22 @@ def _find(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.
 
 
 def _arrays(frame: DataFrame, name: str, value: str, order: int, langs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    rows = frame.select("lang", name, F.log(value).alias("v")).toArrow()
-    if order:
-        codes = np.frombuffer("".join(rows[name].to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        hashes = gram_hash(list(codes.reshape(-1, order).T))
-    else:
-        hashes = np.zeros(rows.num_rows, dtype=np.uint64)
-    values, lang = rows["v"].to_numpy(), np.array(rows["lang"].to_pylist(), dtype=object)
-    result = []
-    for one in langs:
-        mine = np.flatnonzero(lang == one)
-        mine = mine[np.argsort(hashes[mine])]
-        result.append((hashes[mine], values[mine].astype(np.float32)))
-    return result
+    """By language, the sorted hashes of ``name`` and the logarithms of ``value``; tasks make the hashes."""
+
+    def run(batches):
+        for batch in batches:
+            codes = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            hashes = gram_hash(list(codes.reshape(-1, order).T)) if order else np.zeros(batch.num_rows, dtype=np.uint64)
+            at = pc.index_in(batch.column("lang"), pa.array(langs, pa.string()))
+            yield pa.RecordBatch.from_arrays([at, pa.array(hashes.view(np.int64)), batch.column("v")], ["at", "hash", "v"])
+
+    rows = frame.select("lang", F.col(name).alias("gram"), F.log(value).cast("float").alias("v"))
+    rows = rows.mapInArrow(run, "at int, hash long, v float").toArrow()
+    at, hashes, values = (rows[c].to_numpy() for c in ("at", "hash", "v"))
+    hashes = hashes.view(np.uint64)
+    order_ = np.lexsort((hashes, at))
+    cuts = np.searchsorted(at[order_], np.arange(1, len(langs)))
+    return [(hashes[mine], values[mine]) for mine in np.split(order_, cuts)]
 
 
 def _cutoff(frame: DataFrame, most: int) -> int:
@@ -237,7 +240,7 @@ def _cutoff(frame: DataFrame, most: int) -> int:
     return cutoff
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None) -> LanguageModel:
     """A model of the languages of ``labelled``; rows with a null text or language are left out."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
@@ -248,7 +251,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     grams, contexts = [[] for _ in langs], [[] for _ in langs]
     models = _kneser_ney(counts)
     for k, (table, context) in enumerate(models, start=1):
-        table = table.where(F.col("c") >= _cutoff(table, max_grams))
+        if max_grams is not None:
+            table = table.where(F.col("c") >= _cutoff(table, max_grams))
         for into, found in ((grams, _arrays(table, "gram", "p", k, langs)), (contexts, _arrays(context, "context", "bow", k - 1, langs))):
             for at, arrays in enumerate(found):
                 into[at].append(arrays)

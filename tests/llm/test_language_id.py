@@ -85,3 +85,14 @@ def test_a_smaller_model_drops_rare_grams(spark):
     df = spark.createDataFrame([("the cat sat on the mat, the end", "en")], "text string, lang string")
     small, full = L.train(df, max_grams=5), L.train(df)
     assert len(small.grams[0][3][0]) <= 5 < len(full.grams[0][3][0])
+
+
+def test_a_hot_language_takes_no_grams_from_a_small_one(spark):
+    """More than a million distinct 4-grams of one language; each of the other occurs once."""
+    r = np.random.default_rng(1)
+    hot = [("".join(map(chr, r.integers(0x4E00, 0x9000, 50_000))), "hot") for _ in range(24)]
+    small = "quick brown foxes jump over lazy dogs"
+    model = L.train(spark.createDataFrame([*hot, (small, "small")], "text string, lang string").repartition(8))
+    padded = "   " + small
+    assert len(model.grams[1][3][0]) == len({padded[k : k + 4] for k in range(len(small))})
+    assert len(model.grams[0][3][0]) > 1_000_000
