@@ -7,11 +7,16 @@ one, as Kneser-Ney asks. The model is sent to the workers as sorted arrays of
 n-gram hashes with log probabilities and back-off weights. A text gets the
 language of the lowest cross-entropy per character.
 
-Counts cover all training rows and grow with them. The model that
+Counts cover all training rows but those held out for calibration. The model that
 is broadcast holds all n-grams of all languages and grows with the distinct ones,
 12 bytes for each and for each context; ``max_grams`` is a limit for callers whose
 memory is short, off by default and not made up for in the back-off weights.
-Calibration uses at most ``CALIBRATION_ROWS`` training rows.
+
+Calibration holds out, per language, the ``CALIBRATION_ROWS`` distinct texts of
+the smallest hashes, a tenth of its distinct texts at most. They are scored in
+tasks, whole; each language gets its own limit of acceptance from its own texts. A
+language of fewer than ten distinct texts takes the highest limit of the others;
+if there are only such languages, all are accepted.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
 and not accepted; without training rows every text is; of languages with equal
@@ -27,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +41,8 @@ from paperlake.llm.textbytes import mix
 from paperlake.session import cut_lineage
 
 ORDER = 4
-CALIBRATION_ROWS = 1_000
-CALIBRATION_CHARS = 20_000
-ACCEPTED_SHARE = 0.995  # of the calibration rows
+CALIBRATION_ROWS = 100  # of a language
+ACCEPTED_SHARE = 0.995  # of the calibration rows of a language
 CHUNK = 1 << 20
 HELD = 400_000  # n-grams a task holds before it sends its counts
 UNKNOWN = "und"
@@ -162,7 +166,7 @@ class LanguageModel:
     contexts: list[list[tuple[np.ndarray, np.ndarray]]]
     floor: list[float]
     sharpness: float = 1.0
-    accepted: float = np.inf
+    accepted: np.ndarray | None = None  # by language, the highest entropy of an accepted prediction
 
     def log_probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """One row per n-gram, one column per language."""
@@ -240,11 +244,22 @@ def _cutoff(frame: DataFrame, most: int) -> int:
     return cutoff
 
 
+def _with_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``h``, a hash of the text, and ``apart``: whether it is held out for calibration."""
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # ten times the sample tells how many distinct texts there are where they are few; Spark limits ranks in the tasks
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= 10 * CALIBRATION_ROWS).select("lang", "h")
+    least = least.groupBy("lang").agg(F.sort_array(F.collect_set("h")).alias("hashes")).where(F.size("hashes") >= 10)
+    last = cut_lineage(least.select("lang", F.element_at("hashes", (F.size("hashes") / 10).cast("int")).alias("last")))
+    return rows.join(F.broadcast(last), "lang", "left").withColumn("apart", F.coalesce(F.col("h") <= F.col("last"), F.lit(False)))
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None) -> LanguageModel:
     """A model of the languages of ``labelled``; rows with a null text or language are left out."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = cut_lineage(count_grams(rows))
+    rows = _with_apart(rows.where("text IS NOT NULL AND lang IS NOT NULL"))
+    counts = cut_lineage(count_grams(rows.where("NOT apart").select("text", "lang")))
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], [], [], [])
@@ -257,19 +272,34 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
             for at, arrays in enumerate(found):
                 into[at].append(arrays)
     model = LanguageModel(langs, grams, contexts, [float(contexts[at][0][1][0]) - np.log(1e4) for at in range(len(langs))])
-    return _calibrated(model, rows)
+    return _calibrated(model, rows.where("apart").select("text", "lang", "h"))
+
 
+def _calibrated(model: LanguageModel, sample: DataFrame) -> LanguageModel:
+    """Choose how sharply entropies become scores, and by language the entropy beyond which a prediction is not accepted."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
-def _calibrated(model: LanguageModel, rows: DataFrame) -> LanguageModel:
-    """Choose how sharply entropies become scores, and the entropy beyond which a prediction is not accepted."""
-    # take() starts with one task, and asks for more only if that has too few rows
-    sample = rows.select("text", "lang").where(F.length("text") <= CALIBRATION_CHARS).take(CALIBRATION_ROWS)
-    entropies, n = model.cross_entropies([r.text for r in sample])
-    right = np.array([model.langs.index(r.lang) for r in sample], dtype=int)
-    entropies, right = entropies[n > 0], right[n > 0]
-    if not len(right):
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            for part in _text_slices(batch, "text"):
+                keys = list(zip(part.column("lang").to_pylist(), part.column("h").to_pylist()))
+                new = [key not in seen and not seen.add(key) for key in keys]
+                part = part.filter(pa.array(new, pa.bool_()))
+                found, n = shared.value.cross_entropies(part.column("text").to_pylist())
+                entropies = pa.array(list(found), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(n, pa.int64()), entropies], ["lang", "h", "n", "entropies"])
+
+    scored = sample.mapInArrow(run, "lang string, h long, n long, entropies array<double>").where("n > 0")
+    scored = [r for r in scored.dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect() if r.lang in model.langs]
+    model.accepted = np.full(len(model.langs), np.inf)
+    if not scored:
         return model
-    model.accepted = float(np.quantile(entropies.min(axis=1), ACCEPTED_SHARE) * 1.1)
+    entropies = np.array([r.entropies for r in scored])
+    right = np.array([model.langs.index(r.lang) for r in scored])
+    for at in set(right.tolist()):
+        model.accepted[at] = np.quantile(entropies[right == at, at], ACCEPTED_SHARE) * 1.1
+    model.accepted[np.isinf(model.accepted)] = model.accepted[np.isfinite(model.accepted)].max()
 
     def loss(sharpness: float) -> float:
         model.sharpness = sharpness
@@ -304,7 +334,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                     "lang_pred": pa.array(names[lang].tolist(), pa.string()),
                     "score": pa.array(score),
                     "cross_entropy": pa.array(entropy, mask=np.isnan(entropy)),
-                    "accepted": pa.array(np.nan_to_num(entropy, nan=np.inf) <= model.accepted) if model.langs else pa.array(np.zeros(len(lang), bool)),
+                    "accepted": pa.array(entropy <= np.append(model.accepted, 0.0)[lang]) if model.langs else pa.array(np.zeros(len(lang), bool)),
                 }
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns.values()], out.names)
 

@@ -96,3 +96,20 @@ def test_a_hot_language_takes_no_grams_from_a_small_one(spark):
     padded = "   " + small
     assert len(model.grams[1][3][0]) == len({padded[k : k + 4] for k in range(len(small))})
     assert len(model.grams[0][3][0]) > 1_000_000
+
+
+def test_calibration_sees_every_language_of_an_ordered_table(spark):
+    """A language of few letters comes first, one of many letters (more nats a character) last."""
+    r = np.random.default_rng(2)
+    text = lambda first, n: "".join(map(chr, first + r.integers(0, n, 300)))
+    rows = [(k, text(97, 4), "low") for k in range(1200)] + [(k, text(0x4E00, 500), "high") for k in range(1200, 1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = L.train(df)
+    assert model.accepted[0] > 2 * model.accepted[1]
+    fresh = [(k, text(97, 4) if k % 2 else text(0x4E00, 500)) for k in range(200)]
+    found = L.predict(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()
+    assert all(x.lang_pred == ("low" if x.doc_id % 2 else "high") for x in found)
+    assert sum(x.accepted for x in found) >= 195
+    # held out: a text of the sample is not in the counts
+    apart = L._with_apart(df.select("text", "lang")).where("apart").groupBy("lang").count().collect()
+    assert {x.lang: x["count"] for x in apart} == {"low": 100, "high": 40}
