@@ -5,7 +5,8 @@ Parquet and read again as the next one's docs. All but the last return the
 columns of ``documents``. Every stage judges whole texts of all rows it is given.
 
 Defined results: rows with a null doc_id are never merged with others; rows
-repeated with the same doc_id become one in the second stage; null and empty
+repeated with the same doc_id become one in the second stage, of different texts
+the smallest; null and empty
 texts fail the first stage; an empty table passes through all stages.
 """
 
@@ -44,7 +45,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id stays."""
     docs = docs.select(*COLUMNS)
     first = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    kept = kept.select("doc_id", "row.*")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 

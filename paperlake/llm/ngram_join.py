@@ -11,14 +11,17 @@ are entries of A·Aᵀ. The product is taken in blocks of columns:
 3. Inside a block, rows that share a column are candidates if the bounds
    derived from their sizes and positions allow it. In a long column, rows
    meet the row that holds it earliest only; that is the hub of a family of
-   copies. For each candidate the overlap is counted over whole rows and pairs
-   below the bound of their sizes are discarded.
+   copies, and each row keeps one hub, that of its longest column. For each
+   candidate the overlap is counted over whole rows and pairs below the bound of
+   their sizes are discarded.
 4. Rows of a long column that are still in different components meet, all of
-   them outside the column's largest component against the rest, under the same
-   bounds and one more: of the row whose first entries end earlier, those that
-   stand in no long column cannot be shared with a row it has not met before, so a
-   pair meets in the first column that it shares, and hardly again. So every pair that could link is either counted, bounded out, or
-   already in one component: components are exact.
+   them outside the column's largest component against the rest, under two
+   bounds that hold in the first column that a pair shares: nothing before it is
+   shared, so what follows it in the shorter rest must be enough; and of the row
+   whose first entries end earlier in the order of columns, those that stand in
+   no long column cannot be shared with a row it has not met before. So every
+   pair that could link is counted, bounded out, or already in one component:
+   components are exact.
 
 The order of columns decides speed alone, so the sketch may be coarse. Columns
 so frequent that a block would overflow are spread over blocks by document.
@@ -26,8 +29,9 @@ so frequent that a block would overflow are spread over blocks by document.
 Defined results: without words, or with a null text, the set is empty and linked
 with nothing; with fewer words than ``width`` the whole sequence is one n-gram; a
 null id gives a null component and links with nothing; repeated rows are one
-document (rows of one id must have one text); an empty table gives no rows;
-extra columns are ignored. N-grams are told apart by 64-bit hashes, sets by
+document; of rows of one id with different texts each has its own size, and the
+set of the smallest digest decides the component of all; an empty table gives no
+rows; extra columns are ignored. N-grams are told apart by 64-bit hashes, sets by
 128-bit digests.
 """
 
@@ -147,14 +151,15 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
     """The first entries of each row, packed by block of columns; a task sends equal sets once."""
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        tokens, ids, sizes, places, spread = (np.concatenate(x) for x in zip(*held))
+        tokens, ids, sizes, places, ends, spread = (np.concatenate(x) for x in zip(*held))
         block = (mix(tokens) % np.uint64(blocks)).astype(np.int64)
         block = (block + np.where(spread > 1, mix(ids.view(np.uint64)) % spread, np.uint64(0)).astype(np.int64)) % blocks
         order = np.argsort(block, kind="stable")
         cuts = np.flatnonzero(np.diff(block[order])) + 1
         columns = {"block": pa.array(block[order][np.concatenate([[0], cuts])].astype(np.int32))}
         meta = (sizes << 32) | places
-        for name, values in (("tokens", tokens), ("ids", ids), ("meta", meta), ("spread", (spread > 1).astype(np.uint8))):
+        of = {"tokens": tokens, "ids": ids, "meta": meta, "ends": ends, "spread": (spread > 1).astype(np.uint8)}
+        for name, values in of.items():
             columns[name] = pa.array([part.tobytes() for part in np.split(values[order], cuts)], pa.binary())
         return pa.RecordBatch.from_pydict(columns)
 
@@ -173,7 +178,8 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
                     first = np.argsort(count, kind="stable")[: prefix_length(n, percent)]
                     spread = (count[first] // most + 1).astype(np.uint64)
                     k = len(first)
-                    held.append((found[first], np.full(k, id_), np.full(k, n), np.arange(k), spread))
+                    end = _order_key(count[first[-1:]], found[first[-1:]])
+                    held.append((found[first], np.full(k, id_), np.full(k, n), np.arange(k), np.repeat(end, k), spread))
                     size += k
                     if size >= FLUSH:
                         yield packed(held)
@@ -181,7 +187,12 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
         if held:
             yield packed(held)
 
-    return docs.mapInArrow(run, "block int, tokens binary, ids binary, meta binary, spread binary")
+    return docs.mapInArrow(run, "block int, tokens binary, ids binary, meta binary, ends binary, spread binary")
+
+
+def _order_key(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers in the order of columns, rarest first; columns that share one may stand in either order."""
+    return (np.minimum(counts, 2**31 - 1).astype(np.int64) << 32) | (hashes >> np.uint64(32)).astype(np.int64)
 
 
 def _possible(a, i, b, j, percent: int, least=np.minimum, most=np.maximum):
@@ -190,21 +201,28 @@ def _possible(a, i, b, j, percent: int, least=np.minimum, most=np.maximum):
     return (100 * least(a, b) >= percent * most(a, b)) & (before + after >= least_overlap(a, b, percent))
 
 
+def _candidates(ids, sizes, places, left, right, percent: int, length=None) -> pd.DataFrame:
+    """(row, other, length of the column that names a hub, else 0) of entries that may stand in similar rows."""
+    good = _possible(sizes[left], places[left], sizes[right], places[right], percent) & (ids[left] != ids[right])
+    length = np.zeros(len(left), np.int64) if length is None else length
+    return pd.DataFrame({"row": ids[right[good]], "other": ids[left[good]], "length": length[good]})
+
+
 def _block_product(percent: int):
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
         tokens, ids, meta = join("tokens", np.uint64), join("ids", np.int64), join("meta", np.int64)
-        spread = join("spread", np.uint8)
+        ends, spread = join("ends", np.int64), join("spread", np.uint8)
         order = np.argsort(tokens, kind="stable")
         same = tokens[order][1:] == tokens[order][:-1]
         keep = spread[order] > 0
         keep[1:] |= same
         keep[:-1] |= same
         kept = order[keep]
-        tokens, ids, meta, spread = tokens[kept], ids[kept], meta[kept], spread[kept]
+        tokens, ids, meta, ends, spread = (x[kept] for x in (tokens, ids, meta, ends, spread))
         sizes, places = meta >> 32, meta & 0xFFFFFFFF
         order = np.lexsort((ids, places, tokens))
-        tokens, ids, sizes, places, spread = (x[order] for x in (tokens, ids, sizes, places, spread))
+        tokens, ids, sizes, places, ends, spread = (x[order] for x in (tokens, ids, sizes, places, ends, spread))
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
         lengths = np.diff(np.append(starts, len(tokens)))
         run_start, run_length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
@@ -213,24 +231,28 @@ def _block_product(percent: int):
         for step in range(1, SHORT_COLUMN):
             left = at[(run_length <= SHORT_COLUMN) & (at + step < run_start + run_length)]
             pairs.append((left, left + step))
-        star = at[(run_length > SHORT_COLUMN) & (at > run_start)]
-        pairs.append((run_start[star], star))
         left, right = (np.concatenate(x) for x in zip(*pairs))
-        good = _possible(sizes[left], places[left], sizes[right], places[right], percent) & (ids[left] != ids[right])
-        left, right = left[good], right[good]
-        found = pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
-        found = found.drop_duplicates()
+        near = _candidates(ids, sizes, places, left, right, percent)
+        near = near.drop_duplicates(["row", "other"])
+        star = at[(run_length > SHORT_COLUMN) & (at > run_start)]
+        hubs = _candidates(ids, sizes, places, run_start[star], star, percent, run_length[star])
+        hubs = hubs.sort_values("length", kind="stable").drop_duplicates("row", keep="last")
         long = (run_length > SHORT_COLUMN) | (spread > 0)
+        met = pd.concat([near, hubs])
+        gap = np.zeros(len(met), np.int64)
+        column = lambda first, last: pa.array(np.concatenate([first, last]))
         return pa.table(
             {
-                "token": pa.array(np.concatenate([np.zeros(len(found), np.int64), tokens[long].view(np.int64)])),
-                "a": pa.array(np.concatenate([found["a"].to_numpy(np.int64), ids[long]])),
+                "token": column(gap, tokens[long].view(np.int64)),
+                "a": column(met["row"].to_numpy(np.int64), ids[long]),
                 "b": pa.array(
-                    np.concatenate([found["b"].to_numpy(np.int64), np.zeros(long.sum(), np.int64)]),
-                    mask=np.arange(len(found) + long.sum()) >= len(found),
+                    np.concatenate([met["other"].to_numpy(np.int64), np.zeros(long.sum(), np.int64)]),
+                    mask=np.arange(len(met) + long.sum()) >= len(met),
                 ),
-                "n": pa.array(np.concatenate([np.zeros(len(found), np.int64), sizes[long]])),
-                "place": pa.array(np.concatenate([np.zeros(len(found), np.int64), places[long]])),
+                "length": column(met["length"].to_numpy(np.int64), np.zeros(long.sum(), np.int64)),
+                "n": column(gap, sizes[long]),
+                "place": column(gap, places[long]),
+                "ends": column(gap, ends[long]),
             }
         )
 
@@ -280,11 +302,16 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             for row, rows, data, offsets in chunks(batch.column("text")):
                 entries = [s.tobytes() for s in shingle_sets(data, offsets, width)]
                 yield pa.RecordBatch.from_pydict(
-                    {"id": batch.column("id").slice(row, rows), "entries": pa.array(entries, pa.binary())}
+                    {
+                        "id": batch.column("id").slice(row, rows),
+                        "digest": pa.array([hashlib.blake2b(e, digest_size=16).digest() for e in entries], pa.binary()),
+                        "entries": pa.array(entries, pa.binary()),
+                    }
                 )
 
-    found = docs.mapInArrow(run, "id long, entries binary").join(ids.distinct(), "id", "left_semi")
-    return found.dropDuplicates(["id"])
+    found = docs.mapInArrow(run, "id long, digest binary, entries binary").where("length(entries) > 0")
+    found = found.join(ids.distinct(), "id", "left_semi")
+    return found.groupBy("id").agg(F.min(F.struct("digest", "entries")).alias("set")).select("id", "set.entries")
 
 
 def _capped(long: DataFrame, percent: int) -> DataFrame:
@@ -297,17 +324,19 @@ def _capped(long: DataFrame, percent: int) -> DataFrame:
     of_row = Window.partitionBy("id")  # a row of the matrix, as long as its document at most
     left = F.count(F.lit(1)).over(of_row) - F.row_number().over(of_row.orderBy("place")) + 1
     least = F.floor((percent * F.col("n") + 99) / 100)
-    return long.withColumn("cap", least - 1 + left).where(F.col("cap") >= least)
+    return long.withColumn("cap", least - 1 + left)
 
 
 def _bounds_allow(percent: int) -> Column:
+    """Whether a pair that first meets in this column can be similar."""
     a, i, b, j = (F.col(c) for c in ("n", "place", "m", "other_place"))
     need = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
     sizes = 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    # only the cap of the row whose first entries end earlier in the order of columns is a bound: the other row's
-    # first entries may be shared with what lies beyond the first ones of this row
-    caps = F.greatest("cap", "other_cap") >= need
-    return sizes & caps & (F.least(i, j) + F.least(a - i, b - j) >= need)
+    # of the row whose first entries end later, one may be shared with what lies beyond the first ones of the other
+    cap = F.when(F.col("ends") < F.col("other_ends"), F.col("cap")).when(
+        F.col("ends") > F.col("other_ends"), F.col("other_cap")
+    )
+    return sizes & (F.least(a - i, b - j) >= need) & (F.coalesce(cap, F.greatest("cap", "other_cap")) >= need)
 
 
 def near_duplicates(
@@ -327,24 +356,28 @@ def near_duplicates(
     entries = rows.agg(F.sum(F.lit(1) + F.col("n") * (100 - percent) / 100)).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, int(entries / block) + 1)
 
-    full = rows.where("n > 0 AND id IS NOT NULL")
+    full = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("digest", "n")).alias("set"))
+    full = full.select("id", "set.*")
     classes = full.groupBy("digest", "n").agg(F.min("id").alias("class"))
-    member = full.join(classes, ["digest", "n"]).select("id", "class").distinct()
+    member = full.join(classes, ["digest", "n"]).select("id", "class")
 
     shared = (
         _entries(docs, sketch, blocks, width, percent, block)
         .groupBy("block")
-        .applyInArrow(_block_product(percent), "token long, a long, b long, n long, place long")
+        .applyInArrow(_block_product(percent), "token long, a long, b long, length long, n long, place long, ends long")
     )
     shared = cut_lineage(shared)
     of = lambda c: member.select(F.col("id").alias(c), F.col("class").alias(f"{c}_class"))
-    pairs = shared.where("b IS NOT NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    met = shared.where("b IS NOT NULL")
+    hub = met.where("length > 0").groupBy("a").agg(F.max_by("b", F.struct("length", -F.col("b"))).alias("b"))
+    pairs = met.where("length = 0").select("a", "b").union(hub).distinct().join(of("a"), "a").join(of("b"), "b")
     pairs = pairs.where("a_class <> b_class").select(
         F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")
     )
     pairs = cut_lineage(pairs.distinct())
     long = shared.where("b IS NULL").join(of("a"), "a")
-    long = cut_lineage(_capped(long.select("token", F.col("a_class").alias("id"), "n", "place").distinct(), percent))
+    long = long.select("token", F.col("a_class").alias("id"), "n", "place", "ends").distinct()
+    long = cut_lineage(_capped(long, percent))
 
     links = cut_lineage(_linked(pairs, docs, width, percent))
     part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -374,7 +407,7 @@ def _late_pairs(long: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     open_ = placed.join(largest, "token")
     other = open_.select(
         "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"),
-        F.col("cap").alias("other_cap"), F.col("component").alias("other_component"),
+        F.col("ends").alias("other_ends"), F.col("cap").alias("other_cap"), F.col("component").alias("other_component"),
     )
     once = (F.col("other_component") == F.col("largest")) | (F.col("id") < F.col("other"))
     return (

@@ -115,7 +115,7 @@ def test_candidates_of_a_large_family_grow_linearly():
     tokens, ids = np.full(n, 7, dtype=np.uint64), np.arange(n)
     meta = (np.full(n, 100) << 32) | np.minimum(np.arange(n), 5)
     pack = lambda x: pa.array([x.tobytes()], pa.binary())
-    table = pa.table({"tokens": pack(tokens), "ids": pack(ids), "meta": pack(meta), "spread": pack(np.zeros(n, np.uint8))})
+    table = pa.table({"tokens": pack(tokens), "ids": pack(ids), "meta": pack(meta), "ends": pack(np.zeros(n, np.int64)), "spread": pack(np.zeros(n, np.uint8))})
     found = N._block_product(80)(table)
     assert found.num_rows - found.column("b").null_count == n - 1
 
@@ -133,3 +133,29 @@ def test_first_entries_shared_beyond_those_of_the_other_row(spark):
     assert wanted[8] == (119, 7)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert result(N.near_duplicates(df)) == wanted
+
+
+def test_many_dissimilar_rows_share_a_passage(spark):
+    """No pair of them is similar, so none may be left for the last join; the few similar ones are found."""
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=8)) for _ in range(n)]
+    passage = words(60)
+    docs = [words(5) + passage + words(25) for _ in range(300)]
+    docs += [docs[0][:88] + words(2), docs[1][:87] + words(3), docs[1][3:]]
+    docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert result(N.near_duplicates(df)) == components(docs)
+
+
+def test_one_id_with_different_texts(spark):
+    r = random.Random(5)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=8)) for _ in range(n)]
+    one, two = words(50), words(50)
+    docs = [(1, one), (2, one[:49]), (2, two), (3, two[1:]), (3, two[1:]), (4, words(7))]
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in docs], "doc_id long, text string")
+    for parts in (1, 5):
+        rows = N.near_duplicates(df.repartition(parts)).collect()
+        assert sorted((x.doc_id, x.n_shingles) for x in rows) == [(1, 46), (2, 45), (2, 46), (3, 45), (3, 45), (4, 3)]
+        of = {x.doc_id: x.component_id for x in rows}
+        assert of[4] == 4 and (of[1], of[2], of[3]) in ((1, 1, 3), (1, 2, 2))
+        assert len({(x.doc_id, x.component_id) for x in rows}) == 4
