@@ -64,6 +64,22 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, with ASCII capitals as small letters, and where each text begins and the last ends."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, dtype=np.uint8)
+    return lower_bytes(data[offsets[0] : offsets[-1]]), offsets - offsets[0]
+
+
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """ASCII capitals as small letters."""
+    return _LOWER[data]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand."""
     up, down = _power_tables(len(data))
