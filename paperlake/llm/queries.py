@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from paperlake.llm import quality_classifier
+from paperlake.llm.collocations import phrases, phrases_sql
 from paperlake.llm.html_extraction import extract_text
 from paperlake.llm.language_id import held_out, predict, train
 from paperlake.llm.mixing import mix_sources, mixing_sql
@@ -16,6 +18,7 @@ from paperlake.llm.sentencepiece_model import decode, encode
 from paperlake.llm.token_counts import count_tokens
 from paperlake.llm.url_filter import Rule, judge_urls, rules_sql
 from paperlake.llm.vp_search import nearest
+from paperlake.llm.whitening import fit, identity_error, whiten
 
 MODEL = "piece_bpe_32k.model"
 
@@ -114,3 +117,31 @@ def op4_mixing(spark, sf_dir):
 @query("op1_html_extraction")
 def op1_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    model = fit(vectors, components=32)
+    whitened = whiten(vectors, model).select("vec_id", "deviation", "whitened")
+    explained = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    rows = whitened.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("k")).alias("explained"), F.lit(identity_error(whitened, model)).alias("identity_error"),
+    )
+
+
+@query("op13_phrases", phrases_sql())
+def op13_phrases(spark, sf_dir):
+    return phrases(table(spark, sf_dir, "documents").select("text", "lang"), top=2000)
+
+
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    apart = F.coalesce(quality_classifier.held_out(F.col("doc_id")), F.lit(False))
+    model = quality_classifier.train(docs, labels.where(~apart))
+    found = quality_classifier.predict(docs.select("doc_id", "text", apart.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "score", "predicted")
