@@ -151,16 +151,28 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
     """The first entries of each row, packed by block of columns; a task sends equal sets once."""
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        tokens, ids, sizes, places, ends, spread = (np.concatenate(x) for x in zip(*held))
+        tokens, spread = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        ids, sizes, ends = (np.array([h[k] for h in held]) for k in (2, 3, 4))
+        lengths = np.array([len(h[0]) for h in held])
+        row = np.repeat(np.arange(len(held)), lengths)
+        places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         block = (mix(tokens) % np.uint64(blocks)).astype(np.int64)
-        block = (block + np.where(spread > 1, mix(ids.view(np.uint64)) % spread, np.uint64(0)).astype(np.int64)) % blocks
+        own = mix(ids.view(np.uint64))[row]
+        block = (block + np.where(spread > 1, own % spread, np.uint64(0)).astype(np.int64)) % blocks
         order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order])) + 1
-        columns = {"block": pa.array(block[order][np.concatenate([[0], cuts])].astype(np.int32))}
-        meta = (sizes << 32) | places
-        of = {"tokens": tokens, "ids": ids, "meta": meta, "ends": ends, "spread": (spread > 1).astype(np.uint8)}
-        for name, values in of.items():
-            columns[name] = pa.array([part.tobytes() for part in np.split(values[order], cuts)], pa.binary())
+        block, row = block[order], row[order]
+        run = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (row[1:] != row[:-1])]))  # a row in a block
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        run_cuts = np.searchsorted(run, cuts)
+        of = {  # numbers of a row are sent once for each block it has entries in
+            "tokens": (tokens[order], cuts), "places": (places[order].astype("<u4"), cuts),
+            "spread": ((spread[order] > 1).astype(np.uint8), cuts), "ids": (ids[row[run]], run_cuts),
+            "sizes": (sizes[row[run]].astype("<u4"), run_cuts), "ends": (ends[row[run]], run_cuts),
+            "runs": (np.diff(np.append(run, len(row))).astype("<u4"), run_cuts),
+        }
+        columns = {"block": pa.array(block[np.concatenate([[0], cuts])].astype(np.int32))}
+        for name, (values, at) in of.items():
+            columns[name] = pa.array([part.tobytes() for part in np.split(values, at)], pa.binary())
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches):
@@ -177,22 +189,21 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
                     count = counts[_cells(found)]
                     first = np.argsort(count, kind="stable")[: prefix_length(n, percent)]
                     spread = (count[first] // most + 1).astype(np.uint64)
-                    k = len(first)
-                    end = _order_key(count[first[-1:]], found[first[-1:]])
-                    held.append((found[first], np.full(k, id_), np.full(k, n), np.arange(k), np.repeat(end, k), spread))
-                    size += k
+                    held.append((found[first], spread, id_, n, _order_key(count[first[-1]], found[first[-1]])))
+                    size += len(first)
                     if size >= FLUSH:
                         yield packed(held)
                         held, size = [], 0
         if held:
             yield packed(held)
 
-    return docs.mapInArrow(run, "block int, tokens binary, ids binary, meta binary, ends binary, spread binary")
+    names = ("tokens", "places", "spread", "ids", "sizes", "ends", "runs")
+    return docs.mapInArrow(run, ", ".join(["block int", *(f"{name} binary" for name in names)]))
 
 
-def _order_key(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Numbers in the order of columns, rarest first; columns that share one may stand in either order."""
-    return (np.minimum(counts, 2**31 - 1).astype(np.int64) << 32) | (hashes >> np.uint64(32)).astype(np.int64)
+def _order_key(count: np.uint32, hash_: np.uint64) -> np.float32:
+    """A number in the order of columns, rarest first; columns that share one may stand in either order."""
+    return np.float32(float(count) + float(hash_) / 2**64)
 
 
 def _possible(a, i, b, j, percent: int, least=np.minimum, most=np.maximum):
@@ -211,16 +222,18 @@ def _candidates(ids, sizes, places, left, right, percent: int, length=None) -> p
 def _block_product(percent: int):
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-        tokens, ids, meta = join("tokens", np.uint64), join("ids", np.int64), join("meta", np.int64)
-        ends, spread = join("ends", np.int64), join("spread", np.uint8)
+        tokens, spread = join("tokens", np.uint64), join("spread", np.uint8)
+        runs = join("runs", "<u4")
+        ids, ends = (np.repeat(join(c, kind), runs) for c, kind in (("ids", np.int64), ("ends", np.float32)))
+        sizes = np.repeat(join("sizes", "<u4"), runs).astype(np.int64)
+        places = join("places", "<u4").astype(np.int64)
         order = np.argsort(tokens, kind="stable")
         same = tokens[order][1:] == tokens[order][:-1]
         keep = spread[order] > 0
         keep[1:] |= same
         keep[:-1] |= same
         kept = order[keep]
-        tokens, ids, meta, ends, spread = (x[kept] for x in (tokens, ids, meta, ends, spread))
-        sizes, places = meta >> 32, meta & 0xFFFFFFFF
+        tokens, ids, sizes, places, ends, spread = (x[kept] for x in (tokens, ids, sizes, places, ends, spread))
         order = np.lexsort((ids, places, tokens))
         tokens, ids, sizes, places, ends, spread = (x[order] for x in (tokens, ids, sizes, places, ends, spread))
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
@@ -252,7 +265,7 @@ def _block_product(percent: int):
                 "length": column(met["length"].to_numpy(np.int64), np.zeros(long.sum(), np.int64)),
                 "n": column(gap, sizes[long]),
                 "place": column(gap, places[long]),
-                "ends": column(gap, ends[long]),
+                "ends": column(gap.astype(np.float32), ends[long]),
             }
         )
 
@@ -364,7 +377,7 @@ def near_duplicates(
     shared = (
         _entries(docs, sketch, blocks, width, percent, block)
         .groupBy("block")
-        .applyInArrow(_block_product(percent), "token long, a long, b long, length long, n long, place long, ends long")
+        .applyInArrow(_block_product(percent), "token long, a long, b long, length long, n long, place long, ends float")
     )
     shared = cut_lineage(shared)
     of = lambda c: member.select(F.col("id").alias(c), F.col("class").alias(f"{c}_class"))

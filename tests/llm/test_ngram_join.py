@@ -113,9 +113,9 @@ def test_candidates_of_a_large_family_grow_linearly():
 
     n = 3000
     tokens, ids = np.full(n, 7, dtype=np.uint64), np.arange(n)
-    meta = (np.full(n, 100) << 32) | np.minimum(np.arange(n), 5)
-    pack = lambda x: pa.array([x.tobytes()], pa.binary())
-    table = pa.table({"tokens": pack(tokens), "ids": pack(ids), "meta": pack(meta), "ends": pack(np.zeros(n, np.int64)), "spread": pack(np.zeros(n, np.uint8))})
+    column = {"tokens": tokens, "ids": ids, "sizes": np.full(n, 100, "<u4"), "places": np.minimum(np.arange(n), 5).astype("<u4"),
+              "ends": np.zeros(n, np.float32), "spread": np.zeros(n, np.uint8), "runs": np.ones(n, "<u4")}
+    table = pa.table({name: pa.array([x.tobytes()], pa.binary()) for name, x in column.items()})
     found = N._block_product(80)(table)
     assert found.num_rows - found.column("b").null_count == n - 1
 
