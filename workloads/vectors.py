@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.functions.vectors import cosine, l2norm
-from paperlake.operators import retrieval
+from paperlake.operators import graph_search, retrieval
 from paperlake.operators.chunking import chunk_fixed
 from workloads.documents import FIXED
 from workloads.registry import workload
@@ -114,6 +114,20 @@ def nearest_in_partitions(spark, sf_dir):
     return rounded(found)
 
 
+@workload(
+    "vector_search_graph",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(greatest(list_cosine_similarity(q.v, c.v), 0), 12) AS score FROM v q, v c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
+)
+def vector_search_graph(spark, sf_dir):
+    """Every vector as a query through the graph; so few vectors are all found, of more some may be missed."""
+    vectors = chunk_vectors(spark, sf_dir)
+    asked = vectors.select(F.col("chunk_id").alias("query_id"), "embedding")
+    return rounded(graph_search.vector_search_graph(asked, vectors, 10))
+
+
 @workload(
     "cosine_to_centroid",
     f"""WITH {CENTROIDS}
