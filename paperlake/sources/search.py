@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
+from paperlake.functions.terms import match_terms
 from paperlake.functions.text import canonical_doi, contains_any, identity_key, labels_where, let, text_of
 
-GRAM = 3  # characters by which texts and a frame of terms meet
-
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int | None) -> DataFrame:
     """The first ``limit`` rows per key with their rank; all rows, unranked, without a limit.
@@ -24,27 +23,6 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int | Non
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """Every row of ``texts`` with every row of ``terms`` whose term occurs in its text, case ignored.
-
-    For dictionaries and query batches of any size: a text meets the terms that
-    start with one of its character trigrams, and is then searched for those
-    alone. Terms shorter than that meet on all of their characters. Both frames
-    keep their columns, which must have different names; empty terms match nothing.
-    """
-    lowered = terms.withColumn("_term", F.lower(term_col)).where("_term <> ''")
-    keyed = lowered.withColumn("_gram", F.substring("_term", 1, GRAM))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-
-    def grams(t):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
-        each = F.transform(starts, lambda i: F.array(*[F.substring(t, i, F.lit(n)) for n in range(1, GRAM + 1)]))
-        return F.array_distinct(F.flatten(each))
-
-    met = explode_once(texts.withColumn("_text", text), let(text, grams), "_gram").join(keyed, "_gram")
-    return met.where(F.contains("_text", "_term")).drop("_gram", "_text", "_term")
-
-
 def split_terms(query: str) -> list[str]:
     return [term.strip().lower() for term in query.split(" OR ") if term.strip()]
 
@@ -137,17 +115,22 @@ def lookup(articles: DataFrame, identifiers: Iterable[str] | DataFrame) -> DataF
 
 
 def institution_feed(
-    articles: DataFrame, institutions: Iterable[str], terms: Iterable[str], limit: int | None = None
+    articles: DataFrame, institutions: Iterable[str] | DataFrame, terms: Iterable[str], limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(articles, authors tagged with the institution): one article per institution and DOI.
 
-    Articles without a DOI count as one DOI. With a ``limit`` only the first
+    ``institutions`` are names, or a frame with a column ``institution`` for any number of them. Articles without a DOI count as one DOI. With a ``limit`` only the first
     articles per institution and source are taken.
     """
     text = text_of("title", "abstract", "affiliation")
-    named = articles.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(institutions)], "institution string")
-    searched = articles.drop("institution").where(contains_any(text, terms)).withColumn("_searched", text)
-    matched = match_terms(searched, named, "_searched", "institution").drop("_searched")
+    searched = articles.drop("institution").where(contains_any(text, terms))
+    if isinstance(institutions, DataFrame):
+        named = institutions.select("institution").distinct()
+        matched = match_terms(searched.withColumn("_searched", text), named, "_searched", "institution").drop("_searched")
+    else:
+        named = [i for i in dict.fromkeys(institutions) if i]
+        hits = let(text, lambda t: labels_where({i: F.contains(t, F.lit(i.lower())) for i in named}))
+        matched = explode_once(searched, hits, "institution")
     first = ranked(matched, ["institution", "source"], ["seq"], limit).drop("rank")
     once = ranked(
         first.withColumn("_doi", F.coalesce("doi", F.lit(""))), ["institution", "_doi"], ["seq"], 1

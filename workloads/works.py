@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperlake.functions.terms import match_terms
 from paperlake.functions.text import derive_id, normalize_title
 from paperlake.operators import identity, merge
 from paperlake.plans import literature as plans
@@ -414,6 +415,25 @@ def institution_feed(spark, sf_dir):
     return authors.select("institution", "seq", "author")
 
 
+WORDS_OF = r"\s+"
+
+
+@workload(
+    "dictionary_hits",
+    r"""WITH terms AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM benchmark) WHERE length(term) > 3)
+SELECT d.doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term
+FROM documents d JOIN terms ON contains(lower(d.text), term) GROUP BY d.doc_id""",
+)
+def dictionary_hits(spark, sf_dir):
+    """All longer words of the benchmark items as a dictionary, over all documents."""
+    words = F.explode(F.split(F.lower("text"), WORDS_OF)).alias("term")
+    terms = table(spark, sf_dir, "benchmark").select(words).where("length(term) > 3").distinct()
+    found = match_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term")
+    )
+
+
 JOURNALS = (("BUILDING", "0000-0001", 2.5), ("MACHINERY", "0000-0002", 1.25), ("NO SUCH", "0000-0003", 9.0))
 JOURNAL_VALUES = ", ".join(f"({i}::INT, '{a}', '{b}', {c}::DOUBLE)" for i, (a, b, c) in enumerate(JOURNALS))
 
