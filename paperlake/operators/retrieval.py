@@ -378,13 +378,16 @@ def similar_documents(
 
 
 def hybrid_search(hits: DataFrame, lexical: DataFrame, weight: float = 0.5, k: int = 10) -> DataFrame:
-    """Weighted sum of vector and lexical scores, both (query_id, chunk_id, score); an extension."""
+    """Weighted sum, to nine digits, of vector and lexical scores, both (query_id, chunk_id, score); an extension.
+
+    ``lexical.lexical_search`` and ``lexical.normalised`` give lexical scores.
+    """
     scored = (
         hits.select("query_id", "chunk_id", F.col("score").alias("vector_score"))
         .join(lexical.select("query_id", "chunk_id", F.col("score").alias("lexical_score")), ["query_id", "chunk_id"], "full")
         .withColumn(
             "score",
-            F.coalesce("vector_score", F.lit(0.0)) * weight + F.coalesce("lexical_score", F.lit(0.0)) * (1 - weight),
+            F.round(F.coalesce("vector_score", F.lit(0.0)) * weight + F.coalesce("lexical_score", F.lit(0.0)) * (1 - weight), 9),
         )
     )
     return _ranked(scored, k).select("query_id", "rank", "chunk_id", "score")

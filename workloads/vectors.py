@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.functions.vectors import cosine, l2norm
-from paperlake.operators import graph_search, retrieval
+from paperlake.operators import graph_search, lexical, retrieval
 from paperlake.operators.chunking import chunk_fixed
 from workloads.documents import FIXED
 from workloads.registry import workload
-from workloads.views import chunk_vectors, documents
+from workloads.views import chunk_vectors, documents, table
 
 # One query per label: the mean of all its vectors.
 CENTROIDS = """
@@ -208,6 +208,55 @@ def similar_documents(spark, sf_dir):
     return rounded(retrieval.similar_documents(chunks, chunks.select("document_id").distinct()))
 
 
+# BM25 over all documents, by the words of a question.
+BM25 = r"""
+words AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS ws FROM documents),
+held AS (SELECT chunk_id, ws, len(ws) AS length FROM words WHERE len(ws) > 0),
+totals AS (SELECT count(*) AS n, avg(length) AS mean FROM held),
+tf AS (SELECT chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, length, unnest(ws) AS term FROM held) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, totals GROUP BY term),
+asked AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(question), '[^\pL\pN]+'), lambda w: w <> '')) AS term FROM questions),
+bm25 AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 12) AS score
+  FROM asked JOIN tf USING (term) JOIN idf USING (term), totals GROUP BY query_id, chunk_id),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm25)"""
+
+
+@workload(
+    "lexical_search",
+    f"""WITH questions AS (SELECT item_id AS query_id, text AS question FROM benchmark), {BM25}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM lexical WHERE rank <= 10""",
+)
+def lexical_search(spark, sf_dir):
+    """Every benchmark item as a question to all documents."""
+    index = lexical.build_index(documents(spark, sf_dir).withColumnRenamed("document_id", "chunk_id"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return rounded(lexical.lexical_search(asked, index, 10))
+
+
+@workload(
+    "hybrid_answers",
+    f"""WITH {CENTROIDS}, {RANKED.format('')},
+questions AS (SELECT f.query_id, split_part(d.text, chr(10), 1) AS question FROM (
+  SELECT label::BIGINT AS query_id, min(vec_id) AS first FROM embeddings GROUP BY label) f JOIN documents d ON d.doc_id = f.first), {BM25},
+v AS (SELECT query_id, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 20),
+l AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS score FROM lexical WHERE rank <= 20),
+joint AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.chunk_id, l.chunk_id) AS chunk_id,
+  round(0.5 * coalesce(v.score, 0) + 0.5 * coalesce(l.score, 0), 9) AS score
+  FROM v FULL JOIN l ON v.query_id = l.query_id AND v.chunk_id = l.chunk_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM joint)
+SELECT b.query_id, b.rank, b.chunk_id, round(b.score, 6) AS score, d.text FROM best b LEFT JOIN documents d ON d.doc_id = b.chunk_id WHERE rank <= 10""",
+)
+def hybrid_answers(spark, sf_dir):
+    """Label means and the title of a label's first document, as vector and words of one question."""
+    texts = documents(spark, sf_dir).withColumnRenamed("document_id", "chunk_id")
+    first = chunk_vectors(spark, sf_dir).groupBy(F.col("document_id").alias("query_id")).agg(F.min("chunk_id").alias("chunk_id"))
+    asked = first.join(texts, "chunk_id").select("query_id", F.substring_index("text", "\n", 1).alias("question"))
+    words = lexical.normalised(lexical.lexical_search(asked, lexical.build_index(texts), 20))
+    near = rounded(hits(spark, sf_dir, 20))
+    found = retrieval.hybrid_search(near, words, 0.5, 10)
+    return rounded(found.join(texts, "chunk_id", "left"))
+
+
 @workload(
     "summary_context",
     f"""WITH {FIXED} SELECT document_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS context_md5,
