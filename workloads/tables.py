@@ -11,6 +11,7 @@ from paperlake.plans.ingest import index_documents, ingest_pages
 from paperlake.session import scratch_dir
 from paperlake.sources import knowledge_base as kb
 from paperlake.streaming import jobs
+from workloads.discovery import FIRST_SEEN
 from workloads.documents import FIXED, SECTIONS, bodies
 from workloads.registry import workload
 from workloads.views import PAPERS, papers, table
@@ -205,6 +206,20 @@ def first_seen_stream(spark, sf_dir):
     return jobs.run_available(once, f"{folder}/out", f"{folder}/checkpoint")
 
 
+@workload("first_seen_runs", f"WITH {PAPERS}, {FIRST_SEEN.format('papers')} SELECT seq, title FROM seen")
+def first_seen_runs(spark, sf_dir):
+    """Papers that arrive in two runs of one stream are let through as from one table."""
+    jobs.keep_state_in_rocksdb(spark)
+    folder = run_folder(spark, "first-seen-runs")
+    items = papers(spark, sf_dir).select("seq", "doi", "title")
+    half = (items.agg(F.max("seq")).first()[0] or 0) // 2
+    for part in (items.where(F.col("seq") <= half), items.where(F.col("seq") > half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.first_seen_forever(jobs.read_files(spark, f"{folder}/in", items.schema))
+        found = jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return found.select("seq", "title")
+
+
 @workload("ingest_stream", f"WITH {FIXED} SELECT document_id, count(*) AS n_chunks FROM chunks GROUP BY document_id")
 def ingest_stream(spark, sf_dir):
     """Documents arriving as a stream end up in the base like a batch."""
