@@ -3,15 +3,18 @@
 A value that passes its check (Luhn, calendar, octets, mod 97) is read as a
 number inside the domain of its format, permuted by a keyed Feistel network, and
 written back in the same format: card numbers stay valid card numbers, dates
-stay dates. Equal values get equal pseudonyms in every document and task, without
-any table of them, and the key takes a pseudonym back (``restore``).
+stay dates. Equal values get equal pseudonyms in every document and task, whatever
+stands beside them and in whatever form they are written: dates with their parts in
+any order, phone numbers with or without their country, addresses in any case.
+No table of values is needed, and the key takes pseudonyms back (``restore``).
 
 Where a match fails its check, its shorter ends are tried (for an IBAN first the
-length of its country), then the next start inside it. Such a match would
-make a text ambiguous if it passed with the pseudonym in it; the pseudonym is then
-permuted once more, so it differs there from that of the same value elsewhere.
-Dates with strokes or points are day first if they can be, month first otherwise,
-and stay what they are.
+length of its country), then the next start inside it. A pseudonym may pass where
+its value did not, together with its neighbours or in another order of its parts, so
+its place and kind are recorded (``pii_spans``), and ``restore`` goes by them. What
+comes back is the text as it was, but for leading zeros in groups of an IPv6 address
+not all of which have four digits.
+Dates with strokes or points are day first if they can be, month first otherwise.
 
 Defined results: a null text stays null with no findings, an empty text stays
 empty; values that fail their check stay as they are; texts are searched whole;
@@ -23,7 +26,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+from collections import Counter
 from collections.abc import Callable
 from math import prod
 
@@ -128,14 +133,19 @@ def _card(text: str, cipher: Feistel) -> str | None:
     return _digits_back(text, new + luhn_digit(new))
 
 
+_COUNTRY = re.compile(r"(?:\+|00(?=[1-9]))[0-9]{1,3}(?=[ (./-])|0(?=[1-9])")
+
+
 def _phone(text: str, cipher: Feistel) -> str | None:
-    code = re.match(r"\+[0-9]{1,3}(?=[ (.-])", text)
+    code = _COUNTRY.match(text)  # what stands before a number differs by form and is kept
     rest = text[code.end() :] if code else text
     digits = _digits_of(rest)
     if not 7 <= len(digits) <= 12:
         return None
-    new = str(cipher.permute(int(digits), 10 ** len(digits), b"phone%d" % len(digits))).zfill(len(digits))
-    return (code[0] if code else "") + _digits_back(rest, new)
+    least = 10 ** (len(digits) - 1)
+    small = int(digits) < least  # a leading zero stays one, so no form turns into another
+    new = cipher.permute(int(digits), 10 * least, b"phone%d" % len(digits), lambda v: (v < least) == small)
+    return (code[0] if code else "") + _digits_back(rest, str(new).zfill(len(digits)))
 
 
 def _ip(text: str, cipher: Feistel) -> str | None:
@@ -146,26 +156,53 @@ def _ip(text: str, cipher: Feistel) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
-def _date(text: str, cipher: Feistel) -> str | None:
-    mark = next(c for c in text if c not in DIGITS)
-    parts = text.split(mark)
-    # places of year, month and day; a date with its day first is tried before one with its month first
-    for year, month, day in ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
+def _ip6(padded: bool) -> Callable:
+    """Addresses all of whose groups have four digits, or any; of the latter, groups are written without leading zeros."""
+
+    def make(text: str, cipher: Feistel) -> str | None:
+        try:
+            value = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        if padded and any(len(g) not in (0, 4) for g in text.split(":")):
+            return None
+        groups = [value >> 16 * k & 0xFFFF for k in range(7, -1, -1)]
+        if sum(g > 0 for g in groups) < 2 or not any(c in DIGITS for c in text):
+            return None
+        zeros = bytes(g == 0 for g in groups)  # groups of zero stay, as they may be written in short
+        number = 0
+        for g in filter(None, groups):
+            number = number * 0xFFFF + g - 1
+        number = cipher.permute(number, 0xFFFF ** zeros.count(0), b"ip6" + zeros)
+        new = []
+        for _ in range(zeros.count(0)):
+            number, g = divmod(number, 0xFFFF)
+            new.append(f"{g + 1:04x}" if padded else f"{g + 1:x}")
+        new = re.sub(r"[0-9A-Fa-f]+", lambda m: new.pop() if int(m[0], 16) else m[0], text)
+        return new.upper() if text.isupper() else new
+
+    return make
+
+
+def _date(order: str) -> Callable:
+    """Dates whose parts stand in the given order of y, m and d."""
+    places = [order.index(c) for c in "ymd"]
+
+    def make(text: str, cipher: Feistel) -> str | None:
+        mark = next(c for c in text if c not in DIGITS)
+        parts = text.split(mark)
         try:
-            old = datetime.date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal() - FIRST_DAY
+            old = datetime.date(*(int(parts[k]) for k in places)).toordinal() - FIRST_DAY
         except ValueError:
-            continue
+            return None
         if not 0 <= old < DAYS:
             return None
-
-        def good(value: int, month_first: bool = month < day < year) -> bool:
-            # a day over 12 is what tells that the month comes first
-            return not month_first or datetime.date.fromordinal(value + FIRST_DAY).day > 12
-
-        new = datetime.date.fromordinal(cipher.permute(old, DAYS, b"date", good) + FIRST_DAY)
-        parts[year], parts[month], parts[day] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        new = datetime.date.fromordinal(cipher.permute(old, DAYS, b"date") + FIRST_DAY)
+        for k, value in zip(places, (new.year, new.month, new.day)):
+            parts[k] = str(value).zfill(4 if k == places[0] else 2)
         return mark.join(parts)
-    return None
+
+    return make
 
 
 def _ssn(text: str, cipher: Feistel) -> str | None:
@@ -194,7 +231,16 @@ def _email(text: str, cipher: Feistel) -> str | None:
     labels, _, top = host.rpartition(".")
     if not labels or not top.isalpha() or len(top) < 2:
         return None
-    return _characters(name, cipher, b"name") + "@" + _characters(labels, cipher, b"host") + "." + top
+    # case does not tell addresses apart: it stays where it is, and what is permuted has none
+    new = _characters(_small(name), cipher, b"name") + "@" + _characters(_small(labels), cipher, b"host")
+    return "".join(n.upper() if c in UPPER else n for c, n in zip(text, new)) + "." + top
+
+
+def _small(text: str) -> str:
+    return text.translate(_SMALL)
+
+
+_SMALL = str.maketrans(UPPER, LOWER)
 
 
 def _secret(text: str, cipher: Feistel) -> str | None:
@@ -228,15 +274,23 @@ def _ends(kind: str, piece: str, match: re.Match) -> list[int]:
     return ends
 
 
+_IP6 = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]|\.[0-9])"
+_DATE_BEFORE, _DATE_AFTER = r"(?<![0-9./-])", r"(?![0-9]|[./-][0-9])"
 # Kinds in order of precedence: (name, pattern, what makes the pseudonym, or null if the value fails its check).
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("email", r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("card", r"(?<![0-9+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|[.-][0-9])", _card),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
-    ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1[0-9]{4})(?![0-9]|[./-][0-9])", _date),
+    ("date", _DATE_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2})" + _DATE_AFTER, _date("ymd")),
+    ("date_dmy", _DATE_BEFORE + r"[0-9]{2}([./-])[0-9]{2}\1[0-9]{4}" + _DATE_AFTER, _date("dmy")),
+    ("date_mdy", _DATE_BEFORE + r"[0-9]{2}([./-])[0-9]{2}\1[0-9]{4}" + _DATE_AFTER, _date("mdy")),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])", _phone),
+    ("ip6_padded", _IP6, _ip6(True)),
+    ("ip6", _IP6, _ip6(False)),
+    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
+     r"|(?:\+|00)[1-9][0-9]{0,2}[ .-][1-9](?:[ .-][0-9]{2}){4}|00[1-9][0-9]{0,2}[ .-](?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}"
+     r"|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,4}[/-][0-9]{5,8})(?![0-9])", _phone),
     ("secret", r"""(?i:token|secret|key|password)\s?[=:]\s?["'](?:[0-9a-f]{16,128}|[0-9A-F]{16,128})["']""", _secret),
 )
 
@@ -249,75 +303,97 @@ class Pseudonymiser:
 
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         """(the text with pseudonyms, number of values by kind); of overlapping values the kind first in order wins."""
-        if not self.hint.search(text):
-            return text, {}
-        parts: list[tuple[str, bool]] = [(text, False)]  # (piece, whether it is a pseudonym)
+        new, spans = self.spans(text)
         found: dict[str, int] = {}
+        for _, _, kind in spans:
+            found[_reported(kind)] = found.get(_reported(kind), 0) + 1
+        return new, found
+
+    def spans(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
+        """(the text with pseudonyms, where each stands in it, and of what kind)."""
+        if not self.hint.search(text):
+            return text, []
+        parts: list[tuple[str, str]] = [(text, "")]  # (piece, kind of the pseudonym that it is)
         for name, pattern, make in self.kinds:
-            cut: list[tuple[str, bool]] = []
-            for piece, done in parts:
+            cut: list[tuple[str, str]] = []
+            for piece, kind in parts:
                 at = place = 0
-                failed: list[tuple[int, int]] = []  # spans after ``at`` that did not pass and reach beyond ``start``
-                while not done and (match := pattern.search(piece, place)):
-                    start = match.start()
-                    failed = [(a, b) for a, b in failed if b > start]
+                while not kind and (match := pattern.search(piece, place)):
+                    start, place = match.start(), match.start() + 1
                     for end in _ends(name, piece, match):
                         if end != match.end() and not pattern.fullmatch(piece, start, end):
                             continue
                         new = make(piece[start:end], self.cipher)
                         if new is not None:
+                            cut += [(piece[at:start], ""), (new, name)]
+                            at = place = end
                             break
-                        failed.append((start, end))
-                    else:
-                        place = start + 1
-                        continue
-                    while self._ambiguous(piece, start, end, new, failed, make):
-                        new = make(new, self.cipher)
-                    cut += [(piece[at:start], False), (new, True)]
-                    at = place = end
-                    failed = []
-                    found[name] = found.get(name, 0) + 1
-                cut.append((piece[at:], done))
+                cut.append((piece[at:], kind))
             parts = cut
-        return ("".join(piece for piece, _ in parts) if found else text), found
+        out, at = [], 0
+        for piece, kind in parts:
+            if kind:
+                out.append((at, at + len(piece), kind))
+            at += len(piece)
+        return ("".join(piece for piece, _ in parts) if out else text), out
+
+    def at_spans(self, text: str, spans: list[tuple[int, int, str]]) -> str:
+        """``text`` with the values at the given places replaced, each by the rule of its kind."""
+        makes = {name: make for name, _, make in self.kinds}
+        parts, at = [], 0
+        for start, end, kind in sorted(spans):
+            parts += [text[at:start], makes[kind](text[start:end], self.cipher)]
+            at = end
+        return "".join([*parts, text[at:]])
+
 
+def _reported(kind: str) -> str:
+    return kind.split("_")[0]
 
-    def _ambiguous(self, piece: str, start: int, end: int, new: str, failed: list[tuple[int, int]], make: Callable) -> bool:
-        """Whether a span that was tried before and failed would pass with ``new`` from start to end, so that it would be taken instead."""
-        shift = len(new) - (end - start)  # addresses may change their length; what fails beside them does so by its form
-        for a, b in failed:
-            text = piece[a:start] + new + piece[end:b] if b >= end else piece[a:start] + new[: b - start]
-            if (b >= end or not shift) and make(text, self.cipher) is not None:
-                return True
-        return False
 
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
-def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", kinds=KINDS, back: bool = False) -> DataFrame:
-    """``df`` with pseudonyms in its text, n_pii, and pii_kinds (number of values by kind).
 
-    ``back`` takes pseudonyms made with the same key back to their values.
-    """
-    added = {"n_pii": T.LongType(), "pii_kinds": T.MapType(T.StringType(), T.LongType())}
+def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", kinds=KINDS) -> DataFrame:
+    """``df`` with pseudonyms in its text, n_pii, pii_kinds (number of values by kind) and pii_spans (where they stand)."""
+    added = {"n_pii": T.LongType(), "pii_kinds": T.MapType(T.StringType(), T.LongType()), "pii_spans": T.ArrayType(SPAN)}
     kept = [f for f in df.schema.fields if f.name not in added]
     out = T.StructType([*kept, *(T.StructField(k, v) for k, v in added.items())])
 
     def run(batches):
-        worker = Pseudonymiser(key, kinds, back)
+        worker = Pseudonymiser(key, kinds)
         for batch in batches:
             for part in slices(batch, pc.binary_length(batch.column(text_col)), CHUNK):
-                texts = part.column(text_col).to_pylist()
-                results = [(None, {}) if t is None else worker.replace(t) for t in texts]
+                results = [(None, []) if t is None else worker.spans(t) for t in part.column(text_col).to_pylist()]
                 columns = [
                     pa.array([t for t, _ in results], pa.string()) if f.name == text_col else part.column(f.name)
                     for f in kept
                 ]
-                columns.append(pa.array([sum(k.values()) for _, k in results], pa.int64()))
-                columns.append(pa.array([sorted(k.items()) for _, k in results], pa.map_(pa.string(), pa.int64())))
+                kinds_ = [sorted(Counter(_reported(kind) for _, _, kind in spans).items()) for _, spans in results]
+                columns.append(pa.array([len(spans) for _, spans in results], pa.int64()))
+                columns.append(pa.array(kinds_, pa.map_(pa.string(), pa.int64())))
+                columns.append(pa.array([[dict(zip(SPAN.names, span)) for span in spans] for _, spans in results], _ARROW_SPANS))
                 yield pa.RecordBatch.from_arrays(columns, out.names)
 
     return df.mapInArrow(run, out)
 
 
-def restore(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """The texts before ``pseudonymise`` with the same key."""
-    return pseudonymise(df, key, text_col, back=True)
+def restore(df: DataFrame, key: bytes, text_col: str = "text", kinds=KINDS) -> DataFrame:
+    """The texts before ``pseudonymise`` with the same key, by the places it recorded in ``pii_spans``."""
+
+    names, at = df.columns, df.columns.index(text_col)
+
+    def run(batches):
+        worker = Pseudonymiser(key, kinds, back=True)
+        for batch in batches:
+            for part in slices(batch, pc.binary_length(batch.column(text_col)), CHUNK):
+                spans = part.column("pii_spans").to_pylist()
+                texts = [
+                    t if t is None else worker.at_spans(t, [tuple(s.values()) for s in of])
+                    for t, of in zip(part.column(text_col).to_pylist(), spans)
+                ]
+                columns = [pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, df.schema)

@@ -102,7 +102,7 @@ PSEUDONYM_KEY = b"a key of the caller; this one is for trials"
 
 @query("op5_pseudonyms")
 def op5_pseudonyms(spark, sf_dir):
-    """doc_id, the text with pseudonyms, n_pii and pii_kinds."""
+    """doc_id, the text with pseudonyms, n_pii, pii_kinds and pii_spans."""
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
