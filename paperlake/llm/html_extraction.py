@@ -14,9 +14,10 @@ Defined results: null or empty HTML, and pages without main text, give an empty
 text and 0 characters; character references are decoded; broken nesting is
 repaired as browsers do for paragraphs, list items and cells; a run of white
 space is one space; blocks are joined by one space in page order; scripts,
-styles, comments, form controls and embedded objects never count; one that is not
-closed ends with the element around it, with the next of its kind, or, if its end
-tag is missing, at the next block. Repeated rows
+styles, comments, sections of character data, form controls and embedded objects
+never count, labels and formulas are text; a control, object or raw element that is
+not closed ends with the element around it, with the next of its kind, or, if its
+end tag is missing, at the next block; a tag that is not closed lasts to the end. Repeated rows
 are judged alike; an empty table gives no rows; input columns named like an added
 one are replaced, all others stay.
 """
@@ -42,11 +43,12 @@ CHUNK = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(
-    "script style noscript template head title textarea select datalist option button label iframe object svg canvas audio video math input".split()
+    "script style noscript template head title textarea select datalist option button iframe object svg canvas audio video annotation annotation-xml input".split()
 )
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded menclose mfenced mtable mtr mtd semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -83,10 +85,16 @@ TAG_GROUPS = {
 }
 N_GROUPS = 16
 BLOCKS = CLOSES_P | TAG_GROUPS.keys()
-NESTED = frozenset("object svg math canvas audio video template".split())  # skipped elements that may hold their like
+NESTED = frozenset("object svg canvas audio video template annotation-xml".split())  # skipped elements that may hold their like
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+# A quote opens a value only after "="; a value that is not closed is none, and the tag ends at the next ">".
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]|=)*+)(?:>|\Z)|[^<]+|<""",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_RAW_EDGE = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -108,15 +116,13 @@ def parse(page: str) -> Node:
     # open elements: (tag, the block node that takes text, whether the element is such a node)
     stack: list[tuple[str, Node, bool]] = [("html", root, True)]
     skipping, inside, closed = "", [], True  # the skipped element, what is open in it, whether its end tag follows
-    endless: set[str] = set()  # kinds of raw elements without a further end tag
     last: dict[str, int] = {}
     links = 0
-    raw_end = None
     at, size = 0, len(page)
+    last_data = page.rfind("]]>")
     while at < size:
-        if raw_end is not None:
-            found = raw_end.search(page, at)
-            at, raw_end = (found.end() if found else size), None
+        if at < last_data and page.startswith("<![CDATA[", at):
+            at = page.index("]]>", at) + 3
             continue
         match = _TOKEN.match(page, at)
         at = match.end()
@@ -148,13 +154,10 @@ def parse(page: str) -> Node:
                 skipping = ""
             else:
                 if not match[3].endswith("/") and tag not in VOID:
-                    raw = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at) if tag in RAW and tag not in endless else None
-                    if raw:
-                        at = raw.end()
-                    elif tag in RAW:
-                        endless.add(tag)
-                    else:
+                    if tag not in RAW:
                         inside.append(tag)
+                    elif end := _raw_end(page, at, tag, last):
+                        at = end
                 continue
         if match[1]:
             for k in range(len(stack) - 1, 0, -1):
@@ -165,13 +168,12 @@ def parse(page: str) -> Node:
             if tag == "br":
                 _add_text(stack[-1][1], " ", False)
             continue
-        if tag in RAW:
-            if tag != "title" or "</title" in page[at : at + 100_000].lower():
-                raw_end = re.compile(rf"</{tag}\s*[^>]*>", re.I)
+        if tag in RAW and (end := _raw_end(page, at, tag, last)):
+            at = end
             continue
         if tag in SKIPPED:
             if tag not in VOID and not match[3].endswith("/"):
-                skipping, inside, closed = tag, [], _is_closed(page, at, tag, last)
+                skipping, inside, closed = tag, [], tag not in RAW and _is_closed(page, at, tag, last)
             continue
         if tag in VOID:
             _add_text(stack[-1][1], " " if tag in ("br", "hr") else "", False)
@@ -201,6 +203,21 @@ def parse(page: str) -> Node:
     return root
 
 
+def _raw_end(page: str, at: int, tag: str, last: dict[str, int]) -> int | None:
+    """Where the raw element whose start tag ends at ``at`` ends; none if its end tag is missing.
+
+    It is missing as well if, but for scripts and styles, another element of the kind starts before it.
+    """
+    if last.get(f"/{tag}", at) < at:  # there is none from here on
+        return None
+    found = _RAW_EDGE[tag].search(page, at)
+    while found and not found[1] and tag in ("script", "style"):
+        found = _RAW_EDGE[tag].search(page, found.end())
+    if found is None:
+        last[f"/{tag}"] = -1
+    return found.end() if found and found[1] else None
+
+
 def _is_closed(page: str, at: int, tag: str, last: dict[str, int]) -> bool:
     """Whether the end tag of the element whose start tag ends at ``at`` follows; ``last`` keeps places of last end tags."""
     if tag in NESTED:

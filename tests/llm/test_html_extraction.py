@@ -100,8 +100,20 @@ def test_boosting_learns_an_interaction():
         "<div><button>Go</div>",
         "<button>Go",
         "<button><b>Go",
-        "<p><label>Name</p>",
-        "<label>Name <input>",
+        "<p><label></p>",
+        "<label><input>",
+        "<noscript><img src=x>",
+        "<iframe src=x>",
+        "<textarea rows=2>draft",
+        "<noscript><i>a</i><div><noscript><img></noscript></div>",
+        "<title>no end",
+        "<style>.x { color: red }",
+        "<script>var a = 1;",
+        "<img alt=\"5\" disc\">",
+        "<div class=it's></div>",
+        "<![CDATA[ a > b ]]>",
+        "<!-->",
+        "<!---->",
         "<div><object data=x><param name=y></div>",
         "<object data=x>",
         "<audio src=x><source src=y>",
@@ -118,9 +130,33 @@ def test_closed_controls_are_left_out_whole():
     page = """<div><button><div>a</div><p>b</button>c<object><object>d</object><p>e</p></object>f<label><b>g</b></i>h</label>i
     <svg><style>.x > y { </style><title>j</title><g><text>k</g></svg>l<select><option>m<option>n</select>o</div>"""
     root = H.parse(page)
-    assert H.text_of(root, np.ones(len(H.nodes_of(root)), bool)).split() == ["cfi", "lo"]
+    assert H.text_of(root, np.ones(len(H.nodes_of(root)), bool)).split() == ["cfghi", "lo"]
 
 
 def test_many_unclosed_controls_take_linear_time():
     for unit in ("<button>", "<object><p>", "<label><b>", "<svg><style>", "<option>a", "<datalist><p>"):
         H.parse(unit * 20_000)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>See <label>the figure</label> and <math><mi>x</mi><mo>=</mo><mn>2</mn></math> now.</p>", "See the figure and x=2 now."),
+        ('<p>A <img alt="5" disc"> B <a href="x" title="a > b">C</a> D</p>', "A B C D"),
+        ("<p class=it's>One</p><p title='it is > two'>Two</p>", "One Two"),
+        ('<p>Run <a "one</a> <a "two</a> three</p><p>Four</p>', "Run three Four"),
+        ('<p>Open <a href="x>link</a> and more</p><p>Last</p>', "Open link and more Last"),
+        ("<p>a<![CDATA[ x > y ]]>b</p><p>c <![CDATA[ d > e", "ab c e"),
+        ("<p>Words</p><p>cut <a href=", "Words cut"),
+        ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+        ("<p>k <math><semantics><mi>E</mi><annotation encoding=tex>E</annotation></semantics></math></p>", "k E"),
+    ],
+)
+def test_broken_markup_neither_leaks_nor_swallows(page, text):
+    root = H.parse(page)
+    assert H.text_of(root, np.ones(len(H.nodes_of(root)), bool)) == text
+
+
+def test_broken_markup_takes_linear_time():
+    for unit in ('<a "', "<a b='", '<a b="', "<noscript>", "<textarea>x", "<![CDATA[", "<!--", "<a =", "<script><script "):
+        H.parse(unit * 20_000)
