@@ -9,8 +9,7 @@ language of the lowest cross-entropy per character.
 
 Counts cover all training rows but those held out for calibration. The model that
 is broadcast holds all n-grams of all languages and grows with the distinct ones,
-12 bytes for each and for each context; ``max_grams`` is a limit for callers whose
-memory is short, off by default and not made up for in the back-off weights.
+12 bytes for each and for each context.
 
 Calibration holds out, per language, the ``CALIBRATION_ROWS`` distinct texts of
 the smallest hashes, a tenth of its distinct texts at most. They are scored in
@@ -232,30 +231,20 @@ def _arrays(frame: DataFrame, name: str, value: str, order: int, langs: list[str
     return [(hashes[mine], values[mine]) for mine in np.split(order_, cuts)]
 
 
-def _cutoff(frame: DataFrame, most: int) -> int:
-    """The smallest count such that at most ``most`` rows have it or more."""
-    groups = frame.groupBy(F.least(F.col("c"), F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    left, cutoff = most, 1001
-    for row in sorted(groups, key=lambda r: -r.c):  # one row per count, 1,000 rows at most
-        left -= row.n
-        if left < 0:
-            break
-        cutoff = row.c
-    return cutoff
-
-
 def _with_apart(rows: DataFrame) -> DataFrame:
     """``rows`` with ``h``, a hash of the text, and ``apart``: whether it is held out for calibration."""
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # ten times the sample tells how many distinct texts there are where they are few; Spark limits ranks in the tasks
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
-    least = rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= 10 * CALIBRATION_ROWS).select("lang", "h")
+    # ten times the sample tells how many distinct texts there are where they are few; copies are gone before the ranks,
+    # and Spark limits ranks in the tasks
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    distinct = rows.select("lang", "h").distinct()
+    least = distinct.withColumn("rank", rank).where(F.col("rank") <= 10 * CALIBRATION_ROWS).select("lang", "h")
     least = least.groupBy("lang").agg(F.sort_array(F.collect_set("h")).alias("hashes")).where(F.size("hashes") >= 10)
     last = cut_lineage(least.select("lang", F.element_at("hashes", (F.size("hashes") / 10).cast("int")).alias("last")))
     return rows.join(F.broadcast(last), "lang", "left").withColumn("apart", F.coalesce(F.col("h") <= F.col("last"), F.lit(False)))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None) -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model of the languages of ``labelled``; rows with a null text or language are left out."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = _with_apart(rows.where("text IS NOT NULL AND lang IS NOT NULL"))
@@ -266,8 +255,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     grams, contexts = [[] for _ in langs], [[] for _ in langs]
     models = _kneser_ney(counts)
     for k, (table, context) in enumerate(models, start=1):
-        if max_grams is not None:
-            table = table.where(F.col("c") >= _cutoff(table, max_grams))
         for into, found in ((grams, _arrays(table, "gram", "p", k, langs)), (contexts, _arrays(context, "context", "bow", k - 1, langs))):
             for at, arrays in enumerate(found):
                 into[at].append(arrays)

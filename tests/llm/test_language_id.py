@@ -81,12 +81,6 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert [(r.lang_pred, r.score) for r in L.predict(df.where("doc_id = 5"), one).collect()] == [("en", 1.0)]
 
 
-def test_a_smaller_model_drops_rare_grams(spark):
-    df = spark.createDataFrame([("the cat sat on the mat, the end", "en")], "text string, lang string")
-    small, full = L.train(df, max_grams=5), L.train(df)
-    assert len(small.grams[0][3][0]) <= 5 < len(full.grams[0][3][0])
-
-
 def test_a_hot_language_takes_no_grams_from_a_small_one(spark):
     """More than a million distinct 4-grams of one language; each of the other occurs once."""
     r = np.random.default_rng(1)
@@ -113,3 +107,13 @@ def test_calibration_sees_every_language_of_an_ordered_table(spark):
     # held out: a text of the sample is not in the counts
     apart = L._with_apart(df.select("text", "lang")).where("apart").groupBy("lang").count().collect()
     assert {x.lang: x["count"] for x in apart} == {"low": 100, "high": 40}
+
+
+def test_copies_are_gone_before_the_ranks(spark):
+    """One text 100,000 times over is one row of its language's window."""
+    df = spark.range(100_400).selectExpr("if(id < 100000, 'the same text', concat('text ', id)) text", "'en' lang").repartition(8)
+    apart = L._with_apart(df)
+    assert apart.where("apart").select("h").distinct().count() == 40
+    plan = apart._jdf.queryExecution().toString()
+    rows = df.select("lang", L.F.xxhash64("text").alias("h")).distinct().count()
+    assert rows == 401 and "Window" not in plan  # the ranks were cut off before and reach the rows as a broadcast
