@@ -81,3 +81,19 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     plan = M.mix_sources(docs, rounds=1)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hot_categories_are_summed_in_the_tasks(spark):
+    """No window over a category: 3,000 sources share two topics."""
+    cells = spark.range(6000).selectExpr("concat('s', id div 2) source", "'x' lang", "concat('t', id % 2) topic", "1.0 + id % 7 mass")
+    raked = M.rake(cells, rounds=2)
+    assert "Window" not in raked._jdf.queryExecution().toString()
+    sums = {r.topic: r.m for r in raked.groupBy("topic").agg(M.F.sum(M.F.col("mass") * M.F.col("weight")).alias("m")).collect()}
+    assert sum(sums.values()) == pytest.approx(24_000, rel=0.01)
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    rows = [("a", "x", "t", 10.0), ("b", "y", "t", 10.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, mass double")
+    with pytest.warns(RuntimeWarning, match="off their targets"):
+        M.rake(cells, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, rounds=3)
