@@ -6,16 +6,17 @@ query is further from the border than its k-th nearest distance so far, times
 ``relax``. With ``relax`` = 1 the search is exact; smaller values prune more
 and may miss neighbours. Distances returned are exact in any case.
 
-Vectors are dealt to shards of bounded size, queries to blocks of bounded size.
-Each block meets each shard in one task, which holds one shard's tree and one
-block; the best k of each query and shard are then merged by rank. No side
-is broadcast or collected, however large.
+Vectors are dealt once to shards of bounded size, each with one tree; queries
+stream past the trees in blocks of bounded size, and the best k of each query
+and shard are then merged by rank. Where there are fewer shards than tasks, a shard
+has some copies that share its queries. No side is broadcast or collected, however
+large.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, neither as queries nor as candidates; nor do those of
 a length other than the most frequent one, or with a null id. A query is never its own neighbour (by id). Ties go to
-the smaller id, equal vectors are all candidates, repeated ids are searched
-once; with fewer candidates than k all are returned; an empty table gives no
+the smaller id, equal vectors are all candidates, of a repeated id the first vector in order of its entries takes
+part; with fewer candidates than k all are returned; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -123,8 +124,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _asked(tree: Tree, part: pa.RecordBatch, k: int, relax: float) -> pa.RecordBatch:
+    queries = part.column("id").to_numpy()
+    search = Search(tree, queries, _matrix(part.column("vector")), k, relax)
+    query, slot = np.nonzero(np.isfinite(search.best))
+    columns = {"query_id": queries[query], "id": search.found[query, slot], "score": search.best[query, slot]}
+    return pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -144,33 +153,46 @@ def nearest(
         F.col(vector_col).cast("array<double>").alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["id"])
-    rows = cut_lineage(rows)
-    counted = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q"))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
+    rows = cut_lineage(rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")))
+    counted = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     most = counted.orderBy(F.desc("n"), "size").first()
-    size, n, q = (most["size"], most["n"], most["q"]) if most else (0, 0, 0)
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // query_rows))
+    size, n = (most["size"], most["n"]) if most else (0, 0)
+    shards = max(1, -(-n // shard_rows))
+    # a shard is searched in a few copies, each for some of the queries, where there are fewer shards than tasks
+    copies = max(1, rows.sparkSession.sparkContext.defaultParallelism // shards)
     rows = rows.where(F.size("vector") == size)
     place = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dealt = rows.withColumn("shard", place(shards, 1)).withColumn("block", every(blocks)).drop("asks")
-    asked = rows.where("asks").withColumn("block", place(blocks, 2)).withColumn("shard", every(shards)).drop("asks")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, queries = left.column("id").to_numpy(), right.column("id").to_numpy()
-        if not len(ids) or not len(queries):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(ids)
-        tree = Tree(ids[order], _matrix(left.column("vector"))[order])
-        search = Search(tree, queries, _matrix(right.column("vector")), k, relax)
-        query, slot = np.nonzero(np.isfinite(search.best))
-        return pa.table({"query_id": queries[query], "id": search.found[query, slot], "score": search.best[query, slot]})
-
-    found = (
-        dealt.groupBy("shard", "block")
-        .cogroup(asked.groupBy("shard", "block"))
-        .applyInArrow(run, "query_id long, id long, score double")
-    )
+    dealt = rows.select("id", "vector", place(shards, 1).alias("shard"), F.lit(0).alias("kind")).withColumn("copy", every(copies))
+    asked = rows.where("asks").select("id", "vector", place(copies, 2).alias("copy"), F.lit(1).alias("kind")).withColumn("shard", every(shards))
+    # vectors come first and make the tree of their shard; queries then stream past it
+    together = dealt.unionByName(asked).repartition(shards * copies, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+
+    def run(batches):
+        tree, held, at = None, [], None
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("shard", "copy", "kind")]
+            changes = np.any([np.diff(x) != 0 for x in keys], axis=0)
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                shard, copy, kind = (x[start] for x in keys)
+                if (shard, copy) != at:
+                    tree, held, at = None, [], (shard, copy)
+                if kind == 0:
+                    held.append((part.column("id").to_numpy(), _matrix(part.column("vector"))))
+                    continue
+                if tree is None and held:
+                    ids, matrix = (np.concatenate(x) for x in zip(*held))
+                    order, held = np.argsort(ids), []
+                    tree = Tree(ids[order], matrix[order])
+                for first in range(0, part.num_rows if tree else 0, query_rows):
+                    yield _asked(tree, part.slice(first, query_rows), k, relax)
+
+    found = together.mapInArrow(run, "query_id long, id long, score double")
     # k rows of each shard and query are left; a rank within a query is bounded by k times the shards
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -80,3 +80,19 @@ def test_relaxed_pruning_scans_less_and_still_finds_most():
     relaxed = Counting(tree, ids, queries, 10, 0.5)
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact.found, relaxed.found)])
     assert full < 0.5 * 200 * len(vectors) and sum(scanned) < 0.6 * full and recall >= 0.9
+
+
+def test_vectors_are_moved_once(spark):
+    """However many blocks of queries there are, a shard's vectors are sent to its own copies only."""
+    rows = [(k, [float(k % 17), float(k % 23)]) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = V.nearest(df, F.col("vec_id") >= 0, shard_rows=10, query_rows=5)._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "block" not in plan
+    assert search(df, 2, k=3, shard_rows=10, query_rows=5) == brute(rows, 2, 3)
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(1, [3.0, 1.0]), (1, [2.0, 9.0]), (2, [2.0, 8.0]), (3, [3.0, 2.0])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        assert [v for _, v in sorted(search(df, 1, k=1).items())] == [(2, 1.0), (1, 1.0), (2, 37.0**0.5)]
