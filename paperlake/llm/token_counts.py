@@ -3,7 +3,8 @@
 A text is cut into pre-tokens that no piece crosses, so its count is the sum of
 their counts. Tier one is a broadcast open-addressing table of the hashes of
 frequent pre-tokens and their lengths, looked up for all pre-tokens of a chunk
-at once. Tier two is a dictionary in each Python worker; what it lacks goes
+at once. They are found in a scan of all rows: each task keeps a summary of
+bounded size (after Misra and Gries), and the summaries are added up. Tier two is a dictionary in each Python worker; what it lacks goes
 to the sentencepiece library in one batch. No pre-token is ever shuffled.
 
 Pre-tokens are told apart by 64-bit hashes. Defined results: a null or empty
@@ -28,8 +29,8 @@ from paperlake.llm.sentencepiece_model import MARK, parse_model, plain_processor
 from paperlake.llm.textbytes import chunks, span_hashes
 
 TABLE_BITS = 17  # 131,072 slots, filled by half at most: the broadcast is about 1.2 MB
-SAMPLE_ROWS = 1_000  # texts that fill the table; they decide its speed, never a count
-SAMPLE_CHARS = 100_000
+SUMMARY = 1 << 15  # pre-tokens a task reports; all that are as frequent as one in so many are among them
+LONGEST = 64  # bytes of a pre-token of the table
 CACHED = 400_000  # pre-tokens a worker remembers
 
 
@@ -95,27 +96,59 @@ def _prefixed(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, marked)
 
 
-def _frequent(df: DataFrame, path: str, text_col: str, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The table, filled with the commonest pre-tokens of at most ``rows`` texts.
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[at])]
+    )
 
-    The texts are those that Spark meets first, which costs one task; texts of
-    over ``SAMPLE_CHARS`` characters are left out of the sample, not of the counts.
-    """
+
+def _summed(parts: list[pa.Table], most: int) -> pa.Table:
+    """Distinct pre-tokens of ``parts`` with their counts; of more than ``4 * most`` those above the ``most``-th, less its count."""
+    found = pa.concat_tables(parts).group_by("hash", use_threads=False).aggregate([("n", "sum"), ("text", "min")])
+    found = found.select(["hash", "n_sum", "text_min"]).rename_columns(["hash", "n", "text"])
+    if found.num_rows > 4 * most:
+        n = found.column("n").to_numpy()
+        less = n - np.partition(n, -most)[-most]
+        found = found.set_column(1, "n", pa.array(less)).filter(pa.array(less > 0))
+    return found
+
+
+def _summaries(df: DataFrame, text_col: str, most: int) -> DataFrame:
+    """(hash, n, text) of the frequent pre-tokens of each task."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offsets in chunks(_prefixed(batch.column(text_col))):
+                starts, ends = pretokens(data, offsets)
+                short = ends - starts <= LONGEST
+                starts, ends = starts[short], ends[short]
+                hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+                columns = {"hash": pa.array(hashes.view(np.int64)), "n": pa.array(n.astype(np.int64))}
+                held.append(pa.table({**columns, "text": _spans(data, starts[first], ends[first])}))
+                size += len(hashes)
+                if size > 16 * most:
+                    held = [_summed(held, most)]
+                    size = held[0].num_rows
+        if held:
+            found = _summed(held, most).sort_by([("n", "descending"), ("hash", "ascending")]).slice(0, most)
+            yield from found.set_column(2, "text", found.column("text").cast(pa.binary())).combine_chunks().to_batches()
+
+    return df.select(text_col).mapInArrow(run, "hash long, n long, text binary")
+
+
+def _frequent(df: DataFrame, path: str, text_col: str, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table, filled by half with the commonest pre-tokens of all texts."""
     processor = _processor(path)
-    # take() starts with one task, and asks for more only if that has too few texts
-    sample = [r[0] for r in df.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).take(rows)]
-    counts: dict[int, int] = {}
-    lengths: dict[int, int] = {}
-    for _, _, data, offsets in chunks(_prefixed(pa.array(sample, pa.string()))):
-        starts, ends = pretokens(data, offsets)
-        hashes, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
-        new = [k for k, h in enumerate(hashes.tolist()) if h not in lengths]
-        at = first[new]
-        lengths.update(zip(hashes[new].tolist(), _lengths(processor, data, starts[at], ends[at])))
-        for h, c in zip(hashes.tolist(), n.tolist()):
-            counts[h] = counts.get(h, 0) + c
-    top = sorted((h for h in counts if lengths[h] < 256), key=lambda h: (-counts[h], h))[: 1 << (bits - 1)]
-    return fill_table(np.array(top, dtype=np.uint64), np.array([lengths[h] for h in top], dtype=np.int64), bits)
+    found = _summaries(df, text_col, most).groupBy("hash").agg(F.sum("n").alias("n"), F.min("text").alias("text"))
+    top = found.orderBy(F.desc("n"), "hash").limit(1 << (bits - 1)).collect()  # bounded by the table
+    lengths = np.array([len(ids) for ids in processor.encode([bytes(r.text).decode() for r in top], num_threads=1)], dtype=np.int64)
+    hashes = np.array([r.hash for r in top], dtype=np.int64).view(np.uint64)
+    fits = (lengths > 0) & (lengths < 256)
+    return fill_table(hashes[fits], lengths[fits], bits)
 
 
 def count_tokens(
@@ -124,7 +157,7 @@ def count_tokens(
     text_col: str = "text",
     limit: int = 4096,
     table_bits: int = TABLE_BITS,
-    sample_rows: int = SAMPLE_ROWS,
+    summary: int = SUMMARY,
 ) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of each whole text."""
     with open(model_path, "rb") as file:
@@ -132,7 +165,7 @@ def count_tokens(
     if not splits_at_marks(model) or model.charsmap or model.remove_extra_whitespaces or not model.add_dummy_prefix:
         raise ValueError("counts of pre-tokens do not add up under this model")
     name = shipped(df, model_path)
-    table = df.sparkSession.sparkContext.broadcast(_frequent(df, model_path, text_col, sample_rows, table_bits))
+    table = df.sparkSession.sparkContext.broadcast(_frequent(df, model_path, text_col, table_bits, summary))
     added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
     kept = [f for f in df.schema.fields if f.name not in added and f.name != text_col]
     out = T.StructType([*kept, *(T.StructField(k, v) for k, v in added.items())])

@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 
 from paperlake.llm import sentencepiece_model as S
+from paperlake.llm import token_counts
 from paperlake.llm.queries import QUERIES
 from paperlake.llm.token_counts import count_tokens
 from tests.llm.conftest import MIDDLE
@@ -114,3 +115,17 @@ def test_token_counts_of_odd_texts(spark, bits):
         n = len(processor.encode(t))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 10)
     assert count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_tier_one_holds_what_is_frequent_in_all_rows(spark):
+    """Words of the last rows of an ordered table are in the table, though each task may report few."""
+    common = [f"late{k}" for k in range(40)]
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(400)] + [(k, " ".join(common)) for k in range(400, 480)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = token_counts._summaries(df, "text", 100).collect()
+    assert len(found) <= 100 and {f" {w}".encode() for w in common} <= {bytes(r.text) for r in found}
+    keys, lengths = token_counts._frequent(df, PATH, "text", 8, 100)
+    assert 0 < (lengths > 0).sum() <= 128
+    processor = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(df, PATH, table_bits=8, summary=100).collect()}
+    assert all(got[k] == len(processor.encode(t)) for k, t in rows)
