@@ -328,16 +328,20 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _capped(long: DataFrame, percent: int) -> DataFrame:
-    """``long`` with ``cap``: the most entries that a row can share with one it has met in long columns only, if this is the first.
+    """(id, n, ends, entries) of each row, an entry being its place and token in a long column and ``cap``.
 
-    These are its first entries that stand in long columns, from this one on, and
-    all entries beyond the first ones. It holds for partners whose first entries end
-    no earlier in the order of columns.
+    The cap is the most that the row can share with one it has met in long columns
+    only, if this column is the first: its first entries that stand in long columns,
+    from this one on, and all entries beyond the first ones. It holds for partners
+    whose first entries end no earlier in the order of columns.
     """
-    of_row = Window.partitionBy("id")  # a row of the matrix, as long as its document at most
-    left = F.count(F.lit(1)).over(of_row) - F.row_number().over(of_row.orderBy("place")) + 1
+    # a row of the matrix gathers no more entries than its own document has; copies of a row bring the same ones
+    rows = long.groupBy("id").agg(
+        F.first("n").alias("n"), F.first("ends").alias("ends"), F.sort_array(F.collect_set(F.struct("place", "token"))).alias("e")
+    )
     least = F.floor((percent * F.col("n") + 99) / 100)
-    return long.withColumn("cap", least - 1 + left)
+    entry = lambda e, k: F.struct(e.place.alias("place"), e.token.alias("token"), (least - 1 + F.size("e") - k).alias("cap"))
+    return rows.select("id", "n", "ends", F.transform("e", entry).alias("entries"))
 
 
 def _bounds_allow(percent: int) -> Column:
@@ -389,8 +393,7 @@ def near_duplicates(
     )
     pairs = cut_lineage(pairs.distinct())
     long = shared.where("b IS NULL").join(of("a"), "a")
-    long = long.select("token", F.col("a_class").alias("id"), "n", "place", "ends").distinct()
-    long = cut_lineage(_capped(long, percent))
+    long = _capped(long.select("token", F.col("a_class").alias("id"), "n", "place", "ends"), percent)
 
     links = cut_lineage(_linked(pairs, docs, width, percent))
     part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -408,7 +411,8 @@ def near_duplicates(
 def _late_pairs(long: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     """Pairs of a long column whose rows are in different components and may yet be similar."""
     placed = long.join(part.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    placed = placed.select("id", "n", "ends", F.coalesce("component", "id").alias("component"), F.explode("entries").alias("e"))
+    placed = cut_lineage(placed.select("id", "n", "ends", "component", "e.*"))
     largest = (
         placed.groupBy("token", "component")
         .agg(F.count(F.lit(1)).alias("c"))
