@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from paperlake.functions.rows import explode_once
 from paperlake.fixed_values import AUTHOR_TOPICS
 from paperlake.operators.tagging import dictionary_labels
+from paperlake.session import is_small
+
+LIST_BLOCK = 256  # authors of a list that meet as many others in one row
 
 
 def _mentions(items: DataFrame) -> DataFrame:
@@ -30,7 +33,8 @@ def author_counts(items: DataFrame) -> DataFrame:
 
 def author_papers(items: DataFrame, authors: DataFrame) -> DataFrame:
     """The papers of the given authors as rows, in order within an author."""
-    return _mentions(items).join(F.broadcast(authors.select("author")), "author").select("author", "seq", "title")
+    wanted = authors.select("author").distinct()
+    return _mentions(items).join(F.broadcast(wanted) if is_small(wanted) else wanted, "author").select("author", "seq", "title")
 
 
 def author_rank(items: DataFrame, k: int = 20, topics: Mapping[str, Iterable[str]] = AUTHOR_TOPICS) -> DataFrame:
@@ -78,14 +82,38 @@ def top_countries(df: DataFrame, k: int = 10) -> DataFrame:
     return _top(df, "country", k)
 
 
-def coauthor_edges(items: DataFrame) -> DataFrame:
-    """Distinct (src, dst): ``src`` stands before ``dst`` in some author list."""
+def coauthor_edges(items: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """(src, dst, weight): ``src`` stands before ``dst`` in ``weight`` of the author lists.
+
+    A list is cut into blocks of ``block`` authors, and each pair of blocks is a row of its own, so a list of many
+    thousands of authors is spread over tasks and no row grows with its square.
+    """
     named = F.filter("authors", lambda a: F.coalesce(a, F.lit("")) != "")
-    listed = items.select(named.alias("a"))
-    # one row per author with the rest of the list, then one per co-author
-    sources = explode_once(listed, F.col("a"), "src", "i")
-    rest = F.array_distinct(F.slice("a", F.col("i") + 2, F.size("a")))
-    return explode_once(sources, rest, "dst").select("src", "dst").distinct()
+    once = F.array_distinct("names")
+    simple = F.size("names") == F.size(once)
+    # where each author first and last stands; the long way only for lists that name one twice
+    plain = F.transform("names", lambda a, i: F.struct(a.alias("name"), i.alias("first"), i.alias("last")))
+    back = F.reverse("names")
+    place = lambda a: F.struct(
+        a.alias("name"),
+        (F.array_position("names", a) - 1).cast("int").alias("first"),
+        (F.size("names") - F.array_position(back, a)).cast("int").alias("last"),
+    )
+    listed = items.select(named.alias("names")).where(F.size("names") > 1)
+    listed = listed.select(simple.alias("simple"), F.when(simple, plain).otherwise(F.transform(once, place)).alias("e"))
+    blocks = F.ceil(F.size("e") / block).cast("int")
+    numbers = F.sequence(F.lit(0), blocks - 1)
+    # without a repeated name nobody stands before those of an earlier block
+    pairs = F.flatten(F.transform(numbers, lambda i: F.transform(
+        F.filter(numbers, lambda j: (j >= i) | ~F.col("simple")), lambda j: F.struct(i.alias("i"), j.alias("j"))
+    )))
+    met = explode_once(listed, pairs, "p")
+    part = lambda k: F.slice("e", F.col(f"p.{k}") * block + 1, F.lit(block))
+    met = met.select(part("i").alias("left"), part("j").alias("right"))
+    sources = explode_once(met, F.col("left"), "s").drop("left")
+    later = F.transform(F.filter("right", lambda d: F.col("s.first") < d["last"]), lambda d: d["name"])
+    edges = explode_once(sources.select(F.col("s.name").alias("src"), later.alias("later")), F.col("later"), "dst")
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def collaborators(items: DataFrame, author: str) -> DataFrame:

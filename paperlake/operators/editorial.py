@@ -212,6 +212,47 @@ def controversial_papers(
     return signed.select("topic", "signature", "seq").join(per_signature, ["topic", "signature"]).drop("signature")
 
 
+def controversy_pairs(
+    papers: DataFrame,
+    k: int,
+    patterns: Sequence[tuple[str, float]] = CONTRADICTION_PATTERNS,
+    directions: Sequence[tuple[Iterable[str], Iterable[str]]] = OPPOSITE_DIRECTIONS,
+    minimum: float = 0.5,
+) -> DataFrame:
+    """The ``k`` strongest conflicting pairs of each topic (topic, rank, score, seq_a, author_a, title_a, seq_b, author_b, title_b).
+
+    Ordered by score, then by the papers' ``seq``. Pairs of signatures are taken from the strongest on, with their
+    numbers of pairs, until k pairs are reached; only then are papers looked at, and of each signature only the first
+    k + 1: a pair with a later one has k pairs before it, made with these. So no topic lists all its pairs.
+    """
+    lead = F.coalesce(F.get("authors", F.lit(0)), F.lit("Authors"))
+    described = papers.select("seq", "title", "abstract", "topics", lead.alias("author"), F.col("title").alias("full_title"))
+    signed = _signed(described, patterns, directions)
+    # sums of the same weights in another order are the same score
+    pairs = _signature_pairs(signed, patterns, directions, minimum).withColumn("score", F.round("score", 9))
+    # all pairs of signatures of one score, so ties are settled by seq alone; their number is bounded by the bits
+    levels = pairs.groupBy("topic", "score").agg(F.sum("n_pairs").alias("n"))
+    stronger = Window.partitionBy("topic").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("before", F.coalesce(F.sum("n").over(stronger), F.lit(0))).where(F.col("before") < k)
+    wanted = pairs.join(levels.select("topic", "score"), ["topic", "score"]).select("topic", "signature_a", "signature_b", "score")
+
+    order = Window.partitionBy("topic", "signature").orderBy("seq")
+    first = signed.select("topic", "signature", "seq", "author", "full_title").withColumn("place", F.row_number().over(order))
+    first = first.where(F.col("place") <= k + 1)
+
+    def side(letter: str) -> DataFrame:
+        paper = F.struct("seq", "author", "full_title").alias(f"paper_{letter}")
+        return first.select("topic", F.col("signature").alias(f"signature_{letter}"), paper)
+
+    met = wanted.join(side("a"), ["topic", "signature_a"]).join(side("b"), ["topic", "signature_b"])
+    once = (F.col("signature_a") != F.col("signature_b")) | (F.col("paper_a.seq") < F.col("paper_b.seq"))
+    met = met.where(once).select("topic", "score", F.least("paper_a", "paper_b").alias("a"), F.greatest("paper_a", "paper_b").alias("b"))
+    best = Window.partitionBy("topic").orderBy(F.desc("score"), "a.seq", "b.seq")
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    named = [F.col(f"{x}.{c}").alias(f"{n}_{x}") for x in "ab" for c, n in (("seq", "seq"), ("author", "author"), ("full_title", "title"))]
+    return ranked.select("topic", "rank", "score", *named)
+
+
 def controversies(
     papers: DataFrame,
     patterns: Sequence[tuple[str, float]] = CONTRADICTION_PATTERNS,

@@ -265,6 +265,17 @@ def controversial_papers(spark, sf_dir):
     return found.withColumn("max_score", F.round("max_score", 6))
 
 
+@workload(
+    "controversy_pairs",
+    f"""WITH {PAIRS}, ranked AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, seq_a, seq_b)::INT AS rank,
+  round(score, 6) AS score, seq_a, seq_b FROM conflicts)
+SELECT r.*, a.title AS title_a, b.title AS title_b FROM ranked r JOIN papers a ON a.seq = seq_a JOIN papers b ON b.seq = seq_b WHERE rank <= 25""",
+)
+def controversy_pairs(spark, sf_dir):
+    found = editorial.controversy_pairs(papers(spark, sf_dir), 25, PATTERNS, DIRECTIONS)
+    return found.select("topic", "rank", F.round("score", 6).alias("score"), "seq_a", "seq_b", "title_a", "title_b")
+
+
 FIGURES = """
 figures AS (
   SELECT 'papers_reviewed' AS section, 0 AS position, NULL::BIGINT AS seq, NULL::VARCHAR AS title, count(*)::DOUBLE AS value FROM p

@@ -125,7 +125,18 @@ def top_countries(spark, sf_dir):
 SELECT DISTINCT a.author AS src, b.author AS dst FROM mentions a JOIN mentions b ON a.seq = b.seq AND a.pos < b.pos""",
 )
 def coauthor_edges(spark, sf_dir):
-    return authors.coauthor_edges(literature(spark, sf_dir))
+    return authors.coauthor_edges(literature(spark, sf_dir)).select("src", "dst")
+
+
+@workload(
+    "coauthor_weights",
+    f"""WITH {LITERATURE}, {MENTIONS}
+SELECT src, dst, count(*) AS weight FROM (
+  SELECT DISTINCT a.seq, a.author AS src, b.author AS dst FROM mentions a JOIN mentions b ON a.seq = b.seq AND a.pos < b.pos) GROUP BY src, dst""",
+)
+def coauthor_weights(spark, sf_dir):
+    """Lists of more than two authors are cut, so blocks meet one another."""
+    return authors.coauthor_edges(literature(spark, sf_dir), block=2)
 
 
 @workload(
