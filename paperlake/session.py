@@ -45,6 +45,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to, with all in it."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so a lost executor replays nothing before it."""
     context = df.sparkSession.sparkContext

@@ -1,24 +1,17 @@
-"""The document, chunk and embedding tables as parquet.
-
-Each upsert or delete adds one ``version=N`` folder; nothing is rewritten, so a
-retried write replaces only its own folder. Reading keeps the latest row per
-key that no later delete covers. ``compact`` folds old versions into one.
-"""
+"""The document, chunk and embedding tables: changes as functions of frames, and plain Parquet tables that keep them."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import text_of
+from paperlake.session import cut_lineage, folder_exists, remove_folder
 
-KEYS = {"documents": ["document_id"], "chunks": ["chunk_id"], "embeddings": ["chunk_id"]}
-DELETES = "deletes"
-REINDEXED = "reindexed"
-_DELETE_SCHEMA = "kind string, id string, version long"
+TABLES = ("documents", "chunks", "embeddings")
+BUCKETS = 64  # partitions of a table by document; a table of 100 TB wants some tens of thousands
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -54,119 +47,86 @@ def search_documents(documents: DataFrame, text: str) -> DataFrame:
     return documents.where(text_of("title").contains(text.lower()))
 
 
-class KnowledgeBase:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path.rstrip("/")
-
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return None
-            raise
-
-    def _deletes(self) -> DataFrame:
-        found = self._read(DELETES)
-        if found is None:
-            return self.spark.createDataFrame([], _DELETE_SCHEMA)
-        return found.select("kind", "id", F.col("version").cast("long"))
-
-    def latest_version(self) -> int:
-        """The highest version of any table; read from folder names and footers only."""
-        highest = 0
-        for name in [*KEYS, DELETES]:
-            found = self._read(name)
-            if found is not None:
-                highest = max(highest, found.agg(F.max("version")).first()[0] or 0)
-        return highest
-
-    def upsert(self, version: int, unique: bool = False, **tables: DataFrame) -> None:
-        """Write ``documents=``, ``chunks=`` and ``embeddings=`` rows as one version; the same version overwrites.
-
-        ``unique=True`` promises that no key comes twice, which saves the shuffle that makes
-        sure; else one row of a key stays, whatever the partitioning. Documents written
-        with their chunks replace all chunks and embeddings that they had before.
-        """
-        if "documents" in tables and ("chunks" in tables or "embeddings" in tables):
-            again = tables["documents"].select(F.col("document_id").cast("string").alias("id"))
-            again.write.mode("overwrite").parquet(f"{self.path}/{REINDEXED}/version={version}")
-        for name, frame in tables.items():
-            rows = frame
-            if not unique:
-                rows = frame.withColumn("_order", F.xxhash64(*frame.columns))
-                rows = last_per_key(rows, KEYS[name], ["_order"]).drop("_order")
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
-
-    def delete_documents(self, version: int, ids: DataFrame) -> None:
-        self._delete(version, ids.select(F.lit("document").alias("kind"), F.col("document_id").alias("id")))
-
-    def delete_chunks(self, version: int, ids: DataFrame) -> None:
-        self._delete(version, ids.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")))
-
-    def _delete(self, version: int, rows: DataFrame) -> None:
-        rows.select("kind", F.col("id").cast("string")).write.mode("overwrite").parquet(
-            f"{self.path}/{DELETES}/version={version}"
-        )
-
-    @staticmethod
-    def _latest(found: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """The latest row per key. The oldest version, the bulk after ``compact``, only loses keys that came again."""
-        oldest = found.agg(F.min("version")).first()[0]
-        later = found.where(F.col("version") > oldest)
-        base = found.where(F.col("version") == oldest).join(later.select(*keys).distinct(), list(keys), "left_anti")
-        return base.unionByName(last_per_key(later, keys, ["version"]))
-
-    def table(self, name: str) -> DataFrame:
-        """The current rows of a table."""
-        found = self._read(name)
-        if found is None:
-            raise ValueError(f"no {name} at {self.path}")
-        current = self._latest(found, KEYS[name])
-        deletes = self._deletes()
-        kinds = [("document", "document_id")] + ([] if name == "documents" else [("chunk", "chunk_id")])
-        for kind, column in kinds:
-            gone = (
-                deletes.where(F.col("kind") == kind)
-                .groupBy("id")
-                .agg(F.max("version").alias("_deleted"))
-                .withColumnRenamed("id", "_id")
-            )
-            current = (
-                current.join(gone, F.col(column).cast("string") == F.col("_id"), "left")
-                .where(F.col("_deleted").isNull() | (F.col("_deleted") < F.col("version")))
-                .drop("_id", "_deleted")
-            )
-        again = None if name == "documents" else self._read(REINDEXED)
-        if again is not None:
-            newest = again.groupBy(F.col("id").alias("_id")).agg(F.max("version").alias("_newest"))
-            current = (
-                current.join(newest, F.col("document_id").cast("string") == F.col("_id"), "left")
-                .where(F.col("_newest").isNull() | (F.col("version") >= F.col("_newest")))
-                .drop("_id", "_newest")
-            )
-        return current.drop("version")
-
-    def get_documents(self, ids: DataFrame) -> DataFrame:
-        return self.table("documents").join(ids.select("document_id").distinct(), "document_id", "left_semi")
-
-    def list_documents(self) -> DataFrame:
-        return newest_first(self.table("documents"))
-
-    def chunks_of(self, ids: DataFrame) -> DataFrame:
-        found = self.table("chunks").join(ids.select("document_id").distinct(), "document_id", "left_semi")
-        return found.orderBy("document_id", "chunk_index")
-
-    def embeddings_of(self, ids: DataFrame) -> DataFrame:
-        return self.table("embeddings").join(ids.select("document_id").distinct(), "document_id", "left_semi")
-
-    def count(self, name: str = "embeddings") -> int:
-        return self.table(name).count()
-
-    def compact(self, target: str) -> KnowledgeBase:
-        """Write the current rows as version 0 of a new base; the old one stays until its readers are done."""
-        for name in KEYS:
-            if self._read(name) is not None:
-                self.table(name).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}/version=0")
-        return KnowledgeBase(self.spark, target)
+def newest_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given documents, newest first."""
+    return newest_first(rows_of(documents, ids))
+
+
+def rows_of(table: DataFrame, ids: DataFrame, key: str = "document_id") -> DataFrame:
+    """The rows of ``table`` whose key is among ``ids``."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def chunks_in_order(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows_of(chunks, ids).orderBy("document_id", "chunk_index")
+
+
+def indexed_over(tables: Mapping[str, DataFrame], made: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """``tables`` with the frames of ``index_documents`` put over them: a document loses all that it had before."""
+    again = made["documents"].select("document_id")
+    return {name: delete_rows(tables[name], again, "document_id").unionByName(made[name]) for name in TABLES}
+
+
+def without_documents(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` without the given documents, their chunks and embeddings."""
+    return {name: delete_rows(tables[name], ids, "document_id") for name in TABLES}
+
+
+def without_chunks(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` without the given chunks (chunk_id) and their embeddings; documents stay."""
+    return {name: tables[name] if name == "documents" else delete_rows(tables[name], ids, "chunk_id") for name in TABLES}
+
+
+# --- tables in folders, partitioned by a hash of the document --------------------
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_tables(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
+    """Each table as Parquet under ``path``, partitioned by a hash of the document; what was there is replaced."""
+    for name, frame in tables.items():
+        frame.withColumn("bucket", _bucket("document_id", buckets)).repartition("bucket").write.mode("overwrite").partitionBy(
+            "bucket"
+        ).parquet(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}").drop("bucket") for name in TABLES}
+
+
+def put_documents(spark: SparkSession, path: str, made: Mapping[str, DataFrame], buckets: int = BUCKETS) -> None:
+    """Put newly indexed documents into the tables under ``path``; ``buckets`` must be that of the tables.
+
+    Only partitions that hold one of the documents are read and written again. Doing it twice changes nothing, so a
+    write that was broken off can be repeated; a document that comes twice in ``made`` counts once.
+    """
+    once = made["documents"].withColumn("_order", F.xxhash64(*made["documents"].columns))
+    made = {**made, "documents": last_per_key(once, ["document_id"], ["_order"]).drop("_order")}
+    made["chunks"], made["embeddings"] = (made[name].dropDuplicates(["chunk_id"]) for name in ("chunks", "embeddings"))
+    ids = made["documents"].select("document_id")
+    for name in TABLES:
+        _rewrite(spark, f"{path}/{name}", ids, made[name], buckets)
+
+
+def remove_documents(spark: SparkSession, path: str, ids: DataFrame, buckets: int = BUCKETS) -> None:
+    """Delete documents, their chunks and embeddings from the tables under ``path``."""
+    for name in TABLES:
+        _rewrite(spark, f"{path}/{name}", ids.select("document_id"), None, buckets)
+
+
+def _rewrite(spark: SparkSession, path: str, gone: DataFrame, new: DataFrame | None, buckets: int) -> None:
+    touched = [r.bucket for r in gone.select(_bucket("document_id", buckets).alias("bucket")).distinct().collect()]  # few
+    rows = None if new is None else new.withColumn("bucket", _bucket("document_id", buckets))
+    if folder_exists(spark, path):
+        held = delete_rows(spark.read.parquet(path).where(F.col("bucket").isin(touched)), gone, "document_id")
+        rows = held if rows is None else held.unionByName(rows)
+    if rows is None:
+        return
+    rows = cut_lineage(rows)  # the partitions that are written are also read
+    left = {r.bucket for r in rows.select("bucket").distinct().collect()}
+    writer = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+    for bucket in set(touched) - left:  # a partition of which no row is left is not overwritten
+        remove_folder(spark, f"{path}/bucket={bucket}")

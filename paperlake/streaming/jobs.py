@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from paperlake.functions.text import strip
 from paperlake.plans.ingest import index_documents
-from paperlake.sources.knowledge_base import KnowledgeBase
+from paperlake.sources.knowledge_base import BUCKETS, put_documents
 
 
 def read_files(spark: SparkSession, path: str, schema, max_files: int = 64, pattern: str = "*.parquet") -> DataFrame:
@@ -21,25 +21,18 @@ def read_files(spark: SparkSession, path: str, schema, max_files: int = 64, patt
 
 
 def ingest_stream(
-    docs: DataFrame,
-    kb: KnowledgeBase,
-    checkpoint: str,
-    strategy: str = "fixed",
-    once: bool = True,
-    first_version: int = 1,
-    **options,
+    docs: DataFrame, path: str, checkpoint: str, strategy: str = "fixed", once: bool = True, buckets: int = BUCKETS, **options
 ) -> StreamingQuery:
-    """Index new (document_id, text) rows as they arrive, for example from ``read_files``.
+    """Index new (document_id, text) rows as they arrive, for example from ``read_files``, into the tables under ``path``.
 
-    Each micro-batch becomes one version of the base, numbered by its batch id,
-    so a batch replayed after a failure overwrites itself. ``first_version`` must
-    stay the same for one checkpoint, and lie above versions written by others.
+    A micro-batch rewrites the partitions that hold its documents; one that is replayed after a failure writes the
+    same rows again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read by three tables
         try:
-            kb.upsert(first_version + batch_id, **index_documents(batch, strategy, **options))
+            put_documents(batch.sparkSession, path, index_documents(batch, strategy, **options), buckets)
         finally:
             batch.unpersist()
 

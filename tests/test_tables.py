@@ -11,8 +11,9 @@ from paperlake.operators.guidelines import (
 from paperlake.operators.reports import order_statistics, run_report
 from paperlake.plans.guidelines import ingest_guidelines
 from paperlake.plans.ingest import index_documents
+from paperlake.sources import knowledge_base as kb
 from paperlake.sources.fulltext import audit_files, fulltext_candidates
-from paperlake.sources.knowledge_base import KnowledgeBase, upsert
+from paperlake.sources.knowledge_base import upsert
 from paperlake.sources.search import institution_feed, journal_feed, lookup, match_terms, term_search, topic_search
 from paperlake.streaming.jobs import first_seen_stream, ingest_stream, period_counts, run_available
 
@@ -89,22 +90,39 @@ def test_run_report(frame):
     assert got["search"].status == "completed"
 
 
-def test_knowledge_base(spark, frame, tmp_path):
-    base = KnowledgeBase(spark, str(tmp_path / "kb"))
+def test_tables_of_documents(spark, frame, tmp_path):
+    """The same changes as functions of frames and in tables of folders."""
+    path = str(tmp_path / "kb")
     long = "these words are long enough to make a chunk of text"
-    docs = frame([("a", long), ("b", long), ("c", long)], "document_id string, text string")
-    base.upsert(1, **index_documents(docs))
-    base.upsert(2, **index_documents(frame([("b", long + " again")], "document_id string, text string")))
-    assert base.count() == 3 and base.latest_version() == 2
-    assert base.chunks_of(frame([("b",)], "document_id string")).collect()[0].text.endswith("again")
-    base.delete_documents(3, frame([("a",)], "document_id string"))
-    base.delete_chunks(4, frame([("c_chunk_0000",)], "chunk_id string"))
-    assert {r.document_id for r in base.list_documents().collect()} == {"b", "c"}
-    assert {r.document_id for r in base.table("chunks").collect()} == {"b"}
-    base.upsert(5, **index_documents(frame([("a", long)], "document_id string, text string")))
-    assert base.get_documents(frame([("a",), ("z",)], "document_id string")).count() == 1
-    folded = base.compact(str(tmp_path / "folded"))
-    assert folded.count("documents") == 3 and folded.count("chunks") == 2
+    schema = "document_id string, text string"
+    first = index_documents(frame([("a", long), ("b", long), ("c", long), ("b", long)], schema).distinct())
+    again = index_documents(frame([("b", long + " again"), ("d", None)], schema))
+    kb.write_tables(first, path, buckets=4)
+    for _ in range(2):  # a write that is repeated changes nothing
+        kb.put_documents(spark, path, again, buckets=4)
+    held = {name: f.cache() for name, f in kb.indexed_over(first, again).items()}
+    for tables in (held, kb.read_tables(spark, path)):
+        assert {r.document_id for r in tables["documents"].collect()} == {"a", "b", "c", "d"}
+        assert tables["embeddings"].count() == tables["chunks"].count() == 3
+        assert kb.chunks_in_order(tables["chunks"], frame([("b",)], "document_id string")).collect()[0].text.endswith("again")
+        assert kb.newest_of(tables["documents"], frame([("a",), ("z",)], "document_id string")).count() == 1
+        left = kb.without_chunks(tables, frame([("c_chunk_0000",)], "chunk_id string"))
+        assert {r.document_id for r in left["chunks"].collect()} == {"a", "b"} and left["documents"].count() == 4
+    gone = frame([("a",), ("b",), ("c",)], "document_id string")
+    kb.remove_documents(spark, path, gone, buckets=4)
+    for tables in (kb.without_documents(held, gone), kb.read_tables(spark, path)):
+        assert {r.document_id for r in tables["documents"].collect()} == {"d"}
+    assert kb.without_documents(held, gone)["chunks"].count() == 0
+
+
+def test_a_document_that_loses_its_chunks(spark, frame, tmp_path):
+    """No row of a partition is left: it goes, rather than keep what it held."""
+    path, schema = str(tmp_path / "kb"), "document_id string, text string"
+    long = "these words are long enough to make a chunk of text"
+    kb.write_tables(index_documents(frame([("a", long), ("b", long)], schema)), path, buckets=50)
+    kb.put_documents(spark, path, index_documents(frame([("a", None)], schema)), buckets=50)
+    tables = kb.read_tables(spark, path)
+    assert {r.document_id for r in tables["chunks"].collect()} == {"b"} and tables["documents"].count() == 2
 
 
 def test_upsert_takes_the_last_update(frame):
@@ -198,13 +216,13 @@ def test_first_seen_stream(spark, frame, tmp_path):
 
 def test_ingest_stream_resumes(spark, frame, tmp_path):
     long = "these words are long enough to make a chunk of text"
-    source, base = str(tmp_path / "in"), KnowledgeBase(spark, str(tmp_path / "kb"))
+    source, path = str(tmp_path / "in"), str(tmp_path / "kb")
 
     def arrive(*ids):
         frame([(i, long) for i in ids], "document_id string, text string").write.mode("append").parquet(source)
         stream = spark.readStream.schema("document_id string, text string").parquet(source)
-        ingest_stream(stream, base, str(tmp_path / "cp")).awaitTermination()
-        return {r.document_id for r in base.table("chunks").collect()}
+        ingest_stream(stream, path, str(tmp_path / "cp"), buckets=3).awaitTermination()
+        return {r.document_id for r in kb.read_tables(spark, path)["chunks"].collect()}
 
     assert arrive("a", "b") == {"a", "b"}
     assert arrive("b", "c") == {"a", "b", "c"}

@@ -14,7 +14,6 @@ from paperlake.sources import knowledge_base as kb
 from workloads import digests
 from workloads.documents import FIXED, TRIM
 from workloads.registry import SQL, workload
-from workloads.tables import run_folder
 from workloads.vectors import CENTROIDS, centroids, rounded
 from workloads.views import PAPERS, chunk_vectors, documents, papers, table
 from workloads.works import NORM
@@ -91,20 +90,18 @@ def vector_search_section(spark, sf_dir):
 # --- reads of the knowledge base -----------------------------------------------
 
 
-def written_base(spark, sf_dir):
-    """All documents written, those in French written again in capitals, toxic ones deleted."""
-    base = kb.KnowledgeBase(spark, run_folder(spark, "reads"))
+def written_tables(spark, sf_dir):
+    """All documents indexed, those in French again in capitals, toxic ones deleted."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
-    base.upsert(1, **index_documents(docs.select("document_id", "text")))
-    again = docs.where("lang = 'fr'").select("document_id", F.upper(F.substring("text", 1, 900)).alias("text"))
-    base.upsert(2, **index_documents(again))
-    base.delete_documents(3, table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id")))
-    return base
+    first = index_documents(docs.select("document_id", "text"))
+    again = index_documents(docs.where("lang = 'fr'").select("document_id", F.upper("text").alias("text")))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    return kb.without_documents(kb.indexed_over(first, again), toxic)
 
 
 REWRITTEN = FIXED.replace(
     "FROM documents)",
-    """FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN upper(substr(text, 1, 900)) ELSE text END AS text FROM documents
+    """FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN upper(text) ELSE text END AS text FROM documents
   WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)))""",
     1,
 )
@@ -123,9 +120,9 @@ FROM documents LEFT JOIN sums ON sums.document_id = doc_id WHERE doc_id NOT IN (
 )
 def read_documents(spark, sf_dir):
     """The listed documents, and which of them were asked for."""
-    base = written_base(spark, sf_dir)
-    asked = base.get_documents(asked_ids(spark, sf_dir)).select("document_id", F.lit(True).alias("asked"))
-    listed = base.list_documents().join(asked, "document_id", "left")
+    held = written_tables(spark, sf_dir)["documents"]
+    asked = kb.rows_of(held, asked_ids(spark, sf_dir)).select("document_id", F.lit(True).alias("asked"))
+    listed = kb.newest_first(held).join(asked, "document_id", "left")
     return listed.select("document_id", "total_chunks", "total_words", F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
@@ -135,7 +132,7 @@ def read_documents(spark, sf_dir):
 FROM chunks WHERE document_id IN (SELECT item_id * 3 FROM benchmark)""",
 )
 def read_chunks(spark, sf_dir):
-    found = written_base(spark, sf_dir).chunks_of(asked_ids(spark, sf_dir))
+    found = kb.chunks_in_order(written_tables(spark, sf_dir)["chunks"], asked_ids(spark, sf_dir))
     return found.select("chunk_id", F.md5("text").alias("text_md5"))
 
 
@@ -145,9 +142,9 @@ def read_chunks(spark, sf_dir):
   (SELECT count(*) FROM chunks) AS n_all FROM chunks WHERE document_id IN (SELECT item_id * 3 FROM benchmark)""",
 )
 def read_embeddings(spark, sf_dir):
-    base = written_base(spark, sf_dir)
-    found = base.embeddings_of(asked_ids(spark, sf_dir))
-    return found.select("chunk_id", "dimensions", F.lit(base.count()).cast("long").alias("n_all"))
+    held = written_tables(spark, sf_dir)["embeddings"]
+    found = kb.rows_of(held, asked_ids(spark, sf_dir))
+    return found.select("chunk_id", "dimensions", F.lit(held.count()).cast("long").alias("n_all"))
 
 
 # --- the editorial view ----------------------------------------------------------

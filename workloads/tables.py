@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators.reports import run_errors, run_report
 from paperlake.plans.ingest import index_documents, ingest_pages
-from paperlake.session import scratch_dir
+from paperlake.session import cut_lineage, remove_folder, scratch_dir
 from paperlake.sources import knowledge_base as kb
 from paperlake.streaming import jobs
 from workloads.discovery import FIRST_SEEN
@@ -21,6 +21,13 @@ def run_folder(spark, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df, folder: str):
+    """``df``, computed now, so that the folder it was read from can go; Spark removes the copy when nobody needs it."""
+    found = cut_lineage(df)
+    remove_folder(df.sparkSession, folder)
+    return found
+
+
 @workload(
     "upserted_documents",
     """WITH old AS (SELECT doc_id AS document_id, text, 1 AS version FROM documents WHERE lang <> 'fr'),
@@ -89,18 +96,18 @@ SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (SE
 UNION ALL SELECT 'chunks', count(*) FROM kept UNION ALL SELECT 'embeddings', count(*) FROM kept""",
 )
 def knowledge_base(spark, sf_dir):
-    """Two overlapping versions written, toxic documents deleted, the rest counted."""
-    base = kb.KnowledgeBase(spark, run_folder(spark, "kb"))
+    """Two overlapping sets of documents put into tables, toxic documents deleted, the rest counted."""
+    folder = run_folder(spark, "kb")
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
-    base.upsert(1, **index_documents(docs.where("lang <> 'fr'").select("document_id", "text")))
-    base.upsert(2, **index_documents(docs.where("lang <> 'en'").select("document_id", "text")))
+    kb.write_tables(index_documents(docs.where("lang <> 'fr'").select("document_id", "text")), folder, 8)
+    kb.put_documents(spark, folder, index_documents(docs.where("lang <> 'en'").select("document_id", "text")), 8)
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
-    base.delete_documents(3, toxic)
+    kb.remove_documents(spark, folder, toxic, 8)
     out = None
-    for name in ("documents", "chunks", "embeddings"):
-        count = base.table(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    for name, frame in kb.read_tables(spark, folder).items():
+        count = frame.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         out = count if out is None else out.unionByName(count)
-    return out
+    return kept(out, folder)
 
 
 @workload(
@@ -177,7 +184,7 @@ def period_counts(spark, sf_dir):
     """Weekly counts of a stream; the last, still open week is not emitted."""
     counted = jobs.period_counts(event_stream(spark, sf_dir), "event_type", "7 days")
     folder = run_folder(spark, "periods")
-    done = jobs.run_available(counted, f"{folder}/out", f"{folder}/checkpoint")
+    done = kept(jobs.run_available(counted, f"{folder}/out", f"{folder}/checkpoint"), folder)
     return done.select(F.col("period_start").cast("string").alias("period_start"), "event_type", "n")
 
 
@@ -191,7 +198,7 @@ WHERE s + INTERVAL 14 DAY {CLOSED} AND ts < s + INTERVAL 14 DAY GROUP BY s, even
 def sliding_counts(spark, sf_dir):
     counted = jobs.period_counts(event_stream(spark, sf_dir), "event_type", "14 days", "7 days")
     folder = run_folder(spark, "sliding")
-    done = jobs.run_available(counted, f"{folder}/out", f"{folder}/checkpoint")
+    done = kept(jobs.run_available(counted, f"{folder}/out", f"{folder}/checkpoint"), folder)
     return done.select(F.col("period_start").cast("string").alias("period_start"), "event_type", "n")
 
 
@@ -203,7 +210,7 @@ def first_seen_stream(spark, sf_dir):
     """The first event per user within the watermark delay, which covers the month."""
     once = jobs.first_seen_stream(event_stream(spark, sf_dir), "user_id", "ts", "60 days").select("user_id")
     folder = run_folder(spark, "first-seen")
-    return jobs.run_available(once, f"{folder}/out", f"{folder}/checkpoint")
+    return kept(jobs.run_available(once, f"{folder}/out", f"{folder}/checkpoint"), folder)
 
 
 @workload("first_seen_runs", f"WITH {PAPERS}, {FIRST_SEEN.format('papers')} SELECT seq, title FROM seen")
@@ -217,17 +224,14 @@ def first_seen_runs(spark, sf_dir):
         part.write.mode("append").parquet(f"{folder}/in")
         stream = jobs.first_seen_forever(jobs.read_files(spark, f"{folder}/in", items.schema))
         found = jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
-    return found.select("seq", "title")
+    return kept(found.select("seq", "title"), folder)
 
 
 @workload("ingest_stream", f"WITH {FIXED} SELECT document_id, count(*) AS n_chunks FROM chunks GROUP BY document_id")
 def ingest_stream(spark, sf_dir):
-    """Documents arriving as a stream end up in the base like a batch."""
+    """Documents arriving as a stream end up in the tables like a batch."""
     folder = run_folder(spark, "ingest")
-    docs = stream(spark, sf_dir, "documents")
-    base = kb.KnowledgeBase(spark, f"{folder}/kb")
-    query = jobs.ingest_stream(
-        docs.select(F.col("doc_id").alias("document_id"), "text"), base, f"{folder}/checkpoint"
-    )
-    query.awaitTermination()
-    return base.table("chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    docs = stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    jobs.ingest_stream(docs, f"{folder}/kb", f"{folder}/checkpoint", buckets=8).awaitTermination()
+    chunks = kb.read_tables(spark, f"{folder}/kb")["chunks"]
+    return kept(chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks")), folder)
