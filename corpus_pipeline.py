@@ -6,8 +6,8 @@ columns of ``documents``. Every stage judges whole texts of all rows it is given
 
 Defined results: rows with a null doc_id are never merged with others; rows
 repeated with the same doc_id become one in the second stage, of different texts
-the smallest; null and empty
-texts fail the first stage; an empty table passes through all stages.
+the smallest; null and empty texts fail the first stage; an empty table passes
+through all stages.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from paperlake.llm.pseudonyms import pseudonymise
 from paperlake.llm.quality_rules import judge_quality
 from paperlake.llm.queries import MODEL, PSEUDONYM_KEY
 from paperlake.llm.sentencepiece_model import encode
-from paperlake.session import scratch_dir
+from paperlake.session import remove_folder, scratch_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 KEEP_SHARE = 0.9  # of the tokens that reach the mixing stage
@@ -81,11 +81,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with every stage's rows written to the shared folder."""
     folder = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{folder}/{k}_{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:  # nothing reads it any more; what the last stage reads is left to the caller
+                remove_folder(spark, before)
+            before = path
     return docs
