@@ -90,6 +90,12 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, buckets: int = BUCK
         frame.withColumn("bucket", _bucket("document_id", buckets)).repartition("bucket").write.mode("overwrite").partitionBy(
             "bucket"
         ).parquet(f"{path}/{name}")
+        _keep_schema(frame, f"{path}/{name}")
+
+
+def _keep_schema(frame: DataFrame, path: str) -> None:
+    """An empty file, so that a table of which no row is left can still be read."""
+    frame.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/bucket=-1")
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -119,7 +125,8 @@ def remove_documents(spark: SparkSession, path: str, ids: DataFrame, buckets: in
 def _rewrite(spark: SparkSession, path: str, gone: DataFrame, new: DataFrame | None, buckets: int) -> None:
     touched = [r.bucket for r in gone.select(_bucket("document_id", buckets).alias("bucket")).distinct().collect()]  # few
     rows = None if new is None else new.withColumn("bucket", _bucket("document_id", buckets))
-    if folder_exists(spark, path):
+    old = folder_exists(spark, path)
+    if old:
         held = delete_rows(spark.read.parquet(path).where(F.col("bucket").isin(touched)), gone, "document_id")
         rows = held if rows is None else held.unionByName(rows)
     if rows is None:
@@ -128,5 +135,7 @@ def _rewrite(spark: SparkSession, path: str, gone: DataFrame, new: DataFrame | N
     left = {r.bucket for r in rows.select("bucket").distinct().collect()}
     writer = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("bucket").parquet(path)
+    if not old:
+        _keep_schema(rows.drop("bucket"), path)
     for bucket in set(touched) - left:  # a partition of which no row is left is not overwritten
         remove_folder(spark, f"{path}/bucket={bucket}")

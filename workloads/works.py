@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.terms import match_terms
 from paperlake.functions.text import derive_id, normalize_title
-from paperlake.operators import identity, merge
+from paperlake.operators import citing, identity, merge
+from paperlake.operators.expansion import reference_expansion
+from paperlake.operators.parsing import references
 from paperlake.plans import literature as plans
 from paperlake.sources import bibliographic, fulltext, search
 from workloads.documents import TRIM
@@ -434,6 +436,69 @@ def dictionary_hits(spark, sf_dir):
     )
 
 
+# Each line of an order cites the order that its part key names, in one of three ways.
+CITED = f"""WITH {LITERATURE},
+r AS (SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey)::INT AS position,
+  l_partkey % 3 AS how, c.doi, string_split(c.title, ' ') AS ws, c.year FROM lineitem JOIN literature c ON c.seq = l_partkey),
+refs AS (SELECT document_id, position, how, doi, CASE WHEN how = 2 THEN ws[:-2] ELSE ws END AS ws, year FROM r),
+by_doi AS (SELECT document_id, position, seq AS cited_id, 'doi' AS by, 0 AS missing FROM refs JOIN literature USING (doi) WHERE how = 0),
+ref_keys AS (SELECT DISTINCT document_id, position, year, m, key FROM (
+  SELECT document_id, position, year, 0 AS m, array_to_string(ws, ' ') AS key FROM refs WHERE how > 0 AND len(ws) >= 3 UNION ALL
+  SELECT document_id, position, year, 1, unnest(list_transform(range(1, len(ws) + 1), lambda k: array_to_string(list_concat(ws[:k - 1], ws[k + 1:]), ' ')))
+  FROM refs WHERE how > 0 AND len(ws) >= 3)),
+lw AS (SELECT seq, year, string_split(title, ' ') AS ws FROM literature),
+work_keys AS (SELECT year, m, key, min(seq) AS seq FROM (
+  SELECT seq, year, 0 AS m, array_to_string(ws, ' ') AS key FROM lw WHERE len(ws) >= 3 UNION ALL
+  SELECT seq, year, 1, unnest(list_transform(range(1, len(ws) + 1), lambda k: array_to_string(list_concat(ws[:k - 1], ws[k + 1:]), ' ')))
+  FROM lw WHERE len(ws) >= 3) GROUP BY year, m, key),
+by_title AS (SELECT document_id, position, w.seq AS cited_id, 'title' AS by, r.m + w.m AS missing FROM ref_keys r JOIN work_keys w ON w.key = r.key
+  AND abs(w.year - r.year) <= 1
+  QUALIFY row_number() OVER (PARTITION BY document_id, position ORDER BY r.m + w.m, abs(w.year - r.year), w.seq) = 1),
+links AS (SELECT * FROM by_doi UNION ALL SELECT * FROM by_title)"""
+
+
+def cited_texts(spark, sf_dir):
+    """Documents that are lists of references: with a DOI, with a title in quotes, or with a title that lacks its last word."""
+    works = literature(spark, sf_dir).withColumn("doi", F.concat(F.lit("10.1234/"), "seq"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    met = lines.join(works.select(F.col("seq").alias("l_partkey"), "doi", "title", "year"), "l_partkey")
+    how, year = F.col("l_partkey") % 3, F.col("year").cast("string")
+    short = F.array_join(F.slice(F.split("title", " "), 1, F.greatest(F.size(F.split("title", " ")) - 1, F.lit(0))), " ")
+    body = (
+        F.when(how == 0, F.concat(F.lit("Doe J, Roe A. Some other words. J Parts. "), year, F.lit(";12(3):1-5. doi: "), "doi"))
+        .when(how == 1, F.concat(F.lit('Doe, J., & Roe, A. "'), "title", F.lit('". J Parts ('), year, F.lit(").")))
+        .otherwise(F.concat(F.lit("Doe J, Roe A. "), short, F.lit(". J Parts. "), year, F.lit(";12(3):1-5.")))
+    )
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", body.alias("body"))))
+    grouped = met.groupBy(F.col("l_orderkey").alias("document_id")).agg(listed.alias("rows"))
+    text = F.array_join(F.transform("rows", lambda x, i: F.concat(F.lit("["), i + 1, F.lit("] "), x.body)), "\n")
+    return grouped.select("document_id", text.alias("text")), works
+
+
+@workload("citation_links", f"{CITED} SELECT * FROM links")
+def citation_links(spark, sf_dir):
+    """References parsed from texts, linked with the works they name."""
+    texts, works = cited_texts(spark, sf_dir)
+    found = citing.segmented(references(texts).where("raw_text <> ''"))
+    # texts start with an item, so the first position is 0
+    return citing.link_references(found, works).withColumn("position", F.col("position") + 1)
+
+
+@workload(
+    "cited_works",
+    f"""{CITED}, e AS (SELECT document_id AS citing_id, cited_id, min(position) AS position FROM links WHERE document_id <> cited_id GROUP BY ALL),
+top AS (SELECT * FROM literature ORDER BY len(authors) DESC, seq LIMIT 10)
+SELECT e.citing_id, l.seq, l.title FROM e JOIN literature l ON l.seq = e.cited_id WHERE e.citing_id IN (SELECT seq FROM top)""",
+)
+def cited_works(spark, sf_dir):
+    """The works that the references of the ten orders with most authors name."""
+    texts, works = cited_texts(spark, sf_dir)
+    links = citing.link_references(citing.segmented(references(texts).where("raw_text <> ''")), works)
+    top = works.orderBy(F.size("authors").desc(), "seq").limit(10)
+    found = reference_expansion(works, citing.citation_edges(links), top)
+    return found.select("citing_id", "seq", "title")
+
+
 JOURNALS = (("BUILDING", "0000-0001", 2.5), ("MACHINERY", "0000-0002", 1.25), ("NO SUCH", "0000-0003", 9.0))
 JOURNAL_VALUES = ", ".join(f"({i}::INT, '{a}', '{b}', {c}::DOUBLE)" for i, (a, b, c) in enumerate(JOURNALS))
 
