@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.fixed_values import (
     BREAKING_WORDS, CONTRADICTION_PATTERNS, EMERGING_THEMES, HIGH_IMPACT_JOURNALS, NOVELTY_WORDS,
-    OPPOSITE_DIRECTIONS, PRACTICE_WORDS, THEMES,
+    OPPOSITE_DIRECTIONS, PRACTICE_WORDS, STORY_IMPORTANCE, STORY_JOURNAL, STORY_NOVELTY, STORY_PRACTICE, STORY_WORDS_MOST, THEMES,
 )
 from paperlake.functions.text import contains_any, count_hits, let, text_of
 from paperlake.session import cut_lineage
@@ -27,12 +27,13 @@ def with_story_score(
     """Add ``story_score`` in 0..1: importance, novelty words, practice words and journal."""
     words = let(
         text_of("title", "abstract"),
-        lambda t: F.least(F.lit(0.2), count_hits(t, novelty) * 0.05) + F.least(F.lit(0.2), count_hits(t, practice) * 0.04),
+        lambda t: F.least(F.lit(STORY_WORDS_MOST), count_hits(t, novelty) * STORY_NOVELTY)
+        + F.least(F.lit(STORY_WORDS_MOST), count_hits(t, practice) * STORY_PRACTICE),
     )
     score = (
-        F.coalesce("clinical_importance", F.lit(0.0)) * 0.4
+        F.coalesce("clinical_importance", F.lit(0.0)) * STORY_IMPORTANCE
         + words
-        + F.when(contains_any(text_of("journal"), journals), 0.2).otherwise(0.0)
+        + F.when(contains_any(text_of("journal"), journals), STORY_JOURNAL).otherwise(0.0)
     )
     return papers.withColumn("story_score", F.least(F.lit(1.0), score))
 
