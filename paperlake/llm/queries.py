@@ -16,7 +16,7 @@ from paperlake.llm.quality_rules import judge_quality, quality_sql
 from paperlake.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from paperlake.llm.sentencepiece_model import decode, encode
 from paperlake.llm.token_counts import count_tokens
-from paperlake.llm.url_filter import Rule, judge_urls, rules_sql
+from paperlake.llm.url_filter import SPAM_GLOBS, Rule, judge_urls, rules_sql
 from paperlake.llm.vp_search import nearest
 from paperlake.llm.whitening import fit, identity_error, whiten
 
@@ -53,9 +53,9 @@ URL_RULES = (
 )
 
 
-@query("op10_url_filter", rules_sql(URL_RULES))
+@query("op10_url_filter", rules_sql(URL_RULES, blocked=SPAM_GLOBS))
 def op10_url_filter(spark, sf_dir):
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, blocked=SPAM_GLOBS).drop("url")
 
 
 @query("op7_quality_rules", quality_sql())

@@ -9,13 +9,15 @@ Globs: ``?`` is one byte, ``*`` a run without "/", ``**`` any run.
 Defined results: host and path come from the URL alone (null, or without "://":
 both empty, no rule fits); matching is by bytes, host lower-cased in A-Z only;
 of the fitting rules the longest wins, of equally long ones a block before
-an allow, then the earlier one; no fitting rule gives the default verdict.
+an allow, then the earlier one. Where no rule fits, the first fitting glob of
+those that block decides; where none does, the default verdict.
 Repeated rows are judged alike, an empty table gives no rows, input columns
 named like an added one are replaced.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -28,6 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ANY, RUN, DEEP_RUN = "?", "*", "**"
+# Globs that block where no rule decides, over host and path: a run without "/" first keeps a word to the host.
+SPAM_GLOBS = (
+    "*casino**", "*poker**", "*lottery**", "*-bets**", "*bets-**", "*pills**", "*viagra**", "*payday**", "*replica**",
+    "*spam**", "*porn**", "**/wp-login.php", "**/wp-admin/**", "**/cgi-bin/**", "**.exe", "**.apk",
+)
 BATCH_URLS = 20_000
 
 
@@ -114,37 +121,55 @@ def _host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """``df`` with host, path, rule (of the rule that decides, else null) and verdict."""
+def judge_urls(
+    df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = "allow", blocked: Sequence[str] = ()
+) -> DataFrame:
+    """``df`` with host, path, rule (of the rule that decides, else null), verdict and pattern (the glob that
+    decides, else null).
+
+    ``blocked`` are globs over host and path that block where no rule fits.
+    """
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.verdict != "block"))
-    globs = [g for r in ranked for g in r.globs()]
+    globs = [*(g for r in ranked for g in r.globs()), *(parse_glob(g) for g in blocked)]
     host, path = _host_and_path(F.col(url_col))
     parts = df.withColumns({"host": host, "path": path})
-    kept = [f for f in parts.schema.fields if f.name not in ("rule", "verdict")]
-    out = T.StructType([*kept, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+    added = ("rule", "verdict", "pattern")
+    kept = [f for f in parts.schema.fields if f.name not in added]
+    out = T.StructType([*kept, *(T.StructField(name, T.StringType()) for name in added)])
 
     def run(batches):
         automaton = Automaton(globs)
         names = pa.array([r.name for r in ranked], pa.string())
-        verdicts = pa.array([*(r.verdict for r in ranked), default], pa.string())
+        verdicts = pa.array([*(r.verdict for r in ranked), *("block" for _ in blocked), default], pa.string())
+        written = pa.array(blocked, pa.string())
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH_URLS):
                 part = batch.slice(first, BATCH_URLS)
                 whole = pc.binary_join_element_wise(part.column("host"), part.column("path"), "").cast(pa.large_string())
                 offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64)[: len(whole) + 1]
                 data = np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)
-                fits = automaton.match(data, offsets).reshape(len(whole), len(ranked), 2).any(axis=2)
-                fits &= (np.diff(offsets) > 0)[:, None]
+                found = automaton.match(data, offsets) & (np.diff(offsets) > 0)[:, None]
+                by_rule = found[:, : 2 * len(ranked)].reshape(len(whole), len(ranked), 2).any(axis=2)
+                fits = np.concatenate([by_rule, found[:, 2 * len(ranked) :]], axis=1)  # what comes first decides
                 some = fits.any(axis=1)
-                rank = np.where(some, fits.argmax(axis=1) if ranked else 0, len(ranked))
-                rule = names.take(pa.array(rank, mask=~some))
-                columns = [*(part.column(f.name) for f in kept), rule, verdicts.take(pa.array(rank))]
+                rank = np.where(some, fits.argmax(axis=1) if fits.shape[1] else 0, fits.shape[1])
+                ruled = rank < len(ranked)
+                rule = names.take(pa.array(rank, mask=~ruled))
+                glob = written.take(pa.array(rank - len(ranked), mask=ruled | ~some))
+                columns = [*(part.column(f.name) for f in kept), rule, verdicts.take(pa.array(rank)), glob]
                 yield pa.RecordBatch.from_arrays(columns, out.names)
 
     return parts.select(*(f.name for f in kept)).mapInArrow(run, out)
 
 
-def rules_sql(rules: Sequence[Rule], default: str = "allow") -> str:
+def glob_pattern(glob: str) -> str:
+    """A regular expression for the same texts, of characters in place of bytes."""
+    wild = {ANY: ".", RUN: "[^/]*", DEEP_RUN: ".*"}
+    parts = re.split(r"(\*\*|\*|\?)", glob)
+    return "(?s)" + "".join(wild.get(p) or re.escape(p) for p in parts if p)
+
+
+def rules_sql(rules: Sequence[Rule], default: str = "allow", blocked: Sequence[str] = ()) -> str:
     """The same judgement as SQL over ``pages``, for comparison."""
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.verdict != "block"))
     fits = [
@@ -152,6 +177,8 @@ def rules_sql(rules: Sequence[Rule], default: str = "allow") -> str:
     ]
     rule = " ".join(f"WHEN {c} THEN '{r.name}'" for c, r in fits)
     verdict = " ".join(f"WHEN {c} THEN '{r.verdict}'" for c, r in fits)
+    globs = " ".join(f"WHEN host || path <> '' AND regexp_full_match(host || path, '{glob_pattern(g)}') THEN '{g}'" for g in blocked)
+    glob = f"CASE WHEN rule IS NULL THEN CASE {globs} END END" if blocked else "NULL::VARCHAR"
     return f"""
         WITH rests AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -160,5 +187,8 @@ def rules_sql(rules: Sequence[Rule], default: str = "allow") -> str:
             SELECT page_id,
                    translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-            FROM rests)
-        SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE '{default}' END AS verdict FROM parts"""
+            FROM rests),
+        ruled AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS ruling FROM parts),
+        judged AS (SELECT *, {glob} AS pattern FROM ruled)
+        SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE '{default}' END) AS verdict, pattern
+        FROM judged"""

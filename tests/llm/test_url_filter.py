@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from paperlake.llm.queries import URL_RULES
-from paperlake.llm.url_filter import Automaton, Rule, judge_urls, parse_glob
+from paperlake.llm.url_filter import SPAM_GLOBS, Automaton, Rule, glob_pattern, judge_urls, parse_glob
 
 WIDE = (*URL_RULES, Rule("block", "example.org", "/"), Rule("allow", "a.b", "/x"), Rule("block", "b", "/xy"))
 
@@ -46,3 +46,18 @@ def test_globs():
     for i, t in enumerate(texts):
         for j, g in enumerate(globs * 12):
             assert got[i, j] == bool(re.fullmatch(pattern[g], t, re.S)), (g, t)
+
+
+def test_globs_decide_where_no_rule_fits(spark):
+    hosts = ["casino-win.example.org", "www.cheap-pills.example.com", "free-bets.net", "alphabets.net", "spam-farm.example.org", "CASINO.org", "plain.net"]
+    paths = ["", "/", "/casino/x", "/fr/a", "/de/a", "/es/a", "/wp-admin/", "/a/b.exe", "/a.exe/b", "/ü.apk", "/" + "x/" * 5000 + "cgi-bin/y"]
+    urls = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "casino", "://", "://casino"]
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, pattern string")
+    seen = set()
+    for row in judge_urls(df, URL_RULES, blocked=SPAM_GLOBS).collect():
+        host, path, rule, verdict = plain(row.url, URL_RULES)
+        fits = [g for g in SPAM_GLOBS if host + path and re.fullmatch(glob_pattern(g), host + path)] if rule is None else []
+        assert (row.rule, row.verdict, row.pattern) == (rule, "block" if fits else verdict, fits[0] if fits else None), row.url
+        seen.add(row.pattern)
+    assert {None, "*casino**", "*pills**", "*-bets**", "**/wp-admin/**", "**.exe", "**.apk", "**/cgi-bin/**"} <= seen
+    assert {r.pattern for r in judge_urls(df, (), blocked=()).collect()} == {None}
