@@ -67,3 +67,12 @@ def test_institutions_from_a_frame(spark):
         items, people = institution_feed(df, given, ["t"])
         assert {(r.institution, r.seq) for r in items.collect()} == {("Mayo Clinic", 1), ("Mayo Clinic", 3), ("Oslo", 3)}
         assert {(r.institution, r.author) for r in people.collect()} == {("Mayo Clinic", "A"), ("Mayo Clinic", "C"), ("Oslo", "C")}
+
+
+def test_no_terms_or_no_texts(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, None)], "seq long, text string")
+    terms = spark.createDataFrame([("a",)], "term string")
+    assert match_terms(texts, terms.where("term = 'z'")).collect() == []
+    assert match_terms(texts.where("seq > 5"), terms).collect() == []
+    assert match_terms(texts, spark.createDataFrame([("",), (None,)], "term string"), max_cells=1).collect() == []
+    assert [r.seq for r in match_terms(texts, terms, max_cells=1).collect()] == [1]
