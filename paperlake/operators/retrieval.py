@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperlake.fixed_values import NO_CONTEXT
 from paperlake.functions.text import words
+from paperlake.session import cut_lineage
 
 # Vectors per shard, queries and vectors scored at once, and centroids sent to every task.
 SHARD_ROWS = 50_000
@@ -149,16 +150,27 @@ def _search_shards(vectors: DataFrame, queries: DataFrame, shards: int, k: int,
     return together.mapInPandas(search, _HITS)
 
 
-def _shards_of(vectors: DataFrame, key: Column, groups: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """(vectors with ``shard``, (key, shard) of every shard, number of shards): each key has as many as its size asks for."""
-    sized = groups.withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+def _shards_of(vectors: DataFrame, wanted: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors with ``shard``, queries with ``shard``, number of shards) of vectors and queries that hold their ``key``.
+
+    A key has as many shards as its size asks for, as long as its queries, which go to each of them, stay fewer than its
+    vectors; a key of many queries has no more shards than keep ``SHARD_ROWS`` vectors in each.
+    """
+    asking = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("asking"))
+    sized = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(asking, "key", "left")
+    fewest = F.ceil(F.col("n") / F.greatest(F.lit(SHARD_ROWS), F.lit(shard_rows)))
+    paid = F.ceil(F.col("n") / F.greatest(F.coalesce("asking", F.lit(0)), F.lit(1)))
+    parts = F.greatest(fewest, F.least(F.ceil(F.col("n") / shard_rows), paid)).cast("int")
+    sized = cut_lineage(sized.select("key", parts.alias("parts")))
     first = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("first", F.coalesce(F.sum("parts").over(first), F.lit(0)).cast("int"))  # a row per centroid
     total = sized.agg(F.sum("parts")).first()[0] or 1
-    keyed = vectors.withColumn("key", key).join(F.broadcast(sized), "key")
-    dealt = keyed.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = vectors.join(F.broadcast(sized), "key").withColumn(
+        "shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    )
     every = sized.select("key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"))
-    return dealt.select("shard", "id", "embedding"), every, total
+    asked = wanted.join(F.broadcast(every), "key")
+    return dealt.select("shard", "id", "embedding"), asked.select("shard", "id", "embedding"), total
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -228,7 +240,8 @@ def vector_search_approx(
     Every vector belongs to its nearest centroid (by the same metric, ties to the
     smaller id). ``centroids`` (centroid_id long, embedding) holds at most
     ``MAX_CENTROIDS`` rows; without it ``choose_centroids`` picks some. Partitions of
-    more than ``shard_rows`` are split. Returned scores are exact; a neighbour in a
+    more than ``shard_rows`` are split, unless so many queries probe them that these, sent to every part, would outweigh
+    the vectors; then only those of more than ``SHARD_ROWS`` are. Returned scores are exact; a neighbour in a
     partition that is not probed is missed.
     """
     rows, asked = _inputs(queries, vectors, metric, where)
@@ -252,12 +265,11 @@ def vector_search_approx(
 
     schema = "id long, embedding array<double>, keys array<long>"
     as_double = F.col("embedding").cast("array<double>").alias("embedding")
-    placed = rows.select("id", as_double).mapInPandas(probes(1), schema).withColumn("key", F.col("keys")[0])
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    dealt, every, shards = _shards_of(placed.select("id", "embedding", "key"), F.col("key"), sizes, shard_rows)
+    placed = rows.select("id", as_double).mapInPandas(probes(1), schema).withColumn("key", F.col("keys")[0]).drop("keys")
     wanted = asked.select("id", as_double).mapInPandas(probes(n_probe), schema)
-    wanted = wanted.select("id", "embedding", F.explode("keys").alias("key")).join(F.broadcast(every), "key")
-    hits = _search_shards(dealt, wanted, shards, k, threshold, metric)
+    wanted = wanted.select("id", "embedding", F.explode("keys").alias("key"))
+    dealt, sent, shards = _shards_of(placed, wanted, shard_rows)
+    hits = _search_shards(dealt, sent, shards, k, threshold, metric)
     return _ranked(hits, k).select("query_id", "rank", "chunk_id", "score")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.sql import register_sql_functions
 from paperlake.operators.retrieval import (
-    choose_centroids, embed, enrich_hits, hybrid_search, rag_context, similar_documents, summary_context, vector_search, vector_search_approx,
+    _shards_of, choose_centroids, embed, enrich_hits, hybrid_search, rag_context, similar_documents, summary_context, vector_search, vector_search_approx,
 )
 from paperlake.plans.answers import answer_contexts
 from paperlake.plans.ingest import index_documents, ingest_pages
@@ -155,3 +155,12 @@ def test_sql_functions(spark):
     assert (row.t, row.i, row.d, row.z) == ("a b c", "pmid:12", "cohort", 0.0) and row.c == pytest.approx(0.5**0.5)
     rows = spark.sql("SELECT c.* FROM (SELECT 'a b c d e' AS body) t, LATERAL chunk_text(t.body, 3, 1) c").collect()
     assert [(r.chunk_index, r.chunk) for r in rows] == [(0, "a b c"), (1, "c d e"), (2, "e")]
+
+
+def test_queries_are_not_copied_to_every_small_shard(frame):
+    vectors = frame([(i, [1.0], i % 2) for i in range(200)], "id long, embedding array<double>, key long")
+    wanted = frame([(i, [1.0], 0) for i in range(100)] + [(i, [1.0], 1) for i in range(5)], "id long, embedding array<double>, key long")
+    dealt, sent, shards = _shards_of(vectors, wanted, 10)
+    # as many queries as vectors: one shard; five queries: ten shards
+    assert shards == 11 and dealt.count() == 200 and sent.count() == 100 + 5 * 10
+    assert dealt.groupBy("shard").count().count() == 11
