@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
 from paperlake.functions.text import blank_to_null, canonical_doi, let, normalize_title, strip
+from paperlake.session import cut_lineage
 
 LEAST_WORDS = 3  # of a title that links
 YEARS = 1  # by which a year may be off, as for a paper that was online first
@@ -23,16 +24,23 @@ _DOI_TAIL = r"(?i)\s*(?:doi:?\s*|https?://(?:dx\.)?doi\.org/)10\.\d{4,9}/\S+"
 _YEAR_ONLY = r"^\(?\d{4}[a-z]?\)?$"
 
 
+def _plain(raw: Column) -> Column:
+    return strip(F.regexp_replace(raw, _DOI_TAIL, ""))
+
+
+def _parts(raw: Column) -> Column:
+    return F.filter(
+        F.transform(F.split(_plain(raw), _FIELD_BREAK), lambda p: F.rtrim(strip(p), F.lit("."))),
+        lambda p: (p != "") & ~p.rlike(_YEAR_ONLY),
+    )
+
+
 def fields_of(raw: Column, quoted: Column) -> Column:
     """(authors, title, journal, volume, issue, first_page, last_page) of a reference; null where it has none.
 
     ``quoted`` is a title found in quotes, or empty. Else the first field is the authors, the second the title.
     """
-    plain = strip(F.regexp_replace(raw, _DOI_TAIL, ""))
-    parts = F.filter(
-        F.transform(F.split(plain, _FIELD_BREAK), lambda p: F.rtrim(strip(p), F.lit("."))),
-        lambda p: (p != "") & ~p.rlike(_YEAR_ONLY),
-    )
+    plain = _plain(raw)
 
     def described(p: Column) -> Column:
         named = F.coalesce(quoted, F.lit("")) != ""
@@ -44,35 +52,51 @@ def fields_of(raw: Column, quoted: Column) -> Column:
         volume = r"(\d+)\s*\((\d+)\)"
         return F.struct(
             blank_to_null(F.when(named, before).when(F.size(p) > 1, F.get(p, F.lit(0)))).alias("authors"),
-            blank_to_null(F.when(named, quoted).when(F.size(p) > 1, F.get(p, F.lit(1))).otherwise(F.get(p, F.lit(0)))).alias("title"),
+            _title_field(p, quoted).alias("title"),
             blank_to_null(F.regexp_replace(F.regexp_extract(third, r"^([^\d(]*)", 1), r"[,\s]+$", "")).alias("journal"),
             some(volume, 1).alias("volume"), some(volume, 2).alias("issue"),
             some(pages, 1).alias("first_page"), some(pages, 2).alias("last_page"),
         )
 
-    return let(parts, described)
+    return let(_parts(raw), described)
+
+
+def _title_field(parts: Column, quoted: Column) -> Column:
+    """The title among the ``parts`` of a reference: in quotes, else the second field, or the only one."""
+    named = F.coalesce(quoted, F.lit("")) != ""
+    return blank_to_null(F.when(named, quoted).when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))))
 
 
 def segmented(references: DataFrame) -> DataFrame:
     """References (raw_text, title, ...) with ``fields``, and with the title of the fields where none was in quotes."""
-    found = references.withColumn("fields", fields_of(F.col("raw_text"), F.col("title")))
-    return found.withColumn("title", F.coalesce(blank_to_null(F.col("title")), F.col("fields.title")))
+    raw, quoted = F.col("raw_text"), F.col("title")
+    # not taken from ``fields``, so that those who want titles only need not find the other fields
+    title = F.coalesce(blank_to_null(quoted), let(_parts(raw), lambda p: _title_field(p, quoted)))
+    return references.withColumn("fields", fields_of(raw, quoted)).withColumn("title", title)
+
+
+def _title(title: Column) -> Column:
+    """A title as its normalised words; null if they are too few to link."""
+    words = F.filter(F.split(normalize_title(title), " "), lambda w: w != "")
+    return let(words, lambda w: F.when(F.size(w) >= LEAST_WORDS, F.array_join(w, " ")))
 
 
 def _title_keys(df: DataFrame, *kept: str) -> DataFrame:
-    """One row per key of a title: the hash of all its words, with 0 words missing, or of all but one, with 1."""
-    words = F.filter(F.split(normalize_title(F.col("title")), " "), lambda w: w != "")
-    listed = df.withColumn("_words", words).where(F.size("_words") >= LEAST_WORDS)
-    whole = F.struct(F.lit(0).alias("missing"), F.xxhash64(F.array_join("_words", " ")).alias("key"))
-    without = F.transform(
-        "_words",
-        lambda _, i: F.struct(
-            F.lit(1).alias("missing"),
-            F.xxhash64(F.array_join(F.concat(F.slice("_words", 1, i), F.slice("_words", i + 2, F.size("_words"))), " ")).alias("key"),
-        ),
-    )
-    keys = F.array_distinct(F.concat(F.array(whole), without))
-    return explode_once(listed.select(*kept, "_words"), keys, "_k").select(*kept, "_k.missing", "_k.key")
+    """One row per key of a ``_title``: the hash of all its words, with 0 words missing, or of all but one, with 1."""
+
+    def keys(words: Column) -> Column:
+        whole = F.struct(F.lit(0).alias("missing"), F.xxhash64(F.array_join(words, " ")).alias("key"))
+        without = F.transform(
+            words,
+            lambda _, i: F.struct(
+                F.lit(1).alias("missing"),
+                F.xxhash64(F.array_join(F.concat(F.slice(words, 1, i), F.slice(words, i + 2, F.size(words))), " ")).alias("key"),
+            ),
+        )
+        return F.array_distinct(F.concat(F.array(whole), without))
+
+    listed = df.where("_title IS NOT NULL").select(*kept, "_title")
+    return explode_once(listed, let(F.split("_title", " "), keys), "_k").select(*kept, "_k.missing", "_k.key")
 
 
 def link_references(references: DataFrame, works: DataFrame, years: int = YEARS) -> DataFrame:
@@ -83,21 +107,31 @@ def link_references(references: DataFrame, works: DataFrame, years: int = YEARS)
     is no hindrance and counts as the farthest allowed. References without a DOI and with a title of fewer than
     ``LEAST_WORDS`` words link with nothing.
     """
-    asked = references.select("document_id", "position", canonical_doi(F.col("doi")).alias("_doi"), "title", "year")
-    by_doi = works.select(canonical_doi(F.col("doi")).alias("_doi"), "seq").where(F.coalesce("_doi", F.lit("")) != "")
+    asked = references.select(
+        "document_id", "position", blank_to_null(canonical_doi(F.col("doi"))).alias("_doi"), _title(F.col("title")).alias("_title"), "year"
+    )
+    asked = cut_lineage(asked)  # references are parsed once
+    by_doi = works.select(blank_to_null(canonical_doi(F.col("doi"))).alias("_doi"), "seq").where("_doi IS NOT NULL")
     first = by_doi.groupBy("_doi").agg(F.min("seq").alias("cited_id"))
-    known = asked.join(first, "_doi", "left")
+    # references without a DOI stay out of the join, where all of them would meet in one task
+    known = asked.where("_doi IS NOT NULL").join(first, "_doi", "left")
     exact = known.where("cited_id IS NOT NULL").select(
         "document_id", "position", "cited_id", F.lit("doi").alias("by"), F.lit(0).alias("missing")
     )
-    rest = known.where("cited_id IS NULL")
-    wanted = _title_keys(rest, "document_id", "position", "year").withColumnsRenamed({"missing": "mine", "year": "my_year"})
-    held = _title_keys(works.select("seq", "title", "year"), "seq", "year")
+    columns = ("document_id", "position", "_title", "year")
+    rest = known.where("cited_id IS NULL").select(*columns).unionByName(asked.where("_doi IS NULL").select(*columns))
+    rest = rest.where("_title IS NOT NULL").withColumn("_name", F.xxhash64("_title"))
+    # a title of many references, or of many works, is looked up once for each year
+    names = rest.groupBy("_name", F.col("year").alias("my_year")).agg(F.first("_title").alias("_title"))
+    wanted = _title_keys(names, "_name", "my_year").withColumnRenamed("missing", "mine")
+    titles = works.select("seq", _title(F.col("title")).alias("_title"), "year").groupBy("_title", "year").agg(F.min("seq").alias("seq"))
+    held = _title_keys(titles, "seq", "year")
     held = held.groupBy("key", "year").agg(F.min(F.struct("missing", "seq")).alias("w")).select("key", "year", "w.*")
     apart = F.coalesce(F.abs(F.col("year") - F.col("my_year")), F.lit(years))
     met = wanted.join(held, "key").withColumn("apart", apart).where(F.col("apart") <= years)
-    best = F.min(F.struct((F.col("mine") + F.col("missing")).alias("missing"), "apart", "seq")).alias("b")
-    titled = met.groupBy("document_id", "position").agg(best).select(
+    best = met.groupBy("_name", "my_year").agg(F.min(F.struct((F.col("mine") + F.col("missing")).alias("missing"), "apart", "seq")).alias("b"))
+    found = rest.join(best.withColumnRenamed("_name", "_of"), (F.col("_name") == F.col("_of")) & F.col("year").eqNullSafe(F.col("my_year")))
+    titled = found.groupBy("document_id", "position").agg(F.min("b").alias("b")).select(
         "document_id", "position", F.col("b.seq").alias("cited_id"), F.lit("title").alias("by"), F.col("b.missing").alias("missing")
     )
     return exact.unionByName(titled)

@@ -77,3 +77,18 @@ def test_titles_come_from_fields_where_none_is_quoted(frame):
     raw = 'Doe J, Roe A. A title of words. J Parts. 2020;12(3):1-5.'
     df = frame([(1, 0, raw, "", "", 2020), (1, 1, 'Roe. "Quoted".', "", "Quoted", None)], REFERENCES)
     assert [r.title for r in segmented(df).orderBy("position").collect()] == ["A title of words", "Quoted"]
+
+
+def test_references_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def title(k):
+        read.add(1)
+        return "The same old title" if k % 2 else None
+
+    works = spark.range(3).selectExpr("id seq", "cast(null as string) doi", "'the same old title' title", "cast(null as int) year")
+    asked = spark.range(40).selectExpr("id document_id", "0 position", "'' raw_text", "'' doi", "cast(null as int) year").withColumn("title", title("document_id"))
+    found = link_references(asked, works)
+    assert found.groupBy("cited_id", "by", "missing").count().collect() == [(0, "title", 0, 20)]
+    assert read.value == 40

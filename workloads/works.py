@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperlake.functions.terms import match_terms
-from paperlake.functions.text import derive_id, normalize_title
+from paperlake.functions.text import derive_id, let, normalize_title
 from paperlake.operators import citing, identity, merge
 from paperlake.operators.expansion import reference_expansion
 from paperlake.operators.parsing import references
 from paperlake.plans import literature as plans
+from paperlake.session import cut_lineage
 from paperlake.sources import bibliographic, fulltext, search
 from workloads.documents import TRIM
 from workloads.registry import any_sql, workload
@@ -460,6 +461,7 @@ links AS (SELECT * FROM by_doi UNION ALL SELECT * FROM by_title)"""
 def cited_texts(spark, sf_dir):
     """Documents that are lists of references: with a DOI, with a title in quotes, or with a title that lacks its last word."""
     works = literature(spark, sf_dir).withColumn("doi", F.concat(F.lit("10.1234/"), "seq"))
+    works = cut_lineage(works.select("seq", "work_id", "doi", "title", "year", "authors"))  # texts and links both need them
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     met = lines.join(works.select(F.col("seq").alias("l_partkey"), "doi", "title", "year"), "l_partkey")
     how, year = F.col("l_partkey") % 3, F.col("year").cast("string")
