@@ -30,9 +30,10 @@ FUNCTIONS = {
     ),
     "study_design(text STRING) RETURNS STRING": f"RETURN {_design_case()}",
     "chunk_text(body STRING, size INT, overlap INT) RETURNS TABLE (chunk_index INT, chunk STRING)": (
-        "RETURN SELECT pos, array_join(slice(w, start + 1, size), ' ') FROM ("
-        "SELECT w, pos, start FROM (SELECT array_remove(split(trim(body), '\\\\s+'), '') AS w) "
-        "LATERAL VIEW posexplode(sequence(0, greatest(size(w), 1) - 1, size - overlap)) s AS pos, start)"
+        # the words are bound to a lambda variable, so a text is split once and not for each of its chunks
+        "RETURN SELECT pos, chunk FROM (SELECT element_at(transform(array(array_remove(split(trim(body), '\\\\s+'), '')), "
+        "w -> transform(sequence(0, greatest(size(w), 1) - 1, size - overlap), start -> array_join(slice(w, start + 1, size), ' '))), 1) AS c) "
+        "LATERAL VIEW OUTER posexplode(c) s AS pos, chunk"
     ),
 }
 

@@ -164,3 +164,13 @@ def test_queries_are_not_copied_to_every_small_shard(frame):
     # as many queries as vectors: one shard; five queries: ten shards
     assert shards == 11 and dealt.count() == 200 and sent.count() == 100 + 5 * 10
     assert dealt.groupBy("shard").count().count() == 11
+
+
+def test_chunks_in_sql_split_a_text_once(spark):
+    register_sql_functions(spark)
+    found = spark.sql("SELECT k, c.* FROM (SELECT id k, repeat('a b ', int(id) * 5) t FROM range(3)) x, LATERAL chunk_text(x.t, 8, 2) c")
+    assert [tuple(r) for r in found.orderBy("k", "chunk_index").collect()] == [
+        (0, 0, ""), (1, 0, "a b a b a b a b"), (1, 1, "a b a b"),
+        (2, 0, "a b a b a b a b"), (2, 1, "a b a b a b a b"), (2, 2, "a b a b a b a b"), (2, 3, "a b"),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -221,8 +221,9 @@ def sql_functions(spark, sf_dir):
     register_sql_functions(spark)
     papers(spark, sf_dir).select("seq", "title", "abstract", "doi").createOrReplaceTempView("papers_for_sql")
     return spark.sql(
-        """SELECT p.seq, c.chunk_index, c.chunk, normalize_title(p.title) AS normalized,
-                  derive_id(p.doi, CAST(NULL AS STRING), CAST(NULL AS STRING), p.title) AS article_id,
-                  round(cosine(array(1D, 2D, CAST(p.seq AS DOUBLE)), array(1D, 2D, CAST(p.seq AS DOUBLE))), 6) AS same
-           FROM papers_for_sql p, LATERAL chunk_text(p.title, 8, 2) c"""
+        """SELECT p.seq, c.chunk_index, c.chunk, p.normalized, p.article_id, p.same
+           FROM (SELECT seq, title, normalize_title(title) AS normalized,
+                        derive_id(doi, CAST(NULL AS STRING), CAST(NULL AS STRING), title) AS article_id,
+                        round(cosine(array(1D, 2D, CAST(seq AS DOUBLE)), array(1D, 2D, CAST(seq AS DOUBLE))), 6) AS same
+                 FROM papers_for_sql) p, LATERAL chunk_text(p.title, 8, 2) c"""
     )
