@@ -431,10 +431,15 @@ def dictionary_hits(spark, sf_dir):
     """All longer words of the benchmark items as a dictionary, over all documents."""
     words = F.explode(F.split(F.lower("text"), WORDS_OF)).alias("term")
     terms = table(spark, sf_dir, "benchmark").select(words).where("length(term) > 3").distinct()
+    # numbers in the order of the terms: the first and last of a text are found without sorting its hits
+    terms = cut_lineage(terms.orderBy("term").withColumn("place", F.monotonically_increasing_id()))
     found = match_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
-    return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term")
+    ends = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.min("place").alias("first"), F.max("place").alias("last")
     )
+    named = lambda place, name: terms.select(F.col("place").alias(place), F.col("term").alias(name))
+    ends = ends.join(named("first", "first_term"), "first").join(named("last", "last_term"), "last")
+    return ends.select("doc_id", "n_terms", "first_term", "last_term")
 
 
 # Each line of an order cites the order that its part key names, in one of three ways.
