@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.rows import explode_once
+from paperlake.functions.text import let
 from paperlake.operators.retrieval import _ranked
-from paperlake.session import cut_lineage
+from paperlake.session import cut_lineage, is_small
 
 K1, B = 1.2, 0.75
 BLOCK_ROWS = 128  # chunks of a block, about
@@ -34,6 +35,17 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD), "")
 
 
+def _runs(ordered: Column) -> Column:
+    """(terms, tfs): the distinct words of a sorted array, and how often each stands in it."""
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, F.greatest(i - 1, F.lit(0))))
+    )
+    return let(starts, lambda at: F.struct(
+        F.transform(at, lambda i: F.get(ordered, i)).alias("terms"),
+        F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("tfs"),
+    ))
+
+
 def build_index(chunks: DataFrame, text_col: str = "text", k1: float = K1, b: float = B, block_rows: int = BLOCK_ROWS) -> LexicalIndex:
     """The index of ``chunks`` (chunk_id long, text); ids are unique, chunks without words are not held.
 
@@ -48,10 +60,12 @@ def build_index(chunks: DataFrame, text_col: str = "text", k1: float = K1, b: fl
     classes = words.groupBy(like.alias("class")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("parts"))
     placed = words.withColumn("class", like).join(F.broadcast(classes), "class")
     block = F.concat_ws("/", "class", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
-    counted = explode_once(placed.select("chunk_id", "length", block.alias("block"), "words"), F.col("words"), "term")
-    counted = counted.drop("words").groupBy("block", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # words are counted in their row, and the chunks of a block move once, as their distinct terms and numbers of them
+    counted = placed.select("chunk_id", "length", block.alias("block"), let(F.array_sort("words"), _runs).alias("runs"))
+    sent = counted.select("chunk_id", "length", "block", "runs.terms", "runs.tfs").repartition("block")
+    each = explode_once(sent, F.arrays_zip("terms", "tfs"), "e").select("chunk_id", "length", "block", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(totals["mean"] or 1.0)))
-    rows = counted.select("block", "term", "chunk_id", impact.alias("impact"))
+    rows = each.select("block", "term", "chunk_id", impact.alias("impact"))
     postings = rows.groupBy("term", "block").agg(
         F.max("impact").alias("top"), F.sort_array(F.collect_list(F.struct("chunk_id", "impact"))).alias("entries")
     )
@@ -69,6 +83,9 @@ def lexical_search(queries: DataFrame, index: LexicalIndex, k: int = 10, text_co
     words = F.array_distinct(tokens(F.col(text_col)))
     asked = explode_once(queries.select(F.col("query_id").cast("long").alias("query_id"), text_col), words, "term")
     asked = cut_lineage(asked.drop(text_col).distinct().join(index.terms.select("term", "idf"), "term"))
+    terms = asked.select("term").distinct()
+    if is_small(terms):  # then only what the queries ask for moves, and not the index
+        index = LexicalIndex(index.postings.join(F.broadcast(terms), "term", "left_semi"), index.terms)
     bounds = block_bounds(asked, index)
     scored, rest = _first_blocks(asked, index, bounds, k)
     scored = scored.unionByName(_scores(asked, index, rest))

@@ -98,3 +98,21 @@ def test_normalised_scores_and_tokens(frame):
     hits = normalised(frame([(1, 5, 4.0), (1, 6, 1.0), (2, 7, 0.5)], "query_id long, chunk_id long, score double"))
     assert sorted((r.chunk_id, r.score) for r in hits.collect()) == [(5, 1.0), (6, 0.25), (7, 1.0)]
     assert frame([("Été-2 x_y",)], "t string").select(tokens(F.col("t")).alias("w")).first().w == ["été", "2", "x", "y"]
+
+
+def test_a_block_of_chunks_moves_once(frame):
+    index = build_index(frame([(k, "a b b " + "c " * (k % 3)) for k in range(40)], "chunk_id long, text string"), block_rows=8)
+    assert {(r.term, len(r.entries)) for r in index.postings.where("term = 'c'").collect()}
+    tf = {(e.chunk_id, r.term) for r in index.postings.collect() for e in r.entries}
+    assert tf == {(k, t) for k in range(40) for t in ("a", "b", "c") if t != "c" or k % 3}
+
+
+def test_the_index_stays_where_it_is_for_few_words(spark, frame):
+    index = build_index(frame([(k, f"word{k} other") for k in range(50)], "chunk_id long, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lexical_search(frame([(1, "word7")], "query_id long, question string"), index, 3)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "strategy=broadcast" in plan and [r.chunk_id for r in found.collect()] == [7]

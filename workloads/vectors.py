@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperlake.functions.vectors import cosine, l2norm
 from paperlake.operators import graph_search, lexical, retrieval
 from paperlake.operators.chunking import chunk_fixed
+from paperlake.session import cut_lineage, is_small
 from workloads.documents import FIXED
 from workloads.registry import workload
 from workloads.views import chunk_vectors, documents, table
@@ -250,11 +251,13 @@ def hybrid_answers(spark, sf_dir):
     """Label means and the title of a label's first document, as vector and words of one question."""
     texts = documents(spark, sf_dir).withColumnRenamed("document_id", "chunk_id")
     first = chunk_vectors(spark, sf_dir).groupBy(F.col("document_id").alias("query_id")).agg(F.min("chunk_id").alias("chunk_id"))
-    asked = first.join(texts, "chunk_id").select("query_id", F.substring_index("text", "\n", 1).alias("question"))
+    asked = texts.join(F.broadcast(first) if is_small(first) else first, "chunk_id").select("query_id", F.substring_index("text", "\n", 1).alias("question"))
     words = lexical.normalised(lexical.lexical_search(asked, lexical.build_index(texts), 20))
     near = rounded(hits(spark, sf_dir, 20))
-    found = retrieval.hybrid_search(near, words, 0.5, 10)
-    return rounded(found.join(texts, "chunk_id", "left"))
+    found = cut_lineage(rounded(retrieval.hybrid_search(near, words, 0.5, 10)))
+    held = found.select("chunk_id").distinct()
+    wanted = texts.join(F.broadcast(held) if is_small(held) else held, "chunk_id", "left_semi")  # few texts move
+    return found.join(wanted, "chunk_id", "left")
 
 
 @workload(
