@@ -9,7 +9,8 @@ from paperlake.operators.identity import (
 )
 from paperlake.operators.merge import merge_works
 from paperlake.plans.literature import search_works
-from paperlake.sources.bibliographic import LISTS, SCALARS, load_articles
+from paperlake.sources.bibliographic import LISTS, SCALARS, load_articles, normalize_openalex
+from workloads.works import dictionary_hits, raw_openalex
 
 FIELDS = [c for c in SCALARS if c != "year"]
 SCHEMA = (
@@ -236,3 +237,21 @@ def test_load_articles(frame):
     assert o.abstract == "a b c" and o.mesh_terms == ["c"] and o.authors == ["Z"] and o.pdf_url == "q" and o.url == "W1"
     assert [(r.source, r.bad_record) for r in bad.collect()] == [("pubmed", "{oops")]
     assert skipped == {"other": "unknown source"}
+
+
+def test_words_of_a_record_move_as_texts(spark, tmp_path):
+    rows = [(1, "b a  b"), (2, ""), (3, None), (4, " x ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    raw = raw_openalex(spark, str(tmp_path))
+    found = normalize_openalex(raw).select("pmid", "abstract").collect()
+    assert sorted(map(tuple, found)) == [("1", "b a b"), ("2", ""), ("4", "x")]
+    assert raw._jdf.queryExecution().sparkPlan().toString().count("Generate") == 0
+
+
+def test_hits_are_counted_without_sorting_them(spark, tmp_path):
+    spark.createDataFrame([(1, "some WORDS here"), (2, "of other kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "otherwise words, here"), (1, "words"), (None, "kinds"), (3, "none"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dictionary_hits(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 4, "here", "words"), (None, 1, "kind", "kind")]
+    assert "SortAggregate" not in found._jdf.queryExecution().sparkPlan().toString()

@@ -247,11 +247,32 @@ def raw_europepmc(spark, sf_dir):
     return lit.select(F.to_json(record).alias("record"))
 
 
+def placed_words(texts):
+    """(word, pos) of all words of some texts."""
+    words = F.transform(
+        texts, lambda t: F.transform(F.split(F.trim(t), r"\s+"), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    )
+    return F.flatten(words)
+
+
+def positions_of(ordered):
+    """The map word -> positions of sorted (word, pos)."""
+    word = lambda i: F.get(ordered, i).word
+    starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (word(i) != word(F.greatest(i - 1, F.lit(0)))))
+
+    def entries(at):
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(ordered))
+        positions = lambda i, k: F.transform(F.slice(ordered, i + 1, end(k) - i), lambda x: x.pos)
+        return F.transform(at, lambda i, k: F.struct(word(i).alias("word"), positions(i, k).alias("positions")))
+
+    return F.map_from_entries(let(starts, entries))
+
+
 def raw_openalex(spark, sf_dir):
     """Documents as works whose abstract is a word -> positions index of the whole text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "word"))
-    entry = docs.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
-    index = entry.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("idx"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))  # texts of one id share an index
+    index = texts.select("doc_id", let(F.array_sort(placed_words(F.col("texts"))), positions_of).alias("idx"))
     record = F.struct(
         F.concat(F.lit("W"), "doc_id").alias("id"),
         F.concat(F.lit("Work "), "doc_id").alias("title"),
