@@ -98,7 +98,8 @@ def literature(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    orders = table(spark, sf_dir, "orders").join(grouped, "o_orderkey").join(customer, "o_custkey")
+    # the lines of an order move once: customers meet the narrow rows of orders first
+    orders = table(spark, sf_dir, "orders").join(customer, "o_custkey").join(grouped, "o_orderkey")
     topics = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x.p_type)))
     return orders.select(
         F.col("o_orderkey").alias("seq"),
