@@ -64,6 +64,7 @@ def build_index(chunks: DataFrame, text_col: str = "text", k1: float = K1, b: fl
     counted = placed.select("chunk_id", "length", block.alias("block"), let(F.array_sort("words"), _runs).alias("runs"))
     sent = counted.select("chunk_id", "length", "block", "runs.terms", "runs.tfs").repartition("block")
     each = explode_once(sent, F.arrays_zip("terms", "tfs"), "e").select("chunk_id", "length", "block", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
+    each = each.groupBy("block", "chunk_id", "length", "term").agg(F.sum("tf").alias("tf"))  # of repeated chunks, where they are
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(totals["mean"] or 1.0)))
     rows = each.select("block", "term", "chunk_id", impact.alias("impact"))
     postings = rows.groupBy("term", "block").agg(
