@@ -42,8 +42,7 @@ def text_of(*cols: str) -> Column:
 
 
 def normalize_title(col: Column) -> Column:
-    cleaned = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), "[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(cleaned, " +", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def canonical_doi(col: Column) -> Column:

@@ -157,9 +157,10 @@ def _with_jaccard(pairs: DataFrame, titles: DataFrame, threshold: float) -> Data
 
 def distinct_titles(articles: DataFrame) -> DataFrame:
     """(id, norm, tokens) of each distinct normalised title; ``id`` is its first record."""
+    # a filter on a plain column would go below it and normalise titles a second time
+    normalized = explode_once(articles.select("seq", "title"), F.array(normalize_title(F.col("title"))), "norm")
     distinct = (
-        articles.select("seq", normalize_title(F.col("title")).alias("norm"))
-        .where("norm <> ''")
+        normalized.where("norm <> ''")
         .groupBy("norm")
         .agg(F.min("seq").alias("id"))
         .withColumn("tokens", F.array_distinct(F.split("norm", " ")))
