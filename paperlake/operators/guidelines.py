@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.fixed_values import CONTRAINDICATION, EVIDENCE_EN, EVIDENCE_RU, NOT_PLAIN, PREGNANCY, STATEMENT_HINTS, STRENGTHS
+from paperlake.fixed_values import (
+    CONTRAINDICATION, CONTRAINDICATION_PARTS, EVIDENCE_EN, EVIDENCE_EN_PARTS, EVIDENCE_RU, EVIDENCE_RU_PARTS, NOT_PLAIN,
+    PREGNANCY, PREGNANCY_PARTS, STATEMENT_HINTS, STRENGTH_PARTS, STRENGTHS,
+)
 from paperlake.functions.rows import explode_once
-from paperlake.functions.text import blank_to_null, contains_any, labels_where, let, strip
+from paperlake.functions.text import contains_any, labels_where, let, strip
 from paperlake.sources.search import match_terms
 
 def split_guidelines(texts: DataFrame) -> DataFrame:
     """(guideline_id, section_index, heading, content): blocks between blank lines, the first line is the heading."""
     split = F.split(strip(F.col("text")), "\n\n")
     blocks = explode_once(texts.select("guideline_id", "text"), split, "block", "section_index")
-    lines = F.split(strip(F.col("block")), "\n")
-    return blocks.select(
+    lines = blocks.withColumn("lines", strip(F.col("block")))
+    cut = F.instr("lines", "\n")
+    return lines.select(
         "guideline_id",
         "section_index",
-        F.get(lines, F.lit(0)).alias("heading"),
-        F.when(F.size(lines) > 1, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n"))
-        .otherwise(F.col("block"))
-        .alias("content"),
+        F.substring_index("lines", "\n", 1).alias("heading"),
+        F.when(cut > 0, F.substring(F.col("lines"), cut + 1, F.length("lines"))).otherwise(F.col("block")).alias("content"),
     )
 
 
-def _statements(text: Column) -> Column:
+def _holds(lowered: Column, parts: Sequence[str]) -> Column:
+    """Whether all the parts occur; patterns run on such texts only."""
+    return reduce(Column.__and__, [F.contains(lowered, F.lit(p)) for p in parts])
+
+
+def _statements(text: Column, lowered: Column) -> Column:
     """All (strength, lang, text) of a text; a statement found twice keeps the first strength."""
+    none = F.array().cast("array<struct<strength:string,lang:string,text:string>>")
+
     def matches(strength: str, lang: str, pattern: str) -> Column:
         texts = F.transform(F.regexp_extract_all(text, F.lit(f"(?iu){pattern}"), F.lit(1)), lambda t: strip(t))
         if strength == "conditional":
@@ -39,9 +49,10 @@ def _statements(text: Column) -> Column:
         )
 
     # texts without any of these words hold no statement, whatever the pattern
-    hint = contains_any(F.lower(text), STATEMENT_HINTS)
-    none = F.array().cast("array<struct<strength:string,lang:string,text:string>>")
-    found = [F.when(hint, matches(*rule)).otherwise(none) for rule in STRENGTHS]
+    hint = reduce(Column.__or__, [F.contains(lowered, F.lit(h)) for h in STATEMENT_HINTS])
+    found = [
+        F.when(_holds(lowered, parts), matches(*rule)).otherwise(none) for rule, parts in zip(STRENGTHS, STRENGTH_PARTS)
+    ]
 
     def once(every: Column) -> Column:
         return let(
@@ -49,34 +60,55 @@ def _statements(text: Column) -> Column:
             lambda texts: F.filter(every, lambda s, i: F.array_position(texts, s.text) == i + 1),
         )
 
-    return let(F.concat(*found), once)
+    return F.when(hint, let(F.concat(*found), once)).otherwise(none)
+
+
+def evidence_level(text: Column, lowered: Column) -> Column:
+    def level(pattern: str, parts: Sequence[str]) -> Column:
+        return F.when(_holds(lowered, parts), F.regexp_extract(text, pattern, 1)).otherwise("")
+
+    found = let(
+        level(EVIDENCE_RU, EVIDENCE_RU_PARTS),
+        lambda ru: F.when(ru != "", ru).otherwise(level(EVIDENCE_EN, EVIDENCE_EN_PARTS)),
+    )
+    return let(found, lambda e: F.when(e != "", F.upper(e)).otherwise("expert_opinion"))
 
 
-def evidence_level(text: Column) -> Column:
-    level = F.coalesce(
-        blank_to_null(F.regexp_extract(text, EVIDENCE_RU, 1)), blank_to_null(F.regexp_extract(text, EVIDENCE_EN, 1))
+def pregnancy_class(text: Column, lowered: Column) -> Column:
+    rules = zip(PREGNANCY, PREGNANCY_PARTS)
+    return F.coalesce(
+        *[F.when(_holds(lowered, parts) & text.rlike(p), F.lit(name)) for (name, p), parts in rules], F.lit("unknown")
     )
-    return F.coalesce(F.upper(level), F.lit("expert_opinion"))
 
 
-def pregnancy_class(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for name, p in PREGNANCY], F.lit("unknown"))
+def _contraindications(text: Column, lowered: Column) -> Column:
+    found = F.transform(F.regexp_extract_all(text, F.lit(CONTRAINDICATION), F.lit(1)), lambda t: strip(t))
+    some = reduce(Column.__or__, [F.contains(lowered, F.lit(p)) for p in CONTRAINDICATION_PARTS])
+    return F.when(~some, F.array().cast("array<string>")).otherwise(found)
+
+
+def _of_guidelines(df: DataFrame, guideline_ids: DataFrame) -> DataFrame:
+    return df.join(guideline_ids.select("guideline_id").distinct(), "guideline_id", "left_semi")
 
 
-def recommendations(sections: DataFrame) -> DataFrame:
-    """One row per recommendation of (guideline_id, section_index, heading, content)."""
-    content = F.col("content")
+def recommendations(sections: DataFrame, guideline_ids: DataFrame | None = None) -> DataFrame:
+    """One row per recommendation of (guideline_id, section_index, heading, content).
+
+    With ``guideline_ids`` only those of these guidelines; texts of others are not searched.
+    """
+    if guideline_ids is not None:
+        sections = _of_guidelines(sections, guideline_ids)
+    texts = sections.withColumn("_lowered", F.lower("content"))
+    content, lowered = F.col("content"), F.col("_lowered")
     found = (
-        sections.select(
+        texts.select(
             "guideline_id",
             "section_index",
             "heading",
-            _statements(content).alias("statements"),
-            evidence_level(content).alias("evidence_level"),
-            F.transform(
-                F.regexp_extract_all(content, F.lit(CONTRAINDICATION), F.lit(1)), lambda t: strip(t)
-            ).alias("contraindications"),
-            pregnancy_class(content).alias("pregnancy"),
+            _statements(content, lowered).alias("statements"),
+            evidence_level(content, lowered).alias("evidence_level"),
+            _contraindications(content, lowered).alias("contraindications"),
+            pregnancy_class(content, lowered).alias("pregnancy"),
         )
     )
     return (
@@ -119,12 +151,13 @@ def keyword_recommendations(
     ``questions`` is a dictionary or, for batches of any size, a frame (question_id, question).
     """
     if guideline_ids is not None:
-        recs = recs.join(guideline_ids.select("guideline_id").distinct(), "guideline_id", "left_semi")
+        recs = _of_guidelines(recs, guideline_ids)
     if isinstance(questions, DataFrame):
         words = F.split(strip(F.lower("question")), r"\s+")
         terms = explode_once(questions.select("question_id", "question"), words, "term").select("question_id", "term")
         found = match_terms(recs, terms, "text", "term").drop("term")
-        once = found.dropDuplicates(["question_id", "guideline_id", "section_index", "position"])
+        key = ["question_id", "guideline_id", "section_index", "position"]
+        once = found.repartition(*key).dropDuplicates(key)  # sorted after the exchange only
         return once.withColumn("confidence", F.lit(0.3))
     asked = let(
         F.lower("text"),

@@ -12,7 +12,8 @@ def ingest_guidelines(texts: DataFrame) -> dict[str, DataFrame]:
     """(guideline_id, title, text, seq) to ``guidelines``, ``sections``, ``recommendations`` and ``registered``."""
     sections = split_guidelines(texts)
     recs = recommendations(sections)
-    ordered = recs.join(texts.select("guideline_id", "seq"), "guideline_id")
+    # the last registration wins, so of texts that share an id the last one counts
+    ordered = recs.join(texts.groupBy("guideline_id").agg(F.max("seq").alias("seq")), "guideline_id")
     registered = register_texts(
         ordered.select(
             F.col("guideline_id").alias("source_id"), "text", F.struct("seq", "section_index", "position").alias("seq")

@@ -50,27 +50,28 @@ ENDINGS = (
 )
 
 
-# Line items written as graded statements.
+# How statements begin, in the order of their bytes.
+BEGINNINGS = (
+    "We do not recommend ", "We recommend ", "We strongly recommend ",
+    "Настоятельно рекомендуется ", "Не рекомендуется ", "Рекомендуется ",
+)
+
+
+# Line items written as graded statements; lists hold numbers, of which the text is made when they are whole.
 def statements(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus"
     )
-    verb = (
-        F.when(F.col("l_returnflag") == "A", "We strongly recommend ")
-        .when(F.col("l_returnflag") == "R", "We do not recommend ")
-        .otherwise("We recommend ")
-    )
-    russian = (
-        F.when(F.col("l_returnflag") == "A", "Настоятельно рекомендуется ")
-        .when(F.col("l_returnflag") == "R", "Не рекомендуется ")
-        .otherwise("Рекомендуется ")
-    )
-    sentence = F.concat(
-        F.when(F.col("l_linestatus") == "O", russian).otherwise(verb), F.lit("part "), "l_partkey", F.lit(" of "), "l_suppkey", F.lit(".")
+    graded = (
+        F.when(F.col("l_returnflag") == "A", F.when(F.col("l_linestatus") == "O", 3).otherwise(2))
+        .when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", 4).otherwise(0))
+        .otherwise(F.when(F.col("l_linestatus") == "O", 5).otherwise(1))
     )
-    entry = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", sentence.alias("s"))))
+    entry = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", graded.alias("kind"))))
+    begin = F.array(*[F.lit(b) for b in BEGINNINGS])
+    sentence = lambda e: F.concat(F.get(begin, e.kind), F.lit("part "), e.l_partkey, F.lit(" of "), e.l_suppkey, F.lit("."))
     text = F.concat(
-        F.array_join(F.transform(entry, lambda e: e.s), "\n"),
+        F.array_join(F.transform(entry, sentence), "\n"),
         F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("l_orderkey") % 4 + 1).cast("int")),
     )
     return lines.groupBy("l_orderkey").agg(text.alias("content")).select(
@@ -154,9 +155,9 @@ WHERE {any_sql('lower(text)', 'part 17'.split())} AND guideline_id IN (SELECT o_
 )
 def keyword_recommendations(spark, sf_dir):
     allowed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("guideline_id"))
-    recs = ops.recommendations(statements(spark, sf_dir))
+    recs = ops.recommendations(statements(spark, sf_dir), allowed)
     asked = spark.createDataFrame(list(QUESTIONS.items()), "question_id string, question string")
-    found = ops.keyword_recommendations(asked, recs, allowed)
+    found = ops.keyword_recommendations(asked, recs)
     return found.select("question_id", "guideline_id", "text", "strength", "confidence")
 
 
