@@ -54,7 +54,7 @@ CELLS = 1 << 20  # of a sketch: 4 MB wherever it is sent
 SKETCH_CHUNKS = 16
 BLOCK = 500_000  # entries of a block of columns
 SHORT_COLUMN = 4  # rows of such a column all meet at once
-FLUSH = 1_000_000  # entries a task holds before it sends them
+FLUSH = 500_000  # entries a task holds before it sends them
 
 _SALTS = mix(np.arange(101, 165, dtype=np.uint64))
 
@@ -147,6 +147,18 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, digest binary, chunk int, counts binary")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: what is alike in them is shuffled as next to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(parts: list[bytes], kind) -> np.ndarray:
+    """The values of all parts, each made by ``_planes``."""
+    width = np.dtype(kind).itemsize
+    rows = [np.frombuffer(p, dtype=np.uint8).reshape(width, len(p) // width).T for p in parts]
+    return np.concatenate(rows).reshape(-1).view(kind) if rows else np.zeros(0, dtype=kind)
+
+
 def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, most: int) -> DataFrame:
     """The first entries of each row, packed by block of columns; a task sends equal sets once."""
 
@@ -154,25 +166,26 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
         tokens, spread = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         ids, sizes, ends = (np.array([h[k] for h in held]) for k in (2, 3, 4))
         lengths = np.array([len(h[0]) for h in held])
-        row = np.repeat(np.arange(len(held)), lengths)
-        places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        block = (mix(tokens) % np.uint64(blocks)).astype(np.int64)
-        own = mix(ids.view(np.uint64))[row]
-        block = (block + np.where(spread > 1, own % spread, np.uint64(0)).astype(np.int64)) % blocks
+        row = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
+        places = np.arange(len(tokens), dtype="<u4") - np.repeat((np.cumsum(lengths) - lengths).astype("<u4"), lengths)
+        block = (mix(tokens) % np.uint64(blocks)).astype(np.int32)
+        frequent = np.flatnonzero(spread > 1)
+        own = mix(ids.view(np.uint64))[row[frequent]] % spread[frequent]
+        block[frequent] = (block[frequent] + own.astype(np.int64)) % blocks
         order = np.argsort(block, kind="stable")
         block, row = block[order], row[order]
         run = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (row[1:] != row[:-1])]))  # a row in a block
         cuts = np.flatnonzero(np.diff(block)) + 1
         run_cuts = np.searchsorted(run, cuts)
         of = {  # numbers of a row are sent once for each block it has entries in
-            "tokens": (tokens[order], cuts), "places": (places[order].astype("<u4"), cuts),
+            "tokens": (tokens[order], cuts), "places": (places[order], cuts),
             "spread": ((spread[order] > 1).astype(np.uint8), cuts), "ids": (ids[row[run]], run_cuts),
             "sizes": (sizes[row[run]].astype("<u4"), run_cuts), "ends": (ends[row[run]], run_cuts),
             "runs": (np.diff(np.append(run, len(row))).astype("<u4"), run_cuts),
         }
-        columns = {"block": pa.array(block[np.concatenate([[0], cuts])].astype(np.int32))}
+        columns = {"block": pa.array(block[np.concatenate([[0], cuts])])}
         for name, (values, at) in of.items():
-            columns[name] = pa.array([part.tobytes() for part in np.split(values, at)], pa.binary())
+            columns[name] = pa.array([_planes(part) for part in np.split(values, at)], pa.binary())
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches):
@@ -188,7 +201,7 @@ def _entries(docs: DataFrame, sketch, blocks: int, width: int, percent: int, mos
                     seen.add(digest)
                     count = counts[_cells(found)]
                     first = np.argsort(count, kind="stable")[: prefix_length(n, percent)]
-                    spread = (count[first] // most + 1).astype(np.uint64)
+                    spread = (count[first] // most + 1).astype(np.uint32)
                     held.append((found[first], spread, id_, n, _order_key(count[first[-1]], found[first[-1]])))
                     size += len(first)
                     if size >= FLUSH:
@@ -221,7 +234,7 @@ def _candidates(ids, sizes, places, left, right, percent: int, length=None) -> p
 
 def _block_product(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
+        join = lambda name, kind: _from_planes(table.column(name).to_pylist(), kind)
         tokens, spread = join("tokens", np.uint64), join("spread", np.uint8)
         runs = join("runs", "<u4")
         ids, ends = (np.repeat(join(c, kind), runs) for c, kind in (("ids", np.int64), ("ends", np.float32)))
@@ -233,9 +246,9 @@ def _block_product(percent: int):
         keep[1:] |= same
         keep[:-1] |= same
         kept = order[keep]
+        del order, same, keep
+        kept = kept[np.lexsort((ids[kept], places[kept], tokens[kept]))]
         tokens, ids, sizes, places, ends, spread = (x[kept] for x in (tokens, ids, sizes, places, ends, spread))
-        order = np.lexsort((ids, places, tokens))
-        tokens, ids, sizes, places, ends, spread = (x[order] for x in (tokens, ids, sizes, places, ends, spread))
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
         lengths = np.diff(np.append(starts, len(tokens)))
         run_start, run_length = np.repeat(starts, lengths), np.repeat(lengths, lengths)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paperlake.llm import ngram_join as N
@@ -159,3 +160,13 @@ def test_one_id_with_different_texts(spark):
         of = {x.doc_id: x.component_id for x in rows}
         assert of[4] == 4 and (of[1], of[2], of[3]) in ((1, 1, 3), (1, 2, 2))
         assert len({(x.doc_id, x.component_id) for x in rows}) == 4
+
+
+def test_numbers_are_sent_by_bytes_of_a_place():
+    for kind in (np.uint64, np.int64, "<u4", np.float32, np.uint8):
+        parts = [np.arange(n, dtype=kind) * 3 for n in (5, 1, 70_000)]
+        sent = [N._planes(p[::2]) for p in parts]
+        assert np.array_equal(N._from_planes(sent, kind), np.concatenate([p[::2] for p in parts]))
+    ids = 10**9 + np.sort(np.random.default_rng(1).choice(10**5, 20_000, replace=False))
+    packed = lambda b: pa.compress(b, codec="lz4_raw", asbytes=True)
+    assert 2 * len(packed(N._planes(ids))) < len(packed(ids.tobytes()))
