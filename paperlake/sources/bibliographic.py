@@ -7,13 +7,14 @@ raw JSON strings and resolved with expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import blank_to_null, let, strip
+from paperlake.session import cut_lineage
 
 SCALARS = (
     "title", "journal", "year", "doi", "pmid", "abstract", "url", "pdf_url", "pmcid", "language", "publisher",
@@ -44,7 +45,9 @@ oa_locations array<struct<pdf_url:string>>, type string, language string, _corru
 
 def _parse(raw: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return raw.withColumn("r", F.from_json("record", schema, options)).withColumn("bad_record", F.col("r._corrupt"))
+    # a generated column is not inlined, so a filter on it does not parse the record again
+    parsed = raw.select("*", F.explode_outer(F.array(F.from_json("record", schema, options))).alias("r"))
+    return parsed.withColumn("bad_record", F.col("r._corrupt"))
 
 
 def _filled(col: Column) -> Column:
@@ -266,11 +269,15 @@ def register_source(name: str, normalize: Callable[[DataFrame], DataFrame]) -> N
     _SOURCES[name] = normalize
 
 
-def load_articles(raw: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+def load_articles(
+    raw: Mapping[str, DataFrame], columns: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """Union of all sources as (articles, quarantined records, skipped sources with the reason).
 
     Records that do not parse are quarantined. A source whose mapping does not
-    fit its columns is skipped, and the others still load.
+    fit its columns is skipped, and the others still load. Where only some
+    ``columns`` of the articles are wanted, these are kept in reliable storage:
+    articles and quarantine then come from one reading of all records.
     """
     frames, skipped = [], {}
     for name, frame in raw.items():
@@ -285,5 +292,7 @@ def load_articles(raw: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame, d
     everything = frames[0]
     for frame in frames[1:]:
         everything = everything.unionByName(frame, allowMissingColumns=True)
+    if columns is not None:
+        everything = cut_lineage(everything.select(*columns, *[c for c in ("source", "bad_record") if c not in columns]))
     bad = F.col("bad_record").isNotNull()
     return everything.where(~bad).drop("bad_record"), everything.where(bad).select("source", "bad_record"), skipped

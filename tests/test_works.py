@@ -1,4 +1,5 @@
 import datetime
+import json
 import random
 from difflib import SequenceMatcher
 
@@ -255,3 +256,25 @@ def test_hits_are_counted_without_sorting_them(spark, tmp_path):
     found = dictionary_hits(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect()), key=str) == [(1, 4, "here", "words"), (None, 1, "kind", "kind")]
     assert "SortAggregate" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_records_are_read_once(frame):
+    """A filter on the parse does not repeat it, and with ``columns`` both frames come from one reading."""
+    records = [('{"uid": "1", "title": "a", "articleids": [{"idtype": "doi", "value": "10.1/x"}]}',), ("{broken",), (None,)]
+    raw = {"pubmed": frame(records, "record string"), "europepmc": frame([('{"title": "b", "doi": "10.1/y"}',)], "record string")}
+    good, bad, skipped = load_articles({"pubmed": raw["pubmed"]})
+    assert good.select("title", "doi")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    some, quarantine, _ = load_articles(raw, columns=["source", "doi"])
+    for kept in (some, quarantine):
+        assert "from_json" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(some.collect(), key=str) == [("europepmc", "10.1/y"), ("pubmed", "10.1/x"), ("pubmed", None)]
+    assert [tuple(r) for r in quarantine.collect()] == [tuple(r) for r in bad.collect()] == [("pubmed", "{broken")]
+    assert good.count() == 2 and not skipped
+
+
+def test_an_index_holds_the_words_of_java_white_space(spark, tmp_path):
+    """Only blanks are trimmed, and other spaces than those of Java's \\s stand inside words."""
+    texts = [(1, " b a\tb "), (1, "a"), (2, "\né x \x0b \"q\\"), (3, ""), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {json.loads(r.record)["id"]: json.loads(r.record)["abstract_inverted_index"] for r in raw_openalex(spark, str(tmp_path)).collect()}
+    assert found == {"W1": {"a": [0, 1], "b": [0, 2]}, "W2": {"": [0], "é x": [1], '"q\\': [2]}, "W3": {"": [0]}}

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperlake.functions.terms import match_terms
@@ -247,41 +252,44 @@ def raw_europepmc(spark, sf_dir):
     return lit.select(F.to_json(record).alias("record"))
 
 
-def placed_words(texts):
-    """(word, pos) of all words of some texts."""
-    words = F.transform(
-        texts, lambda t: F.transform(F.split(F.trim(t), r"\s+"), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
-    )
-    return F.flatten(words)
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+TO_JSON = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
-def positions_of(ordered):
-    """The map word -> positions of sorted (word, pos)."""
-    word = lambda i: F.get(ordered, i).word
-    starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (word(i) != word(F.greatest(i - 1, F.lit(0)))))
+def inverted(texts):
+    """The JSON of the map word -> positions of some texts."""
+    index = collections.defaultdict(list)
+    for text in texts:
+        for pos, word in enumerate(SPACE.split(text.strip(" "))):
+            index[word].append(pos)
+    if len(texts) > 1:
+        for positions in index.values():
+            positions.sort()
+    return TO_JSON(dict(sorted(index.items())))
 
-    def entries(at):
-        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(ordered))
-        positions = lambda i, k: F.transform(F.slice(ordered, i + 1, end(k) - i), lambda x: x.pos)
-        return F.transform(at, lambda i, k: F.struct(word(i).alias("word"), positions(i, k).alias("positions")))
 
-    return F.map_from_entries(let(starts, entries))
+def indexed(batches):
+    """(doc_id, idx) of (doc_id, texts)."""
+    for batch in batches:
+        idx = pa.array((inverted(texts) for texts in batch.column("texts").to_pylist()), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), idx], ["doc_id", "idx"])
 
 
 def raw_openalex(spark, sf_dir):
     """Documents as works whose abstract is a word -> positions index of the whole text."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))  # texts of one id share an index
-    index = texts.select("doc_id", let(F.array_sort(placed_words(F.col("texts"))), positions_of).alias("idx"))
+    index = texts.mapInArrow(indexed, "doc_id long, idx string")
     record = F.struct(
         F.concat(F.lit("W"), "doc_id").alias("id"),
         F.concat(F.lit("Work "), "doc_id").alias("title"),
         F.lit(2020).alias("publication_year"),
         F.struct(F.col("doc_id").cast("string").alias("pmid")).alias("ids"),
-        F.col("idx").alias("abstract_inverted_index"),
         F.array(F.struct(F.lit("concept").alias("display_name"))).alias("concepts"),
     )
-    return index.select(F.to_json(record).alias("record"))
+    # the index, JSON already, goes in as the last field
+    opened = F.regexp_replace(F.to_json(record), r"\}$", "")
+    return index.select(F.concat(opened, F.lit(',"abstract_inverted_index":'), "idx", F.lit("}")).alias("record"))
 
 
 @workload(
@@ -340,7 +348,8 @@ def loaded_articles(spark, sf_dir):
             "pubmed": raw_pubmed(spark, sf_dir).unionByName(broken),
             "europepmc": raw_europepmc(spark, sf_dir),
             "openalex": raw_openalex(spark, sf_dir),
-        }
+        },
+        columns=["source", "doi"],
     )
     counts = good.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doi").alias("n_doi"))
     held = quarantine.agg(F.lit("quarantine").alias("source"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_doi"))
