@@ -117,3 +117,28 @@ def test_the_index_stays_where_it_is_for_few_words(spark, frame):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "strategy=broadcast" in plan and [r.chunk_id for r in found.collect()] == [7]
+
+
+def test_scores_of_few_queries_do_not_move(spark, frame, tmp_path):
+    """Each task keeps the best chunks of its blocks; tables that were written and read again are searched alike."""
+    chunks, queries = corpus(7)
+    asked = frame(queries, "query_id long, question string")
+    index = build_index(frame(chunks, "chunk_id long, text string").repartition(3), block_rows=16)
+    found = lexical_search(asked, index, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the distinct words that are asked for
+    index.postings.repartition(4).write.parquet(f"{tmp_path}/postings")
+    index.terms.write.parquet(f"{tmp_path}/terms")
+    again = lexical.LexicalIndex(spark.read.parquet(f"{tmp_path}/postings"), spark.read.parquet(f"{tmp_path}/terms"))
+    assert result(found) == result(lexical_search(asked, again, 5))
+    wanted = brute(chunks, queries, 5)
+    assert {q: [c for c, _ in hits] for q, hits in result(found).items()} == {q: [c for c, _ in hits] for q, hits in wanted.items()}
+
+
+def test_many_queries_are_joined(frame, monkeypatch):
+    chunks, queries = corpus(8, n=150)
+    asked = frame(queries, "query_id long, question string")
+    index = build_index(frame(chunks, "chunk_id long, text string"), block_rows=16)
+    few = result(lexical_search(asked, index, 5))
+    monkeypatch.setattr(lexical, "is_small", lambda df: False)
+    assert result(lexical_search(asked, index, 5)) == few
