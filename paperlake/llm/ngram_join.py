@@ -232,9 +232,16 @@ def _candidates(ids, sizes, places, left, right, percent: int, length=None) -> p
     return pd.DataFrame({"row": ids[right[good]], "other": ids[left[good]], "length": length[good]})
 
 
-def _block_product(percent: int):
+def _plain(parts: list[bytes], kind) -> np.ndarray:
+    """The values of all parts, each their bytes in order."""
+    return np.frombuffer(b"".join(parts), dtype=kind)
+
+
+def _block_product(percent: int, read=_plain):
+    """The candidates of a block; ``read`` makes the values of a column of its parts."""
+
     def run(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: _from_planes(table.column(name).to_pylist(), kind)
+        join = lambda name, kind: read(table.column(name).to_pylist(), kind)
         tokens, spread = join("tokens", np.uint64), join("spread", np.uint8)
         runs = join("runs", "<u4")
         ids, ends = (np.repeat(join(c, kind), runs) for c, kind in (("ids", np.int64), ("ends", np.float32)))
@@ -394,7 +401,7 @@ def near_duplicates(
     shared = (
         _entries(docs, sketch, blocks, width, percent, block)
         .groupBy("block")
-        .applyInArrow(_block_product(percent), "token long, a long, b long, length long, n long, place long, ends float")
+        .applyInArrow(_block_product(percent, _from_planes), "token long, a long, b long, length long, n long, place long, ends float")
     )
     shared = cut_lineage(shared)
     of = lambda c: member.select(F.col("id").alias(c), F.col("class").alias(f"{c}_class"))
